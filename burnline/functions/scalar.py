@@ -73,6 +73,13 @@ def floor_days_between(start, end) -> Column:
     return F.floor(micros_between(start, end) / F.lit(86_400_000_000.0)).cast("bigint")
 
 
+# Exact sums ----------------------------------------------------------------
+def exact_sum(col, scale: int = 2) -> Column:
+    """SUM of a DOUBLE column whose values carry ``scale`` decimals, taken as
+    DECIMAL so the result does not depend on row order; returned as DOUBLE."""
+    return F.sum(_c(col).cast(f"decimal(38,{scale})")).cast("double")
+
+
 # H8 -------------------------------------------------------------------------
 def round_half_even(col, scale: int = 1) -> Column:
     return F.bround(_c(col), scale)

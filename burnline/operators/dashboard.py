@@ -109,7 +109,7 @@ def project_summary(agg: DataFrame, targets: DataFrame) -> DataFrame:
            .agg(F.coalesce(F.sum("actual_hours"), F.lit(0.0)).alias("actual_hours"),
                 F.countDistinct("activity").alias("n_activities"),
                 _top_customer(has_employee).alias("customer")))
-    tp = targets.groupBy("project_nr").agg(F.sum("budget_hours").alias("budget_hours"))
+    tp = targets.groupBy("project_nr").agg(H.exact_sum("budget_hours").alias("budget_hours"))
     out = join_targets(act, tp, keys=["project_nr"])
     return out.select(
         "project_nr", "project", "customer", "target_hours", "actual_hours",
@@ -124,7 +124,7 @@ def project_header(dashboard: DataFrame) -> DataFrame:
     sum, sum of the *rounded* actual column (T12), fulfilment, status."""
     hdr = (dashboard.groupBy("project_nr", "project")
            .agg(F.count(F.lit(1)).alias("n_activities"),
-                F.sum("target_hours").alias("target_hours"),
+                H.exact_sum("target_hours").alias("target_hours"),
                 F.sum(F.bround("actual_hours", 1)).alias("actual_hours"),
                 F.min_by("customer", F.struct(-F.col("actual_hours"), F.col("activity"))).alias("customer")))
     return hdr.select("project_nr", "project", "customer", "n_activities", "target_hours", "actual_hours",
@@ -140,7 +140,7 @@ def portfolio_kpis(dashboard: DataFrame) -> DataFrame:
                          F.bround("actual_hours", 1).alias("_a"),
                          F.bround("fulfillment_pct", 1).alias("_f"))
     k = r.agg(F.sum("_a").alias("total_hours"),
-              F.sum("target_hours").alias("total_target"),
+              H.exact_sum("target_hours").alias("total_target"),
               F.countDistinct("project_nr").alias("active_projects"),
               F.count_if(F.col("_f") >= S.NEARING_COMPLETION_PCT).alias("nearing_completion"),
               F.count_if(F.col("status") == S.STATUS_OVER).alias("overbooked"))
@@ -152,7 +152,7 @@ def portfolio_kpis(dashboard: DataFrame) -> DataFrame:
 # D6 -------------------------------------------------------------------------
 def forecast_kpis(dashboard: DataFrame) -> DataFrame:
     """Total budget, spent (rounded) hours, consumption %, remaining, remaining %."""
-    k = dashboard.agg(F.sum("target_hours").alias("total_target"),
+    k = dashboard.agg(H.exact_sum("target_hours").alias("total_target"),
                       F.sum(F.bround("actual_hours", 1)).alias("spent_hours"))
     remaining = F.col("total_target") - F.col("spent_hours")
     return k.select("total_target", "spent_hours",
@@ -164,7 +164,7 @@ def forecast_kpis(dashboard: DataFrame) -> DataFrame:
 
 # D7 -------------------------------------------------------------------------
 def budget_tab_kpis(dashboard: DataFrame) -> DataFrame:
-    return dashboard.agg(F.sum("target_hours").alias("total_target"),
+    return dashboard.agg(H.exact_sum("target_hours").alias("total_target"),
                          F.count(F.lit(1)).alias("n_rows"))
 
 

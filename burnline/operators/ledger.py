@@ -163,8 +163,8 @@ def budget_overview_kpis(overview: DataFrame) -> DataFrame:
     """Projects with budget, activities, total hours, mean hours per activity."""
     return overview.agg(F.countDistinct("project_nr").alias("n_projects"),
                         F.count(F.lit(1)).alias("n_activities"),
-                        F.sum("budget_hours").alias("total_hours"),
-                        F.avg("budget_hours").alias("avg_hours"))
+                        H.exact_sum("budget_hours").alias("total_hours")) \
+        .withColumn("avg_hours", F.try_divide(F.col("total_hours"), F.col("n_activities")))
 
 
 # D12 ------------------------------------------------------------------------
@@ -270,7 +270,7 @@ def preview_changes(ledger: DataFrame, proposals: DataFrame, date) -> DataFrame:
     key stack in ``proposal_id`` order."""
     current = budgets_at(ledger, date).select(*KEY, F.col("budget_hours").alias("current_budget"))
     w = Window.partitionBy(*KEY).orderBy("proposal_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    p = proposals.withColumn("_cum", F.sum(F.col("hours").cast("double")).over(w))
+    p = proposals.withColumn("_cum", F.sum(F.col("hours").cast("decimal(38,2)")).over(w).cast("double"))
     return (p.join(current, KEY, "left")
             .select("proposal_id", *KEY,
                     F.coalesce("current_budget", F.lit(0.0)).alias("current_budget"),

@@ -1,7 +1,9 @@
 """Registered queries: each takes (spark, sf_dir) and returns a DataFrame.
 
 All queries run over the whole derived tables at the fixed as-of date of
-the test setup. Names follow the operator IDs of the survey.
+the test setup (``AS_OF``). Names follow the operator IDs of the survey.
+Presentation-only steps (ordering, display rounding) are left out where the
+driver compares results order-insensitively; the operators offer them.
 """
 
 from __future__ import annotations
@@ -10,14 +12,24 @@ import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .. import schemas as S
 from ..operators import dashboard as D
+from ..operators import export as X
+from ..operators import filters as B
+from ..operators import forecast as FC
 from ..operators import ledger as L
+from ..operators import profile as P
+from ..operators import trends as TR
 from ..sources import derived
-from ..sources.tables import DEFAULT_AS_OF
+from ..sources.tables import DEFAULT_AS_OF, ts_ntz
 
 AS_OF = DEFAULT_AS_OF
 AS_OF_DATE = _dt.date(2001, 6, 30)
+WINDOW_START, WINDOW_END = B.default_date_window(AS_OF_DATE)
+SEARCH_TERM = "^(PROMO|SMALL)$|GERMANY"
+ACTIVITY_SELECTION = ["PROMO", "ECONOMY"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,17 +42,380 @@ def register(name: str):
     return deco
 
 
-def _inputs(spark: SparkSession, sf_dir: str):
-    return derived.bookings(spark, sf_dir, AS_OF), derived.ledger(spark, sf_dir)
+def _as_of():
+    return ts_ntz(AS_OF)
 
 
-def _dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bookings, ledger = _inputs(spark, sf_dir)
-    agg = D.aggregate_bookings(bookings)
-    targets = L.budgets_at(ledger, AS_OF_DATE)
-    return D.activity_dashboard(agg, targets)
+def _bookings(spark, sf_dir):
+    return derived.bookings(spark, sf_dir, AS_OF)
+
+
+def _ledger(spark, sf_dir):
+    return derived.ledger(spark, sf_dir)
+
+
+def _targets(spark, sf_dir):
+    return L.budgets_at(_ledger(spark, sf_dir), AS_OF_DATE)
+
+
+def _agg(spark, sf_dir, measure=S.DEFAULT_MEASURE):
+    return D.aggregate_bookings(_bookings(spark, sf_dir), measure)
+
+
+def _dashboard(spark, sf_dir):
+    return D.activity_dashboard(_agg(spark, sf_dir), _targets(spark, sf_dir))
+
+
+def _summary(spark, sf_dir):
+    return D.project_summary(_agg(spark, sf_dir), _targets(spark, sf_dir))
+
+
+def _series(spark, sf_dir):
+    return TR.booking_series(_bookings(spark, sf_dir))
+
+
+def _units(spark, sf_dir):
+    return FC.forecast_units(_series(spark, sf_dir), _targets(spark, sf_dir), _as_of())
+
+
+# --- sources and filters ---------------------------------------------------
+
+@register("a1_bookings_scan")
+def a1_bookings_scan(spark, sf_dir):
+    """A1 + B5/B6/B12: bookings of the default two-year window."""
+    f = B.BookingFilters(start_date=WINDOW_START, end_date=WINDOW_END)
+    return B.apply_filters(_bookings(spark, sf_dir), f).select(*B.BOOKING_COLUMNS)
+
+
+@register("b3_b4_year_status_filter")
+def b3_b4_year_status_filter(spark, sf_dir):
+    """One year, returned lines only, aggregated."""
+    f = B.BookingFilters(year=2000, status="R")
+    return D.aggregate_bookings(B.apply_filters(_bookings(spark, sf_dir), f))
+
+
+@register("b8_activity_filter")
+def b8_activity_filter(spark, sf_dir):
+    """Activity selection applied before the aggregate."""
+    f = B.BookingFilters(activities=ACTIVITY_SELECTION)
+    return D.aggregate_bookings(B.apply_filters(_bookings(spark, sf_dir), f))
+
+
+@register("b11_search_filter")
+def b11_search_filter(spark, sf_dir):
+    """Case-insensitive regex over activity, project, customer."""
+    f = B.BookingFilters(search_term=SEARCH_TERM)
+    return D.aggregate_bookings(B.apply_filters(_bookings(spark, sf_dir), f))
+
+
+@register("b13_logged_hours_aggregate")
+def b13_logged_hours_aggregate(spark, sf_dir):
+    """The aggregate on the logged-hours measure."""
+    return _agg(spark, sf_dir, "hours_logged").withColumn("actual_hours", F.round("actual_hours", 6))
+
+
+@register("b19_filter_summary")
+def b19_filter_summary(spark, sf_dir):
+    f = B.BookingFilters(start_date=WINDOW_START, end_date=WINDOW_END,
+                         activities=ACTIVITY_SELECTION, search_term=SEARCH_TERM)
+    s = B.filter_summary(B.apply_filters(_bookings(spark, sf_dir), f), f)
+    return s.select("active_filters", F.array_join("filter_texts", " | ").alias("filter_texts"), "record_count")
+
+
+@register("c3_project_validation")
+def c3_project_validation(spark, sf_dir):
+    """Every ledger project code checked against the booked projects."""
+    requested = _ledger(spark, sf_dir).select("project_nr").distinct()
+    return B.validate_projects(requested, _bookings(spark, sf_dir))
+
+
+@register("c3_unknown_projects")
+def c3_unknown_projects(spark, sf_dir):
+    """C3 anti join: booked projects without any ledger entry."""
+    return B.unknown_projects(_bookings(spark, sf_dir).select("project_nr"), _ledger(spark, sf_dir))
+
+
+@register("g1_project_list")
+def g1_project_list(spark, sf_dir):
+    return B.project_list(_bookings(spark, sf_dir))
+
+
+@register("b9_employee_options")
+def b9_employee_options(spark, sf_dir):
+    return B.option_values(_agg(spark, sf_dir), "employee")
+
+
+# --- dashboard --------------------------------------------------------------
+
+@register("d1_booking_aggregate")
+def d1_booking_aggregate(spark, sf_dir):
+    return _agg(spark, sf_dir)
+
+
+@register("d1b_compact_aggregate")
+def d1b_compact_aggregate(spark, sf_dir):
+    return D.aggregate_bookings_compact(_bookings(spark, sf_dir))
 
 
 @register("d2_activity_dashboard")
-def d2_activity_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+def d2_activity_dashboard(spark, sf_dir):
     return _dashboard(spark, sf_dir)
+
+
+@register("d3_project_summary")
+def d3_project_summary(spark, sf_dir):
+    return _summary(spark, sf_dir)
+
+
+@register("d4_project_header")
+def d4_project_header(spark, sf_dir):
+    return D.project_header(_dashboard(spark, sf_dir))
+
+
+@register("d5_portfolio_kpis")
+def d5_portfolio_kpis(spark, sf_dir):
+    return D.portfolio_kpis(_dashboard(spark, sf_dir))
+
+
+@register("d6_forecast_kpis")
+def d6_forecast_kpis(spark, sf_dir):
+    return D.forecast_kpis(_dashboard(spark, sf_dir))
+
+
+@register("d7_budget_tab_kpis")
+def d7_budget_tab_kpis(spark, sf_dir):
+    return D.budget_tab_kpis(_dashboard(spark, sf_dir))
+
+
+@register("d28_export_counters")
+def d28_export_counters(spark, sf_dir):
+    return D.export_counters(_agg(spark, sf_dir), WINDOW_START, WINDOW_END)
+
+
+@register("e7_top_projects_bars")
+def e7_top_projects_bars(spark, sf_dir):
+    return D.top_projects_bars(_summary(spark, sf_dir))
+
+
+@register("h10_project_health")
+def h10_project_health(spark, sf_dir):
+    return D.project_health(_summary(spark, sf_dir))
+
+
+# --- ledger -----------------------------------------------------------------
+
+@register("a6_ledger_history")
+def a6_ledger_history(spark, sf_dir):
+    return L.history(_ledger(spark, sf_dir), order=False).withColumn("hours", F.col("hours").cast("double"))
+
+
+@register("a12_history_display")
+def a12_history_display(spark, sf_dir):
+    return L.history_display(_ledger(spark, sf_dir), change_type="reduction")
+
+
+@register("d9_budgets_at_date")
+def d9_budgets_at_date(spark, sf_dir):
+    return _targets(spark, sf_dir)
+
+
+@register("d10_current_budgets")
+def d10_current_budgets(spark, sf_dir):
+    return L.current_budgets(_ledger(spark, sf_dir), AS_OF_DATE)
+
+
+@register("e4_latest_entries")
+def e4_latest_entries(spark, sf_dir):
+    return L.latest_entries(_ledger(spark, sf_dir), AS_OF_DATE).withColumn("hours", F.col("hours").cast("double"))
+
+
+@register("e8_running_balance")
+def e8_running_balance(spark, sf_dir):
+    r = L.running_balance(_ledger(spark, sf_dir))
+    return r.select("entry_id", "project_nr", "activity", "valid_from", "balance", "balance_signed")
+
+
+@register("c6_monthly_balances")
+def c6_monthly_balances(spark, sf_dir):
+    """Budget as of the last day of every month a key has bookings."""
+    probes = _bookings(spark, sf_dir).select("project_nr", "activity", F.last_day("entry_date").alias("as_of_date"))
+    return L.balances_at_dates(_ledger(spark, sf_dir), probes)
+
+
+@register("d11_budget_overview")
+def d11_budget_overview(spark, sf_dir):
+    return L.budget_overview(_ledger(spark, sf_dir), AS_OF_DATE)
+
+
+@register("d11_budget_overview_kpis")
+def d11_budget_overview_kpis(spark, sf_dir):
+    k = L.budget_overview_kpis(L.budget_overview(_ledger(spark, sf_dir), AS_OF_DATE))
+    return k.withColumn("avg_hours", F.round("avg_hours", 6))
+
+
+@register("d12_history_summary")
+def d12_history_summary(spark, sf_dir):
+    return L.history_summary(_ledger(spark, sf_dir))
+
+
+@register("d26_ledger_profile")
+def d26_ledger_profile(spark, sf_dir):
+    return L.ledger_profile(_ledger(spark, sf_dir))
+
+
+@register("d27_budget_maps")
+def d27_budget_maps(spark, sf_dir):
+    return L.budget_maps(_targets(spark, sf_dir))
+
+
+@register("g2_ledger_activities")
+def g2_ledger_activities(spark, sf_dir):
+    return L.ledger_activities(_ledger(spark, sf_dir))
+
+
+@register("j1_ledger_validation")
+def j1_ledger_validation(spark, sf_dir):
+    v = L.validate_entries(_ledger(spark, sf_dir), form_rules=True)
+    return v.select("entry_id", "is_valid", F.array_join("errors", ",").alias("errors"))
+
+
+@register("j3_preview_changes")
+def j3_preview_changes(spark, sf_dir):
+    """Entries valid after the as-of date, previewed against the balance
+    at the as-of date (stacked per key in entry order)."""
+    led = _ledger(spark, sf_dir)
+    proposals = led.filter(F.col("valid_from") > F.lit(AS_OF_DATE)) \
+        .select(F.col("entry_id").alias("proposal_id"), "project_nr", "activity", "hours")
+    return L.preview_changes(led, proposals, AS_OF_DATE)
+
+
+# --- trends -----------------------------------------------------------------
+
+@register("d13_daily_totals")
+def d13_daily_totals(spark, sf_dir):
+    return TR.daily_totals(_series(spark, sf_dir), ["project_nr"])
+
+
+@register("e2_burndown")
+def e2_burndown(spark, sf_dir):
+    return TR.burndown(_series(spark, sf_dir), ["project_nr"])
+
+
+@register("e3_activity_cumulative")
+def e3_activity_cumulative(spark, sf_dir):
+    return TR.burndown(_series(spark, sf_dir), ["project_nr", "activity"])
+
+
+@register("d14_weekly_totals")
+def d14_weekly_totals(spark, sf_dir):
+    return TR.weekly_totals(_series(spark, sf_dir), ["project_nr"])
+
+
+@register("d15_activity_weekly")
+def d15_activity_weekly(spark, sf_dir):
+    return TR.weekly_totals(_series(spark, sf_dir), ["project_nr", "activity"])
+
+
+@register("e5_weekly_trend")
+def e5_weekly_trend(spark, sf_dir):
+    t = TR.weekly_trend(_series(spark, sf_dir), ["project_nr"])
+    return t.withColumn("avg_weekly_hours", F.round("avg_weekly_hours", 6)) \
+        .withColumn("avg_last4_hours", F.round("avg_last4_hours", 6))
+
+
+@register("d20_booking_rates")
+def d20_booking_rates(spark, sf_dir):
+    r = TR.booking_rates(_series(spark, sf_dir), ["project_nr"], _as_of())
+    return r.withColumn("rate_4w", F.round("rate_4w", 6)).withColumn("rate_total", F.round("rate_total", 6))
+
+
+@register("d22_simple_forecast")
+def d22_simple_forecast(spark, sf_dir):
+    keys = ["project_nr"]
+    tg = FC.unit_targets(_targets(spark, sf_dir)).filter(F.col("level") == "project").select("project_nr", "target_hours")
+    rates = TR.booking_rates(_series(spark, sf_dir), keys, _as_of())
+    f = TR.simple_forecast(rates, tg, keys, _as_of())
+    return f.select("project_nr", "target_hours", "total_booked", "remaining_hours",
+                    F.round("remaining_pct", 6).alias("remaining_pct"),
+                    F.round("weeks_remaining", 6).alias("weeks_remaining"), "rate_status",
+                    F.col("forecast_end").cast("date").alias("forecast_end_date"),
+                    "timeline_start", "timeline_end")
+
+
+@register("i15_burndown_metrics")
+def i15_burndown_metrics(spark, sf_dir):
+    keys = ["project_nr"]
+    tg = FC.unit_targets(_targets(spark, sf_dir)).filter(F.col("level") == "project").select("project_nr", "target_hours")
+    m = TR.burndown_metrics(_series(spark, sf_dir), tg, keys, _as_of())
+    return m.withColumn("fulfillment_pct", F.round("fulfillment_pct", 6))
+
+
+@register("i13_cumulative_with_targets")
+def i13_cumulative_with_targets(spark, sf_dir):
+    return TR.cumulative_with_targets(_series(spark, sf_dir), _targets(spark, sf_dir))
+
+
+# --- forecast ---------------------------------------------------------------
+
+@register("d16_sprint_table")
+def d16_sprint_table(spark, sf_dir):
+    return FC.sprint_table(_series(spark, sf_dir), _as_of())
+
+
+@register("d17_velocity_stats")
+def d17_velocity_stats(spark, sf_dir):
+    st = FC.velocity_stats(FC.sprint_table(_series(spark, sf_dir), _as_of()))
+    return st.select("level", "project_nr", "activity", "n_sprints",
+                     F.round("automatic_hours_per_sprint", 6).alias("automatic_hours_per_sprint"),
+                     F.round("sprint_std", 6).alias("sprint_std"), F.round("slope", 6).alias("slope"),
+                     "trend", "direction", "trend_chrono")
+
+
+@register("i5_forecast_scenarios")
+def i5_forecast_scenarios(spark, sf_dir):
+    sc = FC.scenarios(_units(spark, sf_dir), _as_of())
+    return sc.select("level", "project_nr", "activity", "scenario", "label", "target_hours", "total_booked",
+                     "future_hours", "n_sprints", "remaining_hours",
+                     F.round("base_hours_per_sprint", 6).alias("base_hours_per_sprint"),
+                     F.round("confidence_factor", 6).alias("confidence_factor"),
+                     F.round("hours_per_sprint", 6).alias("hours_per_sprint"),
+                     F.round("sprints_remaining", 6).alias("sprints_remaining"),
+                     "end_date", "days_left", "beyond_horizon",
+                     F.round("utilisation_pct", 6).alias("utilisation_pct"),
+                     F.round("certainty_pct", 6).alias("certainty_pct"))
+
+
+@register("i8_trend_alerts")
+def i8_trend_alerts(spark, sf_dir):
+    a = FC.trend_alert(_units(spark, sf_dir))
+    return a.withColumn("slope", F.round("slope", 6))
+
+
+@register("i9_sprint_details")
+def i9_sprint_details(spark, sf_dir):
+    return FC.sprint_details(FC.sprint_table(_series(spark, sf_dir), _as_of()))
+
+
+@register("i10_scenario_series")
+def i10_scenario_series(spark, sf_dir):
+    s = _series(spark, sf_dir)
+    sc = FC.scenarios(FC.forecast_units(s, _targets(spark, sf_dir), _as_of()), _as_of())
+    out = FC.scenario_series(s, sc, _as_of())
+    return out.withColumn("x", F.col("x").cast("date")).withColumn("y", F.round("y", 6))
+
+
+# --- exports and profiles ---------------------------------------------------
+
+@register("a13_summary_export")
+def a13_summary_export(spark, sf_dir):
+    return X.summary_export_frame(_dashboard(spark, sf_dir))
+
+
+@register("a14_detail_export")
+def a14_detail_export(spark, sf_dir):
+    return X.detail_export_frame(_bookings(spark, sf_dir))
+
+
+@register("d25_dataset_profile")
+def d25_dataset_profile(spark, sf_dir):
+    return P.dataset_profile(_bookings(spark, sf_dir))

@@ -104,13 +104,3 @@ dash AS (
 )"""
 
 
-def with_ctes(*ctes: str, body: str) -> str:
-    return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" + body
-
-
-BASE = (BOOKINGS_CTE, LEDGER_CTE)
-DASH = (BOOKINGS_CTE, LEDGER_CTE, TARGETS_CTE, AGG_CTE, DASH_CTE)
-
-SQL: dict[str, str] = {}
-
-SQL["d2_activity_dashboard"] = with_ctes(*DASH, body="SELECT * FROM dash")
