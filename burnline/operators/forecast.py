@@ -1,30 +1,31 @@
 """Sprint-based budget forecasts.
 
-All units are forecast in one job. Bookings are reduced once to one row per
-(project, activity, sprint) with a partial aggregation; the project level is
-a re-aggregation of that small table, so both levels come from one scan.
-Velocity, dispersion and trend are a second ``groupBy`` over at most four
-rows per unit; targets and overrides are joined per unit; the three
-scenarios are a ``stack`` of each unit row.
+All units are forecast in one job, at both levels (project, and activity
+within project). The booking series (daily grain) is reduced once to one
+row per (unit, sprint number) -- NULL dates and future bookings keep their
+own groups so totals stay complete -- and the project level is a
+re-aggregation of that small table. Velocity, dispersion, trend and totals
+are then one more ``groupBy`` with conditional sums over at most a handful
+of rows per unit; targets and overrides are joined per unit; the three
+scenarios are an ``explode`` of each unit row.
 """
 
 from __future__ import annotations
 
-from typing import Optional, Sequence
+from typing import Optional
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import scalar as H
 from .trends import _add_days
 
-LEVEL_KEYS = {"project": ["project_nr"], "activity": ["project_nr", "activity"]}
 UNIT = ["level", "project_nr", "activity"]
 
 
 def _weight_units(n: Column) -> Column:
-    """Integer weight 4,3,2,1 for sprints 0..3 (weights 0.40..0.10 x 10):
+    """Integer weight 4,3,2,1 for sprints 0..3 (the weights 0.40..0.10 x 10):
     renormalised averages are identical and exact for whole hours."""
     return F.lit(S.ANALYSIS_SPRINTS) - n
 
@@ -38,32 +39,52 @@ def sprint_weight(n: Column) -> Column:
 
 
 def with_sprint_number(series: DataFrame, as_of: Column) -> DataFrame:
+    """sprint_number = floor(floor(days since booking) / 14); NULL for NULL dates."""
     days_ago = H.floor_days_between(F.col("booking_ts"), as_of)
-    return (series.withColumn("days_ago", days_ago)
-            .withColumn("sprint_number", F.floor(F.col("days_ago") / F.lit(float(S.SPRINT_DURATION_DAYS))).cast("int")))
+    return series.withColumn(
+        "sprint_number", F.floor(days_ago / F.lit(float(S.SPRINT_DURATION_DAYS))).cast("int"))
+
+
+def _in_analysis(n: Column) -> Column:
+    return n.between(0, S.ANALYSIS_SPRINTS - 1)
+
+
+def _unit_match(left: DataFrame, prefix: str) -> Column:
+    """Join condition on the unit keys; activity matches NULL-safely."""
+    return ((left["level"] == F.col(prefix + "level")) & (left["project_nr"] == F.col(prefix + "project_nr"))
+            & left["activity"].eqNullSafe(F.col(prefix + "activity")))
 
 
 # D16 (both levels) ----------------------------------------------------------
-def sprint_table(series: DataFrame, as_of: Column, levels: Sequence[str] = ("project", "activity")) -> DataFrame:
+def two_levels(df: DataFrame, keys: list, aggs: list) -> DataFrame:
+    """Aggregate at the activity level (project_nr, activity, *keys) and the
+    project level (project_nr, *keys) in one pass with grouping sets: one
+    scan and one shuffle, no union of two plans over the same input. Adds
+    ``level``; ``activity`` is NULL on project rows."""
+    g = df.groupingSets([["project_nr", "activity", *keys], ["project_nr", *keys]],
+                        "project_nr", "activity", *keys)
+    out = g.agg(*aggs, F.grouping("activity").alias("_g"))
+    return out.withColumn("level", F.when(F.col("_g") == 1, F.lit("project")).otherwise(F.lit("activity"))) \
+        .drop("_g")
+
+
+def unit_sprints(series: DataFrame, as_of: Column) -> DataFrame:
+    """Per unit and sprint number (NULL for NULL dates, negative for future
+    bookings), both levels: hours, bookings, first/last booking, hours
+    after ``as_of``."""
+    s = with_sprint_number(series, as_of)
+    future = F.col("booking_ts") > as_of
+    return two_levels(s, ["sprint_number"], [
+        F.sum("hours").alias("hours"), F.sum("n").alias("n"),
+        F.min("booking_ts").alias("sprint_start"), F.max("booking_ts").alias("sprint_end"),
+        F.sum(F.when(future, F.col("hours")).otherwise(F.lit(0.0))).alias("future_hours")])
+
+
+def sprint_table(series: DataFrame, as_of: Column) -> DataFrame:
     """Sprint rows per unit: hours, first/last booking in the sprint (T8),
     computed sprint bounds, weight. Only sprints 0..3 count: future bookings
     (sprint < 0) and NULL dates are left out (T6)."""
-    s = with_sprint_number(series, as_of).filter(F.col("sprint_number").between(0, S.ANALYSIS_SPRINTS - 1))
-    act = (s.groupBy("project_nr", "activity", "sprint_number")
-           .agg(F.sum("hours").alias("hours"), F.min("booking_ts").alias("sprint_start"),
-                F.max("booking_ts").alias("sprint_end")))
-    parts = []
-    if "activity" in levels:
-        parts.append(act.withColumn("level", F.lit("activity")))
-    if "project" in levels:
-        parts.append(act.groupBy("project_nr", "sprint_number")
-                     .agg(F.sum("hours").alias("hours"), F.min("sprint_start").alias("sprint_start"),
-                          F.max("sprint_end").alias("sprint_end"))
-                     .withColumn("activity", F.lit(None).cast("string"))
-                     .withColumn("level", F.lit("project")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = unit_sprints(series, as_of).filter(_in_analysis(F.col("sprint_number")))
     n = F.col("sprint_number")
     as_of_day = as_of.cast("date")
     return out.select(
@@ -74,31 +95,40 @@ def sprint_table(series: DataFrame, as_of: Column, levels: Sequence[str] = ("pro
 
 
 # D17 / D18 / D19 ------------------------------------------------------------
-def velocity_stats(sprints: DataFrame) -> DataFrame:
-    """Per unit: weighted velocity, number of sprints, sample std, OLS slope
-    over (sprint_number, hours), literal and chronological trend (T1)."""
-    wu = _weight_units(F.col("sprint_number"))
-    x, y = F.col("sprint_number").cast("bigint"), F.col("hours")
-    st = sprints.groupBy(*UNIT).agg(
-        F.count(F.lit(1)).alias("n_sprints"),
-        F.sum(y * wu).alias("_hw"), F.sum(wu).alias("_w"), F.avg(y).alias("_mean"),
-        F.sum(x).alias("_sx"), F.sum(x * x).alias("_sxx"), F.sum(y).alias("_sy"),
-        F.sum(y * y).alias("_syy"), F.sum(y * x).alias("_sxy"))
-    # Closed forms over at most four rows: with whole hours every sum is
-    # exact, so the result does not depend on summation order.
+def _velocity_aggs(keep: Column) -> list[Column]:
+    """Sums over the analysis sprints (rows where ``keep``) for velocity,
+    dispersion and slope."""
+    n = F.col("sprint_number")
+    wu = _weight_units(n)
+    x, y = n.cast("bigint"), F.col("hours")
+
+    def s(expr: Column, name: str) -> Column:
+        return F.sum(F.when(keep, expr)).alias(name)
+    return [F.count(F.when(keep, F.lit(1))).alias("n_sprints"),
+            s(y * wu, "_hw"), s(wu, "_w"), F.avg(F.when(keep, y)).alias("_mean"),
+            s(x, "_sx"), s(x * x, "_sxx"), s(y, "_sy"), s(y * y, "_syy"), s(y * x, "_sxy")]
+
+
+def _velocity_columns(df: DataFrame) -> DataFrame:
+    """Weighted velocity (D17), sample std (D18), OLS slope and trends.
+
+    Closed forms over at most four rows: with whole hours every sum is
+    exact, so the result does not depend on summation order.
+    """
     n, sx, sxx, sy, syy, sxy = (F.col(c) for c in ("n_sprints", "_sx", "_sxx", "_sy", "_syy", "_sxy"))
     var = F.greatest((n * syy - sy * sy) / (n * (n - 1)), F.lit(0.0))
-    st = st.withColumn("sprint_std", F.when(n >= 2, F.sqrt(var))) \
-        .withColumn("_slope", F.when((n >= 2) & ((n * sxx - sx * sx) != 0),
-                                     (n * sxy - sx * sy) / (n * sxx - sx * sx)))
-    auto = F.when(F.col("_w") == 0, F.col("_mean")).otherwise(F.col("_hw") / F.col("_w"))
-    slope = F.when(F.col("n_sprints") < 2, F.lit(0.0)).otherwise(F.coalesce(F.col("_slope"), F.lit(0.0)))
-    return st.select(*UNIT, "n_sprints", auto.alias("automatic_hours_per_sprint"), "sprint_std",
-                     slope.alias("slope")) \
-        .withColumn("trend", _trend(F.col("slope"), F.col("n_sprints"))) \
-        .withColumn("direction", F.signum("slope")) \
-        .withColumn("slope_chrono", -F.col("slope")) \
-        .withColumn("trend_chrono", _trend(F.col("slope_chrono"), F.col("n_sprints")))
+    denom = n * sxx - sx * sx
+    slope = F.when((n >= 2) & (denom != 0), (n * sxy - sx * sy) / denom).otherwise(F.lit(0.0))
+    auto = (F.when(n == 0, F.lit(0.0)).when(F.col("_w") == 0, F.col("_mean"))
+            .otherwise(F.col("_hw") / F.col("_w")))
+    out = (df.withColumn("automatic_hours_per_sprint", auto)
+           .withColumn("sprint_std", F.when(n >= 2, F.sqrt(var)))
+           .withColumn("slope", slope)
+           .withColumn("trend", _trend(F.col("slope"), n))
+           .withColumn("direction", F.signum("slope"))
+           .withColumn("slope_chrono", -F.col("slope"))
+           .withColumn("trend_chrono", _trend(F.col("slope_chrono"), n)))
+    return out.drop("_hw", "_w", "_mean", "_sx", "_sxx", "_sy", "_syy", "_sxy")
 
 
 def _trend(slope: Column, n: Column) -> Column:
@@ -107,6 +137,15 @@ def _trend(slope: Column, n: Column) -> Column:
             .when(slope < -th, F.lit("decreasing")).otherwise(F.lit("stable")))
 
 
+def velocity_stats(sprints: DataFrame) -> DataFrame:
+    """Per unit of a sprint table: weighted velocity, number of sprints,
+    sample std, slope over (sprint_number, hours), literal and
+    chronological trend (T1)."""
+    st = sprints.groupBy(*UNIT).agg(*_velocity_aggs(F.lit(True)))
+    return _velocity_columns(st).select(*UNIT, "n_sprints", "automatic_hours_per_sprint", "sprint_std",
+                                        "slope", "trend", "direction", "slope_chrono", "trend_chrono")
+
+
 # C2 / A11 -------------------------------------------------------------------
 def latest_overrides(overrides: DataFrame) -> DataFrame:
     """Latest override per (project_nr, activity or NULL) by ``updated_at``;
@@ -120,7 +159,7 @@ def latest_overrides(overrides: DataFrame) -> DataFrame:
 
 def attach_overrides(units: DataFrame, overrides: Optional[DataFrame]) -> DataFrame:
     """Left join on project and NULL-safe activity (NULL = project level);
-    only active overrides set ``manual_hours_per_sprint``."""
+    only active overrides set ``manual_hours_per_sprint`` (T17)."""
     if overrides is None:
         return units.withColumn("manual_hours_per_sprint", F.lit(None).cast("double"))
     o = latest_overrides(overrides).select(
@@ -131,68 +170,44 @@ def attach_overrides(units: DataFrame, overrides: Optional[DataFrame]) -> DataFr
 
 
 # I2-I7, I14 -----------------------------------------------------------------
-def unit_totals(series: DataFrame, as_of: Column) -> DataFrame:
-    """Per unit (both levels): all booked hours (incl. NULL dates and future
-    bookings), hours booked after ``as_of``, number of bookings."""
-    future = F.col("booking_ts") > as_of
-    act = series.groupBy("project_nr", "activity").agg(
-        F.sum("hours").alias("total_booked"),
-        F.sum(F.when(future, F.col("hours")).otherwise(F.lit(0.0))).alias("future_hours"),
-        F.count(F.lit(1)).alias("n_bookings"))
-    proj = act.groupBy("project_nr").agg(F.sum("total_booked").alias("total_booked"),
-                                         F.sum("future_hours").alias("future_hours"),
-                                         F.sum("n_bookings").alias("n_bookings"))
-    return (act.withColumn("level", F.lit("activity"))
-            .unionByName(proj.withColumn("activity", F.lit(None).cast("string")).withColumn("level", F.lit("project"))))
-
-
 def unit_targets(targets: DataFrame) -> DataFrame:
-    """Targets for both levels: activity budget, and the project's sum."""
-    act = targets.select("project_nr", "activity", F.col("budget_hours").alias("target_hours"),
-                         F.lit("activity").alias("level"))
-    proj = (targets.groupBy("project_nr")
-            .agg(F.sum(F.col("budget_hours").cast("decimal(38,2)")).cast("double").alias("target_hours"))
-            .select("project_nr", F.lit(None).cast("string").alias("activity"), "target_hours",
-                    F.lit("project").alias("level")))
-    return act.unionByName(proj)
-
-
-def _unit_match(left: DataFrame, prefix: str) -> Column:
-    """Join condition on the unit keys; activity matches NULL-safely."""
-    return ((left["level"] == F.col(prefix + "level")) & (left["project_nr"] == F.col(prefix + "project_nr"))
-            & left["activity"].eqNullSafe(F.col(prefix + "activity")))
+    """Targets for both levels: the activity budget, and the project's sum
+    (all budgets of the project), in one grouping-sets pass."""
+    return two_levels(targets, [], [H.exact_sum("budget_hours").alias("target_hours")])
 
 
 def forecast_units(series: DataFrame, targets: DataFrame, as_of: Column,
                    overrides: Optional[DataFrame] = None) -> DataFrame:
-    """One row per unit (project level and activity level) with bookings:
-    automatic and base velocity, confidence factor, remaining hours, trend."""
-    sprints = sprint_table(series, as_of)
-    stats = velocity_stats(sprints)
-    totals = unit_totals(series, as_of)
+    """One row per unit with bookings (both levels): totals (all hours incl.
+    NULL dates and future bookings), hours after ``as_of``, automatic and
+    base velocity (I2), confidence factor (D18), remaining hours (I3),
+    trend (D19), and the span and current total of the dated bookings."""
+    us = unit_sprints(series, as_of)
+    n = F.col("sprint_number")
+    dated = n.isNotNull()
+    agg = us.groupBy(*UNIT).agg(
+        F.sum("hours").alias("total_booked"), F.sum("n").alias("n_bookings"),
+        F.sum("future_hours").alias("future_hours"),
+        F.coalesce(F.sum(F.when(dated, F.col("hours"))), F.lit(0.0)).alias("dated_hours"),
+        F.min("sprint_start").alias("first_booking"), F.max("sprint_end").alias("last_booking"),
+        *_velocity_aggs(_in_analysis(n)))
+    u = _velocity_columns(agg)
     tg = unit_targets(targets).select(*[F.col(c).alias("_t_" + c) for c in UNIT], "target_hours")
-    u = (totals.join(tg, _unit_match(totals, "_t_"), "left")
-         .drop(*["_t_" + c for c in UNIT])
+    u = (u.join(tg, _unit_match(u, "_t_"), "left").drop(*["_t_" + c for c in UNIT])
          .withColumn("target_hours", F.coalesce(F.col("target_hours"), F.lit(0.0))))
-    st = stats.select(*[F.col(c).alias("_s_" + c) for c in UNIT], *[c for c in stats.columns if c not in UNIT])
-    u = u.join(st, _unit_match(u, "_s_"), "left").drop(*["_s_" + c for c in UNIT])
     u = attach_overrides(u, overrides)
-    n = F.coalesce(F.col("n_sprints"), F.lit(0))
-    auto = F.coalesce(F.col("automatic_hours_per_sprint"), F.lit(0.0))
+    auto = F.col("automatic_hours_per_sprint")
     base = F.coalesce(F.col("manual_hours_per_sprint"), auto)
-    cf = (F.when(n >= 2, F.when(base > 0, F.col("sprint_std") / base)
+    cf = (F.when(F.col("n_sprints") >= 2, F.when(base > 0, F.col("sprint_std") / base)
                  .otherwise(F.lit(S.DEFAULT_CONFIDENCE_FACTOR)))
           .otherwise(F.lit(S.DEFAULT_CONFIDENCE_FACTOR)))
     return u.select(
         *UNIT, "target_hours", "total_booked", "future_hours", "n_bookings",
-        n.alias("n_sprints"), auto.alias("automatic_hours_per_sprint"), "manual_hours_per_sprint",
+        "n_sprints", "automatic_hours_per_sprint", "manual_hours_per_sprint",
         base.alias("base_hours_per_sprint"), cf.alias("confidence_factor"),
         F.greatest(F.lit(0.0), F.col("target_hours") - F.col("total_booked")).alias("remaining_hours"),
-        F.coalesce(F.col("slope"), F.lit(0.0)).alias("slope"),
-        F.coalesce(F.col("trend"), F.lit("insufficient_data")).alias("trend"),
-        F.coalesce(F.col("direction"), F.lit(0.0)).alias("direction"),
-        F.coalesce(F.col("slope_chrono"), F.lit(0.0)).alias("slope_chrono"),
-        F.coalesce(F.col("trend_chrono"), F.lit("insufficient_data")).alias("trend_chrono"))
+        "slope", "trend", "direction", "slope_chrono", "trend_chrono",
+        "first_booking", "last_booking", "dated_hours")
 
 
 def scenarios(units: DataFrame, as_of: Column, only_forecastable: bool = True) -> DataFrame:
@@ -204,14 +219,15 @@ def scenarios(units: DataFrame, as_of: Column, only_forecastable: bool = True) -
     u = units.filter((F.col("target_hours") > 0) & (F.col("n_bookings") > 0)) if only_forecastable else units
     base, cf = F.col("base_hours_per_sprint"), F.col("confidence_factor")
     sig = F.lit(S.SCENARIO_SIGMA)
-    stacked = u.select("*", F.explode(F.array(
-        F.struct(F.lit(S.SCENARIOS[0][0]).alias("scenario"), F.lit(S.SCENARIOS[0][1]).alias("label"),
-                 (base * (1 + cf * sig)).alias("hours_per_sprint")),
-        F.struct(F.lit(S.SCENARIOS[1][0]).alias("scenario"), F.lit(S.SCENARIOS[1][1]).alias("label"),
-                 base.alias("hours_per_sprint")),
-        F.struct(F.lit(S.SCENARIOS[2][0]).alias("scenario"), F.lit(S.SCENARIOS[2][1]).alias("label"),
-                 F.greatest(base * (1 - cf * sig), F.lit(S.MIN_PESSIMISTIC_VELOCITY)).alias("hours_per_sprint")),
-    )).alias("_s")).select(*[c for c in u.columns], "_s.*")
+    velocity = {
+        "optimistic": base * (1 + cf * sig),
+        "realistic": base,
+        "pessimistic": F.greatest(base * (1 - cf * sig), F.lit(S.MIN_PESSIMISTIC_VELOCITY)),
+    }
+    options = F.array(*[F.struct(F.lit(key).alias("scenario"), F.lit(label).alias("label"),
+                                 velocity[key].alias("hours_per_sprint"))
+                        for key, label in S.SCENARIOS])
+    stacked = u.select("*", F.explode(options).alias("_s")).select(*u.columns, "_s.*")
     v = F.col("hours_per_sprint")
     sprints_left = F.when(v > 0, F.col("remaining_hours") / v).otherwise(F.lit(float("inf")))
     days = sprints_left * F.lit(float(S.SPRINT_DURATION_DAYS))
@@ -266,34 +282,32 @@ def sprint_details(sprints: DataFrame) -> DataFrame:
 # I10 / I11 ------------------------------------------------------------------
 def scenario_series(series: DataFrame, scen: DataFrame, as_of: Column) -> DataFrame:
     """Long (unit, series, x, y) table for the scenario chart: cumulative
-    actual curve, target line from the first booking to the latest scenario
-    end, per scenario a line (as_of, current) -> (end, target) and its end
-    marker. ``only_future`` rows mark segments drawn by the burn-down chart
-    (end after as_of)."""
-    from .trends import burndown
-    keys = ["project_nr", "activity"]
-    curves = []
-    act = burndown(series, keys)
-    proj = burndown(series.withColumn("activity", F.lit(None).cast("string")), keys)
-    for lvl, c in (("activity", act), ("project", proj)):
-        curves.append(c.select(F.lit(lvl).alias("level"), *keys, F.lit("actual").alias("series"),
-                               F.col("booking_ts").alias("x"), F.col("cumulative_hours").alias("y")))
-    actual = curves[0].unionByName(curves[1])
-    span = actual.groupBy(*UNIT).agg(F.min("x").alias("_first"), F.max("x").alias("_last"),
-                                     F.max_by("y", "x").alias("_current"))
-    sp = span.select(*[F.col(c).alias("_s_" + c) for c in UNIT], "_first", "_last", "_current")
-    sc = scen.join(sp, _unit_match(scen, "_s_")).drop(*["_s_" + c for c in UNIT])
-    ends = sc.groupBy(*UNIT).agg(F.max("end_ts").alias("_maxend"), F.first("_first").alias("_first"),
-                                 F.first("_last").alias("_last"), F.first("target_hours").alias("_t"))
-    target_line = ends.select(*UNIT, F.lit("target").alias("series"),
-                              F.explode(F.array(F.col("_first"), F.coalesce("_maxend", "_last"))).alias("x"),
-                              F.col("_t").alias("y"))
-    with_end = sc.filter(F.col("end_ts").isNotNull())
-    lines = with_end.select(*UNIT, F.col("scenario").alias("series"), F.explode(F.array(
-        F.struct(as_of.alias("x"), F.coalesce("_current", F.lit(0.0)).alias("y")),
-        F.struct(F.col("end_ts").alias("x"), F.col("target_hours").alias("y")))).alias("_p")) \
-        .select(*UNIT, "series", "_p.x", "_p.y")
-    markers = with_end.select(*UNIT, F.concat(F.col("scenario"), F.lit(" Ende")).alias("series"),
-                              F.col("end_ts").alias("x"), F.col("target_hours").alias("y"))
-    out = actual.unionByName(target_line).unionByName(lines).unionByName(markers)
+    actual curve per unit, target line from the first booking to the latest
+    scenario end, per scenario a line (as_of, current) -> (end, target) and
+    its end marker. ``only_future`` marks points after as_of (the burn-down
+    chart draws scenario lines only when they end in the future)."""
+    daily = two_levels(series.filter(F.col("booking_ts").isNotNull()), ["booking_ts"],
+                       [F.sum("hours").alias("hours")])
+    w = Window.partitionBy(*UNIT).orderBy("booking_ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    actual = daily.select(*UNIT, F.lit("actual").alias("series"), F.col("booking_ts").alias("x"),
+                          F.sum("hours").over(w).alias("y"))
+    # per unit: three scenario rows; the latest end is a window over them
+    sc = scen.filter(F.col("first_booking").isNotNull()) \
+        .withColumn("_maxend", F.max("end_ts").over(Window.partitionBy(*UNIT)))
+    t = F.col("target_hours")
+
+    def pt(series_name, x, y):
+        return F.struct(series_name.alias("series"), x.alias("x"), y.alias("y"))
+    empty = F.array().cast("array<struct<series:string,x:timestamp_ntz,y:double>>")
+    target_pts = F.when(F.col("scenario") == S.SCENARIOS[0][0], F.array(
+        pt(F.lit("target"), F.col("first_booking"), t),
+        pt(F.lit("target"), F.coalesce(F.col("_maxend"), F.col("last_booking")), t))).otherwise(empty)
+    has_end = F.col("end_ts").isNotNull()
+    scen_pts = F.when(has_end, F.array(
+        pt(F.col("scenario"), as_of, F.col("dated_hours")),
+        pt(F.col("scenario"), F.col("end_ts"), t),
+        pt(F.concat(F.col("scenario"), F.lit(" Ende")), F.col("end_ts"), t))).otherwise(empty)
+    points = sc.select(*UNIT, F.explode(F.concat(target_pts, scen_pts)).alias("_p")) \
+        .select(*UNIT, "_p.series", "_p.x", "_p.y")
+    out = actual.unionByName(points)
     return out.withColumn("only_future", F.col("x") > as_of)

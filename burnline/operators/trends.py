@@ -21,9 +21,16 @@ from .filters import measure, recent_predicate
 
 
 def booking_series(bookings: DataFrame, measure_col: str = S.DEFAULT_MEASURE) -> DataFrame:
-    """The (project_nr, project, activity, booking_ts, hours) series."""
-    return bookings.select("project_nr", "project", "activity", "booking_ts",
-                           measure(measure_col).alias("hours"))
+    """The booking series at its daily grain.
+
+    One row per (project_nr, activity, booking_ts) with the summed measure
+    ``hours`` and the number of bookings ``n`` (NULL timestamps kept as their
+    own group). All trend and forecast operators are additive over this
+    grain, so they share this one aggregate (and its shuffle) instead of
+    rescanning the bookings, and a hot project is combined map-side.
+    """
+    return (bookings.groupBy("project_nr", "activity", "booking_ts")
+            .agg(F.sum(measure(measure_col)).alias("hours"), F.count(F.lit(1)).alias("n")))
 
 
 # D13 ------------------------------------------------------------------------
@@ -82,8 +89,8 @@ def booking_rates(series: DataFrame, keys: Sequence[str], as_of: Column) -> Data
     ts = F.col("booking_ts")
     return (series.groupBy(*keys).agg(
         F.sum("hours").alias("total_booked"),
-        F.count(F.lit(1)).alias("n_bookings"),
-        F.count(F.when(recent, F.lit(1))).alias("n_recent"),
+        F.sum("n").alias("n_bookings"),
+        F.coalesce(F.sum(F.when(recent, F.col("n"))), F.lit(0)).alias("n_recent"),
         F.sum(F.when(recent, F.col("hours"))).alias("_h4"),
         F.min(F.when(recent, ts)).alias("_f4"), F.max(F.when(recent, ts)).alias("_l4"),
         F.sum(F.when(ts.isNotNull(), F.col("hours"))).alias("_hall"),
@@ -92,7 +99,8 @@ def booking_rates(series: DataFrame, keys: Sequence[str], as_of: Column) -> Data
                     .otherwise(F.lit(0.0)))
         .withColumn("rate_total", F.when(F.col("first_booking").isNotNull(),
                                          _rate(F.col("total_booked"), F.col("first_booking"), F.col("last_booking"))))
-        .drop("_h4", "_f4", "_l4", "_hall"))
+        .withColumnRenamed("_hall", "dated_hours")
+        .drop("_h4", "_f4", "_l4"))
 
 
 def _add_days(ts: Column, days: Column) -> tuple[Column, Column]:
@@ -123,6 +131,7 @@ def simple_forecast(rates: DataFrame, targets: DataFrame, keys: Sequence[str], a
                     .when(remaining <= 0, as_of))
     out = r.select(
         *keys, "target_hours", "total_booked", "n_bookings", "rate_4w", "rate_total",
+        F.coalesce(F.col("dated_hours"), F.lit(0.0)).alias("current_hours"),
         remaining.alias("remaining_hours"),
         F.when(F.col("target_hours") > 0, F.try_divide(remaining, F.col("target_hours")) * 100).alias("remaining_pct"),
         F.when((F.col("rate_4w") > 0) & (remaining > 0), weeks_left).alias("weeks_remaining"),
@@ -140,9 +149,7 @@ def burndown_metrics(series: DataFrame, targets: DataFrame, keys: Sequence[str],
     """Target, current cumulative hours, delta, fulfilment % (NULL
     without target), colour (H11) and the end/status text (H12)."""
     rates = booking_rates(series, keys, as_of)
-    cur = daily_totals(series, keys).groupBy(*keys).agg(F.sum("hours").alias("current_hours"))
-    fc = simple_forecast(rates, targets, keys, as_of).join(cur, list(keys), "left") \
-        .withColumn("current_hours", F.coalesce("current_hours", F.lit(0.0)))
+    fc = simple_forecast(rates, targets, keys, as_of)
     has_end = F.col("forecast_end").isNotNull() & (F.col("target_hours") > F.col("current_hours"))
     days_left = H.floor_days_between(as_of, F.col("forecast_end"))
     return fc.select(
@@ -160,15 +167,28 @@ def burndown_metrics(series: DataFrame, targets: DataFrame, keys: Sequence[str],
 # I13 / C7 -------------------------------------------------------------------
 def cumulative_with_targets(series: DataFrame, targets: DataFrame) -> DataFrame:
     """Cumulative hours per (project, activity) and day, plus the target
-    line (first and last day) where the activity's target is > 0."""
+    line (first and last day) where the activity's target is > 0.
+
+    One pass: the curve's first and last rows per key (window min/max over
+    day rows) also emit the target points.
+    """
     keys = ["project_nr", "activity"]
-    curve = burndown(series, keys).select(*keys, F.col("booking_ts").alias("x"),
-                                          F.col("cumulative_hours").alias("y"),
-                                          F.lit("cumulative").alias("series"))
-    span = series.filter(F.col("booking_ts").isNotNull()).groupBy(*keys) \
-        .agg(F.min("booking_ts").alias("_a"), F.max("booking_ts").alias("_b"))
-    t = targets.select(*keys, F.col("budget_hours").alias("_t")).filter(F.col("_t") > 0)
-    lines = span.join(t, keys).select(
-        *keys, F.explode(F.array(F.col("_a"), F.col("_b"))).alias("x"), F.col("_t").alias("y"),
-        F.lit("target").alias("series"))
-    return curve.unionByName(lines)
+    w = Window.partitionBy(*keys)
+    curve = burndown(series, keys) \
+        .withColumn("_a", F.min("booking_ts").over(w)).withColumn("_b", F.max("booking_ts").over(w))
+    t = targets.select(*keys, F.col("budget_hours").alias("_t"))
+    c = curve.join(t, keys, "left")
+
+    point_type = "array<struct<series:string,x:timestamp_ntz,y:double>>"
+
+    def pt(name, x, y):
+        return F.struct(F.lit(name).alias("series"), x.alias("x"), y.cast("double").alias("y"))
+
+    def when_pt(cond, point):
+        return F.when(cond, F.array(point)).otherwise(F.array().cast(point_type))
+    has_t = F.coalesce(F.col("_t") > 0, F.lit(False))
+    ts = F.col("booking_ts")
+    pts = F.concat(F.array(pt("cumulative", ts, F.col("cumulative_hours"))),
+                   when_pt(has_t & (ts == F.col("_a")), pt("target", F.col("_a"), F.col("_t"))),
+                   when_pt(has_t & (ts == F.col("_b")), pt("target", F.col("_b"), F.col("_t"))))
+    return c.select(*keys, F.explode(pts).alias("_p")).select(*keys, "_p.series", "_p.x", "_p.y")

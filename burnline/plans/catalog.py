@@ -22,6 +22,7 @@ from ..operators import forecast as FC
 from ..operators import ledger as L
 from ..operators import profile as P
 from ..operators import trends as TR
+from ..session import share
 from ..sources import derived
 from ..sources.tables import DEFAULT_AS_OF, ts_ntz
 
@@ -70,8 +71,12 @@ def _summary(spark, sf_dir):
     return D.project_summary(_agg(spark, sf_dir), _targets(spark, sf_dir))
 
 
-def _series(spark, sf_dir):
-    return TR.booking_series(_bookings(spark, sf_dir))
+def _series(spark, sf_dir, shared: bool = False):
+    """The daily grain of the booking series. ``shared`` persists it for
+    queries that read it in several branches, so the bookings are scanned
+    once instead of once per branch."""
+    grain = TR.booking_series(_bookings(spark, sf_dir))
+    return share(grain) if shared else grain
 
 
 def _units(spark, sf_dir):
@@ -398,7 +403,7 @@ def i9_sprint_details(spark, sf_dir):
 
 @register("i10_scenario_series")
 def i10_scenario_series(spark, sf_dir):
-    s = _series(spark, sf_dir)
+    s = _series(spark, sf_dir, shared=True)
     sc = FC.scenarios(FC.forecast_units(s, _targets(spark, sf_dir), _as_of()), _as_of())
     out = FC.scenario_series(s, sc, _as_of())
     return out.withColumn("x", F.col("x").cast("date")).withColumn("y", F.round("y", 6))

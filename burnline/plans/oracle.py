@@ -31,10 +31,10 @@ bookings AS (
          CAST(NULL AS VARCHAR) AS project_lead
   FROM lineitem l
   JOIN orders o ON l.l_orderkey = o.o_orderkey
-  JOIN supplier s ON l.l_suppkey = s.s_suppkey
-  JOIN nation n ON s.s_nationkey = n.n_nationkey
-  JOIN part p ON l.l_partkey = p.p_partkey
-  JOIN customer c ON o.o_custkey = c.c_custkey
+  LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey
+  LEFT JOIN part p ON l.l_partkey = p.p_partkey
+  LEFT JOIN customer c ON o.o_custkey = c.c_custkey
   WHERE o.o_orderdate <= {AS_OF_TS}
 )"""
 

@@ -191,10 +191,11 @@ RATE_CTES = (
          SUM(hours) FILTER (WHERE {RECENT}) AS h4,
          MIN(booking_ts) FILTER (WHERE {RECENT}) AS f4,
          MAX(booking_ts) FILTER (WHERE {RECENT}) AS l4,
-         MIN(booking_ts) AS first_booking, MAX(booking_ts) AS last_booking
+         MIN(booking_ts) AS first_booking, MAX(booking_ts) AS last_booking,
+         SUM(hours) FILTER (WHERE booking_ts IS NOT NULL) AS dated_hours
   FROM series GROUP BY project_nr"""),
     cte("rates2", f"""
-  SELECT project_nr, total_booked, n_bookings, n_recent, first_booking, last_booking,
+  SELECT project_nr, total_booked, n_bookings, n_recent, first_booking, last_booking, dated_hours,
          CASE WHEN n_recent > 0 THEN h4 / greatest({floor_days('f4', 'l4')} / CAST(7 AS DOUBLE), 1.0)
               ELSE 0.0 END AS rate_4w,
          CASE WHEN first_booking IS NOT NULL
@@ -438,7 +439,7 @@ SELECT project_nr, COUNT(*) AS n_weeks, round(AVG(hours), 6) AS avg_weekly_hours
        CASE WHEN COUNT(*) >= 4 THEN round(AVG(hours) FILTER (WHERE rn <= 4), 6) END AS avg_last4_hours
 FROM rk GROUP BY project_nr""")
 SQL["d20_booking_rates"] = with_ctes(*RATES, body=f"""
-SELECT project_nr, total_booked, n_bookings, n_recent, first_booking, last_booking,
+SELECT project_nr, total_booked, n_bookings, n_recent, first_booking, last_booking, dated_hours,
        {r6('rate_4w')} AS rate_4w, {r6('rate_total')} AS rate_total FROM rates2""")
 SQL["d22_simple_forecast"] = with_ctes(*RATES, body=f"""
 SELECT project_nr, target_hours, total_booked, remaining_hours,

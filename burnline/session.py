@@ -19,6 +19,8 @@ BASE_CONF = {
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # keep compiled stage code for plans that repeat across queries
+    "spark.sql.codegen.cache.maxEntries": "2000",
 }
 
 
@@ -60,6 +62,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def share(df: DataFrame) -> DataFrame:
+    """Mark an intermediate result that several branches of one plan read.
+
+    Without this, each branch re-plans it with its own column pruning and
+    filter pushdown, so the identical subtrees differ and the bookings are
+    scanned once per branch. Persisted blocks lost with an executor are
+    recomputed from lineage.
+    """
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder (reliable checkpoint).
 

@@ -4,7 +4,8 @@ The driver data has no time-booking table, so both inputs are derived by
 joins (one row per line item for bookings, one ledger entry per first order
 line). The derivations are plain joins and projections: every join is an
 equi-join left to Catalyst/AQE; only ``nation`` (fixed 25 rows) is hinted
-as a broadcast. ``supplier``, ``part`` and ``customer`` all grow with the
+as a broadcast. Only the orders join filters (the as-of cut); the other
+lookups are left joins that Catalyst drops when a query does not need them. ``supplier``, ``part`` and ``customer`` all grow with the
 scale factor, so they are joined without a hint and AQE switches a join to
 broadcast at runtime only when the measured side is below
 ``spark.sql.autoBroadcastJoinThreshold``; a skewed supplier key is split by
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import DEFAULT_AS_OF, table, ts_ntz
+from .tables import DEFAULT_AS_OF, spread_if_undersplit, table, ts_ntz
 
 # Fixed derivation rules (stated together; the oracle SQL mirrors them).
 PROJECT_NR_FORMAT = "P%05d"
@@ -28,6 +29,11 @@ PRIORITY_TO_CHANGE_TYPE = {"1": "initial", "2": "extension", "3": "correction",
 NO_TARGET_ACTIVITY = "LARGE"  # dropped from the ledger for suppliers with key % 7 = 0
 
 
+def _dim(df: DataFrame, key: str) -> DataFrame:
+    """A dimension table with one row per key."""
+    return df.dropDuplicates([key])
+
+
 def project_nr(col) -> "F.Column":
     return F.format_string(PROJECT_NR_FORMAT, col)
 
@@ -40,21 +46,24 @@ def bookings(spark: SparkSession, sf_dir: str, as_of=DEFAULT_AS_OF,
     the ship date. With ``cut_at_as_of`` only bookings whose entry date is on
     or before ``as_of`` are kept; the predicate reaches the ``orders`` scan.
     """
-    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
-               "l_linestatus", "l_quantity", "l_discount", "l_returnflag", "l_shipdate")
+    li = spread_if_undersplit(table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
+                                    "l_linestatus", "l_quantity", "l_discount", "l_returnflag", "l_shipdate"))
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     if cut_at_as_of:
         orders = orders.filter(F.col("o_orderdate") <= ts_ntz(as_of))
-    supplier = table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
-    nation = F.broadcast(table(spark, sf_dir, "nation", "n_nationkey", "n_name"))
-    part = table(spark, sf_dir, "part", "p_partkey", "p_type")
-    customer = table(spark, sf_dir, "customer", "c_custkey", "c_name")
+    # Dimension lookups are left joins on de-duplicated keys: a booking is
+    # never dropped for a missing dimension row, and Catalyst removes a lookup
+    # whose columns a query does not use (the key is provably unique).
+    supplier = _dim(table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey"), "s_suppkey")
+    nation = F.broadcast(_dim(table(spark, sf_dir, "nation", "n_nationkey", "n_name"), "n_nationkey"))
+    part = _dim(table(spark, sf_dir, "part", "p_partkey", "p_type"), "p_partkey")
+    customer = _dim(table(spark, sf_dir, "customer", "c_custkey", "c_name"), "c_custkey")
 
     joined = (li.join(orders, li.l_orderkey == orders.o_orderkey)
-              .join(supplier, F.col("l_suppkey") == supplier.s_suppkey)
-              .join(nation, F.col("s_nationkey") == nation.n_nationkey)
-              .join(part, F.col("l_partkey") == part.p_partkey)
-              .join(customer, F.col("o_custkey") == customer.c_custkey))
+              .join(supplier, F.col("l_suppkey") == supplier.s_suppkey, "left")
+              .join(nation, F.col("s_nationkey") == nation.n_nationkey, "left")
+              .join(part, F.col("l_partkey") == part.p_partkey, "left")
+              .join(customer, F.col("o_custkey") == customer.c_custkey, "left"))
     hours_logged = (F.col("l_quantity").cast("decimal(12,2)")
                     * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))).cast("double")
     entry_date = F.col("o_orderdate").cast("date")
