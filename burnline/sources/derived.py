@@ -34,8 +34,15 @@ def _dim(df: DataFrame, key: str) -> DataFrame:
     return df.dropDuplicates([key])
 
 
+def _padded(prefix: str, col, width: int, fmt: str):
+    """prefix + zero-padded number, as ``format_string(fmt, col)`` but with
+    codegen'd string functions on the common path (0 <= value < 10^width)."""
+    fast = F.concat(F.lit(prefix), F.lpad(col.cast("string"), width, "0"))
+    return F.when((col >= 0) & (col < 10 ** width), fast).otherwise(F.format_string(fmt, col))
+
+
 def project_nr(col) -> "F.Column":
-    return F.format_string(PROJECT_NR_FORMAT, col)
+    return _padded("P", col, 5, PROJECT_NR_FORMAT)
 
 
 def bookings(spark: SparkSession, sf_dir: str, as_of=DEFAULT_AS_OF,
@@ -74,7 +81,7 @@ def bookings(spark: SparkSession, sf_dir: str, as_of=DEFAULT_AS_OF,
         F.col("s_name").alias("project"),
         project_nr(F.col("l_suppkey")).alias("project_nr"),
         F.col("l_linestatus").alias("subproject"),
-        F.format_string(COST_CENTER_FORMAT, F.col("s_nationkey")).alias("cost_center"),
+        _padded("CC", F.col("s_nationkey"), 2, COST_CENTER_FORMAT).alias("cost_center"),
         F.col("p_type").alias("activity"),
         F.col("l_returnflag").alias("status"),
         F.lit(None).cast("string").alias("comment"),
@@ -119,7 +126,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("reason"),
         F.when(F.col("l_orderkey") % 3 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("REF-"), F.col("l_orderkey").cast("string"))).alias("reference"),
-        F.format_string(CREATED_BY_FORMAT, F.col("o_custkey") % 20).alias("created_by"),
+        F.concat(_padded("user", F.col("o_custkey") % 20, 2, "user%02d"), F.lit("@example.com")).alias("created_by"),
         F.timestamp_add("HOUR", (F.col("o_custkey") % 24).cast("int"), F.col("o_orderdate")).alias("created_at"),
     )
 
