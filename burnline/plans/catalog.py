@@ -24,6 +24,7 @@ from ..operators import profile as P
 from ..operators import trends as TR
 from ..session import share
 from ..sources import derived
+from ..sources import files as FS
 from ..sources.tables import DEFAULT_AS_OF, ts_ntz
 
 AS_OF = DEFAULT_AS_OF
@@ -92,6 +93,17 @@ def a1_bookings_scan(spark, sf_dir):
     return B.apply_filters(_bookings(spark, sf_dir), f).select(*B.BOOKING_COLUMNS)
 
 
+@register("a2_parameterised_sql")
+def a2_parameterised_sql(spark, sf_dir):
+    """A2: balances at a date through SQL with a bound date parameter."""
+    return FS.run_sql(spark, """
+        SELECT project_nr, activity, CAST(SUM(hours) AS DOUBLE) AS budget_hours,
+               CAST(SUM(CASE WHEN change_type = 'reduction' THEN -hours ELSE hours END) AS DOUBLE)
+                 AS budget_hours_signed
+        FROM {ledger} WHERE valid_from <= :as_of
+        GROUP BY project_nr, activity""", params={"as_of": AS_OF_DATE}, ledger=_ledger(spark, sf_dir))
+
+
 @register("b3_b4_year_status_filter")
 def b3_b4_year_status_filter(spark, sf_dir):
     """One year, returned lines only, aggregated."""

@@ -242,6 +242,7 @@ _SEARCH = "(?i)^(PROMO|SMALL)$|GERMANY"
 _SEARCH_PRED = " OR ".join(f"COALESCE(regexp_matches({c}, '{_SEARCH}'), false)"
                            for c in ("activity", "project", "customer"))
 
+SQL["a2_parameterised_sql"] = with_ctes(LEDGER_CTE, TARGETS_CTE, body="SELECT * FROM targets")
 SQL["b3_b4_year_status_filter"] = with_ctes(*BASE, body=_AGG_BODY.format(where="year = 2000 AND status = 'R'"))
 SQL["b8_activity_filter"] = with_ctes(*BASE, body=_AGG_BODY.format(where="activity IN ('PROMO', 'ECONOMY')"))
 SQL["b11_search_filter"] = with_ctes(*BASE, body=_AGG_BODY.format(where=f"({_SEARCH_PRED})"))

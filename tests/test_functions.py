@@ -1,0 +1,83 @@
+"""Scalar column functions (H-operators), incl. the status edge rows."""
+
+from pyspark.sql import functions as F
+
+from burnline import schemas as S
+from burnline.functions import scalar as H
+
+
+def _eval(spark, rows, schema, expr):
+    return [r[0] for r in spark.createDataFrame(rows, schema).select(expr).collect()]
+
+
+def test_status_thresholds(spark):
+    rows = [(87.5, 120.0), (95.0, 80.0), (100.0, 100.0), (109.9, 100.0), (110.0, 100.0), (5.0, 0.0)]
+    got = _eval(spark, rows, "a double, t double", H.fulfillment_status("a", "t"))
+    # 110 / 100 * 100 is 110.00000000000001 in doubles, so exactly 110 % is over
+    assert got == [S.STATUS_OK, S.STATUS_OVER, S.STATUS_OK, S.STATUS_CRITICAL, S.STATUS_OVER, S.STATUS_NO_TARGET]
+
+
+def test_fulfillment_and_share_guarded(spark):
+    rows = [(50.0, 60.0, 120.0), (50.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "a double, t double, total double")
+    got = df.select(H.fulfillment_pct("a", "t").alias("f"), H.share_pct("t", "total").alias("s")).collect()
+    assert round(got[0].f, 1) == 83.3 and got[0].s == 50.0
+    assert got[1].f == 0.0 and got[1].s == 0.0
+
+
+def test_half_even_rounding(spark):
+    got = _eval(spark, [(0.25,), (0.45,), (118.75,), (72.91666,)], "x double", H.round_half_even("x", 1))
+    assert got == [0.2, 0.4, 118.8, 72.9]
+
+
+def test_badges(spark):
+    rows = [(S.STATUS_OK,), (S.STATUS_CRITICAL,), (S.STATUS_OVER,), (S.STATUS_NO_TARGET,), ("On Track now",)]
+    df = spark.createDataFrame(rows, "s string")
+    got = [(r[0], r[1]) for r in df.select(H.badge_class("s"), H.badge_text("s")).collect()]
+    assert got == [("success", "On Track"), ("warning", "At Risk"), ("danger", "Critical"),
+                   ("info", S.STATUS_NO_TARGET), ("success", "On Track")]
+
+
+def test_burndown_color(spark):
+    got = _eval(spark, [(50.0, 100.0), (105.0, 100.0), (120.0, 100.0), (5.0, 0.0)], "c double, t double",
+                H.burndown_color("c", "t"))
+    assert got == ["green", "orange", "red", "blue"]
+
+
+def test_parse_list_and_blank(spark):
+    got = _eval(spark, [(" P1, ,P2 ,,P3",), ("",)], "s string", H.parse_list("s"))
+    assert got == [["P1", "P2", "P3"], []]
+    assert _eval(spark, [(None,), ("  ",), ("x",)], "s string", H.is_blank("s")) == [True, True, False]
+
+
+def test_regex_search_regex_literal_and_null(spark):
+    rows = [("Testing & QA",), ("a+b",), (None,), ("IMPLEMENTATION",)]
+    df = spark.createDataFrame(rows, "s string")
+    regex = [r[0] for r in df.select(H.regex_contains("s", "test|impl")).collect()]
+    assert regex == [True, False, False, True]
+    literal = [r[0] for r in df.select(H.regex_contains("s", "a+b", literal=True)).collect()]
+    assert literal == [False, True, False, False]
+
+
+def test_ellipsize_and_labels(spark):
+    df = spark.createDataFrame([("abcdefghijklmnopqrstuvwxyz", 0), ("short", 2)], "s string, n int")
+    got = df.select(H.ellipsize("s", 20), H.sprint_label("n"), H.sprint_label("n", chart=True)).collect()
+    assert got[0][0] == "abcdefghijklmnopqrst..." and got[1][0] == "short"
+    assert (got[0][1], got[0][2], got[1][1]) == ("Aktueller Sprint", "Aktuell", "Sprint -2")
+
+
+def test_change_type_label_default(spark):
+    got = _eval(spark, [("initial",), ("other",)], "c string", H.change_type_label("c"))
+    assert got == [S.CHANGE_TYPE_LABELS["initial"], "other"]
+
+
+def test_floor_days(spark):
+    df = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-10 12:00:00' AS a, TIMESTAMP_NTZ '2024-01-10 00:00:00' AS b")
+    got = df.select(H.floor_days_between("a", "b"), H.floor_days_between("b", "a")).first()
+    assert tuple(got) == (-1, 0)  # a future booking is -1 days ago, not 0
+
+
+def test_conjunction_vacuous(spark):
+    df = spark.range(3)
+    assert df.filter(H.all_of([])).count() == 3
+    assert df.filter(H.all_of([F.col("id") > 0, F.col("id") < 2])).count() == 1

@@ -1,0 +1,125 @@
+"""Budget ledger: balances as of dates, history, validation, append."""
+
+import datetime as dt
+
+from conftest import make_ledger
+
+from pyspark.sql import functions as F
+
+from burnline.operators import ledger as L
+from burnline.sources import files as FS
+
+D = dt.date
+
+
+def _dated_case(spark):
+    # initial 100, extension 50, reduction 20 (stored non-negative)
+    return make_ledger(spark, [
+        {"project_nr": "P", "activity": "A", "hours": 100, "change_type": "initial", "valid_from": D(2024, 1, 1)},
+        {"project_nr": "P", "activity": "A", "hours": 50, "change_type": "extension", "valid_from": D(2024, 3, 15)},
+        {"project_nr": "P", "activity": "A", "hours": 20, "change_type": "reduction", "valid_from": D(2024, 6, 1)},
+    ])
+
+
+def test_dated_balances_literal_and_signed(spark):
+    led = _dated_case(spark)
+    expect = {D(2023, 12, 31): (0, 0), D(2024, 1, 31): (100, 100), D(2024, 3, 31): (150, 150),
+              D(2024, 6, 30): (170, 130)}
+    for day, (lit, signed) in expect.items():
+        r = L.budgets_at(led, day).collect()
+        got = (r[0].budget_hours, r[0].budget_hours_signed) if r else (0, 0)
+        assert got == (lit, signed), day
+        assert L.budget_at(led, "P", "A", day).first().budget_hours == lit
+
+
+def test_asof_batch_equals_point_lookups(spark):
+    led = _dated_case(spark)
+    days = [D(2023, 12, 31), D(2024, 1, 1), D(2024, 3, 14), D(2024, 3, 15), D(2024, 6, 30)]
+    probes = spark.createDataFrame([("P", "A", d) for d in days] + [("X", "A", D(2024, 6, 30))],
+                                   "project_nr string, activity string, as_of_date date")
+    got = {(r.project_nr, r.as_of_date): r.budget_hours for r in L.balances_at_dates(led, probes).collect()}
+    for d in days:
+        r = L.budgets_at(led, d).collect()
+        assert got[("P", d)] == (r[0].budget_hours if r else 0.0)
+    assert got[("X", D(2024, 6, 30))] == 0.0  # key without entries
+
+
+def test_running_balance(spark):
+    rb = L.running_balance(_dated_case(spark)).orderBy("valid_from").collect()
+    assert [r.balance for r in rb] == [100.0, 150.0, 170.0]
+    assert [r.balance_signed for r in rb] == [100.0, 150.0, 130.0]
+
+
+def test_latest_entry_tie_break(spark):
+    led = make_ledger(spark, [
+        {"project_nr": "P", "activity": "A", "hours": 1, "valid_from": D(2024, 1, 1), "entry_id": 7},
+        {"project_nr": "P", "activity": "A", "hours": 2, "valid_from": D(2024, 1, 1), "entry_id": 9},
+        {"project_nr": "P", "activity": "A", "hours": 3, "valid_from": D(2023, 1, 1), "entry_id": 99},
+    ])
+    e = L.latest_entries(led).first()
+    assert e.entry_id == 9 and float(e.hours) == 2.0
+
+
+def test_current_budgets_view(spark):
+    led = make_ledger(spark, [
+        {"project_nr": "P", "activity": "A", "hours": 1, "valid_from": D(2024, 1, 1), "created_by": "zed@x",
+         "created_at": dt.datetime(2024, 1, 1)},
+        {"project_nr": "P", "activity": "A", "hours": 2, "valid_from": D(2024, 2, 1), "created_by": "amy@x",
+         "created_at": dt.datetime(2024, 2, 1)},
+    ])
+    v = L.current_budgets(led, D(2024, 6, 1)).first()
+    assert v.total_hours == 3.0 and v.last_change_date == D(2024, 2, 1)
+    assert v.last_updated_by == "zed@x" and v.last_updated_by_latest == "amy@x"  # MAX() is alphabetical
+
+
+def test_validation_rules(spark):
+    props = spark.createDataFrame([
+        ("P", "A", 10.0, "initial", D(2024, 1, 1), "why"),
+        ("P", " ", 0.0, "bogus", None, ""),
+    ], "project_nr string, activity string, hours double, change_type string, valid_from date, reason string")
+    v = L.validate_entries(props).orderBy(F.col("is_valid").desc()).collect()
+    assert v[0].is_valid and v[0].errors == []
+    assert set(v[1].errors) == {"activity_blank", "reason_blank", "hours_not_positive", "unknown_change_type",
+                                "valid_from_missing"}
+    assert L.validate_entries(props, form_rules=False).filter("array_contains(errors, 'hours_negative')").count() == 0
+
+
+def test_append_and_read_back(spark, tmp_dir):
+    path = tmp_dir + "/ledger"
+    seed = _dated_case(spark)
+    seed.write.parquet(path)
+    props = spark.createDataFrame([
+        ("P", " B ", 40.0, "initial", D(2024, 2, 1), " kickoff ", ""),
+        ("P", "B", -1.0, "initial", D(2024, 2, 1), "bad", None),
+    ], "project_nr string, activity string, hours double, change_type string, valid_from date, "
+       "reason string, reference string").withColumn("created_by", F.lit("me@example.com"))
+    rejects = L.append_entries(props, path, dt.datetime(2024, 2, 2, 9, 0), existing=FS.read_ledger(spark, path))
+    assert rejects.count() == 1
+    led = FS.read_ledger(spark, path)
+    new = led.filter("activity = 'B'").first()
+    assert new.entry_id > 3 and new.reference is None and new.reason == "kickoff"
+    assert new.created_at == dt.datetime(2024, 2, 2, 9, 0)
+
+
+def test_preview_stacks_proposals(spark):
+    led = _dated_case(spark)
+    props = spark.createDataFrame([(1, "P", "A", 10.0), (2, "P", "A", 5.0), (3, "N", "A", 7.0)],
+                                  "proposal_id long, project_nr string, activity string, hours double")
+    got = {r.proposal_id: (r.current_budget, r.new_budget) for r in L.preview_changes(led, props, D(2024, 4, 1)).collect()}
+    assert got == {1: (150.0, 160.0), 2: (150.0, 165.0), 3: (0.0, 7.0)}
+
+
+def test_overview_history_maps(spark):
+    led = _dated_case(spark).unionByName(make_ledger(spark, [
+        {"project_nr": "P", "activity": "B", "hours": 30, "valid_from": D(2024, 1, 1), "entry_id": 50}]))
+    ov = {r.activity: r.share_pct for r in L.budget_overview(led, D(2024, 6, 30)).collect()}
+    assert ov == {"A": 170 / 200 * 100, "B": 15.0}
+    k = L.budget_overview_kpis(L.budget_overview(led, D(2024, 6, 30))).first()
+    assert (k.n_projects, k.n_activities, k.total_hours, k.avg_hours) == (1, 2, 200.0, 100.0)
+    hs = L.history_summary(led).first()
+    assert (hs.n_entries, hs.total_hours, hs.n_activities) == (4, 200.0, 2)
+    m = L.budget_maps(L.budgets_at(led, D(2024, 6, 30))).first()
+    assert m.budgets == {"A": 170.0, "B": 30.0}
+    disp = L.history_display(led, change_type="reduction").first()
+    assert disp.valid_from_text == "01.06.2024" and disp.change_type_label.startswith("📉")
+    assert [r.activity for r in L.ledger_activities(led).collect()] == ["A", "B"]
