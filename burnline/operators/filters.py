@@ -134,6 +134,12 @@ def apply_filters(df: DataFrame, f: BookingFilters) -> DataFrame:
     return filter_projects(df, f.projects).filter(booking_predicate(f))
 
 
+# F1 -------------------------------------------------------------------------
+def order_bookings(df: DataFrame) -> DataFrame:
+    """Project, activity, newest entry first (a range-partitioned sort)."""
+    return df.orderBy("project", "activity", F.col("entry_date").desc())
+
+
 # B9 -------------------------------------------------------------------------
 def option_values(df: DataFrame, col: str) -> DataFrame:
     """Sorted distinct non-null values of a column (the 'all' option)."""

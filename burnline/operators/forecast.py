@@ -94,6 +94,11 @@ def sprint_table(series: DataFrame, as_of: Column) -> DataFrame:
         sprint_weight(n).alias("weight"))
 
 
+def order_sprints(sprints: DataFrame) -> DataFrame:
+    """F8: sprint rows per unit, newest sprint first."""
+    return sprints.orderBy(*UNIT, "sprint_number")
+
+
 # D17 / D18 / D19 ------------------------------------------------------------
 def _velocity_aggs(keep: Column) -> list[Column]:
     """Sums over the analysis sprints (rows where ``keep``) for velocity,

@@ -159,6 +159,11 @@ def budget_overview(ledger: DataFrame, date, projects: ProjectList = None) -> Da
     return with_project_share(budgets_at(ledger, date, projects).drop("budget_hours_signed"))
 
 
+def order_overview(overview: DataFrame) -> DataFrame:
+    """overview ordered by project (then activity)."""
+    return overview.orderBy("project_nr", "activity")
+
+
 def budget_overview_kpis(overview: DataFrame) -> DataFrame:
     """Projects with budget, activities, total hours, mean hours per activity."""
     return overview.agg(F.countDistinct("project_nr").alias("n_projects"),

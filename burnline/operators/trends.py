@@ -33,6 +33,12 @@ def booking_series(bookings: DataFrame, measure_col: str = S.DEFAULT_MEASURE) ->
             .agg(F.sum(measure(measure_col)).alias("hours"), F.count(F.lit(1)).alias("n")))
 
 
+# F3 -------------------------------------------------------------------------
+def order_series(series: DataFrame) -> DataFrame:
+    """Series in booking order."""
+    return series.orderBy("project_nr", "activity", "booking_ts")
+
+
 # D13 ------------------------------------------------------------------------
 def daily_totals(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Hours per unit and booking timestamp (NULL timestamps dropped, as a

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..operators import changes as CH
 from ..operators import dashboard as D
 from ..operators import export as X
 from ..operators import filters as B
@@ -29,6 +30,7 @@ from ..sources.tables import DEFAULT_AS_OF, ts_ntz
 
 AS_OF = DEFAULT_AS_OF
 AS_OF_DATE = _dt.date(2001, 6, 30)
+EDIT_DATE = _dt.date(2001, 12, 31)
 WINDOW_START, WINDOW_END = B.default_date_window(AS_OF_DATE)
 SEARCH_TERM = "^(PROMO|SMALL)$|GERMANY"
 ACTIVITY_SELECTION = ["PROMO", "ECONOMY"]
@@ -306,6 +308,19 @@ def j3_preview_changes(spark, sf_dir):
     return L.preview_changes(led, proposals, AS_OF_DATE)
 
 
+@register("j2_target_changes")
+def j2_target_changes(spark, sf_dir):
+    """Dashboard targets at the as-of date against the targets six
+    months later, paired by key, as ledger deltas (T3)."""
+    agg = _agg(spark, sf_dir)
+    led = _ledger(spark, sf_dir)
+    before = D.activity_dashboard(agg, L.budgets_at(led, AS_OF_DATE))
+    after = D.activity_dashboard(agg, L.budgets_at(led, EDIT_DATE))
+    ch = CH.detect_target_changes(before, after)
+    return ch.join(CH.changes_to_ledger(ch, EDIT_DATE, "dashboard").select("project_nr", "activity", "change_type"),
+                   ["project_nr", "activity"])
+
+
 # --- trends -----------------------------------------------------------------
 
 @register("d13_daily_totals")

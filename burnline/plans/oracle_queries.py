@@ -405,6 +405,24 @@ SELECT p.proposal_id, p.project_nr, p.activity, COALESCE(t.budget_hours, 0.0) AS
        CAST(p.hours AS DOUBLE) AS change, COALESCE(t.budget_hours, 0.0) + p.cum AS new_budget
 FROM p LEFT JOIN targets t ON p.project_nr = t.project_nr AND p.activity = t.activity""")
 
+SQL["j2_target_changes"] = with_ctes(
+    BOOKINGS_CTE, LEDGER_CTE, AGG_CTE,
+    cte("act", "SELECT DISTINCT project_nr, activity FROM agg"),
+    cte("t0", f"SELECT project_nr, activity, CAST(SUM(hours) AS DOUBLE) AS h FROM ledger "
+              f"WHERE valid_from <= {AS_OF_DATE} GROUP BY project_nr, activity"),
+    cte("t1", "SELECT project_nr, activity, CAST(SUM(hours) AS DOUBLE) AS h FROM ledger "
+              "WHERE valid_from <= DATE '2001-12-31' GROUP BY project_nr, activity"),
+    cte("ch", """
+  SELECT a.project_nr, a.activity, COALESCE(t0.h, 0.0) AS old_target, COALESCE(t1.h, 0.0) AS new_target,
+         COALESCE(t1.h, 0.0) - COALESCE(t0.h, 0.0) AS delta
+  FROM act a
+  LEFT JOIN t0 ON a.project_nr = t0.project_nr AND a.activity = t0.activity
+  LEFT JOIN t1 ON a.project_nr = t1.project_nr AND a.activity = t1.activity"""),
+    body="""
+SELECT project_nr, activity, old_target, new_target, delta,
+       CASE WHEN delta > 0 THEN 'correction' ELSE 'reduction' END AS change_type
+FROM ch WHERE abs(delta) > 0.01""")
+
 # --- trends -----------------------------------------------------------------
 _CUM = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 SQL["d13_daily_totals"] = with_ctes(*SER, body="""
