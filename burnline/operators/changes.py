@@ -19,25 +19,36 @@ from .. import schemas as S
 KEY = ["project_nr", "activity"]
 
 
+def target_deltas(frame: DataFrame) -> DataFrame:
+    """Rows of (key, old_target, new_target) whose target moved by more than
+    the tolerance (0.01 h), with ``delta`` and the ledger change type."""
+    delta = F.col("new_target") - F.col("old_target")
+    return (frame.withColumn("delta", delta)
+            .filter(F.abs(F.col("delta")) > F.lit(S.TARGET_CHANGE_TOLERANCE))
+            .withColumn("change_type", change_type_for(F.col("delta"))))
+
+
+def change_type_for(delta):
+    """A raise is a correction, a cut a reduction (of the absolute value)."""
+    return F.when(delta > 0, F.lit("correction")).otherwise(F.lit("reduction"))
+
+
 def detect_target_changes(original: DataFrame, edited: DataFrame, keys: Sequence[str] = KEY,
                           col: str = "target_hours") -> DataFrame:
-    """Rows whose target moved by more than the tolerance (0.01 h)."""
+    """Pair the original and edited frames by key (not by position) and keep
+    the rows whose target moved by more than the tolerance."""
     o = original.select(*keys, F.col(col).cast("double").alias("old_target"))
     e = edited.select(*keys, F.col(col).cast("double").alias("new_target"))
-    both = o.join(e, list(keys), "inner")
-    delta = F.col("new_target") - F.col("old_target")
-    return (both.withColumn("delta", delta)
-            .filter(F.abs(F.col("delta")) > F.lit(S.TARGET_CHANGE_TOLERANCE)))
+    return target_deltas(o.join(e, list(keys), "inner"))
 
 
 def changes_to_ledger(changes: DataFrame, valid_from: _dt.date, created_by: str,
                       reason: str = "Target edited in dashboard") -> DataFrame:
     """Ledger proposals for detected changes (validate with J1, append with A7)."""
-    up = F.col("delta") > 0
     return changes.select(
         "project_nr", "activity",
         F.abs(F.col("delta")).alias("hours"),
-        F.when(up, F.lit("correction")).otherwise(F.lit("reduction")).alias("change_type"),
+        change_type_for(F.col("delta")).alias("change_type"),
         F.lit(valid_from).cast("date").alias("valid_from"),
         F.lit(reason).alias("reason"), F.lit(None).cast("string").alias("reference"),
         F.lit(created_by).alias("created_by"))

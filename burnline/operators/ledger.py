@@ -69,6 +69,14 @@ def budgets_at(ledger: DataFrame, date, projects: ProjectList = None) -> DataFra
                  F.sum(signed_hours()).cast("double").alias("budget_hours_signed")))
 
 
+def budgets_at_dates_wide(ledger: DataFrame, dates: dict) -> DataFrame:
+    """Balances of every key at several dates in one pass: one column per
+    ``{name: date}`` (literal sums, exact as DECIMAL, then DOUBLE)."""
+    cols = [F.coalesce(F.sum(F.when(valid_at(_date(d)), F.col("hours"))), F.lit(0))
+            .cast("double").alias(name) for name, d in dates.items()]
+    return ledger.groupBy(*KEY).agg(*cols)
+
+
 # D10 / E4 -------------------------------------------------------------------
 def current_budgets(ledger: DataFrame, date) -> DataFrame:
     """Current-budget view at ``date``: balance, last change date, last

@@ -78,7 +78,7 @@ def _series(spark, sf_dir, shared: bool = False):
     """The daily grain of the booking series. ``shared`` persists it for
     queries that read it in several branches, so the bookings are scanned
     once instead of once per branch."""
-    grain = TR.booking_series(_bookings(spark, sf_dir))
+    grain = TR.booking_series(derived.booking_events(spark, sf_dir, AS_OF))
     return share(grain) if shared else grain
 
 
@@ -310,15 +310,13 @@ def j3_preview_changes(spark, sf_dir):
 
 @register("j2_target_changes")
 def j2_target_changes(spark, sf_dir):
-    """Dashboard targets at the as-of date against the targets six
-    months later, paired by key, as ledger deltas (T3)."""
-    agg = _agg(spark, sf_dir)
-    led = _ledger(spark, sf_dir)
-    before = D.activity_dashboard(agg, L.budgets_at(led, AS_OF_DATE))
-    after = D.activity_dashboard(agg, L.budgets_at(led, EDIT_DATE))
-    ch = CH.detect_target_changes(before, after)
-    return ch.join(CH.changes_to_ledger(ch, EDIT_DATE, "dashboard").select("project_nr", "activity", "change_type"),
-                   ["project_nr", "activity"])
+    """The dashboard's targets at the as-of date against the targets six
+    months later, paired by key, as ledger deltas (T3). Both balances come
+    from one pass over the ledger."""
+    booked = _agg(spark, sf_dir).select("project_nr", "activity").distinct()
+    two = L.budgets_at_dates_wide(_ledger(spark, sf_dir), {"old_target": AS_OF_DATE, "new_target": EDIT_DATE})
+    frame = booked.join(two, ["project_nr", "activity"], "left").na.fill(0.0, ["old_target", "new_target"])
+    return CH.target_deltas(frame)
 
 
 # --- trends -----------------------------------------------------------------

@@ -5,7 +5,9 @@ joins (one row per line item for bookings, one ledger entry per first order
 line). The derivations are plain joins and projections: every join is an
 equi-join left to Catalyst/AQE; only ``nation`` (fixed 25 rows) is hinted
 as a broadcast. Only the orders join filters (the as-of cut); the other
-lookups are left joins that Catalyst drops when a query does not need them. ``supplier``, ``part`` and ``customer`` all grow with the
+lookups are left joins on primary keys. The booking *series* has its own
+derivation with only the joins it needs (orders for the cut, part for the
+activity). ``supplier``, ``part`` and ``customer`` all grow with the
 scale factor, so they are joined without a hint and AQE switches a join to
 broadcast at runtime only when the measured side is below
 ``spark.sql.autoBroadcastJoinThreshold``; a skewed supplier key is split by
@@ -29,11 +31,6 @@ PRIORITY_TO_CHANGE_TYPE = {"1": "initial", "2": "extension", "3": "correction",
 NO_TARGET_ACTIVITY = "LARGE"  # dropped from the ledger for suppliers with key % 7 = 0
 
 
-def _dim(df: DataFrame, key: str) -> DataFrame:
-    """A dimension table with one row per key."""
-    return df.dropDuplicates([key])
-
-
 def _padded(prefix: str, col, width: int, fmt: str):
     """prefix + zero-padded number, as ``format_string(fmt, col)`` but with
     codegen'd string functions on the common path (0 <= value < 10^width)."""
@@ -58,13 +55,12 @@ def bookings(spark: SparkSession, sf_dir: str, as_of=DEFAULT_AS_OF,
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     if cut_at_as_of:
         orders = orders.filter(F.col("o_orderdate") <= ts_ntz(as_of))
-    # Dimension lookups are left joins on de-duplicated keys: a booking is
-    # never dropped for a missing dimension row, and Catalyst removes a lookup
-    # whose columns a query does not use (the key is provably unique).
-    supplier = _dim(table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey"), "s_suppkey")
-    nation = F.broadcast(_dim(table(spark, sf_dir, "nation", "n_nationkey", "n_name"), "n_nationkey"))
-    part = _dim(table(spark, sf_dir, "part", "p_partkey", "p_type"), "p_partkey")
-    customer = _dim(table(spark, sf_dir, "customer", "c_custkey", "c_name"), "c_custkey")
+    # Dimension lookups are left joins on the dimensions' primary keys: a
+    # booking is never dropped for a missing dimension row.
+    supplier = table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
+    nation = F.broadcast(table(spark, sf_dir, "nation", "n_nationkey", "n_name"))
+    part = table(spark, sf_dir, "part", "p_partkey", "p_type")
+    customer = table(spark, sf_dir, "customer", "c_custkey", "c_name")
 
     joined = (li.join(orders, li.l_orderkey == orders.o_orderkey)
               .join(supplier, F.col("l_suppkey") == supplier.s_suppkey, "left")
@@ -95,6 +91,27 @@ def bookings(spark: SparkSession, sf_dir: str, as_of=DEFAULT_AS_OF,
     )
 
 
+def booking_events(spark: SparkSession, sf_dir: str, as_of=DEFAULT_AS_OF) -> DataFrame:
+    """The columns the time series needs -- project_nr, activity,
+    booking_ts, entry_date and both measures -- without the name lookups."""
+    li = spread_if_undersplit(table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
+                                    "l_quantity", "l_discount", "l_shipdate"))
+    orders = (table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
+              .filter(F.col("o_orderdate") <= ts_ntz(as_of)))
+    part = table(spark, sf_dir, "part", "p_partkey", "p_type")
+    joined = (li.join(orders, li.l_orderkey == orders.o_orderkey)
+              .join(part, F.col("l_partkey") == part.p_partkey, "left"))
+    hours_logged = (F.col("l_quantity").cast("decimal(12,2)")
+                    * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))).cast("double")
+    return joined.select(
+        project_nr(F.col("l_suppkey")).alias("project_nr"),
+        F.col("p_type").alias("activity"),
+        F.col("l_shipdate").alias("booking_ts"),
+        F.col("o_orderdate").cast("date").alias("entry_date"),
+        F.col("l_quantity").cast("double").alias("hours_billed"),
+        hours_logged.alias("hours_logged"))
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Budget ledger: one entry per first order line (canonical ledger schema).
 
