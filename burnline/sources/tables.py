@@ -10,6 +10,7 @@ import datetime as _dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_AS_OF = _dt.datetime(2001, 6, 30)
 
@@ -18,9 +19,40 @@ TPCH_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "li
                "conversations"]
 
 
+# Stored column types of the driver tables this package reads. With an
+# explicit schema a reader needs no footer read at planning time, and a
+# schema of only the needed columns prunes the scan.
+_TYPES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": ("p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+             "p_retailprice double"),
+    "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+               "o_orderdate timestamp_ntz, o_orderpriority string"),
+    "lineitem": ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                 "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                 "l_linestatus string, l_shipdate timestamp_ntz"),
+}
+_ATOMS = {"int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(),
+          "string": T.StringType(), "timestamp_ntz": T.TimestampNTZType()}
+DRIVER_SCHEMAS = {
+    name: T.StructType([T.StructField(col, _ATOMS[typ], True)
+                        for col, typ in (field.split() for field in ddl.split(","))])
+    for name, ddl in _TYPES.items()
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = DRIVER_SCHEMAS.get(name)
+    if schema is None:
+        df = spark.read.parquet(path)
+        return df.select(*columns) if columns else df
+    if columns:
+        schema = T.StructType([schema[c] for c in columns])
+    return spark.read.schema(schema).parquet(path)
 
 
 def spread_if_undersplit(df: DataFrame) -> DataFrame:
