@@ -40,21 +40,25 @@ bookings AS (
 
 LEDGER_CTE = """
 ledger AS (
-  SELECT CAST(l.l_orderkey * 100 + row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_partkey, l.l_suppkey) AS BIGINT) AS entry_id,
-         printf('P%05d', l.l_suppkey) AS project_nr,
+  SELECT CAST(x.l_orderkey * 100 + x.pos AS BIGINT) AS entry_id,
+         printf('P%05d', x.l_suppkey) AS project_nr,
          p.p_type AS activity,
-         CAST(CAST(floor(o.o_totalprice / 14.0) AS BIGINT) * 0.01 AS DECIMAL(10,2)) AS hours,
-         CASE substr(o.o_orderpriority, 1, 1) WHEN '1' THEN 'initial' WHEN '2' THEN 'extension'
+         CAST(CAST(floor(x.o_totalprice / 14.0) AS BIGINT) * 0.01 AS DECIMAL(10,2)) AS hours,
+         CASE substr(x.o_orderpriority, 1, 1) WHEN '1' THEN 'initial' WHEN '2' THEN 'extension'
               WHEN '3' THEN 'correction' WHEN '4' THEN 'reduction' ELSE 'extension' END AS change_type,
-         CAST(o.o_orderdate AS DATE) AS valid_from,
-         'order ' || CAST(l.l_orderkey AS VARCHAR) AS reason,
-         CASE WHEN l.l_orderkey % 3 = 0 THEN NULL ELSE 'REF-' || CAST(l.l_orderkey AS VARCHAR) END AS reference,
-         printf('user%02d@example.com', o.o_custkey % 20) AS created_by,
-         o.o_orderdate + to_hours(CAST(o.o_custkey % 24 AS INTEGER)) AS created_at
-  FROM lineitem l
-  JOIN orders o ON l.l_orderkey = o.o_orderkey
-  JOIN part p ON l.l_partkey = p.p_partkey
-  WHERE l.l_linenumber = 1 AND NOT (p.p_type = 'LARGE' AND l.l_suppkey % 7 = 0)
+         CAST(x.o_orderdate AS DATE) AS valid_from,
+         'order ' || CAST(x.l_orderkey AS VARCHAR) AS reason,
+         CASE WHEN x.l_orderkey % 3 = 0 THEN NULL ELSE 'REF-' || CAST(x.l_orderkey AS VARCHAR) END AS reference,
+         printf('user%02d@example.com', x.o_custkey % 20) AS created_by,
+         x.o_orderdate + to_hours(CAST(x.o_custkey % 24 AS INTEGER)) AS created_at
+  FROM (
+    SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, o.o_custkey, o.o_totalprice, o.o_orderdate, o.o_orderpriority,
+           row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_partkey, l.l_suppkey) AS pos
+    FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+    WHERE l.l_linenumber = 1
+  ) x
+  JOIN part p ON x.l_partkey = p.p_partkey
+  WHERE NOT (p.p_type = 'LARGE' AND x.l_suppkey % 7 = 0)
 )"""
 
 # D9 at the as-of date

@@ -62,11 +62,13 @@ def bookings(spark: SparkSession, sf_dir: str, as_of=DEFAULT_AS_OF,
     part = table(spark, sf_dir, "part", "p_partkey", "p_type")
     customer = table(spark, sf_dir, "customer", "c_custkey", "c_name")
 
+    # customer is looked up on the orders (a quarter of the line items)
+    # before they meet lineitem, so line-item rows are never shuffled by it
+    orders = orders.join(customer, F.col("o_custkey") == customer.c_custkey, "left")
     joined = (li.join(orders, li.l_orderkey == orders.o_orderkey)
               .join(supplier, F.col("l_suppkey") == supplier.s_suppkey, "left")
               .join(nation, F.col("s_nationkey") == nation.n_nationkey, "left")
-              .join(part, F.col("l_partkey") == part.p_partkey, "left")
-              .join(customer, F.col("o_custkey") == customer.c_custkey, "left"))
+              .join(part, F.col("l_partkey") == part.p_partkey, "left"))
     hours_logged = (F.col("l_quantity").cast("decimal(12,2)")
                     * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))).cast("double")
     entry_date = F.col("o_orderdate").cast("date")
@@ -116,25 +118,29 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Budget ledger: one entry per first order line (canonical ledger schema).
 
     ``entry_id`` = order key * 100 + position of the line among the order's
-    first lines (by part, supplier). The window is partitioned by order key,
-    so it runs on tiny groups and reuses the join's shuffle on that key.
+    first lines (by part, supplier), numbered before the rule that drops
+    some budgets (so ids have gaps). The window is partitioned by order key,
+    so it runs on tiny groups and reuses the join's partitioning by that key.
     """
     li = (table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
           .filter(F.col("l_linenumber") == 1))
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice",
                    "o_orderdate", "o_orderpriority")
     part = table(spark, sf_dir, "part", "p_partkey", "p_type")
+    # number the order's first lines right after the join on the order key
+    # (its output is already partitioned by that key), then look up the part
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey"))
     joined = (li.join(orders, li.l_orderkey == orders.o_orderkey)
+              .withColumn("_pos", pos)
               .join(part, F.col("l_partkey") == part.p_partkey)
               .filter(~((F.col("p_type") == NO_TARGET_ACTIVITY) & (F.col("l_suppkey") % 7 == 0))))
-    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey"))
     prio = F.substring("o_orderpriority", 1, 1)
     change_type = F.lit("extension")
     for digit, kind in reversed(list(PRIORITY_TO_CHANGE_TYPE.items())):
         change_type = F.when(prio == digit, kind).otherwise(change_type)
     cents = F.floor(F.col("o_totalprice") / F.lit(LEDGER_HOURS_DIVISOR_CENTS))
     return joined.select(
-        (F.col("l_orderkey") * 100 + pos).cast("bigint").alias("entry_id"),
+        (F.col("l_orderkey") * 100 + F.col("_pos")).cast("bigint").alias("entry_id"),
         project_nr(F.col("l_suppkey")).alias("project_nr"),
         F.col("p_type").alias("activity"),
         (cents.cast("decimal(12,0)") / F.lit(100)).cast("decimal(10,2)").alias("hours"),
