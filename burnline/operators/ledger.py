@@ -104,25 +104,32 @@ def latest_entries(ledger: DataFrame, date=None) -> DataFrame:
 
 
 # E8 -------------------------------------------------------------------------
-def running_balance(ledger: DataFrame) -> DataFrame:
+def running_balance(ledger: DataFrame, block: int = 1024) -> DataFrame:
     """Balance after each entry, in (valid_from, entry_id) order per key.
 
-    Two levels keep windows bounded: day totals per key are cumulated over
-    at most one row per day, then entries of one key and day are cumulated
-    within that (key, day) partition.
+    Three levels of prefix sums keep every window bounded, however many
+    entries one key has: day totals per key (one row per day), then totals
+    of blocks of ``block`` consecutive entry ids within a (key, day), then
+    the entries of one block (at most ``block`` rows, ids being unique).
     """
-    day = (ledger.groupBy(*KEY, "valid_from")
-           .agg(F.sum("hours").alias("_d"), F.sum(signed_hours()).alias("_ds")))
-    by_day = Window.partitionBy(*KEY).orderBy("valid_from").rowsBetween(Window.unboundedPreceding, -1)
-    day = day.select(*KEY, "valid_from",
-                     F.coalesce(F.sum("_d").over(by_day), F.lit(0)).alias("_before"),
-                     F.coalesce(F.sum("_ds").over(by_day), F.lit(0)).alias("_before_s"))
-    within = Window.partitionBy(*KEY, "valid_from").orderBy("entry_id") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = (ledger.join(day, KEY + ["valid_from"])
-           .withColumn("balance", (F.col("_before") + F.sum("hours").over(within)).cast("double"))
-           .withColumn("balance_signed", (F.col("_before_s") + F.sum(signed_hours()).over(within)).cast("double")))
-    return out.drop("_before", "_before_s")
+    signed = signed_hours()
+    blk = F.floor(F.col("entry_id") / F.lit(block)).alias("_blk")
+    before = Window.unboundedPreceding
+    day = (ledger.groupBy(*KEY, "valid_from").agg(F.sum("hours").alias("_d"), F.sum(signed).alias("_ds")))
+    w_day = Window.partitionBy(*KEY).orderBy("valid_from").rowsBetween(before, -1)
+    day = day.select(*KEY, "valid_from", F.coalesce(F.sum("_d").over(w_day), F.lit(0)).alias("_p1"),
+                     F.coalesce(F.sum("_ds").over(w_day), F.lit(0)).alias("_p1s"))
+    blocks = (ledger.groupBy(*KEY, "valid_from", blk).agg(F.sum("hours").alias("_b"), F.sum(signed).alias("_bs")))
+    w_blk = Window.partitionBy(*KEY, "valid_from").orderBy("_blk").rowsBetween(before, -1)
+    blocks = blocks.select(*KEY, "valid_from", "_blk", F.coalesce(F.sum("_b").over(w_blk), F.lit(0)).alias("_p2"),
+                           F.coalesce(F.sum("_bs").over(w_blk), F.lit(0)).alias("_p2s"))
+    w_in = (Window.partitionBy(*KEY, "valid_from", "_blk").orderBy("entry_id")
+            .rowsBetween(before, Window.currentRow))
+    out = (ledger.withColumn("_blk", blk)
+           .join(day, KEY + ["valid_from"]).join(blocks, KEY + ["valid_from", "_blk"])
+           .withColumn("balance", (F.col("_p1") + F.col("_p2") + F.sum("hours").over(w_in)).cast("double"))
+           .withColumn("balance_signed", (F.col("_p1s") + F.col("_p2s") + F.sum(signed).over(w_in)).cast("double")))
+    return out.drop("_blk", "_p1", "_p1s", "_p2", "_p2s")
 
 
 # C6 -------------------------------------------------------------------------

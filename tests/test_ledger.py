@@ -123,3 +123,19 @@ def test_overview_history_maps(spark):
     disp = L.history_display(led, change_type="reduction").first()
     assert disp.valid_from_text == "01.06.2024" and disp.change_type_label.startswith("📉")
     assert [r.activity for r in L.ledger_activities(led).collect()] == ["A", "B"]
+
+
+def test_running_balance_hot_key_matches_brute_force(spark):
+    """One key holding all entries, several per day: the blocked prefix sums
+    equal a sequential running sum."""
+    rows = [{"project_nr": "P", "activity": "A", "hours": 1 + (i % 4), "entry_id": i,
+             "change_type": "reduction" if i % 3 == 0 else "initial", "valid_from": D(2024, 1, 1 + (i % 2))}
+            for i in range(1, 1201)]
+    got = {r.entry_id: (r.balance, r.balance_signed)
+           for r in L.running_balance(make_ledger(spark, rows), block=16).collect()}
+    bal = sbal = 0.0
+    for r in sorted(rows, key=lambda r: (r["valid_from"], r["entry_id"])):
+        h = float(1 + (r["entry_id"] % 4))
+        bal += h
+        sbal += -h if r["change_type"] == "reduction" else h
+        assert got[r["entry_id"]] == (bal, sbal)
