@@ -8,7 +8,6 @@ portfolio levels are further aggregations of that result.
 
 from __future__ import annotations
 
-from typing import Optional
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
