@@ -71,6 +71,7 @@ class BookingFilters:
     search_term: Optional[str] = None
     search_literal: bool = False
     search_columns: Sequence[str] = field(default_factory=lambda: ["activity", "project", "customer"])
+    prune_months: bool = False  # add the (year, month) partition predicate to date ranges
 
 
 def date_range_predicate(start=None, end=None, col: str = "entry_date") -> Column:
@@ -83,6 +84,19 @@ def date_range_predicate(start=None, end=None, col: str = "entry_date") -> Colum
     return H.all_of(preds)
 
 
+def month_partition_predicate(start=None, end=None) -> Column:
+    """The (year, month) range covering [start, end], on the partition
+    columns of a month-partitioned bookings table, so the scan skips whole
+    directories (a predicate on ``entry_date`` alone cannot)."""
+    ym = F.col("year") * 100 + F.col("month")
+    preds = []
+    if start is not None:
+        preds.append(ym >= F.lit(start.year * 100 + start.month))
+    if end is not None:
+        preds.append(ym <= F.lit(end.year * 100 + end.month))
+    return H.all_of(preds)
+
+
 def default_date_window(as_of: _dt.date, start=None, end=None) -> tuple[_dt.date, _dt.date]:
     """Default [as_of - 2 years, as_of]; a single date means that day."""
     if start is not None and end is None:
@@ -116,6 +130,8 @@ def booking_predicate(f: BookingFilters) -> Column:
         preds.append(F.col("status").isin(list(f.statuses)))
     if f.start_date is not None or f.end_date is not None:
         preds.append(date_range_predicate(f.start_date, f.end_date))
+        if f.prune_months:
+            preds.append(month_partition_predicate(f.start_date, f.end_date))
     if f.activity is not None:
         preds.append(F.col("activity") == F.lit(f.activity))
     if f.activities:

@@ -156,6 +156,22 @@ def read_entitlements(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.ENTITLEMENT_SCHEMA).option("multiLine", True).json(path)
 
 
+# Bookings table partitioned by month -----------------------------------------
+def write_bookings_table(bookings: DataFrame, path: str, max_records_per_file: int = 5_000_000) -> None:
+    """Store bookings partitioned by (year, month) of ``entry_date``, rows
+    ordered by project within each file so Parquet min/max statistics also
+    skip row groups for project filters. No repartition by month: every task
+    writes its own files per month, so a busy month is not one task."""
+    (bookings.sortWithinPartitions("year", "month", "project_nr", "entry_date")
+     .write.mode("overwrite").partitionBy("year", "month")
+     .option("maxRecordsPerFile", max_records_per_file).parquet(path))
+
+
+def read_bookings_table(spark: SparkSession, path: str) -> DataFrame:
+    """The partitioned bookings table with the canonical schema."""
+    return spark.read.schema(S.BOOKINGS_SCHEMA).parquet(path).select(*[f.name for f in S.BOOKINGS_SCHEMA.fields])
+
+
 # A6 / A7 --------------------------------------------------------------------
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The budget ledger as written by :func:`burnline.operators.ledger.append_entries`."""

@@ -134,3 +134,19 @@ def test_filter_summary(spark):
     assert s.active_filters == 4 and s.record_count == 1
     assert s.filter_texts[2] == "Mitarbeiter: 4 ausgewählt"
     assert B.default_date_window(dt.date(2024, 2, 29)) == (dt.date(2022, 2, 28), dt.date(2024, 2, 29))
+
+
+def test_month_partitioned_bookings_prune(spark, tmp_dir):
+    from burnline.sources import derived
+    bookings = derived.bookings(spark, "/root/testdata/sf0.001")
+    path = os.path.join(tmp_dir, "bookings")
+    FS.write_bookings_table(bookings, path)
+    table = FS.read_bookings_table(spark, path)
+    S.assert_schema(table, S.BOOKINGS_SCHEMA)
+    f = B.BookingFilters(start_date=dt.date(1999, 6, 30), end_date=dt.date(2001, 6, 30), prune_months=True)
+    got = B.apply_filters(table, f)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "year" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    want = B.apply_filters(bookings, B.BookingFilters(start_date=dt.date(1999, 6, 30), end_date=dt.date(2001, 6, 30)))
+    cols = ["erp_txn_no", "project_nr", "activity", "entry_date", "hours_billed"]
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
