@@ -52,7 +52,7 @@ def bookings(spark: SparkSession, sf_dir: str, as_of=DEFAULT_AS_OF,
     """
     li = spread_if_undersplit(table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
                                     "l_linestatus", "l_quantity", "l_discount", "l_returnflag", "l_shipdate"))
-    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    orders = spread_if_undersplit(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate"))
     if cut_at_as_of:
         orders = orders.filter(F.col("o_orderdate") <= ts_ntz(as_of))
     # Dimension lookups are left joins on the dimensions' primary keys: a
@@ -98,7 +98,7 @@ def booking_events(spark: SparkSession, sf_dir: str, as_of=DEFAULT_AS_OF) -> Dat
     booking_ts, entry_date and both measures -- without the name lookups."""
     li = spread_if_undersplit(table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
                                     "l_quantity", "l_discount", "l_shipdate"))
-    orders = (table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
+    orders = (spread_if_undersplit(table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate"))
               .filter(F.col("o_orderdate") <= ts_ntz(as_of)))
     part = table(spark, sf_dir, "part", "p_partkey", "p_type")
     joined = (li.join(orders, li.l_orderkey == orders.o_orderkey)
