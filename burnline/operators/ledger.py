@@ -103,33 +103,45 @@ def latest_entries(ledger: DataFrame, date=None) -> DataFrame:
     return picked.select(*KEY, *[F.col("_e." + c).alias(c) for c in cols])
 
 
-# E8 -------------------------------------------------------------------------
+# Running sums with bounded windows ----------------------------------
+def blocked_running_sum(df: DataFrame, keys: list, order_col: str, values: dict, block: int = 1024) -> DataFrame:
+    """Running sums of ``values`` ({output name: column}) per ``keys`` in the
+    order of the unique integer ``order_col``, without a window over all of a
+    key's rows: totals of blocks of ``block`` consecutive ids are
+    cumulated per key (one row per block), then the rows of one block (at
+    most ``block``) are cumulated on top."""
+    blk = F.floor(F.col(order_col) / F.lit(block))
+    with_blk = df.withColumn("_blk", blk)
+    totals = with_blk.groupBy(*keys, "_blk").agg(*[F.sum(v).alias("_t_" + k) for k, v in values.items()])
+    w_blk = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    prefix = totals.select(*keys, "_blk", *[F.coalesce(F.sum("_t_" + k).over(w_blk), F.lit(0)).alias("_p_" + k)
+                                            for k in values])
+    w_in = Window.partitionBy(*keys, "_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding,
+                                                                            Window.currentRow)
+    out = with_blk.join(prefix, list(keys) + ["_blk"])
+    for k, v in values.items():
+        out = out.withColumn(k, F.col("_p_" + k) + F.sum(v).over(w_in))
+    return out.drop("_blk", *["_p_" + k for k in values])
+
+
 def running_balance(ledger: DataFrame, block: int = 1024) -> DataFrame:
     """Balance after each entry, in (valid_from, entry_id) order per key.
 
-    Three levels of prefix sums keep every window bounded, however many
-    entries one key has: day totals per key (one row per day), then totals
-    of blocks of ``block`` consecutive entry ids within a (key, day), then
-    the entries of one block (at most ``block`` rows, ids being unique).
+    Every window is bounded, however many entries one key has: day totals
+    per key are cumulated over one row per day, and entries within a
+    (key, day) use :func:`blocked_running_sum` (blocks of ``block`` ids).
     """
     signed = signed_hours()
-    blk = F.floor(F.col("entry_id") / F.lit(block)).alias("_blk")
-    before = Window.unboundedPreceding
-    day = (ledger.groupBy(*KEY, "valid_from").agg(F.sum("hours").alias("_d"), F.sum(signed).alias("_ds")))
-    w_day = Window.partitionBy(*KEY).orderBy("valid_from").rowsBetween(before, -1)
+    day = ledger.groupBy(*KEY, "valid_from").agg(F.sum("hours").alias("_d"), F.sum(signed).alias("_ds"))
+    w_day = Window.partitionBy(*KEY).orderBy("valid_from").rowsBetween(Window.unboundedPreceding, -1)
     day = day.select(*KEY, "valid_from", F.coalesce(F.sum("_d").over(w_day), F.lit(0)).alias("_p1"),
                      F.coalesce(F.sum("_ds").over(w_day), F.lit(0)).alias("_p1s"))
-    blocks = (ledger.groupBy(*KEY, "valid_from", blk).agg(F.sum("hours").alias("_b"), F.sum(signed).alias("_bs")))
-    w_blk = Window.partitionBy(*KEY, "valid_from").orderBy("_blk").rowsBetween(before, -1)
-    blocks = blocks.select(*KEY, "valid_from", "_blk", F.coalesce(F.sum("_b").over(w_blk), F.lit(0)).alias("_p2"),
-                           F.coalesce(F.sum("_bs").over(w_blk), F.lit(0)).alias("_p2s"))
-    w_in = (Window.partitionBy(*KEY, "valid_from", "_blk").orderBy("entry_id")
-            .rowsBetween(before, Window.currentRow))
-    out = (ledger.withColumn("_blk", blk)
-           .join(day, KEY + ["valid_from"]).join(blocks, KEY + ["valid_from", "_blk"])
-           .withColumn("balance", (F.col("_p1") + F.col("_p2") + F.sum("hours").over(w_in)).cast("double"))
-           .withColumn("balance_signed", (F.col("_p1s") + F.col("_p2s") + F.sum(signed).over(w_in)).cast("double")))
-    return out.drop("_blk", "_p1", "_p1s", "_p2", "_p2s")
+    within = blocked_running_sum(ledger, KEY + ["valid_from"], "entry_id",
+                                 {"_r": F.col("hours"), "_rs": signed}, block)
+    out = (within.join(day, KEY + ["valid_from"])
+           .withColumn("balance", (F.col("_p1") + F.col("_r")).cast("double"))
+           .withColumn("balance_signed", (F.col("_p1s") + F.col("_rs")).cast("double")))
+    return out.drop("_p1", "_p1s", "_r", "_rs")
 
 
 # C6 -------------------------------------------------------------------------
@@ -287,10 +299,10 @@ def append_entries(proposals: DataFrame, ledger_path: str, created_at,
 # J3 -------------------------------------------------------------------------
 def preview_changes(ledger: DataFrame, proposals: DataFrame, date) -> DataFrame:
     """What-if: balance today, change, new balance. Several proposals for one
-    key stack in ``proposal_id`` order."""
+    key stack in ``proposal_id`` order (a unique integer id)."""
     current = budgets_at(ledger, date).select(*KEY, F.col("budget_hours").alias("current_budget"))
-    w = Window.partitionBy(*KEY).orderBy("proposal_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    p = proposals.withColumn("_cum", F.sum(F.col("hours").cast("decimal(38,2)")).over(w).cast("double"))
+    p = blocked_running_sum(proposals, KEY, "proposal_id", {"_cum": F.col("hours").cast("decimal(38,2)")}) \
+        .withColumn("_cum", F.col("_cum").cast("double"))
     return (p.join(current, KEY, "left")
             .select("proposal_id", *KEY,
                     F.coalesce("current_budget", F.lit(0.0)).alias("current_budget"),

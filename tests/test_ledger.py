@@ -139,3 +139,14 @@ def test_running_balance_hot_key_matches_brute_force(spark):
         bal += h
         sbal += -h if r["change_type"] == "reduction" else h
         assert got[r["entry_id"]] == (bal, sbal)
+
+
+def test_blocked_running_sum_matches_sequential(spark):
+    df = spark.createDataFrame([("P", i, float(i % 7)) for i in range(1, 3001)] + [("Q", 5, 2.0)],
+                               "k string, id long, v double")
+    got = {(r.k, r.id): r.s for r in L.blocked_running_sum(df, ["k"], "id", {"s": F.col("v")}, block=32).collect()}
+    acc = 0.0
+    for i in range(1, 3001):
+        acc += float(i % 7)
+        assert got[("P", i)] == acc
+    assert got[("Q", 5)] == 2.0
