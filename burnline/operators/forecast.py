@@ -2,12 +2,12 @@
 
 All units are forecast in one job, at both levels (project, and activity
 within project). The booking series (daily grain) is reduced once to one
-row per (unit, sprint number) -- NULL dates and future bookings keep their
-own groups so totals stay complete -- and the project level is a
-re-aggregation of that small table. Velocity, dispersion, trend and totals
-are then one more ``groupBy`` with conditional sums over at most a handful
-of rows per unit; targets and overrides are joined per unit; the three
-scenarios are an ``explode`` of each unit row.
+row per (unit, sprint number) for both levels in a single grouping-sets
+aggregation -- NULL dates and future bookings keep their own groups so
+totals stay complete. Velocity, dispersion, trend and totals are then one
+more ``groupBy`` with conditional sums over at most a handful of rows per
+unit; targets and overrides are joined per unit; the three scenarios are an
+``explode`` of each unit row.
 """
 
 from __future__ import annotations

@@ -4,8 +4,9 @@ append (A6, A7, C5, C6, D8-D12, D26, D27, E4, E8, G2, G3, J1, J3, J4).
 The ledger is append-only; a balance is the sum of entries whose
 ``valid_from`` is on or before the date. All per-key work is either a
 partial (map-side) aggregation or a window over rows already reduced to one
-per (key, day), so a key holding a third of all entries is pre-aggregated
-before it is shuffled.
+per (key, day) or per block of ids, so a key holding a third of all
+entries is pre-aggregated before it is shuffled and never forms one
+unbounded window partition.
 """
 
 from __future__ import annotations
