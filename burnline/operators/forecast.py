@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import scalar as H
-from .trends import _add_days
+from .trends import _add_days, cumulative_by_time
 
 UNIT = ["level", "project_nr", "activity"]
 
@@ -293,9 +293,8 @@ def scenario_series(series: DataFrame, scen: DataFrame, as_of: Column) -> DataFr
     chart draws scenario lines only when they end in the future)."""
     daily = two_levels(series.filter(F.col("booking_ts").isNotNull()), ["booking_ts"],
                        [F.sum("hours").alias("hours")])
-    w = Window.partitionBy(*UNIT).orderBy("booking_ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    actual = daily.select(*UNIT, F.lit("actual").alias("series"), F.col("booking_ts").alias("x"),
-                          F.sum("hours").over(w).alias("y"))
+    actual = cumulative_by_time(daily, UNIT, "booking_ts", "hours", "y") \
+        .select(*UNIT, F.lit("actual").alias("series"), F.col("booking_ts").alias("x"), "y")
     # per unit: three scenario rows; the latest end is a window over them
     sc = scen.filter(F.col("first_booking").isNotNull()) \
         .withColumn("_maxend", F.max("end_ts").over(Window.partitionBy(*UNIT)))

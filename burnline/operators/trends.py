@@ -48,10 +48,41 @@ def daily_totals(series: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 # E2 / E3 --------------------------------------------------------------------
+def cumulative_by_time(df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str) -> DataFrame:
+    """Running total of ``value`` per ``keys`` in ``ts`` order, for rows that
+    are unique per (keys, ts), without any window over all of a key's rows:
+    day totals are cumulated per key (one row per day), second totals within
+    a (key, day) (at most 86 400 rows), then the rows of one second. Keys
+    may be NULL (e.g. the activity of project-level rows); joins are
+    NULL-safe."""
+    keys = list(keys)
+    d = df.withColumn("_day", F.to_date(F.col(ts))).withColumn("_sec", F.date_trunc("second", F.col(ts)))
+    before = Window.unboundedPreceding
+
+    def prefix(level_keys, order, name):
+        agg = d.groupBy(*level_keys, order).agg(F.sum(value).alias("_v"))
+        w = Window.partitionBy(*level_keys).orderBy(order).rowsBetween(before, -1)
+        return agg.select(*[F.col(k).alias("_j_" + k) for k in level_keys], F.col(order).alias("_j_" + order),
+                          F.coalesce(F.sum("_v").over(w), F.lit(0)).alias(name))
+
+    def join(left, right, cols):
+        cond = None
+        for c in cols:
+            e = left[c].eqNullSafe(right["_j_" + c])
+            cond = e if cond is None else cond & e
+        return left.join(right, cond).drop(*["_j_" + c for c in cols])
+
+    with_day = join(d, prefix(keys, "_day", "_pd"), keys + ["_day"])
+    with_sec = join(with_day, prefix(keys + ["_day"], "_sec", "_ps"), keys + ["_day", "_sec"])
+    w_in = Window.partitionBy(*keys, "_sec").orderBy(ts).rowsBetween(before, Window.currentRow)
+    return (with_sec.withColumn(out, F.col("_pd") + F.col("_ps") + F.sum(value).over(w_in))
+            .drop("_day", "_sec", "_pd", "_ps"))
+
+
 def burndown(series: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Cumulative daily hours per unit (one row per unit and day)."""
-    w = Window.partitionBy(*keys).orderBy("booking_ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return daily_totals(series, keys).withColumn("cumulative_hours", F.sum("hours").over(w))
+    """Cumulative hours per unit and booking timestamp (one row per unit and
+    day for date-only bookings); windows stay bounded for any skew."""
+    return cumulative_by_time(daily_totals(series, keys), keys, "booking_ts", "hours", "cumulative_hours")
 
 
 # D14 / D15 ------------------------------------------------------------------

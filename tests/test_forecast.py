@@ -138,3 +138,18 @@ def test_scenario_series_shapes(spark):
     assert kinds == ["actual", "optimistic", "optimistic Ende", "pessimistic", "pessimistic Ende",
                      "realistic", "realistic Ende", "target"]
     assert max(p.y for p in pts if p.series == "actual") == 120.0
+
+
+def test_burndown_with_time_parts_matches_sequential(spark):
+    """Timestamps with time parts (several per second and per day) on one hot
+    key: the three-level running total equals a sequential cumulative sum."""
+    base = dt.datetime(2024, 1, 1)
+    stamps = [base + dt.timedelta(days=i % 5, seconds=(i * 7) % 3, microseconds=i) for i in range(1, 800)]
+    rows = [{"project_nr": "P", "activity": "A", "booking_ts": t, "hours_billed": float(i % 9)}
+            for i, t in enumerate(stamps, 1)]
+    s = TR.booking_series(make_bookings(spark, rows))
+    got = {r.booking_ts: r.cumulative_hours for r in TR.burndown(s, ["project_nr"]).collect()}
+    acc = 0.0
+    for t, r in sorted(zip(stamps, rows)):
+        acc += r["hours_billed"]
+        assert got[t] == acc
