@@ -206,16 +206,18 @@ def cumulative_with_targets(series: DataFrame, targets: DataFrame) -> DataFrame:
     """Cumulative hours per (project, activity) and day, plus the target
     line (first and last day) where the activity's target is > 0.
 
-    One pass: the curve's first and last rows per key (window min/max over
-    day rows) also emit the target points.
+    The curve's first and last rows per key (from a per-key min/max
+    aggregate) also emit the target points.
     """
     keys = ["project_nr", "activity"]
-    w = Window.partitionBy(*keys)
-    curve = burndown(series, keys) \
-        .withColumn("_a", F.min("booking_ts").over(w)).withColumn("_b", F.max("booking_ts").over(w))
-    t = targets.select(*keys, F.col("budget_hours").alias("_t"))
-    c = curve.join(t, keys, "left")
-
+    curve = burndown(series, keys)
+    # first and last booking per key: a partial aggregate, joined back
+    span = (series.filter(F.col("booking_ts").isNotNull()).groupBy(*keys)
+            .agg(F.min("booking_ts").alias("_a"), F.max("booking_ts").alias("_b"))
+            .join(targets.select(*keys, F.col("budget_hours").alias("_t")), keys, "left")
+            .select(*[F.col(k).alias("_k_" + k) for k in keys], "_a", "_b", "_t"))
+    cond = (curve["project_nr"] == span["_k_project_nr"]) & curve["activity"].eqNullSafe(span["_k_activity"])
+    c = curve.join(span, cond).drop("_k_project_nr", "_k_activity")
     point_type = "array<struct<series:string,x:timestamp_ntz,y:double>>"
 
     def pt(name, x, y):
