@@ -107,22 +107,29 @@ def latest_entries(ledger: DataFrame, date=None) -> DataFrame:
 # Running sums with bounded windows ----------------------------------
 def blocked_running_sum(df: DataFrame, keys: list, order_col: str, values: dict, block: int = 1024) -> DataFrame:
     """Running sums of ``values`` ({output name: column}) per ``keys`` in the
-    order of the unique integer ``order_col``, without a window over all of a
-    key's rows: totals of blocks of ``block`` consecutive ids are
-    cumulated per key (one row per block), then the rows of one block (at
-    most ``block``) are cumulated on top."""
+    order of the unique integer ``order_col``, with every window bounded:
+    totals of super-blocks (``block``^2 consecutive ids) are cumulated per
+    key, totals of blocks (``block`` ids) within one super-block, and the
+    rows of one block on top -- at most ``block`` rows per window below the
+    top level, and the top level has one row per million ids of a key."""
+    keys = list(keys)
+    sup = F.floor(F.col(order_col) / F.lit(block * block))
     blk = F.floor(F.col(order_col) / F.lit(block))
-    with_blk = df.withColumn("_blk", blk)
-    totals = with_blk.groupBy(*keys, "_blk").agg(*[F.sum(v).alias("_t_" + k) for k, v in values.items()])
-    w_blk = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = totals.select(*keys, "_blk", *[F.coalesce(F.sum("_t_" + k).over(w_blk), F.lit(0)).alias("_p_" + k)
-                                            for k in values])
-    w_in = Window.partitionBy(*keys, "_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding,
-                                                                            Window.currentRow)
-    out = with_blk.join(prefix, list(keys) + ["_blk"])
+    d = df.withColumn("_sup", sup).withColumn("_blk", blk)
+    before = Window.unboundedPreceding
+
+    def prefix(level_keys, order, tag):
+        tot = d.groupBy(*level_keys, order).agg(*[F.sum(v).alias("_t_" + k) for k, v in values.items()])
+        w = Window.partitionBy(*level_keys).orderBy(order).rowsBetween(before, -1)
+        return tot.select(*level_keys, order, *[F.coalesce(F.sum("_t_" + k).over(w), F.lit(0)).alias(tag + k)
+                                                for k in values])
+
+    out = (d.join(prefix(keys, "_sup", "_ps_"), keys + ["_sup"])
+           .join(prefix(keys + ["_sup"], "_blk", "_pb_"), keys + ["_sup", "_blk"]))
+    w_in = Window.partitionBy(*keys, "_blk").orderBy(order_col).rowsBetween(before, Window.currentRow)
     for k, v in values.items():
-        out = out.withColumn(k, F.col("_p_" + k) + F.sum(v).over(w_in))
-    return out.drop("_blk", *["_p_" + k for k in values])
+        out = out.withColumn(k, F.col("_ps_" + k) + F.col("_pb_" + k) + F.sum(v).over(w_in))
+    return out.drop("_sup", "_blk", *["_ps_" + k for k in values], *["_pb_" + k for k in values])
 
 
 def running_balance(ledger: DataFrame, block: int = 1024) -> DataFrame:
@@ -130,7 +137,8 @@ def running_balance(ledger: DataFrame, block: int = 1024) -> DataFrame:
 
     Every window is bounded, however many entries one key has: day totals
     per key are cumulated over one row per day, and entries within a
-    (key, day) use :func:`blocked_running_sum` (blocks of ``block`` ids).
+    (key, day) use :func:`blocked_running_sum` (super-blocks and blocks of
+    entry ids).
     """
     signed = signed_hours()
     day = ledger.groupBy(*KEY, "valid_from").agg(F.sum("hours").alias("_d"), F.sum(signed).alias("_ds"))
