@@ -54,7 +54,8 @@ def cumulative_by_time(df: DataFrame, keys: Sequence[str], ts: str, value: str,
     day totals are cumulated per key (one row per day), second totals within
     a (key, day) (at most 86 400 rows), then the rows of one second. Keys
     may be NULL (e.g. the activity of project-level rows); joins are
-    NULL-safe."""
+    NULL-safe. ``df`` is read three times: callers should pass a persisted
+    input (see :func:`burnline.session.share`) when it is expensive."""
     keys = list(keys)
     d = df.withColumn("_day", F.to_date(F.col(ts))).withColumn("_sec", F.date_trunc("second", F.col(ts)))
     before = Window.unboundedPreceding

@@ -328,12 +328,12 @@ def d13_daily_totals(spark, sf_dir):
 
 @register("e2_burndown")
 def e2_burndown(spark, sf_dir):
-    return TR.burndown(_series(spark, sf_dir), ["project_nr"])
+    return TR.burndown(_series(spark, sf_dir, shared=True), ["project_nr"])
 
 
 @register("e3_activity_cumulative")
 def e3_activity_cumulative(spark, sf_dir):
-    return TR.burndown(_series(spark, sf_dir), ["project_nr", "activity"])
+    return TR.burndown(_series(spark, sf_dir, shared=True), ["project_nr", "activity"])
 
 
 @register("d14_weekly_totals")
@@ -382,7 +382,7 @@ def i15_burndown_metrics(spark, sf_dir):
 
 @register("i13_cumulative_with_targets")
 def i13_cumulative_with_targets(spark, sf_dir):
-    return TR.cumulative_with_targets(_series(spark, sf_dir), _targets(spark, sf_dir))
+    return TR.cumulative_with_targets(_series(spark, sf_dir, shared=True), _targets(spark, sf_dir))
 
 
 # --- forecast ---------------------------------------------------------------
