@@ -150,3 +150,23 @@ def test_blocked_running_sum_matches_sequential(spark):
         acc += float(i % 7)
         assert got[("P", i)] == acc
     assert got[("Q", 5)] == 2.0
+
+
+def test_asof_batch_hot_key_brute_force(spark):
+    """Many entries and probe dates on one key (incl. same-day entries and
+    probes): the union + running-sum lookup equals summing by hand."""
+    import random
+    rnd = random.Random(7)
+    entries = [{"project_nr": "P", "activity": "A", "hours": rnd.randint(0, 50), "entry_id": i,
+                "change_type": rnd.choice(["initial", "extension", "reduction"]),
+                "valid_from": D(2024, 1, 1) + dt.timedelta(days=rnd.randint(0, 60))} for i in range(1, 301)]
+    probe_days = sorted({D(2023, 12, 31) + dt.timedelta(days=rnd.randint(0, 70)) for _ in range(40)})
+    probes = spark.createDataFrame([("P", "A", d) for d in probe_days],
+                                   "project_nr string, activity string, as_of_date date")
+    got = {r.as_of_date: (r.budget_hours, r.budget_hours_signed)
+           for r in L.balances_at_dates(make_ledger(spark, entries), probes).collect()}
+    for d in probe_days:
+        valid = [e for e in entries if e["valid_from"] <= d]
+        lit = float(sum(e["hours"] for e in valid))
+        signed = float(sum(-e["hours"] if e["change_type"] == "reduction" else e["hours"] for e in valid))
+        assert got[d] == (lit, signed), d
