@@ -46,6 +46,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: Iterable[str], name: str) -> str:
+    """``name``, with underscores after it if a column has that name."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text",
            max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that ``column`` holds about ``max_bytes`` each (one row at least)."""
@@ -91,12 +99,6 @@ def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         at = end
 
 
-def with_columns(batch: pa.RecordBatch, names: Iterable[str], new: dict[str, pa.Array]) -> pa.RecordBatch:
-    """The named columns of ``batch`` and the new ones."""
-    names = list(names)
-    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *new.values()], [*names, *new])
-
-
 def per_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text",
               max_bytes: int = 4 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for ``mapInArrow`` that applies ``make`` to bounded slices."""

@@ -143,8 +143,9 @@ def learn(docs: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
     return {k: found[k] for k in sorted(found) if found[k].any()}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], columns: list[str] | None = None) -> DataFrame:
-    """The ``columns`` of ``docs`` (all) with ``lang_pred`` and ``score``."""
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], columns: list[str] | None = None,
+             pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The ``columns`` of ``docs`` (all) with the predicted language and its score, under the names ``pred`` and ``score``."""
     columns = docs.columns if columns is None else columns
     names, dim = [*prototypes], len(next(iter(prototypes.values()), np.zeros(DIM)))
     unit = np.array([p / np.linalg.norm(p) for p in prototypes.values()]).reshape(len(names), dim)
@@ -156,12 +157,11 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], columns: list[s
             known = (letters > 0) & (norm > 0) & bool(names)
             cosine = vectors @ unit.T / np.where(norm > 0, norm, 1)[:, None] if names else np.zeros((len(norm), 1))
             best = cosine.argmax(1)
-            pred = [names[b] if ok else UNKNOWN for b, ok in zip(best, known)]
-            score = np.where(known, np.clip(cosine.max(1), 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(pred, pa.string()),
-                                              pa.array(score, pa.float64())], [*columns, "lang_pred", "score"])
+            langs = [names[b] if ok else UNKNOWN for b, ok in zip(best, known)]
+            scores = np.where(known, np.clip(cosine.max(1), 0, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(langs, pa.string()),
+                                              pa.array(scores, pa.float64())], [*columns, pred, score])
 
     source = docs.select(*dict.fromkeys([*columns, "text"]))
-    schema = StructType([*(source.schema[c] for c in columns), StructField("lang_pred", StringType()),
-                         StructField("score", DoubleType())])
+    schema = StructType([*(source.schema[c] for c in columns), StructField(pred, StringType()), StructField(score, DoubleType())])
     return source.mapInArrow(run, schema)

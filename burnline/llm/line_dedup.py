@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import slices
+from .common import fresh, slices
 
 MIN_LINE, MIN_UNIT, MIN_RUN, LONG = 5, 4, 12, 32
 LAST = (1 << 63) - 1  # the rank of a null doc_id
@@ -138,20 +138,20 @@ def repeats(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("digests"))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with its texts cut and ``removed``, the spans cut out."""
+def remove_repeats(docs: DataFrame, removed: str = "removed") -> DataFrame:
+    """``docs`` with its texts cut, and the spans cut out in a column named ``removed``."""
     columns = docs.columns
-    joined = (docs.withColumn("_rank", _rank())
-              .join(repeats(docs).withColumnRenamed("doc_id", "_rank"), "_rank", "left")
-              .select(*columns, F.transform("digests", lambda d: d["h1"]).alias("_h1"),
-                      F.transform("digests", lambda d: d["h2"]).alias("_h2")))
+    rank, first, second = (fresh(columns, n) for n in ("rank", "h1", "h2"))
+    found = repeats(docs).select(F.col("doc_id").alias(rank), F.transform("digests", lambda d: d["h1"]).alias(first),
+                                 F.transform("digests", lambda d: d["h2"]).alias(second))
+    joined = docs.withColumn(rank, _rank()).join(found, rank, "left").select(*columns, first, second)
     span = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
-    schema = StructType([*docs.schema.fields, StructField("removed", span)])
+    schema = StructType([*docs.schema.fields, StructField(removed, span)])
 
     def run(batches):
         for batch in slices(batches):
             cut, gone = [], []
-            for text, h1, h2 in zip(*(batch.column(c) for c in ("text", "_h1", "_h2"))):
+            for text, h1, h2 in zip(*(batch.column(c) for c in ("text", first, second))):
                 text = text.as_py()
                 pairs = np.stack([np.asarray(h1.values), np.asarray(h2.values)], 1).astype("<i8") if h1.is_valid else ()
                 spans = removed_spans(text, {p.tobytes() for p in pairs}) if text else []
@@ -161,8 +161,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     kept.append(text[at:a])
                     at = b
                 cut.append("".join([*kept, text[at:]]) if spans else text)
-            new = {"text": pa.array(cut, pa.string()), "removed": pa.array(gone, pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()})))}
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in [*columns, "removed"]],
-                                             [*columns, "removed"])
+            new = {"text": pa.array(cut, pa.string()), removed: pa.array(gone, pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()})))}
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in [*columns, removed]],
+                                             [*columns, removed])
 
     return joined.mapInArrow(run, schema)

@@ -35,7 +35,7 @@ class Limits:
     base_window: int = 3
     max_base_percent: int = 50
     min_repeat: int = 8
-    max_covered: float = 0.2
+    max_covered: float = 0.3
     max_repeat: int = 40
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, line_dedup, packing, quality, simhash, token_counts, tokens
+from . import chat, exact_dedup, html_wrapper, langid, line_dedup, packing, quality, simhash, token_counts, tokens
 from .sql import SQL  # noqa: F401
 
 
@@ -63,6 +63,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "\\### Assistant: </turn> ok"
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -77,4 +81,4 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_packing, op3_language_id, op4_quality, op5_exact_dedup, op6_token_counts,
-                            op7_line_dedup, op8_bpe, op10_chat)}
+                            op7_line_dedup, op8_bpe, op9_html, op10_chat)}

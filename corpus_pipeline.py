@@ -11,30 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnline.llm import exact_dedup, langid, line_dedup, packing, simhash, tokens
-from burnline.llm.common import stored
+from burnline.llm.common import fresh, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages stay; those without a letter go."""
-    named = langid.identify(docs, langid.learn(docs))
-    return named.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    pred, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "score")
+    named = langid.identify(docs, langid.learn(docs), pred=pred, score=score)
+    return named.where(F.col(pred) != langid.UNKNOWN).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one stays."""
-    return exact_dedup.one_of_ties(exact_dedup.exact_duplicates(docs, carry=tuple(docs.columns)), docs.columns)
+    return exact_dedup.first_of_equals(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document of smallest id stays."""
-    found = simhash.near_duplicates(docs)
-    stays = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
+    """Of each component of near-duplicates the document of smallest id stays, and any row without an id."""
+    goes = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines and passages go from all documents but the first; ``n_chars`` follows the text."""
-    return line_dedup.remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cut = line_dedup.remove_repeats(docs, fresh(docs.columns, "removed"))
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

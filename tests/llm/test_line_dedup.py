@@ -1,0 +1,93 @@
+import re
+
+from burnline.llm import line_dedup
+
+from .helpers import clashing, docs, words
+
+
+def sentence(n, seed):
+    return " ".join(words(n, seed)).capitalize() + "."
+
+
+PASSAGE = " ".join(sentence(9, 900 + i) for i in range(8))
+
+
+def cut(spark, rows, **extra):
+    return sorted(line_dedup.remove_repeats(docs(spark, rows)).select("doc_id", "text", "removed").collect(), key=lambda r: (r[0] is None, r[0], r[1] or ""))
+
+
+def brute(rows):
+    """The operator on one machine: every document against those of smaller id."""
+    rank = lambda i: line_dedup.LAST if i is None else i
+    owners = {}
+    for i, t in rows:
+        for *_, d, parts in line_dedup.units(t or ""):
+            for x in (d, *(p[3] for p in parts)):
+                owners[x] = min(owners.get(x, line_dedup.LAST), rank(i))
+    out = []
+    for i, t in rows:
+        elsewhere = {d for d, o in owners.items() if d and o < rank(i)}
+        spans = line_dedup.removed_spans(t or "", elsewhere)
+        left = "".join(c for k, c in enumerate(t or "") if not any(a <= k < b for a, b in spans))
+        out.append((i, left if t is not None else None, spans))
+    return sorted(out, key=lambda r: (r[0] is None, r[0], r[1] or ""))
+
+
+def test_units_cover_the_words_of_a_text():
+    for text in [PASSAGE, "a. b! c?\n\n d e", "x" * 99, "one... two?! 3.5 is. e", "\n\n", " lead. \n" + " ".join(words(200, 3)), "...", "a.b.c. D"]:
+        for start, end, n, _, parts in line_dedup.units(text):
+            assert len(text[start:end].split()) == n
+            if parts:
+                assert "".join(text[a:b] for a, b, *_ in parts) == text[start:end]
+                assert sum(p[2] for p in parts) == n
+
+
+def test_repeated_lines_go_from_all_but_the_first(spark):
+    line = sentence(7, 1)
+    rows = [(3, f"{line}\n{sentence(20, 2)}"), (1, f"{sentence(20, 3)}\n{line.upper().replace(' ', '  ')}\nEnd of it."), (2, f"{line}\n{line}\nOk.")]
+    got = {r["doc_id"]: r["text"] for r in cut(spark, rows)}
+    assert got[1] == rows[1][1]
+    assert got[2] == "Ok."
+    assert got[3] == sentence(20, 2)
+
+
+def test_passages_inside_lines_go(spark):
+    rows = [(i, f"{sentence(15, 10 + i)} and {sentence(4, 50 + i)[:-1]} {PASSAGE} so {sentence(12, 80 + i)}") for i in range(6)]
+    got = cut(spark, rows)
+    tail = PASSAGE.split(". ", 1)[1]
+    assert got[0]["text"] == rows[0][1]
+    for r, (_, text) in zip(got[1:], rows[1:]):
+        assert tail not in r["text"] and len(r["text"].split()) < len(text.split()) - 50
+        spans = [(s["start"], s["end"]) for s in r["removed"]]
+        assert re.sub(r"\s+", " ", "".join(text[a:b] for a, b in spans)).strip() in PASSAGE + " "
+        assert "".join(c for k, c in enumerate(text) if not any(a <= k < b for a, b in spans)) == r["text"]
+
+
+def test_a_passage_without_sentences_goes_too(spark):
+    flow = " ".join(words(120, 77))
+    rows = [(i, f"{' '.join(words(30, 300 + i))} {flow} {' '.join(words(30, 400 + i))}") for i in range(3)]
+    got = cut(spark, rows)
+    assert got[0]["text"] == rows[0][1]
+    for r in got[1:]:
+        assert len(r["text"].split()) < 60 + 50
+
+
+def test_common_short_sentences_stay(spark):
+    rows = [(i, f"It is so. {sentence(30, i)} Yes. No way at all. {sentence(25, 100 + i)}") for i in range(5)]
+    assert [r["text"] for r in cut(spark, rows)] == [t for _, t in rows]
+
+
+def test_edge_cases_match_brute_force(spark):
+    line = sentence(8, 5)
+    rows = [(1, None), (2, ""), (3, "\n \n"), (None, line), (4, line), (5, f"{line}\n{line}"), (5, f"{line}\n{line}"), (6, (line + "\n") * 5000),
+            (7, PASSAGE), (8, f"pre {PASSAGE}"), (9, " ".join(sentence(6, 1000 + i) for i in range(9000)))]
+    got = [(r["doc_id"], r["text"], [(s["start"], s["end"]) for s in r["removed"]]) for r in cut(spark, rows)]
+    assert got == brute(rows)
+
+
+def test_extra_columns_and_empty_table(spark):
+    frame = clashing(spark, [(1, PASSAGE), (2, PASSAGE)], ["rank", "h1", "H2", "digests", "first_id"])
+    out = line_dedup.remove_repeats(frame)
+    assert out.columns == [*frame.columns, "removed"]
+    assert [r["H2"] for r in out.collect()] == ["x2", "x2"]
+    assert line_dedup.remove_repeats(docs(spark, [])).count() == 0
