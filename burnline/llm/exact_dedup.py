@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,13 +27,13 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import BLANKS, slices, stored, texts
 
-_DELETE = {ord(c): None for c in BLANKS}
+_DELETE = BLANKS.encode()
 _RECORD = "digest binary, content binary, n long, best_chars long, best_id long, n_best long, done boolean, clash boolean"
 
 
 def normalised(text: str) -> bytes:
     """The text without white space, in UTF-8."""
-    return text.translate(_DELETE).encode("utf-8", "surrogatepass")
+    return text.encode("utf-8", "surrogatepass").translate(None, _DELETE)
 
 
 class ContentTable:
@@ -102,7 +102,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
 
 
-def _read(docs: DataFrame, digest, memory_bytes: int) -> DataFrame:
+def _read(docs: DataFrame, digest: Callable[[bytes], bytes], memory_bytes: int) -> DataFrame:
     """One record per distinct text of an input task (more if they exceed ``memory_bytes``)."""
 
     def run(batches):
@@ -156,16 +156,18 @@ def classes(docs: DataFrame, memory_bytes: int = 48 << 20, buckets: int | None =
             return found
 
 
-def exact_duplicates(docs: DataFrame, memory_bytes: int = 48 << 20, buckets: int | None = None,
-                     digest=_sha256, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, digest, keep_id, group_size, kept and the ``carry`` columns, one row per row of ``docs``."""
+def _verdicts(docs: DataFrame, columns: list[str], memory_bytes: int, buckets: int | None,
+              digest: Callable[[bytes], bytes]) -> tuple[DataFrame, bool]:
+    """The ``columns`` of ``docs``, which have none of the new names, and the
+    verdict of each row; whether rows tie for the place of the one that stays
+    (``ties`` is how many)."""
     found = classes(docs, memory_bytes, buckets, digest)
-    columns = ["doc_id", *(c for c in carry if c != "doc_id")]
 
     def keys(with_content: bool) -> DataFrame:
-        source = docs.select(*dict.fromkeys([*columns, "text"]))
-        add = {"_digest": BinaryType(), "_chars": LongType(), **({"_content": BinaryType()} if with_content else {})}
-        schema = StructType([*(source.schema[c] for c in columns), *(StructField(k, t) for k, t in add.items())])
+        source = docs.select(*dict.fromkeys([*columns, "doc_id", "text"]))
+        kept = [c for c in source.columns if c != "text" or c in columns]
+        add = {"digest": BinaryType(), "n_chars_": LongType(), **({"content": BinaryType()} if with_content else {})}
+        schema = StructType([*(source.schema[c] for c in kept), *(StructField(k, t) for k, t in add.items())])
 
         def run(batches):
             for batch in slices(batches):
@@ -173,25 +175,39 @@ def exact_duplicates(docs: DataFrame, memory_bytes: int = 48 << 20, buckets: int
                 contents = [normalised(t) for t in whole]
                 new = [pa.array([digest(c) for c in contents], pa.binary()), pa.array([len(t) for t in whole], pa.int64())]
                 new += [pa.array(contents, pa.binary())] * with_content
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *new], [*columns, *add])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, *add])
 
         return source.mapInArrow(run, schema)
 
-    classed = found.select(F.col("digest").alias("_digest"), F.col("content").alias("_content"),
-                           F.col("n").alias("group_size"), F.col("best_id").alias("keep_id"),
-                           F.col("best_chars").alias("_best"), F.col("n_best").alias("_ties"),
-                           F.col("clash").alias("_clash"))
-    out = keys(False).join(classed.where("not _clash").drop("_content"), "_digest")
+    classed = found.select("digest", "content", F.col("n").alias("group_size"), F.col("best_id").alias("keep_id"),
+                           F.col("best_chars").alias("best_chars_"), F.col("n_best").alias("n_best_"), "clash")
+    out = keys(False).join(classed.where("not clash").drop("content"), "digest")
     if not found.where("clash").isEmpty():  # texts that share a digest: told apart by their contents
-        out = out.unionByName(keys(True).join(classed.where("_clash"), ["_digest", "_content"]).drop("_content"))
-    best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_chars") == F.col("_best"))
-    return out.select(*columns, F.col("_digest").alias("digest"), "keep_id", "group_size",
-                      best.alias("kept"), F.when(best, F.col("_ties")).otherwise(0).alias("ties"))
-
-
-def one_of_ties(verdicts: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows that stay; of repeated rows (ties > 1) one."""
-    kept = verdicts.where("kept")
-    single = kept.where("ties <= 1").select(*columns)
-    again = kept.where("ties > 1").dropDuplicates(["doc_id", "digest"]).select(*columns)
-    return single.union(again)
+        out = out.unionByName(keys(True).join(classed.where("clash"), ["digest", "content"]).drop("content"))
+    best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars_") == F.col("best_chars_"))
+    out = out.withColumn("kept", best).withColumn("ties", F.when(best, F.col("n_best_")).otherwise(0))
+    return out.drop("n_chars_", "best_chars_", "n_best_", "clash"), not found.where("n_best > 1").isEmpty()
+
+
+def exact_duplicates(docs: DataFrame, memory_bytes: int = 48 << 20, buckets: int | None = None,
+                     digest: Callable[[bytes], bytes] = _sha256) -> DataFrame:
+    """doc_id, digest, keep_id, group_size and kept, one row per row of ``docs``."""
+    found, tied = _verdicts(docs.select("doc_id", "text"), ["doc_id"], memory_bytes, buckets, digest)
+    key = ["doc_id", "digest", "keep_id", "group_size"]
+    if not tied:
+        return found.select(*key, "kept")
+    # Repeated rows that tie: as many rows, the first of them kept.
+    again = (found.where("ties > 1").groupBy(*key).agg(F.count("*").alias("n"))
+             .select(*key, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).select(*key, (F.col("i") == 1).alias("kept")))
+    return found.where("ties <= 1").select(*key, "kept").union(again)
+
+
+def first_of_equals(docs: DataFrame, memory_bytes: int = 48 << 20, buckets: int | None = None,
+                    digest: Callable[[bytes], bytes] = _sha256) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each group of equal texts."""
+    others = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # names that cannot clash
+    found, tied = _verdicts(docs.withColumnsRenamed(others), ["doc_id", "text", *others.values()], memory_bytes, buckets, digest)
+    kept = found.where("kept")
+    if tied:
+        kept = kept.where("ties <= 1").union(kept.where("ties > 1").dropDuplicates(["doc_id", "digest"]))
+    return kept.select(*(F.col(others.get(c, c)).alias(c) for c in docs.columns))

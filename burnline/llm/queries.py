@@ -37,12 +37,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
-    key = ["doc_id", "keep_id", "group_size", "digest"]
-    once = found.where("not kept or ties <= 1").select(*key, "kept")
-    # Repeated rows that tie for the place: as many rows, one of them kept.
-    tied = (found.where("kept and ties > 1").groupBy(*key).agg(F.count("*").alias("n"))
-            .select(*key, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).select(*key, (F.col("i") == 1).alias("kept")))
-    return once.union(tied).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
