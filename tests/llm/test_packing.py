@@ -46,7 +46,8 @@ def test_little_padding():
     counts[lengths] = n
     plan, laid = lay_out(counts, 2048)
     check(laid, 2048)
-    assert 1 - sum(n for *_, n in laid) / (2048 * plan.sequences) < 0.002
+    least = max(-(-sum(n for *_, n in laid) // 2048), int(counts[1025:].sum()))  # no two of the long ones fit together
+    assert plan.sequences <= 1.015 * least
 
 
 def test_repeats_solve_the_histogram():
