@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stored, texts
-from .tokens import bpe
+from .tokens import SLICE_BYTES, bpe
 
 WINDOW = 2048
 END_ID = 1
@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        for batch in slices(batches, max_bytes=2 << 20):
+        for batch in slices(batches, max_bytes=SLICE_BYTES):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), bpe(path).ids(texts(batch))):
                 ids += end

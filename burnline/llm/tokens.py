@@ -17,7 +17,6 @@ error in decoding. Texts of any length are read in bounded lists of pre-tokens.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from functools import cache, lru_cache
 from itertools import islice
@@ -30,10 +29,10 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 
 from .common import slices, texts
 
-#: Entries of the cache of a worker process, and the longest piece it holds.
-CACHE_ENTRIES, CACHED_CHARS = 300_000, 64
-#: A space beside other white space; pre-tokens may reach across that.
-_WIDE = re.compile(r" \s|\s ")
+#: Entries of each of the two generations of a worker process's cache, and the longest piece it holds.
+CACHE_ENTRIES, CACHED_CHARS = 400_000, 64
+#: Text encoded at a time: the more, the fewer pieces are looked up again.
+SLICE_BYTES = 12 << 20
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -61,12 +60,17 @@ class ByteBpe:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._split = regex.compile(public_tokenizers.PATTERN)
+        # The ids of each piece with a space before it, and those in use before the cache last filled up; of pre-tokens
+        # of pieces that are more than a word.
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        self._parts: dict[str, bytes] = {}
         of = {c: b for b, c in byte_chars().items()}
         vocab = self._tokenizer.get_vocab(with_added_tokens=False)
         self.table = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.table[i] = bytes(of[c] for c in token)
+        self._sizes = np.array([len(t) for t in self.table], np.int64)
 
     def matches(self, text: str) -> Iterator[list[str]]:
         """The pre-tokens of a text, in lists of bounded length."""
@@ -78,32 +82,72 @@ class ByteBpe:
             yield part
 
     def _whole(self, text: str) -> bytes:
+        if not text:
+            return b""
         return b"".join(np.array(e.ids, "<u4").tobytes() for part in self.matches(text)
                         for e in self._tokenizer.encode_batch_fast(part, add_special_tokens=False))
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Remember the ids of each piece, with the space before it."""
-        new = [*pieces.difference(self._known)]
-        if len(self._known) + len(new) > CACHE_ENTRIES:  # forget what is not in use now
-            self._known = {p: self._known[p] for p in pieces if p in self._known}
-        matches = [self._split.findall(" " + p) for p in new]
-        coded = iter(self._tokenizer.encode_batch_fast([m for ms in matches for m in ms], add_special_tokens=False))
-        for piece, ms in zip(new, matches):
-            self._known[piece] = np.array([i for _ in ms for i in next(coded).ids], "<u4").tobytes()
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of each word of letters with a space before it. Every such
+        space starts a pre-token, so the words are encoded as one text and its
+        ids dealt to them by the bytes they stand for."""
+        ids = np.array(self._tokenizer.encode_batch_fast(["".join(f" {w}" for w in words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        cuts = 4 * (np.searchsorted(np.cumsum(self._sizes[ids]), ends) + 1)
+        data, at = ids.tobytes(), 0
+        for cut in cuts.tolist():
+            yield data[at:cut]
+            at = cut
+
+    def _learn(self, pieces: set[str]) -> set[str]:
+        """Remember the ids of each piece, with the space before it. Returns the
+        pieces that cannot be remembered: too long ones, and those with white
+        space beside the space of the cut, as pre-tokens may reach across it."""
+        if len(self._known) > CACHE_ENTRIES:
+            self._known, self._older = {}, self._known
+        if len(self._parts) > CACHE_ENTRIES // 4:
+            self._parts = {}
+        known, older, parts = self._known, self._older, self._parts
+        new = pieces.difference(known)
+        if older:
+            again = new.intersection(older)
+            known.update(zip(again, map(older.__getitem__, again)))
+            new -= again
+        words, single, others, left = [], [], [], set()
+        for p in new:
+            if len(p) > CACHED_CHARS or not p or p[0].isspace() or p[-1].isspace():
+                left.add(p)
+            elif p.isalpha():
+                words.append(p)
+            elif p[:-1].isalpha():
+                single.append(p)
+            else:
+                others.append(p)
+        matches = [self._split.findall(" " + p) for p in others]
+        rest = [*{p[-1] for p in single}.union(*matches).difference(parts)]
+        for m, e in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            parts[m] = np.array(e.ids, "<u4").tobytes()
+        words = [*{p[:-1] for p in single}.difference(known).union(words)]
+        if words:
+            known.update(zip(words, self._words(words)))
+        for p in single:
+            known[p] = known[p[:-1]] + parts[p[-1]]
+        for p, ms in zip(others, matches):
+            known[p] = b"".join([parts[m] for m in ms])
+        return left
 
     def ids(self, whole: list[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
-        cut = [None if _WIDE.search(t) else t.split(" ") for t in whole]
-        self._learn({p for pieces in cut if pieces for p in pieces[1:] if len(p) <= CACHED_CHARS})
-        for text, pieces in zip(whole, cut):
-            if pieces is None:
+        cut = [t.split(" ") for t in whole]
+        left = self._learn(set().union(*cut))
+        known = self._known.__getitem__
+        for text, parts in zip(whole, cut):
+            if left.isdisjoint(parts):
+                yield self._whole(parts[0]) + b"".join(map(known, parts[1:]))
+            elif any(not p or p[0].isspace() or p[-1].isspace() for p in left.intersection(parts)):
                 yield self._whole(text)
-                continue
-            known, first = self._known, self._whole(pieces[0])
-            try:
-                yield first + b"".join([known[p] for p in pieces[1:]])
-            except KeyError:  # pieces too long for the cache
-                yield first + b"".join([known[p] if p in known else self._whole(" " + p) for p in pieces[1:]])
+            else:
+                yield self._whole(parts[0]) + b"".join([self._whole(" " + p) if p in left else known(p) for p in parts[1:]])
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """The first and past-the-end character of each id; ids that share a
@@ -133,7 +177,7 @@ def encode(docs: DataFrame, path: str, columns: list[str] | None = None, with_of
     schema = StructType([*(source.schema[c] for c in columns), *(StructField(n, ArrayType(IntegerType())) for n in new)])
 
     def run(batches):
-        for batch in slices(batches, max_bytes=2 << 20):
+        for batch in slices(batches, max_bytes=SLICE_BYTES):
             whole, coder = texts(batch), bpe(path)
             made = [_lists([np.frombuffer(b, "<u4") for b in coder.ids(whole)])]
             if with_offsets:
