@@ -23,16 +23,17 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from .common import slices, texts
 
 #: Entries of each of the two generations of a worker process's cache, and the longest piece it holds.
 CACHE_ENTRIES, CACHED_CHARS = 400_000, 64
 #: Text encoded at a time: the more, the fewer pieces are looked up again.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 8 << 20
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -50,6 +51,30 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) if b in printable else chr(256 + others.index(b)) for b in range(256)}
 
 
+@lru_cache(1)
+def byte_table(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids of a vocabulary, one after the other, and where each id's bytes start (and the last end)."""
+    from tokenizers import Tokenizer
+    of = {c: b for b, c in byte_chars().items()}
+    vocab = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
+    table = [b""] * (max(vocab.values()) + 1)
+    for token, i in vocab.items():
+        table[i] = bytes(of[c] for c in token)
+    return np.frombuffer(b"".join(table), np.uint8), np.cumsum([0, *map(len, table)])
+
+
+def decoded(ids: np.ndarray, path: str, block: int = 1 << 20) -> tuple[bytes, np.ndarray]:
+    """The bytes of a sequence of ids, and how many each id has."""
+    data, start = byte_table(path)
+    sizes = start[ids + 1] - start[ids]
+    out = []
+    for at in range(0, len(ids), block):
+        part, n = ids[at:at + block], sizes[at:at + block]
+        shift = start[part] - (np.cumsum(n) - n)  # from a place in the output to its place in the table
+        out.append(data[np.arange(n.sum()) + np.repeat(shift, n)].tobytes())
+    return b"".join(out), sizes
+
+
 class ByteBpe:
     """A byte-level BPE vocabulary file, with a cache of encoded pre-tokens."""
 
@@ -65,12 +90,7 @@ class ByteBpe:
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self._parts: dict[str, bytes] = {}
-        of = {c: b for b, c in byte_chars().items()}
-        vocab = self._tokenizer.get_vocab(with_added_tokens=False)
-        self.table = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            self.table[i] = bytes(of[c] for c in token)
-        self._sizes = np.array([len(t) for t in self.table], np.int64)
+        self._sizes = np.diff(byte_table(path)[1])
 
     def matches(self, text: str) -> Iterator[list[str]]:
         """The pre-tokens of a text, in lists of bounded length."""
@@ -159,9 +179,6 @@ class ByteBpe:
                 at += len(word)
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.table.__getitem__, ids))
-
 
 @lru_cache(1)
 def bpe(path: str) -> ByteBpe:
@@ -201,12 +218,22 @@ def decode(encoded: DataFrame, path: str, columns: list[str]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            coder, lists = bpe(path), batch.column("ids")
-            out = pa.array([coder.decode(x.values.to_pylist()) if x.is_valid else b"" for x in lists], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), out], [*columns, "decoded"])
+            for part in _ids_slices(batch):
+                lists = part.column("ids")
+                lengths = np.array(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+                data, sizes = decoded(np.asarray(lists.flatten()), path)
+                ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(lengths)])]
+                out = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), out], [*columns, "decoded"])
 
     return source.mapInArrow(run, schema)
 
 
-#: Type of a column of token counts.
-COUNT = LongType()
+def _ids_slices(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``most`` ids (one row at least)."""
+    total = np.cumsum(np.array(pc.fill_null(pc.list_value_length(batch.column("ids")), 0), np.int64))
+    at = 0
+    while at < len(total):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
