@@ -33,10 +33,11 @@ def parse_list(col, sep: str = ",") -> Column:
 def regex_contains(col, term: str, literal: bool = False) -> Column:
     """Case-insensitive regex search; NULL counts as no match.
 
-    Java regex dialect (Spark ``rlike``). With ``literal`` the term is quoted.
+    Java regex dialect (Spark ``rlike``), folding the case of all letters,
+    umlauts included. With ``literal`` the term is quoted.
     """
     pattern = _re.escape(term) if literal else term
-    return F.coalesce(_c(col).rlike("(?i)" + pattern), F.lit(False))
+    return F.coalesce(_c(col).rlike("(?iu)" + pattern), F.lit(False))
 
 
 # H4 -------------------------------------------------------------------------
@@ -47,10 +48,12 @@ def ellipsize(col, width: int) -> Column:
 
 
 def list_head(col, n: int = 2) -> Column:
-    """First ``n`` non-null items joined by ', ' plus '...' when more exist."""
-    arr = F.filter(_c(col), lambda x: x.isNotNull())
-    head = F.array_join(F.slice(arr, 1, n), ", ")
-    return F.concat(head, F.when(F.size(_c(col)) > n, F.lit("...")).otherwise(F.lit("")))
+    """The first ``n`` items, of these the non-null ones joined by ', ', plus
+    '...' when the list has more than ``n``; a fixed text for an empty list."""
+    arr = _c(col)
+    head = F.array_join(F.filter(F.slice(arr, 1, n), lambda x: x.isNotNull()), ", ")
+    more = F.when(F.size(arr) > n, F.lit("...")).otherwise(F.lit(""))
+    return F.when(F.coalesce(F.size(arr), F.lit(0)) <= 0, F.lit(S.NO_PROJECTS)).otherwise(F.concat(head, more))
 
 
 # H5 -------------------------------------------------------------------------

@@ -9,6 +9,7 @@ negative one as a reduction of its absolute value.
 from __future__ import annotations
 
 import datetime as _dt
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import DataFrame
@@ -35,11 +36,13 @@ def change_type_for(delta):
 
 def detect_target_changes(original: DataFrame, edited: DataFrame, keys: Sequence[str] = KEY,
                           col: str = "target_hours") -> DataFrame:
-    """Pair the original and edited frames by key (not by position) and keep
-    the rows whose target moved by more than the tolerance."""
+    """Pair the original and edited frames by key (not by position; a NULL
+    activity is a key like any other) and keep the rows whose target moved by
+    more than the tolerance."""
     o = original.select(*keys, F.col(col).cast("double").alias("old_target"))
-    e = edited.select(*keys, F.col(col).cast("double").alias("new_target"))
-    return target_deltas(o.join(e, list(keys), "inner"))
+    e = edited.select(*(F.col(k).alias("_" + k) for k in keys), F.col(col).cast("double").alias("new_target"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col("_" + k)) for k in keys))
+    return target_deltas(o.join(e, same).drop(*("_" + k for k in keys)))
 
 
 def changes_to_ledger(changes: DataFrame, valid_from: _dt.date, created_by: str,

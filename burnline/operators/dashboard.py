@@ -8,13 +8,14 @@ portfolio levels are further aggregations of that result.
 
 from __future__ import annotations
 
+from typing import Optional
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import scalar as H
-from .filters import measure
+from .filters import clean_code_frame, measure
 from .ledger import with_project_share
 
 KEY = ["project_nr", "activity"]
@@ -92,13 +93,6 @@ def activity_dashboard(agg: DataFrame, targets: DataFrame) -> DataFrame:
         "customer")
 
 
-def round_for_display(dashboard: DataFrame) -> DataFrame:
-    """Presentation frame: share, fulfilment and actual rounded half-even to 1."""
-    return (dashboard.withColumn("share_pct", F.bround("share_pct", 1))
-            .withColumn("fulfillment_pct", F.bround("fulfillment_pct", 1))
-            .withColumn("actual_hours", F.bround("actual_hours", 1)))
-
-
 # D3 -------------------------------------------------------------------------
 def project_summary(agg: DataFrame, targets: DataFrame) -> DataFrame:
     """Per project: all budgets of the project as target (booked or not),
@@ -118,17 +112,22 @@ def project_summary(agg: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 # D4 -------------------------------------------------------------------------
-def project_header(dashboard: DataFrame) -> DataFrame:
+def project_header(dashboard: DataFrame, agg: DataFrame) -> DataFrame:
     """Header metrics from the activity rows: number of activities, target
-    sum, sum of the *rounded* actual column (T12), fulfilment, status."""
+    sum, sum of the *rounded* actual column (T12), fulfilment, status. The
+    customer is that of the project's largest D1 group (T13), so ``agg`` is
+    the aggregate the dashboard was made from."""
     hdr = (dashboard.groupBy("project_nr", "project")
            .agg(F.count(F.lit(1)).alias("n_activities"),
                 H.exact_sum("target_hours").alias("target_hours"),
-                F.sum(F.bround("actual_hours", 1)).alias("actual_hours"),
-                F.min_by("customer", F.struct(-F.col("actual_hours"), F.col("activity"))).alias("customer")))
-    return hdr.select("project_nr", "project", "customer", "n_activities", "target_hours", "actual_hours",
-                      H.fulfillment_pct("actual_hours", "target_hours").alias("fulfillment_pct"),
-                      H.fulfillment_status("actual_hours", "target_hours").alias("status"))
+                F.sum(F.bround("actual_hours", 1)).alias("actual_hours")))
+    top = agg.groupBy(F.col("project_nr").alias("_nr"), F.col("project").alias("_name")) \
+        .agg(_top_customer("employee" in agg.columns).alias("customer"))
+    same = F.col("project_nr").eqNullSafe(F.col("_nr")) & F.col("project").eqNullSafe(F.col("_name"))
+    return hdr.join(top, same, "left").select(
+        "project_nr", "project", "customer", "n_activities", "target_hours", "actual_hours",
+        H.fulfillment_pct("actual_hours", "target_hours").alias("fulfillment_pct"),
+        H.fulfillment_status("actual_hours", "target_hours").alias("status"))
 
 
 # D5 -------------------------------------------------------------------------
@@ -168,15 +167,18 @@ def budget_tab_kpis(dashboard: DataFrame) -> DataFrame:
 
 
 # D28 ------------------------------------------------------------------------
-def export_counters(agg: DataFrame, start_date=None, end_date=None) -> DataFrame:
-    """Rows ready for export, number of projects, date-range text."""
+def export_counters(agg: DataFrame, start_date=None, end_date=None, selected: Optional[DataFrame] = None) -> DataFrame:
+    """Rows of the filtered aggregate ready for export, number of projects
+    (of the selection, if one was made, else of the rows), date-range text."""
     if start_date is not None and end_date is not None:
         text = f"{start_date.strftime('%d.%m.%y')} - {end_date.strftime('%d.%m.%y')}"
     else:
         text = S.ALL_TIME_LABEL
-    return agg.agg(F.count(F.lit(1)).alias("rows_ready"),
-                   F.countDistinct("project_nr").alias("n_projects")) \
-        .withColumn("date_range_text", F.lit(text))
+    counted = agg.agg(F.count(F.lit(1)).alias("rows_ready"), F.countDistinct("project_nr").alias("n_projects"))
+    if selected is not None:  # one row beside one row
+        chosen = clean_code_frame(selected).agg(F.count(F.lit(1)).alias("n_projects"))
+        counted = counted.select("rows_ready", F.lit(1).alias("_one")).join(chosen.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return counted.withColumn("date_range_text", F.lit(text))
 
 
 # F5 / E7 --------------------------------------------------------------------

@@ -117,11 +117,16 @@ def search_predicate(term: str, columns: Sequence[str], literal: bool = False) -
     return H.any_of([H.regex_contains(c, term, literal) for c in columns])
 
 
+def _last_day(year: int, month: int) -> _dt.date:
+    return _dt.date(year + month // 12, month % 12 + 1, 1) - _dt.timedelta(days=1)
+
+
 def booking_predicate(f: BookingFilters) -> Column:
     """The conjunction of every set filter (TRUE if none is set)."""
     preds = []
-    if f.year is not None:
-        preds.append(F.col("year") == F.lit(int(f.year)))
+    if f.year is not None:  # as a closed date range too: that reaches the scan and its statistics
+        first, last = _dt.date(int(f.year), f.month or 1, 1), _last_day(int(f.year), f.month or 12)
+        preds += [F.col("year") == F.lit(int(f.year)), date_range_predicate(first, last)]
     if f.month is not None:
         preds.append(F.col("month") == F.lit(int(f.month)))
     if f.status:
@@ -174,11 +179,6 @@ def measure(name: str = S.DEFAULT_MEASURE) -> Column:
 BOOKING_COLUMNS = [f.name for f in S.BOOKINGS_SCHEMA.fields]
 
 
-def project_columns(df: DataFrame, columns: Sequence[str], renames: Optional[dict] = None) -> DataFrame:
-    out = df.select(*columns)
-    return out.withColumnsRenamed(renames) if renames else out
-
-
 # B15 ------------------------------------------------------------------------
 def history_filter(ledger: DataFrame, activity: Optional[str] = None,
                    change_type: Optional[str] = None) -> DataFrame:
@@ -200,11 +200,6 @@ def recent_predicate(as_of: Column, days: int = 28, col: str = "booking_ts") ->
     return F.col(col) >= F.timestamp_add("DAY", F.lit(-days), as_of)
 
 
-# B18 ------------------------------------------------------------------------
-def analysis_sprint_predicate(col: str = "sprint_number") -> Column:
-    return F.col(col).between(0, S.ANALYSIS_SPRINTS - 1)
-
-
 # B19 ------------------------------------------------------------------------
 def filter_summary(filtered: DataFrame, f: BookingFilters) -> DataFrame:
     """One row: number of active filters, their texts, and the row count.
@@ -214,13 +209,14 @@ def filter_summary(filtered: DataFrame, f: BookingFilters) -> DataFrame:
     """
     texts = []
     if f.start_date is not None and f.end_date is not None:
-        texts.append(f"Zeitraum: {f.start_date.strftime('%d.%m.%Y')} - {f.end_date.strftime('%d.%m.%Y')}")
-    for label, values in (("Tätigkeiten", f.activities), ("Mitarbeiter", f.employees)):
-        if values:
+        texts.append(S.FILTER_PERIOD_TEXT.format(start=f.start_date.strftime("%d.%m.%Y"), end=f.end_date.strftime("%d.%m.%Y")))
+    for name, label in S.FILTER_LIST_LABELS.items():
+        if values := getattr(f, name):
             vals = [str(v) for v in values if v is not None]
-            texts.append(f"{label}: {', '.join(vals)}" if 0 < len(vals) <= 3 else f"{label}: {len(vals)} ausgewählt")
+            texts.append(f"{label}: {', '.join(vals)}" if 0 < len(vals) <= 3
+                         else S.FILTER_SELECTED_TEXT.format(label=label, count=len(vals)))
     if f.search_term:
-        texts.append(f"Suche: '{f.search_term}'")
+        texts.append(S.FILTER_SEARCH_TEXT.format(term=f.search_term))
     return filtered.agg(F.count(F.lit(1)).alias("record_count")).select(
         F.lit(len(texts)).cast("bigint").alias("active_filters"),
         F.array(*[F.lit(t) for t in texts]).cast("array<string>").alias("filter_texts"),
@@ -243,10 +239,6 @@ def validate_projects(requested: DataFrame, known: DataFrame, col: str = "projec
                     (F.coalesce(F.col("_hit"), F.lit(False)) & ~H.is_blank("_code")).alias("exists")))
 
 
-def valid_projects(requested: DataFrame, known: DataFrame, col: str = "project_nr") -> DataFrame:
-    return clean_code_frame(requested, col).join(known.select(col), col, "left_semi")
-
-
 def unknown_projects(requested: DataFrame, known: DataFrame, col: str = "project_nr") -> DataFrame:
     return clean_code_frame(requested, col).join(known.select(col), col, "left_anti")
 

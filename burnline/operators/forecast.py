@@ -12,6 +12,8 @@ unit; targets and overrides are joined per unit; the three scenarios are an
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import gcd, lcm
 from typing import Optional
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,23 +21,28 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import scalar as H
-from .trends import _add_days, cumulative_by_time
+from .latest import latest_by_key
+from .trends import _add_days, cumulative
 
 UNIT = ["level", "project_nr", "activity"]
 
 
+# The fixed weights, newest sprint first, and the smallest whole numbers in
+# their ratio: averages with those are the same, and exact for whole hours.
+_WEIGHTS = list(reversed(S.SPRINT_WEIGHTS))
+_RATIOS = [Fraction(str(w)) for w in _WEIGHTS]
+_SCALE = lcm(*(r.denominator for r in _RATIOS))
+_UNITS = [int(r * _SCALE) // gcd(*(int(q * _SCALE) for q in _RATIOS)) for r in _RATIOS]
+
+
 def _weight_units(n: Column) -> Column:
-    """Integer weight 4,3,2,1 for sprints 0..3 (the weights 0.40..0.10 x 10):
-    renormalised averages are identical and exact for whole hours."""
-    return F.lit(S.ANALYSIS_SPRINTS) - n
+    """Whole-number weight of sprint ``n`` (0 = newest); NULL beyond the list."""
+    return F.get(F.array(*map(F.lit, _UNITS)), n)
 
 
 def sprint_weight(n: Column) -> Column:
     """Weight of sprint ``n`` (0 = newest) from the fixed weight list."""
-    expr = F.lit(0.0)
-    for i, w in enumerate(S.SPRINT_WEIGHTS):
-        expr = F.when(n == S.ANALYSIS_SPRINTS - 1 - i, F.lit(w)).otherwise(expr)
-    return expr
+    return F.coalesce(F.get(F.array(*map(F.lit, _WEIGHTS)), n), F.lit(0.0))
 
 
 def with_sprint_number(series: DataFrame, as_of: Column) -> DataFrame:
@@ -83,14 +90,14 @@ def unit_sprints(series: DataFrame, as_of: Column) -> DataFrame:
 def sprint_table(series: DataFrame, as_of: Column) -> DataFrame:
     """Sprint rows per unit: hours, first/last booking in the sprint (T8),
     computed sprint bounds, weight. Only sprints 0..3 count: future bookings
-    (sprint < 0) and NULL dates are left out (T6)."""
+    (sprint < 0) and NULL dates are left out (T6). A sprint's bookings lie
+    after ``bound_start`` and up to ``bound_end``."""
     out = unit_sprints(series, as_of).filter(_in_analysis(F.col("sprint_number")))
-    n = F.col("sprint_number")
-    as_of_day = as_of.cast("date")
+    n, days = F.col("sprint_number"), S.SPRINT_DURATION_DAYS
     return out.select(
         *UNIT, "sprint_number", "hours", "sprint_start", "sprint_end",
-        F.date_sub(as_of_day, (n + 1) * S.SPRINT_DURATION_DAYS - 1).alias("bound_start"),
-        F.date_sub(as_of_day, n * S.SPRINT_DURATION_DAYS).alias("bound_end"),
+        F.timestamp_add("DAY", -(n + 1) * days, as_of).alias("bound_start"),
+        F.timestamp_add("DAY", -n * days, as_of).alias("bound_end"),
         sprint_weight(n).alias("weight"))
 
 
@@ -101,39 +108,30 @@ def order_sprints(sprints: DataFrame) -> DataFrame:
 
 # D17 / D18 / D19 ------------------------------------------------------------
 def _velocity_aggs(keep: Column) -> list[Column]:
-    """Sums over the analysis sprints (rows where ``keep``) for velocity,
-    dispersion and slope."""
-    n = F.col("sprint_number")
+    """Velocity, dispersion and slope over the analysis sprints (rows where ``keep``)."""
+    n, hours = F.col("sprint_number"), F.col("hours")
     wu = _weight_units(n)
-    x, y = n.cast("bigint"), F.col("hours")
 
-    def s(expr: Column, name: str) -> Column:
-        return F.sum(F.when(keep, expr)).alias(name)
-    return [F.count(F.when(keep, F.lit(1))).alias("n_sprints"),
-            s(y * wu, "_hw"), s(wu, "_w"), F.avg(F.when(keep, y)).alias("_mean"),
-            s(x, "_sx"), s(x * x, "_sxx"), s(y, "_sy"), s(y * y, "_syy"), s(y * x, "_sxy")]
+    def kept(expr: Column) -> Column:
+        return F.when(keep, expr)
+    return [F.count(kept(F.lit(1))).alias("n_sprints"), F.sum(kept(hours * wu)).alias("_hw"), F.sum(kept(wu)).alias("_w"),
+            F.stddev_samp(kept(hours)).alias("_std"),
+            F.regr_slope(kept(hours), kept(n.cast("double"))).alias("_slope")]
 
 
 def _velocity_columns(df: DataFrame) -> DataFrame:
     """Weighted velocity (D17), sample std (D18), OLS slope and trends.
-
-    Closed forms over at most four rows: with whole hours every sum is
-    exact, so the result does not depend on summation order.
-    """
-    n, sx, sxx, sy, syy, sxy = (F.col(c) for c in ("n_sprints", "_sx", "_sxx", "_sy", "_syy", "_sxy"))
-    var = F.greatest((n * syy - sy * sy) / (n * (n - 1)), F.lit(0.0))
-    denom = n * sxx - sx * sx
-    slope = F.when((n >= 2) & (denom != 0), (n * sxy - sx * sy) / denom).otherwise(F.lit(0.0))
-    auto = (F.when(n == 0, F.lit(0.0)).when(F.col("_w") == 0, F.col("_mean"))
-            .otherwise(F.col("_hw") / F.col("_w")))
-    out = (df.withColumn("automatic_hours_per_sprint", auto)
-           .withColumn("sprint_std", F.when(n >= 2, F.sqrt(var)))
-           .withColumn("slope", slope)
+    The slope is taken to nine decimals, so that the trend does not hang on
+    the last bit of a sum."""
+    n = F.col("n_sprints")
+    out = (df.withColumn("automatic_hours_per_sprint", F.coalesce(F.col("_hw") / F.col("_w"), F.lit(0.0)))
+           .withColumn("sprint_std", F.when(n >= 2, F.col("_std")))
+           .withColumn("slope", F.when(n >= 2, F.coalesce(F.round("_slope", 9), F.lit(0.0))).otherwise(F.lit(0.0)))
            .withColumn("trend", _trend(F.col("slope"), n))
            .withColumn("direction", F.signum("slope"))
            .withColumn("slope_chrono", -F.col("slope"))
            .withColumn("trend_chrono", _trend(F.col("slope_chrono"), n)))
-    return out.drop("_hw", "_w", "_mean", "_sx", "_sxx", "_sy", "_syy", "_sxy")
+    return out.drop("_hw", "_w", "_std", "_slope")
 
 
 def _trend(slope: Column, n: Column) -> Column:
@@ -155,11 +153,8 @@ def velocity_stats(sprints: DataFrame) -> DataFrame:
 def latest_overrides(overrides: DataFrame) -> DataFrame:
     """Latest override per (project_nr, activity or NULL) by ``updated_at``;
     a missing ``active`` means active."""
-    o = overrides.withColumn("active", F.coalesce(F.col("active"), F.lit(True)))
-    cols = [c for c in o.columns if c not in ("project_nr", "activity")]
-    picked = (o.groupBy("project_nr", "activity")
-              .agg(F.max_by(F.struct(*cols), F.col("updated_at")).alias("_o")))
-    return picked.select("project_nr", "activity", *[F.col("_o." + c).alias(c) for c in cols])
+    filled = overrides.withColumn("active", F.coalesce(F.col("active"), F.lit(True)))
+    return latest_by_key(filled, ["project_nr", "activity"], "updated_at")
 
 
 def attach_overrides(units: DataFrame, overrides: Optional[DataFrame]) -> DataFrame:
@@ -252,66 +247,109 @@ def scenarios(units: DataFrame, as_of: Column, only_forecastable: bool = True) -
 
 # I8 -------------------------------------------------------------------------
 def trend_alert(units: DataFrame) -> DataFrame:
-    """Alert text per unit by the (literal) trend."""
+    """Alert text per unit by the (literal) trend, for the units the cards are
+    shown for: those with a target and bookings."""
+    shown = units.filter((F.col("target_hours") > 0) & (F.col("n_bookings") > 0))
     slope_txt = F.format_string("%.1f", F.col("slope"))
-    text = (F.when(F.col("trend") == "decreasing",
-                   F.concat(F.lit("⚠️ **Trend-Warnung:** Sprint-Velocity nimmt ab ("), slope_txt,
-                            F.lit("h/Sprint). Team könnte überlastet sein oder auf Blocker stoßen.")))
-            .when(F.col("trend") == "increasing",
-                  F.concat(F.lit("📈 **Positiver Trend:** Sprint-Velocity steigt ("), slope_txt,
-                           F.lit("h/Sprint). Team wird produktiver!"))))
-    return units.select(*UNIT, "trend", "slope", F.when(F.col("trend") == "decreasing", F.lit("warning"))
-                        .when(F.col("trend") == "increasing", F.lit("info")).alias("alert_level"),
-                        text.alias("alert_text"))
+    trend = F.col("trend")
 
-
-# I9 / I12 -------------------------------------------------------------------
-# Fixed bar colours of the velocity chart, light to dark.
-VELOCITY_BAR_COLORS = ["#fee5d9", "#fcbba1", "#fc9272", "#fb6a4a"]
+    def text(parts):
+        return F.concat(F.lit(parts[0]), slope_txt, F.lit(parts[1]))
+    return shown.select(*UNIT, "trend", "slope",
+                        F.when(trend == "decreasing", F.lit("warning")).when(trend == "increasing", F.lit("info")).alias("alert_level"),
+                        F.when(trend == "decreasing", text(S.ALERT_DECREASING))
+                        .when(trend == "increasing", text(S.ALERT_INCREASING)).alias("alert_text"))
 
 
+# I9 / I12 -------------------------------------------------------------------
 def sprint_details(sprints: DataFrame) -> DataFrame:
-    """Sprint table for display (I9) and velocity bars."""
+    """Sprint table for display."""
     n = F.col("sprint_number")
-    colors = F.array(*[F.lit(c) for c in VELOCITY_BAR_COLORS])
-    idx = F.least(F.floor(F.col("weight") * 10).cast("int"), F.lit(3))
     return sprints.select(
         *UNIT, "sprint_number", "hours", "weight",
         H.sprint_label(n).alias("sprint_label"), H.sprint_label(n, chart=True).alias("chart_label"),
         H.hours_text("hours").alias("hours_text"),
         H.fmt_date("sprint_start").alias("start_text"), H.fmt_date("sprint_end").alias("end_text"),
-        H.pct_text(F.col("weight")).alias("weight_text"),
-        F.element_at(colors, idx + 1).alias("bar_color"))
+        H.pct_text(F.col("weight")).alias("weight_text"))
+
+
+def velocity_series(sprints: DataFrame) -> DataFrame:
+    """I12, long form: a bar per sprint (``hours``) and, at each of them, the
+    unit's weighted mean line (``weighted_mean``). The window holds a unit's
+    sprints, four at most."""
+    w, wu = Window.partitionBy(*UNIT), _weight_units(F.col("sprint_number"))
+    mean = F.sum(F.col("hours") * wu).over(w) / F.sum(wu).over(w)
+    points = F.array(*(F.struct(F.lit(name).alias("series"), y.alias("y"))
+                       for name, y in (("hours", F.col("hours")), ("weighted_mean", F.col("_mean")))))
+    return (sprints.withColumn("_mean", mean)
+            .select(*UNIT, "sprint_number", H.sprint_label(F.col("sprint_number"), chart=True).alias("chart_label"),
+                    F.explode(points).alias("_p"))
+            .select(*UNIT, "sprint_number", "chart_label", "_p.series", "_p.y"))
 
 
 # I10 / I11 ------------------------------------------------------------------
+def _actual_curve(series: DataFrame) -> DataFrame:
+    """Cumulative hours per unit (both levels) and point of time. It reads the
+    same columns of the series as :func:`forecast_units`, so that a plan with
+    both makes the series once; undated bookings are in no point."""
+    dated = F.col("booking_ts").isNotNull()
+    points = two_levels(series, ["booking_ts"], [F.sum("hours").alias("hours"), F.sum("n").alias("n")])
+    curve = cumulative(points.withColumn("_h", F.when(dated, F.col("hours")).otherwise(F.lit(0.0))), UNIT, "booking_ts", "_h", "y")
+    return curve.filter(dated & (F.col("n") > 0)).select(*UNIT, F.lit("actual").alias("series"), F.col("booking_ts").alias("x"), "y")
+
+
+def _point(series_name: Column, x: Column, y: Column) -> Column:
+    return F.struct(series_name.alias("series"), x.alias("x"), y.alias("y"))
+
+
+def _points(frame: DataFrame, arrays: Column) -> DataFrame:
+    return frame.select(*UNIT, F.explode(arrays).alias("_p")).select(*UNIT, "_p.series", "_p.x", "_p.y")
+
+
+_NO_POINTS = "array<struct<series:string,x:timestamp_ntz,y:double>>"
+
+
 def scenario_series(series: DataFrame, scen: DataFrame, as_of: Column) -> DataFrame:
     """Long (unit, series, x, y) table for the scenario chart: cumulative
     actual curve per unit, target line from the first booking to the latest
     scenario end, per scenario a line (as_of, current) -> (end, target) and
-    its end marker. ``only_future`` marks points after as_of (the burn-down
-    chart draws scenario lines only when they end in the future)."""
-    daily = two_levels(series.filter(F.col("booking_ts").isNotNull()), ["booking_ts"],
-                       [F.sum("hours").alias("hours")])
-    actual = cumulative_by_time(daily, UNIT, "booking_ts", "hours", "y") \
-        .select(*UNIT, F.lit("actual").alias("series"), F.col("booking_ts").alias("x"), "y")
+    its end marker. ``only_future`` marks points after as_of."""
     # per unit: three scenario rows; the latest end is a window over them
     sc = scen.filter(F.col("first_booking").isNotNull()) \
         .withColumn("_maxend", F.max("end_ts").over(Window.partitionBy(*UNIT)))
-    t = F.col("target_hours")
-
-    def pt(series_name, x, y):
-        return F.struct(series_name.alias("series"), x.alias("x"), y.alias("y"))
-    empty = F.array().cast("array<struct<series:string,x:timestamp_ntz,y:double>>")
+    t, none = F.col("target_hours"), F.array().cast(_NO_POINTS)
     target_pts = F.when(F.col("scenario") == S.SCENARIOS[0][0], F.array(
-        pt(F.lit("target"), F.col("first_booking"), t),
-        pt(F.lit("target"), F.coalesce(F.col("_maxend"), F.col("last_booking")), t))).otherwise(empty)
-    has_end = F.col("end_ts").isNotNull()
-    scen_pts = F.when(has_end, F.array(
-        pt(F.col("scenario"), as_of, F.col("dated_hours")),
-        pt(F.col("scenario"), F.col("end_ts"), t),
-        pt(F.concat(F.col("scenario"), F.lit(" Ende")), F.col("end_ts"), t))).otherwise(empty)
-    points = sc.select(*UNIT, F.explode(F.concat(target_pts, scen_pts)).alias("_p")) \
-        .select(*UNIT, "_p.series", "_p.x", "_p.y")
-    out = actual.unionByName(points)
+        _point(F.lit("target"), F.col("first_booking"), t),
+        _point(F.lit("target"), F.coalesce(F.col("_maxend"), F.col("last_booking")), t))).otherwise(none)
+    scen_pts = F.when(F.col("end_ts").isNotNull(), F.array(
+        _point(F.col("scenario"), as_of, F.col("dated_hours")),
+        _point(F.col("scenario"), F.col("end_ts"), t),
+        _point(F.concat(F.col("scenario"), F.lit(" Ende")), F.col("end_ts"), t))).otherwise(none)
+    out = _actual_curve(series).unionByName(_points(sc, F.concat(target_pts, scen_pts)))
     return out.withColumn("only_future", F.col("x") > as_of)
+
+
+def burndown_series(series: DataFrame, scen: DataFrame, simple: DataFrame, as_of: Column) -> DataFrame:
+    """Project-level burn-down chart as (project_nr, series, x, y).
+
+    Actual curve; for every scenario that ends after ``as_of`` a line (as_of,
+    current) -> (end, target), with an end marker for the realistic one; and
+    for projects none of whose scenarios does, the line of the simple
+    four-week forecast (D22, ``simple``) if that has an end and the target
+    is not reached yet.
+    """
+    project = F.col("level") == "project"
+    t, none = F.col("target_hours"), F.array().cast(_NO_POINTS)
+    ahead = scen.filter(project & (F.col("end_ts") > as_of) & F.col("first_booking").isNotNull())
+    line = F.array(_point(F.col("scenario"), as_of, F.col("dated_hours")), _point(F.col("scenario"), F.col("end_ts"), t))
+    mark = F.when(F.col("scenario") == S.SCENARIOS[1][0], F.array(_point(F.lit(S.BURNDOWN_END_MARKER), F.col("end_ts"), t))).otherwise(none)
+    lines = _points(ahead, F.concat(line, mark))
+    rest = simple.join(ahead.select("project_nr").distinct(), "project_nr", "left_anti") \
+        .filter(F.col("forecast_end").isNotNull() & (F.col("target_hours") > F.col("current_hours")))
+    trend = F.lit(S.BURNDOWN_TREND_LINE)
+    fallback = rest.select("project_nr", F.explode(F.array(_point(trend, as_of, F.col("current_hours")),
+                                                           _point(trend, F.col("forecast_end"), t))).alias("_p")) \
+        .select("project_nr", "_p.series", "_p.x", "_p.y")
+    cols = ["project_nr", "series", "x", "y"]
+    return (_actual_curve(series).filter(project).select(*cols).unionByName(lines.select(*cols))
+            .unionByName(fallback.select(*cols)))

@@ -258,16 +258,20 @@ def ledger_activities(ledger: DataFrame, projects: ProjectList = None) -> DataFr
 def validate_entries(proposals: DataFrame, form_rules: bool = True) -> DataFrame:
     """Adds ``errors`` (array of failed rule names) and ``is_valid``.
 
-    Rules: project and activity and reason non-blank; hours > 0 (form) or
+    Rules: project, activity, reason and author non-blank; hours present, in
+    the range of the stored DECIMAL(10,2) and, rounded to it, > 0 (form) or
     >= 0 (table CHECK); known change type; valid_from present.
     """
-    hours_bad = (F.col("hours").isNull()
-                 | ((F.col("hours") <= 0) if form_rules else (F.col("hours") < 0)))
+    stored = F.round(F.col("hours").try_cast("decimal(38,6)"), 2).try_cast("decimal(10,2)")
+    hours_bad = F.col("hours").isNull() | ((stored <= 0) if form_rules else (stored < 0))
+    author = F.col("created_by") if "created_by" in proposals.columns else F.lit(None).cast("string")
     checks = [
         ("project_blank", H.is_blank("project_nr")),
         ("activity_blank", H.is_blank("activity")),
         ("reason_blank", H.is_blank("reason")),
+        ("author_blank", H.is_blank(author)),
         ("hours_not_positive" if form_rules else "hours_negative", hours_bad),
+        ("hours_out_of_range", F.col("hours").isNotNull() & stored.isNull()),
         ("unknown_change_type", ~F.coalesce(F.col("change_type").isin(S.CHANGE_TYPES), F.lit(False))),
         ("valid_from_missing", F.col("valid_from").isNull()),
     ]
@@ -279,29 +283,32 @@ def validate_entries(proposals: DataFrame, form_rules: bool = True) -> DataFrame
 def prepare_append(valid: DataFrame, existing: Optional[DataFrame], created_at) -> DataFrame:
     """Shape validated proposals as ledger rows: trimmed text, empty
     reference -> NULL, ``created_at`` from the explicit timestamp, ids above
-    the current maximum (unique and increasing; not necessarily dense)."""
-    base = 0
-    if existing is not None:
-        # a single scalar (the current max id) comes back to the driver
-        base = existing.agg(F.max("entry_id")).first()[0] or 0
-    rows = valid.withColumn("_base", F.lit(int(base)).cast("bigint"))
+    the maximum of ``existing`` (unique and increasing; not necessarily dense)."""
+    # a single scalar (the current max id) comes back to the driver
+    base = (existing.agg(F.max("entry_id")).first()[0] or 0) if existing is not None else 0
     created = created_at if isinstance(created_at, Column) else F.lit(created_at).cast("timestamp_ntz")
-    return rows.select(
-        (F.col("_base") + 1 + F.monotonically_increasing_id()).cast("bigint").alias("entry_id"),
+    return valid.select(
+        (F.lit(int(base)).cast("bigint") + 1 + F.monotonically_increasing_id()).cast("bigint").alias("entry_id"),
         F.trim("project_nr").alias("project_nr"), F.trim("activity").alias("activity"),
-        F.col("hours").cast("decimal(10,2)").alias("hours"), "change_type",
+        F.round(F.col("hours").cast("decimal(38,6)"), 2).cast("decimal(10,2)").alias("hours"), "change_type",
         F.col("valid_from").cast("date").alias("valid_from"), F.trim("reason").alias("reason"),
         F.nullif(F.trim(F.col("reference")), F.lit("")).alias("reference"),
-        F.col("created_by"), created.alias("created_at"))
+        F.trim("created_by").alias("created_by"), created.alias("created_at"))
+
 
+def append_entries(proposals: DataFrame, ledger_path: str, created_at) -> DataFrame:
+    """Validate, append the valid rows to the ledger folder, return rejects.
 
-def append_entries(proposals: DataFrame, ledger_path: str, created_at,
-                   existing: Optional[DataFrame] = None) -> DataFrame:
-    """Validate, append the valid rows to the ledger folder, return rejects."""
+    Ids continue the stored ledger's maximum, which is read from the folder
+    itself. One writer at a time: two appends that run at once would read the
+    same maximum.
+    """
+    from ..sources.files import path_exists, read_ledger
+    spark = proposals.sparkSession
+    existing = read_ledger(spark, ledger_path) if path_exists(spark, ledger_path) else None
     checked = validate_entries(proposals, form_rules=True)
     good = checked.filter("is_valid").drop("errors", "is_valid")
-    rows = prepare_append(good, existing, created_at)
-    rows.write.mode("append").parquet(ledger_path)
+    prepare_append(good, existing, created_at).write.mode("append").parquet(ledger_path)
     return checked.filter(~F.col("is_valid"))
 
 

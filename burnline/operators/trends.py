@@ -10,6 +10,7 @@ raw bookings.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,42 +49,38 @@ def daily_totals(series: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 # E2 / E3 --------------------------------------------------------------------
-def cumulative_by_time(df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str) -> DataFrame:
-    """Running total of ``value`` per ``keys`` in ``ts`` order, for rows that
-    are unique per (keys, ts), without any window over all of a key's rows:
-    day totals are cumulated per key (one row per day), second totals within
-    a (key, day) (at most 86 400 rows), then the rows of one second. Keys
-    may be NULL (e.g. the activity of project-level rows); joins are
-    NULL-safe. ``df`` is read three times: callers should pass a persisted
-    input (see :func:`burnline.session.share`) when it is expensive."""
+def cumulative(df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str) -> DataFrame:
+    """Running total of ``value`` per ``keys`` in ``ts`` order, for rows unique
+    per (keys, ts): one window, whose partitions hold one row per point of
+    time of a key. Keys may be NULL (e.g. the activity of project rows)."""
+    w = Window.partitionBy(*keys).orderBy(ts).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn(out, F.sum(value).over(w))
+
+
+def cumulative_within_days(df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str) -> DataFrame:
+    """:func:`cumulative` for true timestamps: day totals are cumulated per key
+    (one row per day) and the rows of a day on top, so that a key with many
+    bookings a day never forms one window partition over all its rows."""
     keys = list(keys)
-    d = df.withColumn("_day", F.to_date(F.col(ts))).withColumn("_sec", F.date_trunc("second", F.col(ts)))
-    before = Window.unboundedPreceding
-
-    def prefix(level_keys, order, name):
-        agg = d.groupBy(*level_keys, order).agg(F.sum(value).alias("_v"))
-        w = Window.partitionBy(*level_keys).orderBy(order).rowsBetween(before, -1)
-        return agg.select(*[F.col(k).alias("_j_" + k) for k in level_keys], F.col(order).alias("_j_" + order),
-                          F.coalesce(F.sum("_v").over(w), F.lit(0)).alias(name))
-
-    def join(left, right, cols):
-        cond = None
-        for c in cols:
-            e = left[c].eqNullSafe(right["_j_" + c])
-            cond = e if cond is None else cond & e
-        return left.join(right, cond).drop(*["_j_" + c for c in cols])
-
-    with_day = join(d, prefix(keys, "_day", "_pd"), keys + ["_day"])
-    with_sec = join(with_day, prefix(keys + ["_day"], "_sec", "_ps"), keys + ["_day", "_sec"])
-    w_in = Window.partitionBy(*keys, "_sec").orderBy(ts).rowsBetween(before, Window.currentRow)
-    return (with_sec.withColumn(out, F.col("_pd") + F.col("_ps") + F.sum(value).over(w_in))
-            .drop("_day", "_sec", "_pd", "_ps"))
-
-
-def burndown(series: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Cumulative hours per unit and booking timestamp (one row per unit and
-    day for date-only bookings); windows stay bounded for any skew."""
-    return cumulative_by_time(daily_totals(series, keys), keys, "booking_ts", "hours", "cumulative_hours")
+    d = df.withColumn("_day", F.to_date(F.col(ts)))
+    w_days = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = d.groupBy(*keys, "_day").agg(F.sum(value).alias("_v")).select(
+        *(F.col(k).alias("_j_" + k) for k in [*keys, "_day"]), F.coalesce(F.sum("_v").over(w_days), F.lit(0)).alias("_before"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col("_j_" + k)) for k in [*keys, "_day"]))
+    w_in = Window.partitionBy(*keys, "_day").orderBy(ts).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (d.join(days, same).withColumn(out, F.col("_before") + F.sum(value).over(w_in))
+            .drop("_day", "_before", *("_j_" + k for k in [*keys, "_day"])))
+
+
+def burndown(series: DataFrame, keys: Sequence[str], grain: str = "day") -> DataFrame:
+    """Cumulative hours per unit: one row per unit and day (``grain="day"``, E3),
+    or per unit and booking timestamp (``grain="timestamp"``)."""
+    if grain == "timestamp":
+        return cumulative_within_days(daily_totals(series, keys), keys, "booking_ts", "hours", "cumulative_hours")
+    if grain != "day":
+        raise ValueError(f"unknown grain {grain!r}")
+    days = series.withColumn("booking_ts", F.date_trunc("day", "booking_ts").cast(series.schema["booking_ts"].dataType))
+    return cumulative(daily_totals(days, keys), keys, "booking_ts", "hours", "cumulative_hours")
 
 
 # D14 / D15 ------------------------------------------------------------------
@@ -207,18 +204,14 @@ def cumulative_with_targets(series: DataFrame, targets: DataFrame) -> DataFrame:
     """Cumulative hours per (project, activity) and day, plus the target
     line (first and last day) where the activity's target is > 0.
 
-    The curve's first and last rows per key (from a per-key min/max
-    aggregate) also emit the target points.
+    The first and last day of a key come from windows over the curve's own
+    partitions, so the curve is made once; its first and last rows also emit
+    the target points.
     """
     keys = ["project_nr", "activity"]
-    curve = burndown(series, keys)
-    # first and last booking per key: a partial aggregate, joined back
-    span = (series.filter(F.col("booking_ts").isNotNull()).groupBy(*keys)
-            .agg(F.min("booking_ts").alias("_a"), F.max("booking_ts").alias("_b"))
-            .join(targets.select(*keys, F.col("budget_hours").alias("_t")), keys, "left")
-            .select(*[F.col(k).alias("_k_" + k) for k in keys], "_a", "_b", "_t"))
-    cond = (curve["project_nr"] == span["_k_project_nr"]) & curve["activity"].eqNullSafe(span["_k_activity"])
-    c = curve.join(span, cond).drop("_k_project_nr", "_k_activity")
+    w = Window.partitionBy(*keys)
+    curve = burndown(series, keys).withColumn("_a", F.min("booking_ts").over(w)).withColumn("_b", F.max("booking_ts").over(w))
+    c = curve.join(targets.select(*keys, F.col("budget_hours").alias("_t")), keys, "left")
     point_type = "array<struct<series:string,x:timestamp_ntz,y:double>>"
 
     def pt(name, x, y):

@@ -23,10 +23,10 @@ from ..operators import forecast as FC
 from ..operators import ledger as L
 from ..operators import profile as P
 from ..operators import trends as TR
-from ..session import share
+from ..session import cut_lineage
 from ..sources import derived
 from ..sources import files as FS
-from ..sources.tables import DEFAULT_AS_OF, ts_ntz
+from ..sources.tables import DEFAULT_AS_OF, table, ts_ntz
 
 AS_OF = DEFAULT_AS_OF
 AS_OF_DATE = _dt.date(2001, 6, 30)
@@ -34,6 +34,7 @@ EDIT_DATE = _dt.date(2001, 12, 31)
 WINDOW_START, WINDOW_END = B.default_date_window(AS_OF_DATE)
 SEARCH_TERM = "^(PROMO|SMALL)$|GERMANY"
 ACTIVITY_SELECTION = ["PROMO", "ECONOMY"]
+EMPLOYEE_SELECTION = ["Customer#000000001", "Customer#000000002", "Customer#000000003"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,7 +52,13 @@ def _as_of():
 
 
 def _bookings(spark, sf_dir):
-    return derived.bookings(spark, sf_dir, AS_OF)
+    """All bookings."""
+    return derived.bookings(spark, sf_dir)
+
+
+def _booked(spark, sf_dir):
+    """Bookings up to the as-of date, where the dashboards' default window ends."""
+    return derived.bookings(spark, sf_dir, until=AS_OF)
 
 
 def _ledger(spark, sf_dir):
@@ -62,8 +69,8 @@ def _targets(spark, sf_dir):
     return L.budgets_at(_ledger(spark, sf_dir), AS_OF_DATE)
 
 
-def _agg(spark, sf_dir, measure=S.DEFAULT_MEASURE):
-    return D.aggregate_bookings(_bookings(spark, sf_dir), measure)
+def _agg(spark, sf_dir):
+    return D.aggregate_bookings(_booked(spark, sf_dir))
 
 
 def _dashboard(spark, sf_dir):
@@ -74,16 +81,44 @@ def _summary(spark, sf_dir):
     return D.project_summary(_agg(spark, sf_dir), _targets(spark, sf_dir))
 
 
-def _series(spark, sf_dir, shared: bool = False):
-    """The daily grain of the booking series. ``shared`` persists it for
-    queries that read it in several branches, so the bookings are scanned
-    once instead of once per branch."""
-    grain = TR.booking_series(derived.booking_events(spark, sf_dir, AS_OF))
-    return share(grain) if shared else grain
+def _series(spark, sf_dir):
+    """The daily grain of the booking series up to the as-of date."""
+    return TR.booking_series(derived.booking_events(spark, sf_dir, until=AS_OF))
+
+
+def _units(spark, sf_dir, overrides=None):
+    return FC.forecast_units(_series(spark, sf_dir), _targets(spark, sf_dir), _as_of(), overrides)
+
+
+def _overrides(spark, sf_dir):
+    """Forecast overrides by key rule: two updates for the projects of every
+    fifth supplier (the later one wins, 0 hours among them), one for activity
+    PROMO of every fourth, every other of which is inactive."""
+    key = F.col("s_suppkey")
+    suppliers = table(spark, sf_dir, "supplier", "s_suppkey")
+    nr = derived.project_nr(key)
 
+    def update(rows, activity, hours, stamp, active):
+        return rows.select(nr.alias("project_nr"), F.lit(activity).cast("string").alias("activity"), hours.cast("double").alias("hours_per_sprint"),
+                           F.lit("by key rule").alias("reason"), F.lit(stamp).alias("updated_at"), F.lit("planner").alias("updated_by"),
+                           active.alias("active"))
+    fifth, fourth = suppliers.filter(key % 5 == 0), suppliers.filter(key % 4 == 0)
+    return (update(fifth, None, F.lit(999.0), "2001-01-01T00:00:00", F.lit(True))
+            .unionByName(update(fifth, None, key % 50, "2001-02-01T00:00:00", F.lit(None).cast("boolean")))
+            .unionByName(update(fourth, "PROMO", key % 9 + 1, "2001-01-01T00:00:00", key % 8 == 0)))
 
-def _units(spark, sf_dir):
-    return FC.forecast_units(_series(spark, sf_dir), _targets(spark, sf_dir), _as_of())
+
+SCENARIO_ROUNDED = ["base_hours_per_sprint", "confidence_factor", "hours_per_sprint", "sprints_remaining"]
+
+
+def _scenario_frame(units):
+    sc = FC.scenarios(units, _as_of())
+    return sc.select("level", "project_nr", "activity", "scenario", "label", "target_hours", "total_booked",
+                     "future_hours", "n_sprints", "remaining_hours",
+                     *(F.round(c, 6).alias(c) for c in SCENARIO_ROUNDED),
+                     "end_date", "days_left", "beyond_horizon",
+                     F.round("utilisation_pct", 6).alias("utilisation_pct"),
+                     F.round("certainty_pct", 6).alias("certainty_pct"))
 
 
 # --- sources and filters ---------------------------------------------------
@@ -92,7 +127,7 @@ def _units(spark, sf_dir):
 def a1_bookings_scan(spark, sf_dir):
     """A1 + B5/B6/B12: bookings of the default two-year window."""
     f = B.BookingFilters(start_date=WINDOW_START, end_date=WINDOW_END)
-    return B.apply_filters(_bookings(spark, sf_dir), f).select(*B.BOOKING_COLUMNS)
+    return B.apply_filters(_booked(spark, sf_dir), f).select(*B.BOOKING_COLUMNS)
 
 
 @register("a2_parameterised_sql")
@@ -120,6 +155,49 @@ def b8_activity_filter(spark, sf_dir):
     return D.aggregate_bookings(B.apply_filters(_bookings(spark, sf_dir), f))
 
 
+@register("b3_month_filter")
+def b3_month_filter(spark, sf_dir):
+    """One month of one year."""
+    f = B.BookingFilters(year=1999, month=12)
+    return D.aggregate_bookings(B.apply_filters(_bookings(spark, sf_dir), f))
+
+
+@register("b7_b10_activity_statuses")
+def b7_b10_activity_statuses(spark, sf_dir):
+    """One activity, several statuses."""
+    f = B.BookingFilters(activity="PROMO", statuses=["A", "N"])
+    return D.aggregate_bookings(B.apply_filters(_bookings(spark, sf_dir), f))
+
+
+@register("b8_employee_filter")
+def b8_employee_filter(spark, sf_dir):
+    """Employee selection."""
+    f = B.BookingFilters(employees=EMPLOYEE_SELECTION)
+    return D.aggregate_bookings(B.apply_filters(_bookings(spark, sf_dir), f))
+
+
+@register("b1_b2_project_restriction")
+def b1_b2_project_restriction(spark, sf_dir):
+    """B1/B2: a list of project codes, with blanks and surrounding spaces, as a semi join."""
+    key = F.col("s_suppkey")
+    codes = table(spark, sf_dir, "supplier", "s_suppkey").filter(key % 3 == 0).select(
+        F.when(key % 2 == 0, F.concat(F.lit(" "), derived.project_nr(key), F.lit(" "))).otherwise(derived.project_nr(key)).alias("project_nr"))
+    codes = codes.unionByName(codes.select(F.lit("  ").alias("project_nr")))
+    return D.aggregate_bookings(B.apply_filters(_bookings(spark, sf_dir), B.BookingFilters(projects=codes)))
+
+
+@register("c4_entitled_bookings")
+def c4_entitled_bookings(spark, sf_dir):
+    """A user of each nation may see the projects of its suppliers."""
+    suppliers = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").join(
+        F.broadcast(table(spark, sf_dir, "nation", "n_nationkey", "n_name")), F.col("s_nationkey") == F.col("n_nationkey"))
+    grant = F.struct(F.array(derived.project_nr(F.col("s_suppkey"))).alias("projects"),
+                     F.lit(None).cast("array<string>").alias("permissions"))
+    entitlements = suppliers.select(F.create_map(F.concat(F.lower("n_name"), F.lit("@example.com")), grant).alias("users"),
+                                    F.array(F.lit("view")).alias("default_permissions"))
+    return D.aggregate_bookings_compact(B.restrict_to_user(_bookings(spark, sf_dir), entitlements, "germany@example.com"))
+
+
 @register("b11_search_filter")
 def b11_search_filter(spark, sf_dir):
     """Case-insensitive regex over activity, project, customer."""
@@ -130,14 +208,14 @@ def b11_search_filter(spark, sf_dir):
 @register("b13_logged_hours_aggregate")
 def b13_logged_hours_aggregate(spark, sf_dir):
     """The aggregate on the logged-hours measure."""
-    return _agg(spark, sf_dir, "hours_logged").withColumn("actual_hours", F.round("actual_hours", 6))
+    return D.aggregate_bookings(_bookings(spark, sf_dir), "hours_logged").withColumn("actual_hours", F.round("actual_hours", 6))
 
 
 @register("b19_filter_summary")
 def b19_filter_summary(spark, sf_dir):
     f = B.BookingFilters(start_date=WINDOW_START, end_date=WINDOW_END,
                          activities=ACTIVITY_SELECTION, search_term=SEARCH_TERM)
-    s = B.filter_summary(B.apply_filters(_bookings(spark, sf_dir), f), f)
+    s = B.filter_summary(B.apply_filters(_booked(spark, sf_dir), f), f)
     return s.select("active_filters", F.array_join("filter_texts", " | ").alias("filter_texts"), "record_count")
 
 
@@ -150,8 +228,9 @@ def c3_project_validation(spark, sf_dir):
 
 @register("c3_unknown_projects")
 def c3_unknown_projects(spark, sf_dir):
-    """C3 anti join: booked projects without any ledger entry."""
-    return B.unknown_projects(_bookings(spark, sf_dir).select("project_nr"), _ledger(spark, sf_dir))
+    """C3 anti join: codes numbered as the parts are that no booking has."""
+    requested = table(spark, sf_dir, "part", "p_partkey").select(derived.project_nr(F.col("p_partkey")).alias("project_nr"))
+    return B.unknown_projects(requested, _bookings(spark, sf_dir))
 
 
 @register("g1_project_list")
@@ -161,14 +240,14 @@ def g1_project_list(spark, sf_dir):
 
 @register("b9_employee_options")
 def b9_employee_options(spark, sf_dir):
-    return B.option_values(_agg(spark, sf_dir), "employee")
+    return B.option_values(D.aggregate_bookings(_bookings(spark, sf_dir)), "employee")
 
 
 # --- dashboard --------------------------------------------------------------
 
 @register("d1_booking_aggregate")
 def d1_booking_aggregate(spark, sf_dir):
-    return _agg(spark, sf_dir)
+    return D.aggregate_bookings(_bookings(spark, sf_dir))
 
 
 @register("d1b_compact_aggregate")
@@ -188,7 +267,8 @@ def d3_project_summary(spark, sf_dir):
 
 @register("d4_project_header")
 def d4_project_header(spark, sf_dir):
-    return D.project_header(_dashboard(spark, sf_dir))
+    agg = _agg(spark, sf_dir)
+    return D.project_header(D.activity_dashboard(agg, _targets(spark, sf_dir)), agg)
 
 
 @register("d5_portfolio_kpis")
@@ -208,7 +288,8 @@ def d7_budget_tab_kpis(spark, sf_dir):
 
 @register("d28_export_counters")
 def d28_export_counters(spark, sf_dir):
-    return D.export_counters(_agg(spark, sf_dir), WINDOW_START, WINDOW_END)
+    f = B.BookingFilters(start_date=WINDOW_START, end_date=WINDOW_END)
+    return D.export_counters(D.aggregate_bookings(B.apply_filters(_booked(spark, sf_dir), f)), WINDOW_START, WINDOW_END)
 
 
 @register("e7_top_projects_bars")
@@ -250,7 +331,7 @@ def e4_latest_entries(spark, sf_dir):
 
 @register("e8_running_balance")
 def e8_running_balance(spark, sf_dir):
-    r = L.running_balance(_ledger(spark, sf_dir))
+    r = L.running_balance(cut_lineage(_ledger(spark, sf_dir)))
     return r.select("entry_id", "project_nr", "activity", "valid_from", "balance", "balance_signed")
 
 
@@ -284,7 +365,15 @@ def d26_ledger_profile(spark, sf_dir):
 
 @register("d27_budget_maps")
 def d27_budget_maps(spark, sf_dir):
-    return L.budget_maps(_targets(spark, sf_dir))
+    """D27, the entries of the maps side by side with their number."""
+    maps = L.budget_maps(_targets(spark, sf_dir))
+    return maps.select("project_nr", F.size("budgets").alias("n_budgets"), F.explode("budgets").alias("activity", "budget_hours"))
+
+
+@register("d8_budget_at_date")
+def d8_budget_at_date(spark, sf_dir):
+    """The balance of one key at the as-of date."""
+    return L.budget_at(_ledger(spark, sf_dir), "P00001", "PROMO", AS_OF_DATE)
 
 
 @register("g2_ledger_activities")
@@ -302,7 +391,7 @@ def j1_ledger_validation(spark, sf_dir):
 def j3_preview_changes(spark, sf_dir):
     """Entries valid after the as-of date, previewed against the balance
     at the as-of date (stacked per key in entry order)."""
-    led = _ledger(spark, sf_dir)
+    led = cut_lineage(_ledger(spark, sf_dir))
     proposals = led.filter(F.col("valid_from") > F.lit(AS_OF_DATE)) \
         .select(F.col("entry_id").alias("proposal_id"), "project_nr", "activity", "hours")
     return L.preview_changes(led, proposals, AS_OF_DATE)
@@ -316,7 +405,8 @@ def j2_target_changes(spark, sf_dir):
     booked = _agg(spark, sf_dir).select("project_nr", "activity").distinct()
     two = L.budgets_at_dates_wide(_ledger(spark, sf_dir), {"old_target": AS_OF_DATE, "new_target": EDIT_DATE})
     frame = booked.join(two, ["project_nr", "activity"], "left").na.fill(0.0, ["old_target", "new_target"])
-    return CH.target_deltas(frame)
+    shown = {c: frame.select("project_nr", "activity", F.col(c).alias("target_hours")) for c in ("old_target", "new_target")}
+    return CH.detect_target_changes(shown["old_target"], shown["new_target"])
 
 
 # --- trends -----------------------------------------------------------------
@@ -328,12 +418,12 @@ def d13_daily_totals(spark, sf_dir):
 
 @register("e2_burndown")
 def e2_burndown(spark, sf_dir):
-    return TR.burndown(_series(spark, sf_dir, shared=True), ["project_nr"])
+    return TR.burndown(_series(spark, sf_dir), ["project_nr"])
 
 
 @register("e3_activity_cumulative")
 def e3_activity_cumulative(spark, sf_dir):
-    return TR.burndown(_series(spark, sf_dir, shared=True), ["project_nr", "activity"])
+    return TR.burndown(_series(spark, sf_dir), ["project_nr", "activity"])
 
 
 @register("d14_weekly_totals")
@@ -382,7 +472,7 @@ def i15_burndown_metrics(spark, sf_dir):
 
 @register("i13_cumulative_with_targets")
 def i13_cumulative_with_targets(spark, sf_dir):
-    return TR.cumulative_with_targets(_series(spark, sf_dir, shared=True), _targets(spark, sf_dir))
+    return TR.cumulative_with_targets(_series(spark, sf_dir), _targets(spark, sf_dir))
 
 
 # --- forecast ---------------------------------------------------------------
@@ -403,16 +493,13 @@ def d17_velocity_stats(spark, sf_dir):
 
 @register("i5_forecast_scenarios")
 def i5_forecast_scenarios(spark, sf_dir):
-    sc = FC.scenarios(_units(spark, sf_dir), _as_of())
-    return sc.select("level", "project_nr", "activity", "scenario", "label", "target_hours", "total_booked",
-                     "future_hours", "n_sprints", "remaining_hours",
-                     F.round("base_hours_per_sprint", 6).alias("base_hours_per_sprint"),
-                     F.round("confidence_factor", 6).alias("confidence_factor"),
-                     F.round("hours_per_sprint", 6).alias("hours_per_sprint"),
-                     F.round("sprints_remaining", 6).alias("sprints_remaining"),
-                     "end_date", "days_left", "beyond_horizon",
-                     F.round("utilisation_pct", 6).alias("utilisation_pct"),
-                     F.round("certainty_pct", 6).alias("certainty_pct"))
+    return _scenario_frame(_units(spark, sf_dir))
+
+
+@register("i2_override_scenarios")
+def i2_override_scenarios(spark, sf_dir):
+    """The scenarios with manual velocities where an active override exists."""
+    return _scenario_frame(_units(spark, sf_dir, _overrides(spark, sf_dir)))
 
 
 @register("i8_trend_alerts")
@@ -428,12 +515,29 @@ def i9_sprint_details(spark, sf_dir):
 
 @register("i10_scenario_series")
 def i10_scenario_series(spark, sf_dir):
-    s = _series(spark, sf_dir, shared=True)
+    s = _series(spark, sf_dir)
     sc = FC.scenarios(FC.forecast_units(s, _targets(spark, sf_dir), _as_of()), _as_of())
     out = FC.scenario_series(s, sc, _as_of())
     return out.withColumn("x", F.col("x").cast("date")).withColumn("y", F.round("y", 6))
 
 
+@register("i11_burndown_series")
+def i11_burndown_series(spark, sf_dir):
+    """The project burn-down with scenario lines, or the simple forecast's where none lies ahead."""
+    s, targets = _series(spark, sf_dir), _targets(spark, sf_dir)
+    sc = FC.scenarios(FC.forecast_units(s, targets, _as_of()), _as_of())
+    tg = FC.unit_targets(targets).filter(F.col("level") == "project").select("project_nr", "target_hours")
+    simple = TR.simple_forecast(TR.booking_rates(s, ["project_nr"], _as_of()), tg, ["project_nr"], _as_of())
+    out = FC.burndown_series(s, sc, simple, _as_of())
+    return out.withColumn("x", F.col("x").cast("date")).withColumn("y", F.round("y", 6))
+
+
+@register("i12_velocity_series")
+def i12_velocity_series(spark, sf_dir):
+    v = FC.velocity_series(FC.sprint_table(_series(spark, sf_dir), _as_of()))
+    return v.withColumn("y", F.round("y", 6))
+
+
 # --- exports and profiles ---------------------------------------------------
 
 @register("a13_summary_export")

@@ -38,6 +38,9 @@ bookings AS (
   WHERE o.o_orderdate <= {AS_OF_TS}
 )"""
 
+# without the as-of cut
+ALL_BOOKINGS_CTE = BOOKINGS_CTE.replace(f"  WHERE o.o_orderdate <= {AS_OF_TS}\n", "")
+
 LEDGER_CTE = """
 ledger AS (
   SELECT CAST(x.l_orderkey * 100 + x.pos AS BIGINT) AS entry_id,

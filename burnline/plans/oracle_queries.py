@@ -3,7 +3,7 @@ for the shared derivations of bookings, ledger, targets and dashboard)."""
 
 from __future__ import annotations
 
-from .oracle import (AGG_CTE, AS_OF_DATE, AS_OF_TS, BOOKINGS_CTE, DASH_CTE, LEDGER_CTE,
+from .oracle import (AGG_CTE, ALL_BOOKINGS_CTE, AS_OF_DATE, AS_OF_TS, BOOKINGS_CTE, DASH_CTE, LEDGER_CTE,
                      TARGETS_CTE)
 
 
@@ -58,6 +58,7 @@ HORIZON_US = f"CAST(date_diff('microsecond', {AS_OF_TS}, TIMESTAMP '9999-12-31 2
 RECENT = f"booking_ts >= {AS_OF_TS} - INTERVAL 28 DAY"
 
 BASE = (BOOKINGS_CTE, LEDGER_CTE)
+ALL = (ALL_BOOKINGS_CTE, LEDGER_CTE)
 DASH = (BOOKINGS_CTE, LEDGER_CTE, TARGETS_CTE, AGG_CTE, DASH_CTE)
 
 SERIES_CTE = cte("series", "SELECT project_nr, project, activity, booking_ts, hours_billed AS hours FROM bookings")
@@ -95,23 +96,19 @@ SPRINT_CTES = (
   FROM act_sprints GROUP BY project_nr, sprint_number"""),
     cte("sprint_table", f"""
   SELECT level, project_nr, activity, sprint_number, hours, sprint_start, sprint_end,
-         CAST({AS_OF_DATE} - CAST((sprint_number + 1) * 14 - 1 AS INTEGER) AS DATE) AS bound_start,
-         CAST({AS_OF_DATE} - CAST(sprint_number * 14 AS INTEGER) AS DATE) AS bound_end,
+         {AS_OF_TS} - to_days(CAST((sprint_number + 1) * 14 AS INTEGER)) AS bound_start,
+         {AS_OF_TS} - to_days(CAST(sprint_number * 14 AS INTEGER)) AS bound_end,
          CAST(CASE sprint_number WHEN 0 THEN 0.4 WHEN 1 THEN 0.3 WHEN 2 THEN 0.2 WHEN 3 THEN 0.1 ELSE 0.0 END AS DOUBLE) AS weight
   FROM sprints"""),
     cte("vsums", """
   SELECT level, project_nr, activity, COUNT(*) AS n,
-         SUM(hours * (4 - sprint_number)) AS hw, SUM(4 - sprint_number) AS w, AVG(hours) AS mean_h,
-         SUM(CAST(sprint_number AS BIGINT)) AS sx,
-         SUM(CAST(sprint_number AS BIGINT) * CAST(sprint_number AS BIGINT)) AS sxx,
-         SUM(hours) AS sy, SUM(hours * hours) AS syy, SUM(hours * CAST(sprint_number AS BIGINT)) AS sxy
+         SUM(hours * (4 - sprint_number)) AS hw, SUM(4 - sprint_number) AS w,
+         stddev_samp(hours) AS std, regr_slope(hours, CAST(sprint_number AS DOUBLE)) AS raw_slope
   FROM sprint_table GROUP BY level, project_nr, activity"""),
     cte("vel", """
-  SELECT level, project_nr, activity, n AS n_sprints,
-         CASE WHEN w = 0 THEN mean_h ELSE hw / w END AS automatic_hours_per_sprint,
-         CASE WHEN n >= 2 THEN sqrt(greatest((n * syy - sy * sy) / (n * (n - 1)), 0.0)) END AS sprint_std,
-         CASE WHEN n < 2 THEN 0.0 WHEN (n * sxx - sx * sx) <> 0
-              THEN (n * sxy - sx * sy) / (n * sxx - sx * sx) ELSE 0.0 END AS slope
+  SELECT level, project_nr, activity, n AS n_sprints, hw / w AS automatic_hours_per_sprint,
+         CASE WHEN n >= 2 THEN std END AS sprint_std,
+         CASE WHEN n >= 2 THEN COALESCE(round(raw_slope, 9), 0.0) ELSE 0.0 END AS slope
   FROM vsums"""),
     cte("vel2", """
   SELECT *,
@@ -243,10 +240,16 @@ _SEARCH_PRED = " OR ".join(f"COALESCE(regexp_matches({c}, '{_SEARCH}'), false)"
                            for c in ("activity", "project", "customer"))
 
 SQL["a2_parameterised_sql"] = with_ctes(LEDGER_CTE, TARGETS_CTE, body="SELECT * FROM targets")
-SQL["b3_b4_year_status_filter"] = with_ctes(*BASE, body=_AGG_BODY.format(where="year = 2000 AND status = 'R'"))
-SQL["b8_activity_filter"] = with_ctes(*BASE, body=_AGG_BODY.format(where="activity IN ('PROMO', 'ECONOMY')"))
-SQL["b11_search_filter"] = with_ctes(*BASE, body=_AGG_BODY.format(where=f"({_SEARCH_PRED})"))
-SQL["b13_logged_hours_aggregate"] = with_ctes(*BASE, body="""
+SQL["b3_b4_year_status_filter"] = with_ctes(*ALL, body=_AGG_BODY.format(where="year = 2000 AND status = 'R'"))
+SQL["b8_activity_filter"] = with_ctes(*ALL, body=_AGG_BODY.format(where="activity IN ('PROMO', 'ECONOMY')"))
+SQL["b3_month_filter"] = with_ctes(*ALL, body=_AGG_BODY.format(where="year = 1999 AND month = 12"))
+SQL["b7_b10_activity_statuses"] = with_ctes(*ALL, body=_AGG_BODY.format(where="activity = 'PROMO' AND status IN ('A', 'N')"))
+SQL["b8_employee_filter"] = with_ctes(*ALL, body=_AGG_BODY.format(
+    where="employee IN ('Customer#000000001', 'Customer#000000002', 'Customer#000000003')"))
+SQL["b1_b2_project_restriction"] = with_ctes(*ALL, body=_AGG_BODY.format(
+    where="project_nr IN (SELECT printf('P%05d', s_suppkey) FROM supplier WHERE s_suppkey % 3 = 0)"))
+SQL["b11_search_filter"] = with_ctes(*ALL, body=_AGG_BODY.format(where=f"({_SEARCH_PRED})"))
+SQL["b13_logged_hours_aggregate"] = with_ctes(*ALL, body="""
 SELECT project, project_nr, customer, employee, activity, round(SUM(hours_logged), 6) AS actual_hours,
        COUNT(*) AS entry_count, MIN(entry_date) AS first_entry, MAX(entry_date) AS last_entry
 FROM bookings GROUP BY project, project_nr, customer, employee, activity""")
@@ -258,37 +261,39 @@ FROM bookings
 WHERE entry_date >= DATE '1999-06-30' AND entry_date <= DATE '2001-06-30'
   AND activity IN ('PROMO', 'ECONOMY') AND ({_SEARCH_PRED})""")
 SQL["c3_project_validation"] = with_ctes(
-    *BASE,
+    *ALL,
     cte("req", "SELECT DISTINCT project_nr AS requested FROM ledger"),
     cte("known", "SELECT DISTINCT project_nr AS code FROM bookings WHERE project_nr IS NOT NULL"),
     body=f"""
 SELECT r.requested, trim(r.requested) AS project_nr,
        (k.code IS NOT NULL AND NOT {blank('trim(r.requested)')}) AS "exists"
 FROM req r LEFT JOIN known k ON trim(r.requested) = k.code""")
-SQL["c3_unknown_projects"] = with_ctes(*BASE, body="""
-SELECT DISTINCT trim(project_nr) AS project_nr FROM bookings b
-WHERE trim(project_nr) IS NOT NULL AND trim(project_nr) <> ''
-  AND NOT EXISTS (SELECT 1 FROM ledger l WHERE l.project_nr = trim(b.project_nr))""")
-SQL["g1_project_list"] = with_ctes(*BASE, body="SELECT DISTINCT project, project_nr, customer FROM bookings")
-SQL["b9_employee_options"] = with_ctes(BOOKINGS_CTE, AGG_CTE,
+SQL["c3_unknown_projects"] = with_ctes(*ALL, body="""
+SELECT DISTINCT printf('P%05d', p_partkey) AS project_nr FROM part p
+WHERE NOT EXISTS (SELECT 1 FROM bookings b WHERE b.project_nr = printf('P%05d', p.p_partkey))""")
+SQL["g1_project_list"] = with_ctes(*ALL, body="SELECT DISTINCT project, project_nr, customer FROM bookings")
+SQL["b9_employee_options"] = with_ctes(ALL_BOOKINGS_CTE, AGG_CTE,
                                        body="SELECT DISTINCT employee FROM agg WHERE employee IS NOT NULL")
 
 # --- dashboard --------------------------------------------------------------
-SQL["d1_booking_aggregate"] = with_ctes(BOOKINGS_CTE, AGG_CTE, body="SELECT * FROM agg")
-SQL["d1b_compact_aggregate"] = with_ctes(BOOKINGS_CTE, body="""
+SQL["d1_booking_aggregate"] = with_ctes(ALL_BOOKINGS_CTE, AGG_CTE, body="SELECT * FROM agg")
+_COMPACT_BODY = """
 SELECT project, project_nr, customer, activity, round_even(SUM(hours_billed), 2) AS actual_hours,
        COUNT(employee) AS entry_count, MIN(entry_date) AS first_entry, MAX(entry_date) AS last_entry
-FROM bookings GROUP BY project, project_nr, customer, activity""")
+FROM bookings {where} GROUP BY project, project_nr, customer, activity"""
+SQL["d1b_compact_aggregate"] = with_ctes(ALL_BOOKINGS_CTE, body=_COMPACT_BODY.format(where=""))
+SQL["c4_entitled_bookings"] = with_ctes(ALL_BOOKINGS_CTE, body=_COMPACT_BODY.format(
+    where="WHERE project_nr IN (SELECT printf('P%05d', s_suppkey) FROM supplier JOIN nation ON s_nationkey = n_nationkey "
+          "WHERE n_name = 'GERMANY')"))
 SQL["d2_activity_dashboard"] = with_ctes(*DASH, body="SELECT * FROM dash")
 SQL["d3_project_summary"] = with_ctes(*DASH, *SUMMARY_CTES, body="SELECT * FROM summary")
-SQL["d4_project_header"] = with_ctes(*DASH, cte("hdr", f"""
+SQL["d4_project_header"] = with_ctes(*DASH, *SUMMARY_CTES, cte("hdr", f"""
   SELECT project_nr, project, COUNT(*) AS n_activities, {exact_sum('target_hours')} AS target_hours,
-         SUM({bround('actual_hours', 1)}) AS actual_hours,
-         arg_min(customer, (-actual_hours, activity)) AS customer
+         SUM({bround('actual_hours', 1)}) AS actual_hours
   FROM dash GROUP BY project_nr, project"""), body=f"""
-SELECT project_nr, project, customer, n_activities, target_hours, actual_hours,
-       {fulfil('actual_hours', 'target_hours')} AS fulfillment_pct, {status('actual_hours', 'target_hours')} AS status
-FROM hdr""")
+SELECT h.project_nr, h.project, a.customer, h.n_activities, h.target_hours, h.actual_hours,
+       {fulfil('h.actual_hours', 'h.target_hours')} AS fulfillment_pct, {status('h.actual_hours', 'h.target_hours')} AS status
+FROM hdr h LEFT JOIN act3 a ON h.project_nr IS NOT DISTINCT FROM a.project_nr AND h.project IS NOT DISTINCT FROM a.project""")
 SQL["d5_portfolio_kpis"] = with_ctes(*DASH, cte("k", f"""
   SELECT SUM({bround('actual_hours', 1)}) AS total_hours, {exact_sum('target_hours')} AS total_target,
          COUNT(DISTINCT project_nr) AS active_projects,
@@ -306,7 +311,8 @@ SELECT total_target, spent_hours, {fulfil('spent_hours', 'total_target')} AS con
 FROM k""")
 SQL["d7_budget_tab_kpis"] = with_ctes(*DASH, body=f"""
 SELECT {exact_sum('target_hours')} AS total_target, COUNT(*) AS n_rows FROM dash""")
-SQL["d28_export_counters"] = with_ctes(BOOKINGS_CTE, AGG_CTE, body="""
+SQL["d28_export_counters"] = with_ctes(BOOKINGS_CTE, cte("agg", _AGG_BODY.format(
+    where="entry_date >= DATE '1999-06-30' AND entry_date <= DATE '2001-06-30'")), body="""
 SELECT COUNT(*) AS rows_ready, COUNT(DISTINCT project_nr) AS n_projects, '30.06.99 - 30.06.01' AS date_range_text
 FROM agg""")
 SQL["e7_top_projects_bars"] = with_ctes(*DASH, *SUMMARY_CTES, cte("top", f"""
@@ -361,7 +367,7 @@ SELECT entry_id, project_nr, activity, valid_from,
 FROM ledger
 WINDOW w AS (PARTITION BY project_nr, activity ORDER BY valid_from, entry_id
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
-SQL["c6_monthly_balances"] = with_ctes(*BASE, cte("probes", """
+SQL["c6_monthly_balances"] = with_ctes(*ALL, cte("probes", """
   SELECT DISTINCT project_nr, activity, last_day(entry_date) AS as_of_date FROM bookings"""), body="""
 SELECT p.project_nr, p.activity, p.as_of_date,
        CAST(COALESCE(SUM(l.hours), 0) AS DOUBLE) AS budget_hours,
@@ -385,12 +391,19 @@ SELECT project_nr, COUNT(*) AS n_entries, CAST(SUM(hours) AS DOUBLE) AS total_ho
 FROM ledger GROUP BY project_nr""")
 SQL["d26_ledger_profile"] = with_ctes(LEDGER_CTE, body="""
 SELECT COUNT(*) AS budget_entries, COUNT(DISTINCT project_nr) AS unique_projects FROM ledger""")
+SQL["d27_budget_maps"] = with_ctes(LEDGER_CTE, TARGETS_CTE, body="""
+SELECT project_nr, CAST(COUNT(*) OVER (PARTITION BY project_nr) AS INTEGER) AS n_budgets, activity, budget_hours
+FROM targets WHERE activity IS NOT NULL""")
+SQL["d8_budget_at_date"] = with_ctes(LEDGER_CTE, body=f"""
+SELECT CAST(COALESCE(SUM(hours), 0) AS DOUBLE) AS budget_hours FROM ledger
+WHERE project_nr = 'P00001' AND activity = 'PROMO' AND valid_from <= {AS_OF_DATE}""")
 SQL["g2_ledger_activities"] = with_ctes(LEDGER_CTE, body="SELECT DISTINCT project_nr, activity FROM ledger")
 SQL["j1_ledger_validation"] = with_ctes(LEDGER_CTE, cte("v", f"""
   SELECT entry_id, concat_ws(',',
            CASE WHEN {blank('project_nr')} THEN 'project_blank' END,
            CASE WHEN {blank('activity')} THEN 'activity_blank' END,
            CASE WHEN {blank('reason')} THEN 'reason_blank' END,
+           CASE WHEN {blank('created_by')} THEN 'author_blank' END,
            CASE WHEN hours IS NULL OR hours <= 0 THEN 'hours_not_positive' END,
            CASE WHEN NOT COALESCE(change_type IN ('initial', 'extension', 'correction', 'reduction'), false)
                 THEN 'unknown_change_type' END,
@@ -514,7 +527,7 @@ SQL["d17_velocity_stats"] = with_ctes(*SPRINTS, body=f"""
 SELECT level, project_nr, activity, n_sprints, {r6('automatic_hours_per_sprint')} AS automatic_hours_per_sprint,
        {r6('sprint_std')} AS sprint_std, {r6('slope')} AS slope, trend, direction, trend_chrono
 FROM vel2""")
-SQL["i5_forecast_scenarios"] = with_ctes(*FCST, body=f"""
+_SCEN_BODY = f"""
 SELECT level, project_nr, activity, scenario, label, target_hours, total_booked, future_hours, n_sprints,
        remaining_hours, {r6('base_hours_per_sprint')} AS base_hours_per_sprint,
        {r6('confidence_factor')} AS confidence_factor, {r6('hours_per_sprint')} AS hours_per_sprint,
@@ -523,7 +536,21 @@ SELECT level, project_nr, activity, scenario, label, target_hours, total_booked,
        (hours_per_sprint > 0 AND beyond) AS beyond_horizon,
        {r6('CASE WHEN target_hours > 0 THEN total_booked / target_hours * 100 ELSE 0.0 END')} AS utilisation_pct,
        {r6('least(greatest((1 - confidence_factor) * 100, 0.0), 100.0)')} AS certainty_pct
-FROM scen""")
+FROM scen"""
+SQL["i5_forecast_scenarios"] = with_ctes(*FCST, body=_SCEN_BODY)
+_OVERRIDES_CTE = cte("manual", """
+  SELECT printf('P%05d', s_suppkey) AS project_nr, CAST(NULL AS VARCHAR) AS activity, CAST(s_suppkey % 50 AS DOUBLE) AS hours
+  FROM supplier WHERE s_suppkey % 5 = 0
+  UNION ALL
+  SELECT printf('P%05d', s_suppkey), 'PROMO', CAST(s_suppkey % 9 + 1 AS DOUBLE) FROM supplier WHERE s_suppkey % 8 = 0""")
+_MANUAL_UNITS = cte("units", """
+  SELECT u.*, COALESCE(m.hours, automatic_hours_per_sprint) AS base_hours_per_sprint,
+         CASE WHEN n_sprints >= 2 AND COALESCE(m.hours, automatic_hours_per_sprint) > 0
+              THEN sprint_std / COALESCE(m.hours, automatic_hours_per_sprint) ELSE 0.2 END AS confidence_factor,
+         greatest(0.0, target_hours - total_booked) AS remaining_hours
+  FROM units0 u LEFT JOIN manual m ON u.project_nr = m.project_nr AND u.activity IS NOT DISTINCT FROM m.activity""")
+SQL["i2_override_scenarios"] = with_ctes(*(_OVERRIDES_CTE + ",\n" + _MANUAL_UNITS if c.startswith("units AS") else c for c in FCST),
+                                         body=_SCEN_BODY)
 SQL["i8_trend_alerts"] = with_ctes(*FCST, body=f"""
 SELECT level, project_nr, activity, trend, {r6('slope')} AS slope,
        CASE WHEN trend = 'decreasing' THEN 'warning' WHEN trend = 'increasing' THEN 'info' END AS alert_level,
@@ -533,7 +560,7 @@ SELECT level, project_nr, activity, trend, {r6('slope')} AS slope,
             WHEN trend = 'increasing'
               THEN '📈 **Positiver Trend:** Sprint-Velocity steigt (' || printf('%.1f', round(slope, 1))
                    || 'h/Sprint). Team wird produktiver!' END AS alert_text
-FROM units""")
+FROM units WHERE target_hours > 0 AND n_bookings > 0""")
 SQL["i9_sprint_details"] = with_ctes(*SPRINTS, body=f"""
 SELECT level, project_nr, activity, sprint_number, hours, weight,
        CASE WHEN sprint_number > 0 THEN 'Sprint -' || CAST(sprint_number AS VARCHAR)
@@ -541,12 +568,17 @@ SELECT level, project_nr, activity, sprint_number, hours, weight,
        CASE WHEN sprint_number > 0 THEN 'Sprint -' || CAST(sprint_number AS VARCHAR) ELSE 'Aktuell' END AS chart_label,
        printf('%.1fh', hours) AS hours_text, {fmt_date('sprint_start')} AS start_text,
        {fmt_date('sprint_end')} AS end_text,
-       printf('%.0f%%', weight * CAST(100 AS DOUBLE)) AS weight_text,
-       list_extract(['#fee5d9', '#fcbba1', '#fc9272', '#fb6a4a'],
-                    least(CAST(floor(weight * 10) AS INTEGER), 3) + 1) AS bar_color
+       printf('%.0f%%', weight * CAST(100 AS DOUBLE)) AS weight_text
 FROM sprint_table""")
-SQL["i10_scenario_series"] = with_ctes(
-    *FCST,
+SQL["i12_velocity_series"] = with_ctes(*SPRINTS, cte("m", """
+  SELECT level, project_nr, activity, sprint_number, hours,
+         SUM(hours * (4 - sprint_number)) OVER u / SUM(4 - sprint_number) OVER u AS mean
+  FROM sprint_table WINDOW u AS (PARTITION BY level, project_nr, activity)"""), body="""
+SELECT level, project_nr, activity, sprint_number,
+       CASE WHEN sprint_number > 0 THEN 'Sprint -' || CAST(sprint_number AS VARCHAR) ELSE 'Aktuell' END AS chart_label,
+       unnest(['hours', 'weighted_mean']) AS series, round(unnest([hours, mean]), 6) AS y
+FROM m""")
+_CURVE_CTES = (
     cte("dact", """
   SELECT project_nr, activity, booking_ts, SUM(hours) AS h FROM series WHERE booking_ts IS NOT NULL
   GROUP BY project_nr, activity, booking_ts"""),
@@ -567,6 +599,9 @@ SQL["i10_scenario_series"] = with_ctes(
     cte("sc", """
   SELECT s.*, sp.first_x, sp.last_x, sp.cur FROM scen s JOIN span sp
     ON s.level = sp.level AND s.project_nr = sp.project_nr AND s.activity IS NOT DISTINCT FROM sp.activity"""),
+)
+SQL["i10_scenario_series"] = with_ctes(
+    *FCST, *_CURVE_CTES,
     cte("ends", """
   SELECT level, project_nr, activity, MAX(end_ts) AS maxend, ANY_VALUE(first_x) AS first_x,
          ANY_VALUE(last_x) AS last_x, ANY_VALUE(target_hours) AS t
@@ -585,16 +620,34 @@ SQL["i10_scenario_series"] = with_ctes(
 SELECT level, project_nr, activity, series, CAST(x AS DATE) AS x, round(y, 6) AS y, x > {AS_OF_TS} AS only_future
 FROM pts""")
 
+SQL["i11_burndown_series"] = with_ctes(
+    *FCST, *_CURVE_CTES, *RATE_CTES,
+    cte("ahead", f"SELECT * FROM sc WHERE level = 'project' AND end_ts > {AS_OF_TS}"),
+    cte("rest", """
+  SELECT f.*, COALESCE(f.dated_hours, 0.0) AS current_hours FROM fc f
+  WHERE f.forecast_end IS NOT NULL AND f.target_hours > COALESCE(f.dated_hours, 0.0)
+    AND f.project_nr NOT IN (SELECT project_nr FROM ahead)"""),
+    cte("pts", f"""
+  SELECT project_nr, series, x, y FROM actual WHERE level = 'project'
+  UNION ALL
+  SELECT project_nr, scenario, unnest([{AS_OF_TS}, end_ts]), unnest([cur, target_hours]) FROM ahead
+  UNION ALL
+  SELECT project_nr, 'Budget-Ende (realistisch)', end_ts, target_hours FROM ahead WHERE scenario = 'realistic'
+  UNION ALL
+  SELECT project_nr, 'Prognose (4-Wochen-Trend)', unnest([{AS_OF_TS}, forecast_end]), unnest([current_hours, target_hours])
+  FROM rest"""),
+    body="SELECT project_nr, series, CAST(x AS DATE) AS x, round(y, 6) AS y FROM pts")
+
 # --- exports and profiles ---------------------------------------------------
 SQL["a13_summary_export"] = with_ctes(*DASH, body=f"""
 SELECT project AS "Projekt", activity AS "Tätigkeit", {bround('target_hours', 2)} AS "Sollstunden",
        {bround('actual_hours', 2)} AS "Iststunden", {bround('fulfillment_pct', 2)} AS "Erfüllungsstand (%)",
        status AS "Status", customer AS "Kunde"
 FROM dash""")
-SQL["a14_detail_export"] = with_ctes(BOOKINGS_CTE, body="""
+SQL["a14_detail_export"] = with_ctes(ALL_BOOKINGS_CTE, body="""
 SELECT employee AS "Mitarbeiter", hours_logged AS "Stunden", project AS "Projekt", activity AS "Tätigkeit",
        status AS "Status", entry_date AS "Datum", comment AS "Kommentar", customer AS "Kunde"
 FROM bookings""")
-SQL["d25_dataset_profile"] = with_ctes(BOOKINGS_CTE, body="""
+SQL["d25_dataset_profile"] = with_ctes(ALL_BOOKINGS_CTE, body="""
 SELECT COUNT(*) AS time_entries_count, COUNT(DISTINCT project) AS projects, COUNT(DISTINCT activity) AS activities,
        MIN(entry_date) AS date_min, MAX(entry_date) AS date_max FROM bookings""")

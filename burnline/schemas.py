@@ -53,11 +53,25 @@ CHANGE_TYPE_LABELS = {
 # Burn-down texts and colours.
 BURNDOWN_EXHAUSTED = "⚠️ Erschöpft"
 BURNDOWN_NO_FORECAST = "Keine Prognose"
+BURNDOWN_END_MARKER = "Budget-Ende (realistisch)"
+BURNDOWN_TREND_LINE = "Prognose (4-Wochen-Trend)"
 RATE_EXHAUSTED = "Erschöpft"
 RATE_NO_ACTIVITY = "Keine Aktivität"
 CURRENT_SPRINT_LABEL = "Aktueller Sprint"
 CURRENT_SPRINT_CHART_LABEL = "Aktuell"
 ALL_TIME_LABEL = "All time"
+NO_PROJECTS = "Keine Projekte"
+
+# Texts of the active-filter summary.
+FILTER_PERIOD_TEXT = "Zeitraum: {start} - {end}"
+FILTER_LIST_LABELS = {"activities": "Tätigkeiten", "employees": "Mitarbeiter"}
+FILTER_SELECTED_TEXT = "{label}: {count} ausgewählt"
+FILTER_SEARCH_TEXT = "Suche: '{term}'"
+
+# Texts of the trend alerts, around the slope.
+ALERT_DECREASING = ("⚠️ **Trend-Warnung:** Sprint-Velocity nimmt ab (",
+                    "h/Sprint). Team könnte überlastet sein oder auf Blocker stoßen.")
+ALERT_INCREASING = ("📈 **Positiver Trend:** Sprint-Velocity steigt (", "h/Sprint). Team wird produktiver!")
 
 # Booking status domain and the "all" option of the filters.
 BOOKING_STATUSES = ["Genehmigt", "Offen", "Abgelehnt", "Entwurf"]
@@ -100,7 +114,7 @@ LEDGER_SCHEMA = T.StructType([
     T.StructField("valid_from", T.DateType(), False),
     T.StructField("reason", T.StringType(), False),
     T.StructField("reference", T.StringType(), True),
-    T.StructField("created_by", T.StringType(), True),
+    T.StructField("created_by", T.StringType(), False),
     T.StructField("created_at", T.TimestampNTZType(), True),
 ])
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,38 +45,28 @@ def build_session(app_name: str = "burnline", master: str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
+    """The shared checkpoint folder of ``spark.checkpoint.dir``.
 
-    The folder named in ``spark.checkpoint.dir`` wins. Only when nothing is
-    configured (local tests) a fresh scratch folder is created.
+    Where it is unset, a fresh folder is made if the session runs in a single
+    process (tests, bench); on a cluster that is an error, as executors could
+    not read each other's machine-local folders.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="burnline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
-
-
-def share(df: DataFrame) -> DataFrame:
-    """Mark an intermediate result that several branches of one plan read.
-
-    Without this, each branch re-plans it with its own column pruning and
-    filter pushdown, so the identical subtrees differ and the bookings are
-    scanned once per branch. Persisted blocks lost with an executor are
-    recomputed from lineage.
-    """
-    from pyspark import StorageLevel
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="burnline-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (reliable checkpoint).
+    """Materialise ``df`` in the shared checkpoint folder (reliable checkpoint),
+    so that several branches of a plan read it instead of deriving it each.
 
-    Survives executor loss, unlike a local checkpoint.
+    Survives executor loss, unlike a local checkpoint or persisted blocks.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -4,7 +4,7 @@ The driver data has no time-booking table, so both inputs are derived by
 joins (one row per line item for bookings, one ledger entry per first order
 line). The derivations are plain joins and projections: every join is an
 equi-join left to Catalyst/AQE; only ``nation`` (fixed 25 rows) is hinted
-as a broadcast. Only the orders join filters (the as-of cut); the other
+as a broadcast. Only the orders join filters (``until``, if given); the other
 lookups are left joins on primary keys. The booking *series* has its own
 derivation with only the joins it needs (orders for the cut, part for the
 activity). ``supplier``, ``part`` and ``customer`` all grow with the
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import DEFAULT_AS_OF, spread_if_undersplit, table, ts_ntz
+from .tables import table, ts_ntz
 
 # Fixed derivation rules (stated together; the oracle SQL mirrors them).
 PROJECT_NR_FORMAT = "P%05d"
@@ -35,26 +35,26 @@ def _padded(prefix: str, col, width: int, fmt: str):
     """prefix + zero-padded number, as ``format_string(fmt, col)`` but with
     codegen'd string functions on the common path (0 <= value < 10^width)."""
     fast = F.concat(F.lit(prefix), F.lpad(col.cast("string"), width, "0"))
-    return F.when((col >= 0) & (col < 10 ** width), fast).otherwise(F.format_string(fmt, col))
+    return (F.when((col >= 0) & (col < 10 ** width), fast)
+            .when(col.isNotNull(), F.format_string(fmt, col)))
 
 
 def project_nr(col) -> "F.Column":
     return _padded("P", col, 5, PROJECT_NR_FORMAT)
 
 
-def bookings(spark: SparkSession, sf_dir: str, as_of=DEFAULT_AS_OF,
-             cut_at_as_of: bool = True) -> DataFrame:
+def bookings(spark: SparkSession, sf_dir: str, until=None) -> DataFrame:
     """One booking per line item (canonical bookings schema).
 
     ``entry_date`` (work date) is the order date, ``booking_ts`` (posting date)
-    the ship date. With ``cut_at_as_of`` only bookings whose entry date is on
-    or before ``as_of`` are kept; the predicate reaches the ``orders`` scan.
+    the ship date. With ``until`` only bookings whose entry date is on or
+    before it are kept; the predicate reaches the ``orders`` scan.
     """
-    li = spread_if_undersplit(table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
-                                    "l_linestatus", "l_quantity", "l_discount", "l_returnflag", "l_shipdate"))
-    orders = spread_if_undersplit(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate"))
-    if cut_at_as_of:
-        orders = orders.filter(F.col("o_orderdate") <= ts_ntz(as_of))
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
+               "l_linestatus", "l_quantity", "l_discount", "l_returnflag", "l_shipdate")
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    if until is not None:
+        orders = orders.filter(F.col("o_orderdate") <= ts_ntz(until))
     # Dimension lookups are left joins on the dimensions' primary keys: a
     # booking is never dropped for a missing dimension row.
     supplier = table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
@@ -93,13 +93,14 @@ def bookings(spark: SparkSession, sf_dir: str, as_of=DEFAULT_AS_OF,
     )
 
 
-def booking_events(spark: SparkSession, sf_dir: str, as_of=DEFAULT_AS_OF) -> DataFrame:
+def booking_events(spark: SparkSession, sf_dir: str, until=None) -> DataFrame:
     """The columns the time series needs -- project_nr, activity,
     booking_ts, entry_date and both measures -- without the name lookups."""
-    li = spread_if_undersplit(table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
-                                    "l_quantity", "l_discount", "l_shipdate"))
-    orders = (spread_if_undersplit(table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate"))
-              .filter(F.col("o_orderdate") <= ts_ntz(as_of)))
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
+               "l_quantity", "l_discount", "l_shipdate")
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
+    if until is not None:
+        orders = orders.filter(F.col("o_orderdate") <= ts_ntz(until))
     part = table(spark, sf_dir, "part", "p_partkey", "p_type")
     joined = (li.join(orders, li.l_orderkey == orders.o_orderkey)
               .join(part, F.col("l_partkey") == part.p_partkey, "left"))
@@ -153,7 +154,3 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.timestamp_add("HOUR", (F.col("o_custkey") % 24).cast("int"), F.col("o_orderdate")).alias("created_at"),
     )
 
-
-def project_names(bookings_df: DataFrame) -> DataFrame:
-    """project_nr -> display name (one per code)."""
-    return bookings_df.groupBy("project_nr").agg(F.min("project").alias("project"))

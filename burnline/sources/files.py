@@ -10,12 +10,12 @@ from __future__ import annotations
 import datetime as _dt
 from typing import Optional
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..operators.latest import latest_by_key
 
 # Column names of the booking source table and their
 # canonical names (see the schema table of the survey, section 1.2).
@@ -45,23 +45,44 @@ _CANON_TYPES = {f.name: f.dataType for f in S.BOOKINGS_SCHEMA.fields}
 SOURCE_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in SOURCE_COLUMNS])
 
 
+# Text forms of dates and timestamps besides ISO (fixed values).
+LOCAL_DATE_FORMATS = ["dd.MM.yyyy", "dd.MM.yyyy HH:mm", "dd.MM.yyyy HH:mm:ss"]
+
+
+def _typed(source: DataFrame, src: str) -> Column:
+    """Column ``src`` in its canonical type; unparsable values become NULL.
+    Text may carry a decimal comma or a dd.MM.yyyy date."""
+    dtype, c = _CANON_TYPES[SOURCE_COLUMNS[src]], F.col(f"`{src}`")
+    if not isinstance(source.schema[src].dataType, T.StringType):
+        return c.try_cast(dtype)
+    c = F.trim(c)
+    if isinstance(dtype, (T.TimestampNTZType, T.DateType)):
+        parsed = [F.try_to_timestamp(c), *(F.try_to_timestamp(c, F.lit(f)) for f in LOCAL_DATE_FORMATS)]
+        return F.coalesce(*parsed).cast(dtype)  # session zone is UTC
+    if isinstance(dtype, T.DoubleType):
+        german = F.when(c.contains(","), F.replace(F.replace(c, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(c)
+        return german.try_cast(dtype)
+    return F.col(f"`{src}`") if isinstance(dtype, T.StringType) else c.try_cast(dtype)
+
+
 def canonical_bookings(source: DataFrame) -> DataFrame:
     """Rename source columns to canonical names and cast to canonical types
-    (``try_cast``: unparsable values become NULL). Missing columns are NULL."""
-    cols = []
-    for src, name in SOURCE_COLUMNS.items():
-        dtype = _CANON_TYPES[name]
-        if src in source.columns:
-            c = F.col(f"`{src}`")
-            is_text = isinstance(source.schema[src].dataType, T.StringType)
-            if isinstance(dtype, T.TimestampNTZType) and is_text:
-                c = F.try_to_timestamp(c).cast(dtype)  # session zone is UTC
-            else:
-                c = c.try_cast(dtype)
-        else:
-            c = F.lit(None).cast(dtype)
-        cols.append(c.alias(name))
-    return source.select(*cols)
+    (unparsable values become NULL, see :func:`rejected_bookings`). Columns
+    that the source lacks are NULL; year and month come from the date then."""
+    cols = {name: _typed(source, src) if src in source.columns else F.lit(None).cast(_CANON_TYPES[name])
+            for src, name in SOURCE_COLUMNS.items()}
+    for part, of in (("year", F.year), ("month", F.month)):
+        cols[part] = F.coalesce(cols[part], of(cols["entry_date"]))
+    return source.select(*(c.alias(name) for name, c in cols.items()))
+
+
+def rejected_bookings(source: DataFrame) -> DataFrame:
+    """Source rows with a value that :func:`canonical_bookings` cannot parse,
+    and ``rejected_columns``, the source names of those columns."""
+    bad = [F.when(F.col(f"`{c}`").isNotNull() & (F.trim(F.col(f"`{c}`")) != "") & _typed(source, c).isNull(), F.lit(c))
+           for c in SOURCE_COLUMNS if c in source.columns]
+    return (source.withColumn("rejected_columns", F.array_compact(F.array(*bad)))
+            .filter(F.size("rejected_columns") > 0))
 
 
 # A2 -------------------------------------------------------------------------
@@ -72,11 +93,18 @@ def run_sql(spark: SparkSession, text: str, params: Optional[dict] = None, **fra
 
 
 # A3 -------------------------------------------------------------------------
+def read_bookings_csv_text(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
+    """The file's own columns, in its order, as text: the header names them.
+    All files of one read must have the same header (else the read fails)."""
+    return (spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8")
+            .option("enforceSchema", False).csv(path))
+
+
 def read_bookings_csv(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    """Semicolon-separated, UTF-8, header line; typed into the canonical schema."""
-    raw = (spark.read.schema(SOURCE_SCHEMA).option("header", True).option("sep", sep)
-           .option("encoding", "UTF-8").option("enforceSchema", False).csv(path))
-    return canonical_bookings(raw)
+    """Separated values, UTF-8, header line, any of the source's columns in
+    any order; typed into the canonical schema. Unparsable values are NULL
+    here; ``rejected_bookings(read_bookings_csv_text(...))`` lists them."""
+    return canonical_bookings(read_bookings_csv_text(spark, path, sep))
 
 
 # A4 -------------------------------------------------------------------------
@@ -87,15 +115,20 @@ def read_bookings_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 # A5 -------------------------------------------------------------------------
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in whatever file system it names."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path))
+
+
 def load_or_build_aggregate(spark: SparkSession, aggregate_path: str, bookings: DataFrame) -> DataFrame:
-    """Use a stored aggregate extract if present, else compute the compact
-    aggregate (D1b) from the bookings, write it, and read it back."""
+    """Use a stored aggregate extract if its folder exists, else compute the
+    compact aggregate (D1b) from the bookings, write it, and read it back. A
+    folder that cannot be read is an error, never a reason to overwrite it."""
     from ..operators.dashboard import aggregate_bookings_compact
-    try:
-        return spark.read.parquet(aggregate_path)
-    except AnalysisException:
-        aggregate_bookings_compact(bookings).write.mode("overwrite").parquet(aggregate_path)
-        return spark.read.parquet(aggregate_path)
+    if not path_exists(spark, aggregate_path):
+        aggregate_bookings_compact(bookings).write.mode("error").parquet(aggregate_path)
+    return spark.read.parquet(aggregate_path)
 
 
 # A8 / A9 / A10 --------------------------------------------------------------
@@ -112,21 +145,38 @@ def read_target_files(spark: SparkSession, directory: str, glob: str = "targets_
 
 def latest_targets(records: DataFrame) -> DataFrame:
     """Last write wins per (project, activity), by ``timestamp``."""
-    picked = (records.groupBy("project", "activity")
-              .agg(F.max_by(F.struct("target_hours", "timestamp"), F.col("timestamp")).alias("_r")))
-    return picked.select("project", "activity", "_r.target_hours", "_r.timestamp")
+    return latest_by_key(records.select("project", "activity", "target_hours", "timestamp"), ["project", "activity"], "timestamp")
+
+
+def read_saved_targets(spark: SparkSession, directory: str) -> DataFrame:
+    """Target records written by :func:`save_targets`."""
+    return spark.read.schema(S.LEGACY_TARGET_SCHEMA).option("pathGlobFilter", "*.parquet").parquet(directory)
 
 
 def load_legacy_targets(spark: SparkSession, directory: str, glob: str = "targets_*.json") -> DataFrame:
-    return latest_targets(read_target_files(spark, directory, glob))
+    """The latest target per key, of the legacy files (one JSON object each)
+    and the records saved next to them."""
+    return latest_targets(read_target_files(spark, directory, glob).unionByName(read_saved_targets(spark, directory)))
+
+
+def load_targets(spark: SparkSession, as_of: _dt.date, ledger: Optional[DataFrame] = None,
+                 directory: Optional[str] = None) -> DataFrame:
+    """Targets (project_nr, activity, budget_hours) at ``as_of``: the ledger's
+    balances where a ledger is given and has entries, else the legacy files'."""
+    from ..operators.ledger import budgets_at
+    if ledger is not None and (directory is None or not ledger.isEmpty()):
+        return budgets_at(ledger, as_of).select("project_nr", "activity", "budget_hours")
+    if directory is None:
+        raise ValueError("give a ledger or a folder of target files")
+    return load_legacy_targets(spark, directory).select(
+        F.col("project").alias("project_nr"), "activity", F.col("target_hours").alias("budget_hours"))
 
 
 def save_targets(records: DataFrame, directory: str) -> None:
-    """Append target records (project, activity, target_hours, timestamp);
-    readers take the latest per key, so this is an upsert without rewrite."""
-    records.select("project", "activity", F.col("target_hours").cast("double"),
-                   F.col("timestamp").cast("string")) \
-        .write.mode("append").json(directory)
+    """Append target records (project, activity, target_hours, timestamp) as
+    Parquet; readers take the latest per key, so this is an upsert without rewrite."""
+    (records.select("project", "activity", F.col("target_hours").cast("double"), F.col("timestamp").cast("string"))
+     .write.mode("append").parquet(directory))
 
 
 def valid_targets(latest: DataFrame, as_of: _dt.datetime, hours: int = 24) -> DataFrame:
@@ -138,16 +188,18 @@ def valid_targets(latest: DataFrame, as_of: _dt.datetime, hours: int = 24) -> Da
 
 # A11 ------------------------------------------------------------------------
 def read_overrides(spark: SparkSession, directory: str, glob: str = "*.json") -> DataFrame:
-    """Forecast override records with explicit (project_nr, activity) keys."""
-    return (spark.read.schema(S.OVERRIDE_SCHEMA).option("multiLine", True)
-            .option("mode", "DROPMALFORMED").option("pathGlobFilter", glob).json(directory))
+    """Forecast override records with explicit (project_nr, activity) keys:
+    legacy files of one JSON object each, and the records of :func:`save_overrides`."""
+    legacy = (spark.read.schema(S.OVERRIDE_SCHEMA).option("multiLine", True)
+              .option("mode", "DROPMALFORMED").option("pathGlobFilter", glob).json(directory))
+    saved = spark.read.schema(S.OVERRIDE_SCHEMA).option("pathGlobFilter", "*.parquet").parquet(directory)
+    return legacy.unionByName(saved)
 
 
 def save_overrides(records: DataFrame, directory: str) -> None:
-    """Append override records; readers keep the latest per key."""
-    cols = [f.name for f in S.OVERRIDE_SCHEMA.fields]
-    records.select(*[F.col(c).cast(S.OVERRIDE_SCHEMA[c].dataType) for c in cols]) \
-        .write.mode("append").json(directory)
+    """Append override records as Parquet; readers keep the latest per key."""
+    (records.select(*[F.col(f.name).cast(f.dataType) for f in S.OVERRIDE_SCHEMA.fields])
+     .write.mode("append").parquet(directory))
 
 
 # A15 ------------------------------------------------------------------------
@@ -160,9 +212,10 @@ def read_entitlements(spark: SparkSession, path: str) -> DataFrame:
 def write_bookings_table(bookings: DataFrame, path: str, max_records_per_file: int = 5_000_000) -> None:
     """Store bookings partitioned by (year, month) of ``entry_date``, rows
     ordered by project within each file so Parquet min/max statistics also
-    skip row groups for project filters. No repartition by month: every task
-    writes its own files per month, so a busy month is not one task."""
-    (bookings.sortWithinPartitions("year", "month", "project_nr", "entry_date")
+    skip row groups for project filters. The rebalance gathers a month's rows
+    in as few tasks as their size needs, so the number of files follows the
+    data, and splits a busy month over several."""
+    (bookings.hint("rebalance", "year", "month").sortWithinPartitions("year", "month", "project_nr", "entry_date")
      .write.mode("overwrite").partitionBy("year", "month")
      .option("maxRecordsPerFile", max_records_per_file).parquet(path))
 

@@ -55,20 +55,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.schema(schema).parquet(path)
 
 
-def spread_if_undersplit(df: DataFrame) -> DataFrame:
-    """Round-robin a scan over the session's default parallelism when it
-    yields fewer input partitions than that (e.g. a file with one row group).
-
-    On a cluster the scan of a large table already has far more splits than
-    cores, so this never adds a shuffle there; it only keeps small, unsplit
-    inputs from running every pipelined join and aggregate in one task.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
 def ts_ntz(value) -> Column:
     """A TIMESTAMP_NTZ literal (driver timestamps are zone-less)."""
     if isinstance(value, Column):

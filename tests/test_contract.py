@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from burnline.plans.catalog import QUERIES
 from burnline.sources.tables import TPCH_TABLES
 
 SMOKE = "/root/testdata/sf0.001"
-ROWS_ONLY = {"d27_budget_maps"}  # map column: rows-only check
 
 
 def _norm(v):
@@ -38,12 +38,12 @@ def test_entry_runs(spark):
     assert {"project_nr", "activity", "target_hours", "actual_hours", "status"} <= set(df.columns)
 
 
-def test_every_query_has_an_oracle_or_is_rows_only():
-    assert set(E.queries()) - set(E.oracle_sql()) == ROWS_ONLY
-    assert set(E.oracle_sql()) <= set(E.queries())
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) <= set(E.queries())
+    assert set(QUERIES) <= set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(E.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
     sdf = E.queries()[name](spark, SMOKE)
     srows = [tuple(r) for r in sdf.collect()]

@@ -86,16 +86,34 @@ def test_kpis_and_header(spark):
         {"project_nr": "P", "activity": "B", "hours": 100, "valid_from": dt.date(2024, 1, 1)},
         {"project_nr": "Q", "activity": "A", "hours": 100, "valid_from": dt.date(2024, 1, 1)},
     ])
-    dash = D.activity_dashboard(D.aggregate_bookings(bookings), targets)
+    agg = D.aggregate_bookings(bookings)
+    dash = D.activity_dashboard(agg, targets)
     k = D.portfolio_kpis(dash).first()
     assert k.total_hours == 305.0 and k.total_target == 300.0 and k.active_projects == 2
     assert k.nearing_completion == 2 and k.overbooked == 1  # >= 90 includes the overbooked row
     f = D.forecast_kpis(dash).first()
     assert f.remaining_hours == -5.0 and round(f.remaining_pct, 4) == round(-5 / 3, 4)
-    h = _rows(D.project_header(dash), "project_nr")
+    h = _rows(D.project_header(dash, agg), "project_nr")
     assert h["P"].n_activities == 2 and h["P"].target_hours == 200.0 and h["P"].actual_hours == 105.0
 
 
+def test_header_customer_is_that_of_the_largest_group(spark):
+    rows = [{"project_nr": "P", "project": "p", "activity": a, "customer": c, "employee": e, "hours_billed": h}
+            for a, c, e, h in (("A", "K1", "x", 6.0), ("A", "K1", "y", 6.0), ("B", "K2", "x", 10.0))]
+    agg = D.aggregate_bookings(make_bookings(spark, rows))
+    targets = _targets(spark, [{"project_nr": "P", "activity": "A", "hours": 100, "valid_from": dt.date(2024, 1, 1)}])
+    assert D.project_header(D.activity_dashboard(agg, targets), agg).first().customer == "K2"
+    assert D.project_summary(agg, targets).first().customer == "K2"
+
+
+def test_export_counters_count_the_selection(spark):
+    agg = D.aggregate_bookings(make_bookings(spark, [{"project_nr": "P", "activity": "A"}, {"project_nr": "P", "activity": "B"}]))
+    chosen = spark.createDataFrame([("P",), (" Q ",), ("",)], "project_nr string")
+    got = D.export_counters(agg, selected=chosen).first()
+    assert (got.rows_ready, got.n_projects, got.date_range_text) == (2, 2, "All time")
+    assert D.export_counters(agg).first().n_projects == 1
+
+
 def test_top_projects_bars(spark):
     rows = [{"project_nr": f"P{i}", "project": f"Proj {i}", "activity": "A", "hours_billed": 10.0 * i} for i in range(1, 8)]
     targets = _targets(spark, [{"project_nr": f"P{i}", "activity": "A", "hours": 20 * i, "valid_from": dt.date(2024, 1, 1)}

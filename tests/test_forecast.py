@@ -142,14 +142,89 @@ def test_scenario_series_shapes(spark):
 
 def test_burndown_with_time_parts_matches_sequential(spark):
     """Timestamps with time parts (several per second and per day) on one hot
-    key: the three-level running total equals a sequential cumulative sum."""
+    key: the two-level running total equals a sequential cumulative sum."""
     base = dt.datetime(2024, 1, 1)
     stamps = [base + dt.timedelta(days=i % 5, seconds=(i * 7) % 3, microseconds=i) for i in range(1, 800)]
     rows = [{"project_nr": "P", "activity": "A", "booking_ts": t, "hours_billed": float(i % 9)}
             for i, t in enumerate(stamps, 1)]
     s = TR.booking_series(make_bookings(spark, rows))
-    got = {r.booking_ts: r.cumulative_hours for r in TR.burndown(s, ["project_nr"]).collect()}
+    got = {r.booking_ts: r.cumulative_hours for r in TR.burndown(s, ["project_nr"], grain="timestamp").collect()}
     acc = 0.0
     for t, r in sorted(zip(stamps, rows)):
         acc += r["hours_billed"]
         assert got[t] == acc
+
+
+def test_burndown_day_grain_sums_a_day(spark):
+    rows = [{"project_nr": "P", "activity": "A", "hours_billed": 1.0, "booking_ts": dt.datetime(2024, 1, d, h)}
+            for d, h in ((1, 8), (1, 17), (3, 9))] + [{"project_nr": "P", "activity": "A", "hours_billed": 9.0, "booking_ts": None}]
+    got = TR.burndown(TR.booking_series(make_bookings(spark, rows)), ["project_nr"]).orderBy("booking_ts").collect()
+    assert [(r.booking_ts, r.cumulative_hours) for r in got] == [(dt.datetime(2024, 1, 1), 2.0), (dt.datetime(2024, 1, 3), 3.0)]
+
+
+def test_sprint_bounds_hold_their_bookings(spark):
+    as_of = dt.datetime(2025, 6, 30)
+    rows = [{"project_nr": "P", "activity": "A", "hours_billed": 1.0, "booking_ts": t}
+            for t in (dt.datetime(2025, 6, 16, 12), dt.datetime(2025, 6, 16), dt.datetime(2025, 6, 30))]
+    st = FC.sprint_table(TR.booking_series(make_bookings(spark, rows)), ts_ntz(as_of)).filter("level = 'project'").collect()
+    assert {r.sprint_number: r.hours for r in st} == {0: 2.0, 1: 1.0}
+    assert all(r.bound_start < r.sprint_start and r.sprint_end <= r.bound_end for r in st)
+
+
+def test_dispersion_of_large_hours(spark):
+    hours = [1e8, 1e8 + 1.0, 1e8 + 3.0, 1e8 + 2.0]
+    u = _unit(spark, _series(spark, [(1 + 14 * i, h) for i, h in enumerate(hours)]))
+    import statistics
+    assert u.confidence_factor * u.base_hours_per_sprint == pytest.approx(statistics.stdev(hours), rel=1e-6)
+
+
+def test_weights_come_from_one_list():
+    from burnline import schemas as S
+    assert [u / sum(FC._UNITS) for u in FC._UNITS] == pytest.approx(list(reversed(S.SPRINT_WEIGHTS)))
+
+
+def test_alerts_only_for_units_with_target(spark):
+    s = _series(spark, [(1, 10.0), (15, 20.0), (29, 30.0), (43, 40.0)])
+    with_target = FC.forecast_units(s, _targets(spark, [("P", "A", 50.0)]), ts_ntz(AS_OF))
+    without = FC.forecast_units(s, _targets(spark, [("Q", "A", 50.0)]), ts_ntz(AS_OF))
+    assert {r.alert_level for r in FC.trend_alert(with_target).collect()} == {"info"}
+    assert FC.trend_alert(without).count() == 0
+
+
+def test_velocity_series_and_mean_line(spark):
+    s = _series(spark, [(1, 10.0), (15, 20.0)])
+    got = FC.velocity_series(FC.sprint_table(s, ts_ntz(AS_OF))).filter("level = 'project'").collect()
+    assert sorted((r.series, r.sprint_number, round(r.y, 6)) for r in got) == [
+        ("hours", 0, 10.0), ("hours", 1, 20.0), ("weighted_mean", 0, 14.285714), ("weighted_mean", 1, 14.285714)]
+
+
+def test_burndown_series_falls_back_to_the_simple_forecast(spark):
+    # P: an ordinary project; Q: a manual velocity of 0 and pessimistic ends beyond the horizon, so no scenario lies ahead
+    rows = [{"project_nr": p, "activity": "A", "hours_billed": 10.0, "booking_ts": AS_OF - dt.timedelta(days=d)} for p in "PQ" for d in (2, 9, 20)]
+    s = TR.booking_series(make_bookings(spark, rows))
+    targets = _targets(spark, [("P", "A", 100.0), ("Q", "A", 1e9)])
+    manual = spark.createDataFrame([("Q", None, 0.0, "r", None, "u", True)],
+                                   "project_nr string, activity string, hours_per_sprint double, reason string, updated_at string, "
+                                   "updated_by string, active boolean")
+    scen = FC.scenarios(FC.forecast_units(s, targets, ts_ntz(AS_OF), manual), ts_ntz(AS_OF))
+    tg = FC.unit_targets(targets).filter("level = 'project'").select("project_nr", "target_hours")
+    small = tg.withColumn("target_hours", F.least("target_hours", F.lit(5000.0)))
+    simple = TR.simple_forecast(TR.booking_rates(s, ["project_nr"], ts_ntz(AS_OF)), small, ["project_nr"], ts_ntz(AS_OF))
+    pts = FC.burndown_series(s, scen, simple, ts_ntz(AS_OF)).collect()
+    kinds = {p: {r.series for r in pts if r.project_nr == p} for p in "PQ"}
+    assert kinds["P"] == {"actual", "optimistic", "realistic", "pessimistic", "Budget-Ende (realistisch)"}
+    assert kinds["Q"] == {"actual", "Prognose (4-Wochen-Trend)"}
+
+
+def test_override_without_time_keeps_its_values(spark):
+    from burnline import schemas as S
+    rows = [("P", None, 5.0, "r", None, "u", None), ("Q", "A", 1.0, "r", None, "u", True), ("Q", "A", 2.0, "r", "2024-01-01", "u", True)]
+    got = {r.project_nr: r.hours_per_sprint for r in FC.latest_overrides(spark.createDataFrame(rows, S.OVERRIDE_SCHEMA)).collect()}
+    assert got == {"P": 5.0, "Q": 2.0}
+
+
+def test_sprints_and_series_in_order(spark):
+    s = _series(spark, [(30, 1.0), (1, 2.0), (15, 3.0)])
+    assert [r.sprint_number for r in FC.order_sprints(FC.sprint_table(s, ts_ntz(AS_OF)).filter("level = 'project'")).collect()] == [0, 1, 2]
+    stamps = [r.booking_ts for r in TR.order_series(s).collect()]
+    assert stamps == sorted(stamps)

@@ -81,3 +81,14 @@ def test_conjunction_vacuous(spark):
     df = spark.range(3)
     assert df.filter(H.all_of([])).count() == 3
     assert df.filter(H.all_of([F.col("id") > 0, F.col("id") < 2])).count() == 1
+
+
+def test_search_folds_umlauts(spark):
+    df = spark.createDataFrame([("Überstunden",), ("ÄRGER",), (None,)], "t string")
+    assert [r[0] for r in df.select(H.regex_contains("t", "überstunden")).collect()] == [True, False, False]
+    assert [r[0] for r in df.select(H.regex_contains("t", "ärg", literal=True)).collect()] == [False, True, False]
+
+
+def test_list_head_takes_the_first_before_dropping_nulls(spark):
+    df = spark.createDataFrame([(["a", None, "b"],), (["a", "b"],), ([],), (None,), ([None],)], "x array<string>")
+    assert [r[0] for r in df.select(H.list_head("x")).collect()] == ["a...", "a, b", "Keine Projekte", "Keine Projekte", ""]

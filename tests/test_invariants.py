@@ -100,3 +100,27 @@ def test_status_matches_rule(spark, pairs):
     df = spark.createDataFrame(pairs, "a double, t double")
     got = [r[0] for r in df.select(H.fulfillment_status("a", "t")).collect()]
     assert got == [_status(a, t) for a, t in pairs]
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_curve_plans_shuffle_little(spark):
+    from burnline.plans.catalog import QUERIES
+    smoke = "/root/testdata/sf0.001"
+    joins = _plan(QUERIES["d13_daily_totals"](spark, smoke)).count("Exchange hashpartitioning")
+    for name, more in (("e2_burndown", 1), ("e3_activity_cumulative", 1), ("i13_cumulative_with_targets", 4)):
+        assert _plan(QUERIES[name](spark, smoke)).count("Exchange hashpartitioning") <= joins + more, name
+
+
+def test_no_query_deals_rows_round_robin(spark):
+    from burnline.plans.catalog import QUERIES
+    for name in ("d1_booking_aggregate", "e2_burndown", "i10_scenario_series", "c6_monthly_balances"):
+        assert "RoundRobin" not in _plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_running_balance_derives_the_ledger_once(spark):
+    from burnline.plans.catalog import QUERIES
+    plan = _plan(QUERIES["e8_running_balance"](spark, "/root/testdata/sf0.001"))
+    assert "FileScan" not in plan and "ExistingRDD" in plan

@@ -76,7 +76,8 @@ def test_validation_rules(spark):
     props = spark.createDataFrame([
         ("P", "A", 10.0, "initial", D(2024, 1, 1), "why"),
         ("P", " ", 0.0, "bogus", None, ""),
-    ], "project_nr string, activity string, hours double, change_type string, valid_from date, reason string")
+    ], "project_nr string, activity string, hours double, change_type string, valid_from date, reason string") \
+        .withColumn("created_by", F.lit("a@example.com"))
     v = L.validate_entries(props).orderBy(F.col("is_valid").desc()).collect()
     assert v[0].is_valid and v[0].errors == []
     assert set(v[1].errors) == {"activity_blank", "reason_blank", "hours_not_positive", "unknown_change_type",
@@ -93,7 +94,7 @@ def test_append_and_read_back(spark, tmp_dir):
         ("P", "B", -1.0, "initial", D(2024, 2, 1), "bad", None),
     ], "project_nr string, activity string, hours double, change_type string, valid_from date, "
        "reason string, reference string").withColumn("created_by", F.lit("me@example.com"))
-    rejects = L.append_entries(props, path, dt.datetime(2024, 2, 2, 9, 0), existing=FS.read_ledger(spark, path))
+    rejects = L.append_entries(props, path, dt.datetime(2024, 2, 2, 9, 0))
     assert rejects.count() == 1
     led = FS.read_ledger(spark, path)
     new = led.filter("activity = 'B'").first()

@@ -1,9 +1,12 @@
 """File sources and sinks: round trips through Spark's readers and writers."""
 
 import datetime as dt
+import glob
 import json
 import os
+import re
 
+import pytest
 from conftest import make_bookings
 
 from pyspark.sql import functions as F
@@ -72,10 +75,10 @@ def test_legacy_targets_latest_and_validity(spark, tmp_dir):
                                           "project string, activity string, target_hours double, timestamp string"), store)
     FS.save_targets(spark.createDataFrame([("P", "A", 11.0, "2024-01-01T09:00:00")],
                                           "project string, activity string, target_hours double, timestamp string"), store)
-    latest = FS.load_legacy_targets(spark, store, glob="*.json").first()
+    latest = FS.load_legacy_targets(spark, store).first()
     assert latest.target_hours == 12.0
-    fresh = FS.valid_targets(FS.load_legacy_targets(spark, store, glob="*.json"), dt.datetime(2024, 1, 3, 8, 0))
-    stale = FS.valid_targets(FS.load_legacy_targets(spark, store, glob="*.json"), dt.datetime(2024, 1, 3, 10, 0))
+    fresh = FS.valid_targets(FS.load_legacy_targets(spark, store), dt.datetime(2024, 1, 3, 8, 0))
+    stale = FS.valid_targets(FS.load_legacy_targets(spark, store), dt.datetime(2024, 1, 3, 10, 0))
     assert fresh.count() == 1 and stale.count() == 0
 
 
@@ -88,6 +91,61 @@ def test_overrides_store(spark, tmp_dir):
     assert o.hours_per_sprint == 8.0 and o.active
 
 
+@pytest.mark.parametrize("parts", [1, 8])
+def test_stores_lose_no_record(spark, tmp_dir, parts):
+    targets = spark.createDataFrame([(f"P{i}", "A", float(i), None if i % 5 == 0 else f"2024-01-{i % 28 + 1:02d}") for i in range(50)],
+                                    S.LEGACY_TARGET_SCHEMA)
+    folder = os.path.join(tmp_dir, f"t{parts}")
+    FS.save_targets(targets.repartition(parts), folder)
+    with open(os.path.join(folder, "targets_old.json"), "w") as f:
+        json.dump({"project": "OLD", "activity": "A", "target_hours": 7.0}, f, indent=1)
+    got = {r.project: r.target_hours for r in FS.load_legacy_targets(spark, folder).collect()}
+    assert got == {"OLD": 7.0, **{f"P{i}": float(i) for i in range(50)}}
+    overrides = spark.createDataFrame([(f"P{i}", None, float(i), "r", None, "u", None) for i in range(50)], S.OVERRIDE_SCHEMA)
+    FS.save_overrides(overrides.repartition(parts), folder + "o")
+    with open(os.path.join(folder + "o", "legacy.json"), "w") as f:
+        json.dump({"project_nr": "OLD", "hours_per_sprint": 3.0}, f, indent=1)
+    assert FC.latest_overrides(FS.read_overrides(spark, folder + "o")).count() == 51
+
+
+def test_targets_from_ledger_or_files(spark, tmp_dir):
+    from conftest import make_ledger
+    FS.save_targets(spark.createDataFrame([("P", "A", 12.0, None)], S.LEGACY_TARGET_SCHEMA), tmp_dir + "/t")
+    ledger = make_ledger(spark, [{"project_nr": "P", "activity": "A", "hours": 5, "valid_from": dt.date(2024, 1, 1)}])
+    day = dt.date(2024, 6, 1)
+    load = lambda **kw: [tuple(r) for r in FS.load_targets(spark, day, **kw).collect()]
+    assert load(ledger=ledger, directory=tmp_dir + "/t") == [("P", "A", 5.0)]
+    assert load(ledger=ledger.limit(0), directory=tmp_dir + "/t") == load(directory=tmp_dir + "/t") == [("P", "A", 12.0)]
+    with pytest.raises(ValueError):
+        FS.load_targets(spark, day)
+
+
+def test_csv_with_its_own_columns_and_local_formats(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "mock.csv")
+    with open(path, "w", encoding="utf-8") as f:  # ten columns, another order
+        f.write("Datum;ProjektNr;Projekt;Name;FaktStd;Verwendung;Status;Jahr;Monat;Kundenname\n")
+        f.write("15.01.2024;P1;Eins;Ana;25,5;Test;Offen;2024;1;K\n2024-02-01;P1;Eins;Ana;1.234,25;Test;Offen;;;K\n")
+        f.write("gestern;P1;Eins;Ana;viel;Test;Offen;2024;1;K\n2024-03-01;P1;Eins;Ana;;Test;Offen;2024;3;K\n")
+    b = FS.read_bookings_csv(spark, path)
+    S.assert_schema(b, S.BOOKINGS_SCHEMA)
+    rows = b.collect()
+    assert [(r.entry_date, r.hours_billed, r.month) for r in rows] == [
+        (dt.date(2024, 1, 15), 25.5, 1), (dt.date(2024, 2, 1), 1234.25, 2), (None, None, 1), (dt.date(2024, 3, 1), None, 3)]
+    assert rows[0].project_nr == "P1" and rows[0].hours_logged is None
+    bad = FS.rejected_bookings(FS.read_bookings_csv_text(spark, path)).collect()
+    assert [sorted(r.rejected_columns) for r in bad] == [["Datum", "FaktStd"]]
+
+
+def test_stored_extract_is_never_overwritten_on_error(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "agg")
+    os.makedirs(path)
+    with open(os.path.join(path, "part-0.parquet"), "w") as f:
+        f.write("damaged")
+    with pytest.raises(Exception):
+        FS.load_or_build_aggregate(spark, path, make_bookings(spark, [{"project_nr": "P"}])).collect()
+    assert os.listdir(path) == ["part-0.parquet"]
+
+
 def test_entitlements(spark, tmp_dir):
     doc = {"users": {"ana@example.org": {"projects": ["P1", " P2 ", "", None], "permissions": ["admin", "export"]},
                      "bo@example.org": {"projects": ["P3"]}},
@@ -140,7 +198,9 @@ def test_month_partitioned_bookings_prune(spark, tmp_dir):
     from burnline.sources import derived
     bookings = derived.bookings(spark, "/root/testdata/sf0.001")
     path = os.path.join(tmp_dir, "bookings")
-    FS.write_bookings_table(bookings, path)
+    FS.write_bookings_table(bookings.repartition(8), path)
+    months = bookings.select("year", "month").distinct().count()
+    assert len(glob.glob(path + "/*/*/*.parquet")) <= months + 8  # follows the data, not tasks times months
     table = FS.read_bookings_table(spark, path)
     S.assert_schema(table, S.BOOKINGS_SCHEMA)
     f = B.BookingFilters(start_date=dt.date(1999, 6, 30), end_date=dt.date(2001, 6, 30), prune_months=True)
@@ -150,3 +210,56 @@ def test_month_partitioned_bookings_prune(spark, tmp_dir):
     want = B.apply_filters(bookings, B.BookingFilters(start_date=dt.date(1999, 6, 30), end_date=dt.date(2001, 6, 30)))
     cols = ["erp_txn_no", "project_nr", "activity", "entry_date", "hours_billed"]
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+
+
+def test_year_filter_is_a_date_range_for_the_scan(spark, tmp_dir):
+    rows = [{"project_nr": "P", "entry_date": dt.date(y, m, 3), "year": y, "month": m} for y in (2023, 2024) for m in (1, 2, 12)]
+    make_bookings(spark, rows).write.parquet(tmp_dir + "/b")
+    table = spark.read.parquet(tmp_dir + "/b")
+    for f, n in ((B.BookingFilters(year=2024), 3), (B.BookingFilters(year=2024, month=12), 1), (B.BookingFilters(month=1), 2)):
+        got = B.apply_filters(table, f)
+        assert got.count() == n
+        if f.year:
+            assert re.search(r"entry_date#\d+ >= 2024-\d\d-01", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_bookings_and_exports_in_order(spark):
+    from burnline.operators import ledger as L
+    b = make_bookings(spark, [{"project": p, "project_nr": p, "activity": a, "entry_date": dt.date(2024, 1, d), "hours_billed": float(d)}
+                              for p, a, d in (("B", "y", 1), ("A", "x", 2), ("A", "x", 5), ("A", "w", 3))])
+    assert [(r.project, r.activity, r.entry_date.day) for r in B.order_bookings(b).collect()] == [
+        ("A", "w", 3), ("A", "x", 5), ("A", "x", 2), ("B", "y", 1)]
+    agg = D.aggregate_bookings(b, order=True).collect()
+    assert [(r.project, r.actual_hours) for r in agg] == [("A", 7.0), ("A", 3.0), ("B", 1.0)]
+    over = spark.createDataFrame([("B", "a", 1.0), ("A", "z", 1.0), ("A", "b", 1.0)], "project_nr string, activity string, budget_hours double")
+    assert [(r.project_nr, r.activity) for r in L.order_overview(over).collect()] == [("A", "b"), ("A", "z"), ("B", "a")]
+
+
+def test_history_export_has_display_columns(spark):
+    from conftest import make_ledger
+
+    from burnline.operators import ledger as L
+    led = make_ledger(spark, [{"project_nr": "P", "activity": "A", "hours": 5, "valid_from": dt.date(2024, 1, 2)}])
+    out = X.history_export_frame(L.history_display(led))
+    assert out.columns == list(X.HISTORY_COLUMNS.values())
+    assert out.first()["Gültig ab"] == "02.01.2024"
+
+
+def test_checkpoint_folder_must_be_named_on_a_cluster(spark):
+    from burnline import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(Session())
