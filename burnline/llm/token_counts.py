@@ -8,8 +8,8 @@ the best score and count of a node hold for every pre-token that starts with
 it, so they are computed once, from the nodes above it, and a terminal's count
 is its node's.
 
-A worker process keeps its trie between texts and starts anew when it has
-``MAX_NODES`` nodes. Nulls and edge cases: a null or empty text has no tokens.
+A worker process keeps its trie, and the counts of the pre-tokens it met, between
+texts, and starts anew when the trie has ``MAX_NODES`` nodes. Nulls and edge cases: a null or empty text has no tokens.
 Any text can be segmented, as all single bytes are tokens. Repeated rows are
 counted each. Extra columns are ignored.
 """
@@ -46,16 +46,24 @@ class PrefixTrie:
         self.clear()
 
     def clear(self) -> None:
+        self._words: dict[str, tuple[float, int]] = {}  # of the terminals
         self._child: list[dict[int, int]] = [{}]
         self._best: list[tuple[float, int]] = [(0.0, 0)]  # score, minus the number of tokens
 
     def __len__(self) -> int:
         return len(self._best)
 
-    def best(self, word: bytes) -> tuple[float, int]:
-        """Score and number of tokens of the best segmentation of a pre-token."""
+    def terminals(self, words: set[str]) -> dict[str, tuple[float, int]]:
+        """Score and number of tokens of at least these pre-tokens."""
         if len(self) > self._max:
             self.clear()
+        known = self._words
+        for w in words.difference(known):
+            known[w] = self.best(w.encode("utf-8", "surrogatepass"))
+        return known
+
+    def best(self, word: bytes) -> tuple[float, int]:
+        """Score and number of tokens of the best segmentation of a pre-token."""
         child, best, node = self._child, self._best, 0
         path = [best[0]]  # of each prefix
         for end, byte in enumerate(word, 1):
@@ -91,14 +99,17 @@ def count_tokens(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id
 
     def run(batches):
         trie, split = _model(path)
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=8 << 20):
             counted: list[Counter] = []
             for text in texts(batch):
                 found = split.findall(text) if len(text) <= 1 << 20 else (m.group() for m in split.finditer(text))
                 counted.append(Counter(found))
-            known = {w: trie.best(w.encode("utf-8", "surrogatepass")) for w in set().union(*counted)}
-            rows = [(c.total(), len(c), sum(known[w][1] * k for w, k in c.items()),
-                     math.fsum(known[w][0] * k for w, k in c.items())) for c in counted]
+            known = trie.terminals(set().union(*counted))
+            rows = []
+            for c in counted:
+                times, best = [*c.values()], [*map(known.__getitem__, c)]
+                rows.append((sum(times), len(c), sum(k * n for k, (_, n) in zip(times, best)),
+                             math.fsum(k * s for k, (s, _) in zip(times, best))))
             new = [pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64()] * 3 + [pa.float64()])]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *new],
                                              [*columns, "n_pretokens", "n_distinct", "n_tokens", "score"])
