@@ -5,7 +5,9 @@ files land in a folder; a streaming query keeps weekly totals per project.
 Windows are 7 days, shifted by 4 days so they start on Mondays (the epoch,
 1970-01-01, is a Thursday), i.e. the same weeks as ``date_trunc('week')``.
 The watermark bounds the state: a week's total is final once bookings 28
-days newer have been seen.
+days newer have been seen, and bookings that arrive later still are dropped.
+:func:`dropped_rows` counts those; a batch run of ``trends.weekly_totals``
+over the stored bookings has them all.
 """
 
 from __future__ import annotations
@@ -61,3 +63,9 @@ def start_weekly_totals(spark: SparkSession, source_dir: str, checkpoint_dir: st
     if sink_dir:
         return writer.format("parquet").start(sink_dir)
     return writer.format("memory").queryName(query_name or "weekly_totals").start()
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that came after their week was final, in the query's recent
+    batches (Spark keeps the progress of the last hundred)."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
