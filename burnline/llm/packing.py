@@ -28,6 +28,8 @@ from .tokens import SLICE_BYTES, bpe
 
 WINDOW = 2048
 END_ID = 1
+#: Entries of a generation of the encoder's cache: encoding is most of the work here, so it gets the memory.
+CACHE_ENTRIES = 800_000
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -37,7 +39,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
     def run(batches):
         for batch in slices(batches, max_bytes=SLICE_BYTES):
             rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), bpe(path).ids(texts(batch))):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), bpe(path, CACHE_ENTRIES).ids(texts(batch))):
                 ids += end
                 n = len(ids) // 4
                 for start in range(0, n, window):

@@ -30,10 +30,13 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from .common import slices, texts
 
-#: Entries of each of the two generations of a worker process's cache, and the longest piece it holds.
-CACHE_ENTRIES, CACHED_CHARS = 400_000, 64
-#: Text encoded at a time: the more, the fewer pieces are looked up again.
-SLICE_BYTES = 8 << 20
+#: Entries of each of the two generations of a worker process's cache (an entry takes about 200 bytes), and the
+#: longest piece it holds.
+CACHE_ENTRIES, CACHED_CHARS = 200_000, 64
+#: Bytes of text encoded at a time.
+SLICE_BYTES = 4 << 20
+#: No letters, digits or white space: a run of them after a word is one pre-token.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -63,7 +66,7 @@ def byte_table(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(table), np.uint8), np.cumsum([0, *map(len, table)])
 
 
-def decoded(ids: np.ndarray, path: str, block: int = 1 << 20) -> tuple[bytes, np.ndarray]:
+def decoded(ids: np.ndarray, path: str, block: int = 1 << 18) -> tuple[bytes, np.ndarray]:
     """The bytes of a sequence of ids, and how many each id has."""
     data, start = byte_table(path)
     sizes = start[ids + 1] - start[ids]
@@ -78,13 +81,14 @@ def decoded(ids: np.ndarray, path: str, block: int = 1 << 20) -> tuple[bytes, np
 class ByteBpe:
     """A byte-level BPE vocabulary file, with a cache of encoded pre-tokens."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES) -> None:
         import public_tokenizers
         from tokenizers import Tokenizer
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._split = regex.compile(public_tokenizers.PATTERN)
+        self._entries = entries
         # The ids of each piece with a space before it, and those in use before the cache last filled up; of pre-tokens
         # of pieces that are more than a word.
         self._known: dict[str, bytes] = {}
@@ -119,13 +123,14 @@ class ByteBpe:
             yield data[at:cut]
             at = cut
 
-    def _learn(self, pieces: set[str]) -> set[str]:
+    def _learn(self, pieces: set[str], firsts: list[str]) -> tuple[set[str], list[bytes]]:
         """Remember the ids of each piece, with the space before it. Returns the
         pieces that cannot be remembered: too long ones, and those with white
-        space beside the space of the cut, as pre-tokens may reach across it."""
-        if len(self._known) > CACHE_ENTRIES:
+        space beside the space of the cut, as pre-tokens may reach across it;
+        and the ids of the texts' first pieces, which have no space before them."""
+        if len(self._known) > self._entries:
             self._known, self._older = {}, self._known
-        if len(self._parts) > CACHE_ENTRIES // 4:
+        if len(self._parts) > self._entries // 4:
             self._parts = {}
         known, older, parts = self._known, self._older, self._parts
         new = pieces.difference(known)
@@ -133,41 +138,43 @@ class ByteBpe:
             again = new.intersection(older)
             known.update(zip(again, map(older.__getitem__, again)))
             new -= again
-        words, single, others, left = [], [], [], set()
+        words, tailed, others, left = [], [], [], set()
         for p in new:
-            if len(p) > CACHED_CHARS or not p or p[0].isspace() or p[-1].isspace():
-                left.add(p)
-            elif p.isalpha():
+            if p.isalpha() and len(p) <= CACHED_CHARS:
                 words.append(p)
-            elif p[:-1].isalpha():
-                single.append(p)
+            elif len(p) > CACHED_CHARS or not p or p[0].isspace() or p[-1].isspace():
+                left.add(p)
+            elif (stem := p.rstrip(_MARKS)).isalpha():  # marks after a word are one match
+                tailed.append((p, stem, p[len(stem):]))
             else:
                 others.append(p)
         matches = [self._split.findall(" " + p) for p in others]
-        rest = [*{p[-1] for p in single}.union(*matches).difference(parts)]
+        begun = [self._split.findall(p) if len(p) <= CACHED_CHARS else None for p in firsts]
+        rest = [*{t for _, _, t in tailed}.union(*matches, *filter(None, begun)).difference(parts)]
         for m, e in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             parts[m] = np.array(e.ids, "<u4").tobytes()
-        words = [*{p[:-1] for p in single}.difference(known).union(words)]
+        words = [*{w for _, w, _ in tailed}.difference(known).union(words)]
         if words:
             known.update(zip(words, self._words(words)))
-        for p in single:
-            known[p] = known[p[:-1]] + parts[p[-1]]
+        for p, word, tail in tailed:
+            known[p] = known[word] + parts[tail]
         for p, ms in zip(others, matches):
             known[p] = b"".join([parts[m] for m in ms])
-        return left
+        return left, [self._whole(p) if ms is None else b"".join([parts[m] for m in ms]) for p, ms in zip(firsts, begun)]
 
     def ids(self, whole: list[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
         cut = [t.split(" ") for t in whole]
-        left = self._learn(set().union(*cut))
+        firsts = [p[0] for p in cut]
+        left, begun = self._learn(set().union(*cut), firsts)
         known = self._known.__getitem__
-        for text, parts in zip(whole, cut):
+        for text, parts, begin in zip(whole, cut, begun):
             if left.isdisjoint(parts):
-                yield self._whole(parts[0]) + b"".join(map(known, parts[1:]))
+                yield begin + b"".join(map(known, parts[1:]))
             elif any(not p or p[0].isspace() or p[-1].isspace() for p in left.intersection(parts)):
                 yield self._whole(text)
             else:
-                yield self._whole(parts[0]) + b"".join([self._whole(" " + p) if p in left else known(p) for p in parts[1:]])
+                yield begin + b"".join([self._whole(" " + p) if p in left else known(p) for p in parts[1:]])
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """The first and past-the-end character of each id; ids that share a
@@ -181,9 +188,9 @@ class ByteBpe:
 
 
 @lru_cache(1)
-def bpe(path: str) -> ByteBpe:
+def bpe(path: str, entries: int = CACHE_ENTRIES) -> ByteBpe:
     """The vocabulary at ``path``, loaded once in each worker process."""
-    return ByteBpe(path)
+    return ByteBpe(path, entries)
 
 
 def encode(docs: DataFrame, path: str, columns: list[str] | None = None, with_offsets: bool = False) -> DataFrame:
@@ -229,7 +236,7 @@ def decode(encoded: DataFrame, path: str, columns: list[str]) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def _ids_slices(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def _ids_slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in parts of about ``most`` ids (one row at least)."""
     total = np.cumsum(np.array(pc.fill_null(pc.list_value_length(batch.column("ids")), 0), np.int64))
     at = 0
