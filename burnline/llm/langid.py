@@ -132,7 +132,7 @@ def learn(docs: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
                 total[lang] = total.get(lang, 0) + vectors[langs == lang].sum(0)
         if total:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(total), pa.array([v.astype(np.int64).tolist() for v in total.values()])], ["lang", "vector"])
+                [pa.array([*total]), pa.array([v.astype(np.int64).tolist() for v in total.values()])], ["lang", "vector"])
 
     train = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("text", "lang")
     sums = (train.mapInArrow(run, "lang string, vector array<long>")

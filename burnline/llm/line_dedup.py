@@ -113,38 +113,44 @@ def removed_spans(text: str, elsewhere: set[bytes], min_run: int = MIN_RUN) -> l
     return spans
 
 
-def _rank() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+def _key() -> tuple[Column, Column]:
+    """Rank of a row, and what tells rows of the last rank apart: a hash of the
+    text, so that rows without a ``doc_id`` are no single group."""
+    unnamed = F.col("doc_id").isNull()
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.when(unnamed, F.xxhash64("text")).otherwise(0)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, digests) of the units of a document whose first occurrence is in a document of smaller id."""
+    """(rank, salt, digests) of the units of a row whose first occurrence is in a document of smaller id."""
 
     def run(batches):
         for batch in slices(batches):
-            owner, parts = [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            rows, parts = [], []
+            for rank, salt, text in zip(*(batch.column(c).to_pylist() for c in ("rank", "salt", "text"))):
                 found = {d for *_, line, inner in units(text or "") for d in (line, *(x[3] for x in inner)) if d}
-                owner.append(np.full(len(found), doc_id, np.int64))
+                rows.append((rank, salt, len(found)))
                 parts.extend(found)
+            ranks, salts, n = np.array(rows, np.int64).T
             halves = np.frombuffer(b"".join(parts), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owner)), pa.array(halves[:, 0].copy()),
-                                              pa.array(halves[:, 1].copy())], ["doc_id", "h1", "h2"])
+            columns = [np.repeat(ranks, n), np.repeat(salts, n), halves[:, 0].copy(), halves[:, 1].copy()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rank", "salt", "h1", "h2"])
 
-    found = docs.select(_rank().alias("doc_id"), "text").mapInArrow(run, "doc_id long, h1 long, h2 long")
-    first = (found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-             .where("first_id < last_id").select("h1", "h2", "first_id"))
-    later = found.join(first, ["h1", "h2"]).where("doc_id > first_id")
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("digests"))
+    rank, salt = _key()
+    found = docs.select(rank.alias("rank"), salt.alias("salt"), "text").mapInArrow(run, "rank long, salt long, h1 long, h2 long")
+    first = (found.groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
+             .where("first < last").select("h1", "h2", "first"))
+    later = found.join(first, ["h1", "h2"]).where("rank > first")
+    return later.groupBy("rank", "salt").agg(F.collect_set(F.struct("h1", "h2")).alias("digests"))
 
 
 def remove_repeats(docs: DataFrame, removed: str = "removed") -> DataFrame:
     """``docs`` with its texts cut, and the spans cut out in a column named ``removed``."""
     columns = docs.columns
-    rank, first, second = (fresh(columns, n) for n in ("rank", "h1", "h2"))
-    found = repeats(docs).select(F.col("doc_id").alias(rank), F.transform("digests", lambda d: d["h1"]).alias(first),
+    rank, salt, first, second = (fresh(columns, n) for n in ("rank", "salt", "h1", "h2"))
+    found = repeats(docs).select(F.col("rank").alias(rank), F.col("salt").alias(salt),
+                                 F.transform("digests", lambda d: d["h1"]).alias(first),
                                  F.transform("digests", lambda d: d["h2"]).alias(second))
-    joined = docs.withColumn(rank, _rank()).join(found, rank, "left").select(*columns, first, second)
+    joined = docs.withColumns(dict(zip((rank, salt), _key()))).join(found, [rank, salt], "left").select(*columns, first, second)
     span = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
     schema = StructType([*docs.schema.fields, StructField(removed, span)])
 

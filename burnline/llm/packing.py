@@ -33,23 +33,25 @@ CACHE_ENTRIES = 800_000
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens) of the full windows and the rest of every document."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, salt) of the full windows and the rest of
+    every document. ``salt`` tells rows without a ``doc_id`` apart; it is 0 for the others."""
     end = np.array([end_id], "<u4").tobytes()
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"]
 
     def run(batches):
+        unnamed = 0
         for batch in slices(batches, max_bytes=SLICE_BYTES):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), bpe(path, CACHE_ENTRIES).ids(texts(batch))):
                 ids += end
                 n = len(ids) // 4
+                unnamed += doc_id is None
                 for start in range(0, n, window):
                     cut = ids[4 * start:4 * (start + window)]
-                    rows.append((doc_id, start, len(cut) // 4, zlib.crc32(cut), n))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)],
-                                             ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    rows.append((doc_id, start, len(cut) // 4, zlib.crc32(cut), n, unnamed if doc_id is None else 0))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def combinations(counts: np.ndarray, window: int, depth3: int = 24) -> list[tuple[int, ...]]:
@@ -153,22 +155,24 @@ def plan(counts: np.ndarray, window: int = WINDOW) -> Plan:
 
 
 def pack(cut: DataFrame, window: int = WINDOW, blocks: int = 1024) -> DataFrame:
-    """The pieces with ``sequence_id`` and ``offset``.
+    """The pieces (a stored table of :func:`pieces`) with ``sequence_id`` and ``offset``.
 
     Pieces of one length are ranked in ``blocks`` blocks by a hash of the piece,
     so that a length that a third of all documents share is no single task.
     """
-    spread = cut.withColumn("_block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(blocks)))
-    sizes = spread.groupBy("length", "_block").agg(F.count("*").alias("_n"))
+    key = ["doc_id", "start", "ids_crc32", "doc_tokens", "salt"]
+    spread = cut.withColumn("block", F.pmod(F.xxhash64(*key), F.lit(blocks)))
+    sizes = spread.groupBy("length", "block").agg(F.count("*").alias("n"))
     counts = np.zeros(window + 1, np.int64)
     for n, c in cut.groupBy("length").count().collect():  # at most ``window`` rows
         counts[n] = c
-    by_length = Window.partitionBy("length").orderBy("_block")
-    before = sizes.select("length", "_block", (F.sum("_n").over(by_length) - F.col("_n")).alias("_before"))
-    in_block = Window.partitionBy("length", "_block").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
-    ranked = (spread.withColumn("_in", F.row_number().over(in_block) - 1).join(before, ["length", "_block"])
-              .select(*cut.columns, (F.col("_before") + F.col("_in")).alias("rank")))
-    where, columns = plan(counts, window), cut.columns
+    by_length = Window.partitionBy("length").orderBy("block")
+    before = sizes.select("length", "block", (F.sum("n").over(by_length) - F.col("n")).alias("before"))
+    in_block = Window.partitionBy("length", "block").orderBy(*key)
+    columns = [c for c in cut.columns if c != "salt"]
+    ranked = (spread.withColumn("place", F.row_number().over(in_block) - 1).join(before, ["length", "block"])
+              .select(*columns, (F.col("before") + F.col("place")).alias("rank")))
+    where = plan(counts, window)
 
     def run(batches):
         for batch in batches:
@@ -177,8 +181,7 @@ def pack(cut: DataFrame, window: int = WINDOW, blocks: int = 1024) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *places],
                                              [*columns, "sequence_id", "offset"])
 
-    types = ", ".join(f"`{c}` {t}" for c, t in cut.dtypes)
-    return ranked.mapInArrow(run, f"{types}, sequence_id long, offset long")
+    return ranked.mapInArrow(run, ", ".join(f"{c} long" for c in [*columns, "sequence_id", "offset"]))
 
 
 def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
