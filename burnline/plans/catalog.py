@@ -14,7 +14,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schemas as S
 from ..operators import changes as CH
 from ..operators import dashboard as D
 from ..operators import export as X
