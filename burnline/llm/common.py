@@ -6,10 +6,12 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+Held = TypeVar("Held")
 #: The word rule of the operators: runs of anything but space and U+0009-U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The characters that rule leaves out.
@@ -54,9 +56,25 @@ def fresh(columns: Iterable[str], name: str) -> str:
     return name
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text",
-           max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that ``column`` holds about ``max_bytes`` each (one row at least)."""
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable[[], Held]) -> Held:
+    """What ``make`` returns, made once in a worker process and kept for later
+    tasks there, until another operator's work comes to the process."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20,
+           keep_held: bool = False) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that ``column`` holds about ``max_bytes`` each (one
+    row at least). Unless ``keep_held``, what :func:`held` keeps is let go:
+    Spark gives the same processes to one operator after the other."""
+    if not keep_held:
+        _held.clear()
     for batch in batches:
         sizes = [len(x) if x is not None else 0 for x in _buffers(batch.column(column))]
         start, held = 0, 0

@@ -29,7 +29,7 @@ from .tokens import SLICE_BYTES, bpe
 WINDOW = 2048
 END_ID = 1
 #: Entries of a generation of the encoder's cache: encoding is most of the work here, so it gets the memory.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 500_000
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
 
     def run(batches):
         unnamed = 0
-        for batch in slices(batches, max_bytes=SLICE_BYTES):
+        for batch in slices(batches, max_bytes=SLICE_BYTES, keep_held=True):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), bpe(path, CACHE_ENTRIES).ids(texts(batch))):
                 ids += end

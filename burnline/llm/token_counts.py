@@ -19,13 +19,12 @@ from __future__ import annotations
 import base64
 import math
 from collections import Counter
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices, texts
+from .common import held, slices, texts
 
 MAX_NODES = 800_000
 
@@ -83,7 +82,6 @@ class PrefixTrie:
         return score, -count
 
 
-@lru_cache(1)
 def _model(path: str) -> tuple[PrefixTrie, regex.Pattern]:
     import public_tokenizers
     with open(path, "rb") as f:
@@ -98,8 +96,8 @@ def count_tokens(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id
     types = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in columns)
 
     def run(batches):
-        trie, split = _model(path)
-        for batch in slices(batches, max_bytes=8 << 20):
+        trie, split = held(("trie", path), lambda: _model(path))
+        for batch in slices(batches, max_bytes=8 << 20, keep_held=True):
             counted: list[Counter] = []
             for text in texts(batch):
                 found = split.findall(text) if len(text) <= 1 << 20 else (m.group() for m in split.finditer(text))

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from .common import slices, texts
+from .common import held, slices, texts
 
 #: Entries of each of the two generations of a worker process's cache (an entry takes about 200 bytes), and the
 #: longest piece it holds.
@@ -187,10 +187,9 @@ class ByteBpe:
         return out
 
 
-@lru_cache(1)
 def bpe(path: str, entries: int = CACHE_ENTRIES) -> ByteBpe:
-    """The vocabulary at ``path``, loaded once in each worker process."""
-    return ByteBpe(path, entries)
+    """The vocabulary at ``path``, kept in the worker process."""
+    return held(("bpe", path, entries), lambda: ByteBpe(path, entries))
 
 
 def encode(docs: DataFrame, path: str, columns: list[str] | None = None, with_offsets: bool = False) -> DataFrame:
@@ -201,7 +200,7 @@ def encode(docs: DataFrame, path: str, columns: list[str] | None = None, with_of
     schema = StructType([*(source.schema[c] for c in columns), *(StructField(n, ArrayType(IntegerType())) for n in new)])
 
     def run(batches):
-        for batch in slices(batches, max_bytes=SLICE_BYTES):
+        for batch in slices(batches, max_bytes=SLICE_BYTES, keep_held=True):
             whole, coder = texts(batch), bpe(path)
             made = [_lists([np.frombuffer(b, "<u4") for b in coder.ids(whole)])]
             if with_offsets:

@@ -42,3 +42,14 @@ def test_no_shared_folder_on_a_cluster_is_an_error():
 
     with pytest.raises(ValueError):
         common.shared_dir(Session)
+
+
+def test_what_a_process_holds_is_let_go_by_other_work():
+    made = []
+    get = lambda key: common.held((key,), lambda: made.append(key) or object())
+    assert get("a") is get("a") and get("b") is not get("a")
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"])], ["text"])
+    kept = get("a")
+    assert [*common.slices([batch], keep_held=True)] and get("a") is kept
+    assert [*common.slices([batch])] and get("a") is not kept
+    assert made == ["a", "b", "a", "a"]
