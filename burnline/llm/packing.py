@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stored, texts
-from .tokens import SLICE_BYTES, bpe
+from .tokens import bpe
 
 WINDOW = 2048
 END_ID = 1
-#: Entries of a generation of the encoder's cache: encoding is most of the work here, so it gets the memory.
-CACHE_ENTRIES = 500_000
+#: Entries of a generation of the encoder's cache, and bytes of text encoded at a time: encoding is most of the work
+#: here, so it gets the memory.
+CACHE_ENTRIES, SLICE_BYTES = 1_200_000, 4 << 20
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:

@@ -32,9 +32,9 @@ from .common import held, slices, texts
 
 #: Entries of each of the two generations of a worker process's cache (an entry takes about 200 bytes), and the
 #: longest piece it holds.
-CACHE_ENTRIES, CACHED_CHARS = 200_000, 64
+CACHE_ENTRIES, CACHED_CHARS = 120_000, 64
 #: Bytes of text encoded at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: No letters, digits or white space: a run of them after a word is one pre-token.
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -78,6 +78,40 @@ def decoded(ids: np.ndarray, path: str, block: int = 1 << 18) -> tuple[bytes, np
     return b"".join(out), sizes
 
 
+#: Pieces of up to this many bytes are compared; longer ones each count as distinct.
+_COMPARED = 24
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+
+
+def _cut(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the pieces between spaces."""
+    ends = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 32), len(data))
+    return np.concatenate([[0], ends[:-1] + 1]), ends
+
+
+def _distinct(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece the number of its content, and for each content one piece
+    that has it. Pieces are sorted by a hash of their bytes and compared with
+    their neighbours; a content may have several numbers if hashes collide."""
+    window = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data + bytes(_COMPARED + 8), np.uint8), 8)
+    keys = []
+    for at in range(0, _COMPARED, 8):
+        bytes_ = window[starts + at].view("<u8").ravel()
+        keys.append(bytes_ & _LOW_BYTES[np.clip(sizes - at, 0, 8)])
+    with np.errstate(over="ignore"):
+        mixed = keys[0] * _MIX[0] ^ keys[1] * _MIX[1] ^ keys[2] * _MIX[2]
+    order = np.argsort(mixed)
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = sizes[order[1:]] > _COMPARED
+    for key in [*keys, sizes]:
+        key = key[order]
+        fresh[1:] |= key[1:] != key[:-1]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return number, order[fresh]
+
+
 class ByteBpe:
     """A byte-level BPE vocabulary file, with a cache of encoded pre-tokens."""
 
@@ -138,13 +172,16 @@ class ByteBpe:
             again = new.intersection(older)
             known.update(zip(again, map(older.__getitem__, again)))
             new -= again
-        words, tailed, others, left = [], [], [], set()
-        for p in new:
-            if p.isalpha() and len(p) <= CACHED_CHARS:
-                words.append(p)
-            elif len(p) > CACHED_CHARS or not p or p[0].isspace() or p[-1].isspace():
+        words = [p for p in new if p.isalpha()]
+        left = {p for p in words if len(p) > CACHED_CHARS}
+        if left:
+            words = [p for p in words if p not in left]
+        tailed, others = [], []
+        for p in new.difference(words, left):
+            stem = p.rstrip(_MARKS)
+            if len(p) > CACHED_CHARS or not p or p[0].isspace() or p[-1].isspace():
                 left.add(p)
-            elif (stem := p.rstrip(_MARKS)).isalpha():  # marks after a word are one match
+            elif stem.isalpha():  # marks after a word are one match
                 tailed.append((p, stem, p[len(stem):]))
             else:
                 others.append(p)
@@ -164,17 +201,57 @@ class ByteBpe:
 
     def ids(self, whole: list[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
-        cut = [t.split(" ") for t in whole]
-        firsts = [p[0] for p in cut]
-        left, begun = self._learn(set().union(*cut), firsts)
-        known = self._known.__getitem__
-        for text, parts, begin in zip(whole, cut, begun):
-            if left.isdisjoint(parts):
-                yield begin + b"".join(map(known, parts[1:]))
-            elif any(not p or p[0].isspace() or p[-1].isspace() for p in left.intersection(parts)):
-                yield self._whole(text)
+        if not whole:
+            return
+        encoded = [t.encode() for t in whole]
+        data = b" ".join(encoded)
+        starts, ends = _cut(data)
+        first = np.searchsorted(starts, np.cumsum([0, *(len(e) + 1 for e in encoded[:-1])]))  # piece of each text
+        piece, example = _distinct(data, starts, ends - starts)
+        used = np.ones(len(piece), bool)
+        used[first] = False
+        seen = np.zeros(len(example), bool)
+        seen[piece[used]] = True
+        example = example[seen]
+        words = [data[a:b].decode() for a, b in zip(starts[example].tolist(), ends[example].tolist())]
+        firsts = [data[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        left, begun = self._learn(set(words), firsts)
+        # Texts with white space beside a cut, or with pieces that are not remembered, are read piece by piece.
+        text = np.repeat(np.arange(len(whole)), np.diff([*first, len(piece)]))
+        apart = np.array([not p or p[-1].isspace() for p in firsts])
+        if left:
+            ids = [self._known.get(w, b"") for w in words]
+            kept_out = np.zeros(len(seen), bool)
+            kept_out[seen] = [w in left for w in words]
+            apart[text[used & kept_out[piece]]] = True
+        else:
+            ids = [*map(self._known.__getitem__, words)]
+        sizes = np.zeros(len(seen), np.int64)
+        sizes[seen] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        offset, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
+        n = np.where(used & ~apart[text], sizes[piece], 0)
+        total = np.concatenate([[0], np.cumsum(n)])
+        out = flat[np.repeat(offset[piece] - total[:-1], n) + np.arange(total[-1])]
+        bounds = total[[*first, len(piece)]].tolist()
+        for i, begin in enumerate(begun):
+            if apart[i]:
+                yield b"".join(self._grouped(whole[i].split(" "), left))
+            else:
+                yield begin + out[bounds[i]:bounds[i + 1]].tobytes()
+
+    def _grouped(self, parts: list[str], left: set[str]) -> Iterator[bytes]:
+        """The ids of a text from its pieces, those that white space joins taken together."""
+        group, space = [parts[0]], ""
+        for p in [*parts[1:], None]:
+            q = group[-1]
+            if p is not None and not (p and q and not p[0].isspace() and not q[-1].isspace()):
+                group.append(p)
+                continue
+            if space and len(group) == 1 and q not in left:
+                yield self._known[q]
             else:
-                yield begin + b"".join([self._whole(" " + p) if p in left else known(p) for p in parts[1:]])
+                yield self._whole(space + " ".join(group))
+            group, space = [p], " "
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """The first and past-the-end character of each id; ids that share a
