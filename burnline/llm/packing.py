@@ -33,9 +33,11 @@ END_ID = 1
 CACHE_ENTRIES, SLICE_BYTES = 1_200_000, 4 << 20
 
 
-def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
+           cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, salt) of the full windows and the rest of
-    every document. ``salt`` tells rows without a ``doc_id`` apart; it is 0 for the others."""
+    every document. ``salt`` tells rows without a ``doc_id`` apart; it is 0 for the others.
+    ``cache_entries`` trades memory of the workers for time and changes no result."""
     end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"]
 
@@ -43,7 +45,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
         unnamed = 0
         for batch in slices(batches, max_bytes=SLICE_BYTES, keep_held=True):
             rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), bpe(path, CACHE_ENTRIES).ids(texts(batch))):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), bpe(path, cache_entries).ids(texts(batch))):
                 ids += end
                 n = len(ids) // 4
                 unnamed += doc_id is None
@@ -185,6 +187,7 @@ def pack(cut: DataFrame, window: int = WINDOW, blocks: int = 1024) -> DataFrame:
     return ranked.mapInArrow(run, ", ".join(f"{c} long" for c in [*columns, "sequence_id", "offset"]))
 
 
-def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
+                   cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece."""
-    return pack(stored(pieces(docs, path, window, end_id), "pieces"), window)
+    return pack(stored(pieces(docs, path, window, end_id, cache_entries), "pieces"), window)

@@ -39,8 +39,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in their sequences."""
-    return packing.pack_documents(docs, tokens.vocabulary("byte_bpe_50k.json"))
+    """The pieces of the documents in their sequences. The workers' memory is that of all stages, so the cache is small."""
+    return packing.pack_documents(docs, tokens.vocabulary("byte_bpe_50k.json"), cache_entries=200_000)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("simhash", near_duplicates),
