@@ -7,10 +7,12 @@ Units are normalised (lower case, single spaces) and hashed to 128 bits. The
 digests are grouped globally: the occurrence in the smallest ``doc_id``, and
 there the first, stays; every other one is a repeat.
 
-A repeated line goes. Within a line, a run of repeated sentences goes if it has
-at least ``min_run`` words, so that a common short sentence by itself stays;
-sentences of under ``min_unit`` words are not hashed and go with the run that
-encloses them. ``removed`` keeps the spans, in characters of the original text.
+A repeated line goes. A run of repeated sentences goes if it has at least
+``min_run`` words, so that a common short sentence by itself stays. A shorter
+line, or a sentence of under ``min_unit`` words, goes only between repeats, and
+only if it is one too: its digest includes that of the unit before it, so it
+must follow the same unit there. Anything else ends a run.
+``removed`` keeps the spans, in characters of the original text.
 
 Nulls and edge cases: a null text stays null, an empty one empty, with no
 spans. A null ``doc_id`` ranks last. Rows that share a ``doc_id`` have the same
@@ -55,20 +57,28 @@ def _sentences(line: str, start: int) -> Iterator[tuple[int, int, list[str]]]:
             yield start + at, start + m.end(), part
 
 
-def _digest(words: list[str]) -> bytes:
-    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+def _digest(words: list[str], before: bytes = b"") -> bytes:
+    return xxhash.xxh3_128_digest(before + " ".join(words).encode("utf-8", "surrogatepass"))
 
 
 def units(text: str, min_line: int = MIN_LINE, min_unit: int = MIN_UNIT) -> Iterator[
-        tuple[int, int, int, bytes | None, list[tuple[int, int, int, bytes | None]]]]:
+        tuple[int, int, int, bytes, list[tuple[int, int, int, bytes]]]]:
     """Start, end, words and digest of each line, and of each of its sentences
-    (digest None: too short to be a unit; a line of one sentence lists none)."""
+    (a line of one sentence, or of under ``min_line`` words, lists none)."""
+    before = b""  # the digest of the unit before
     for m in _LINE.finditer(text):
         words = m.group().lower().split()
         if not words:
             continue
-        parts = [(a, b, len(w), _digest(w) if len(w) >= min_unit else None) for a, b, w in _sentences(m.group(), m.start())]
-        yield m.start(), m.end(), len(words), _digest(words) if len(words) >= min_line else None, parts if len(parts) > 1 else []
+        if len(words) < min_line:
+            before = _digest(words, before)
+            yield m.start(), m.end(), len(words), before, []
+            continue
+        parts = []
+        for a, b, part in _sentences(m.group(), m.start()):
+            before = _digest(part, b"" if len(part) >= min_unit else before)
+            parts.append((a, b, len(part), before))
+        yield m.start(), m.end(), len(words), _digest(words), parts if len(parts) > 1 else []
 
 
 def removed_spans(text: str, elsewhere: set[bytes], min_run: int = MIN_RUN) -> list[tuple[int, int]]:
@@ -76,16 +86,14 @@ def removed_spans(text: str, elsewhere: set[bytes], min_run: int = MIN_RUN) -> l
     sentences. ``elsewhere``: digests whose first occurrence another text has."""
     seen: set[bytes] = set()
 
-    def again(digest: bytes | None) -> bool:
-        if digest is None:
-            return False
+    def again(digest: bytes) -> bool:
         if digest in elsewhere or digest in seen:
             return True
         seen.add(digest)
         return False
 
     spans: list[tuple[int, int]] = []
-    run: list[tuple[int, int]] = []  # of repeated units; what lies between is too short to be one
+    run: list[tuple[int, int]] = []  # of repeated units; what lies between are repeats too short to be one
     count = 0
 
     def close() -> None:
@@ -98,16 +106,17 @@ def removed_spans(text: str, elsewhere: set[bytes], min_run: int = MIN_RUN) -> l
     for start, end, n, digest, parts in units(text):
         states = [again(d) for *_, d in parts]
         if again(digest):
-            run.append((start, end))
-            count = max(count + n, min_run)  # a whole line is enough
+            if n >= MIN_LINE:
+                run.append((start, end))
+                count = max(count + n, min_run)  # a whole line is enough
             continue
-        for (a, b, m, d), repeated in zip(parts, states):
-            if repeated:
+        for (a, b, m, _), repeated in zip(parts, states):
+            if not repeated:
+                close()
+            elif m >= MIN_UNIT:
                 run.append((a, b))
                 count += m
-            elif d is not None:
-                close()
-        if not parts and digest is not None:
+        if not parts:
             close()
     close()
     return spans
@@ -127,7 +136,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             rows, parts = [], []
             for rank, salt, text in zip(*(batch.column(c).to_pylist() for c in ("rank", "salt", "text"))):
-                found = {d for *_, line, inner in units(text or "") for d in (line, *(x[3] for x in inner)) if d}
+                found = {d for *_, line, inner in units(text or "") for d in (line, *(x[3] for x in inner))}
                 rows.append((rank, salt, len(found)))
                 parts.extend(found)
             ranks, salts, n = np.array(rows, np.int64).T

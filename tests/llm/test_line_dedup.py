@@ -77,6 +77,23 @@ def test_common_short_sentences_stay(spark):
     assert [r["text"] for r in cut(spark, rows)] == [t for _, t in rows]
 
 
+def test_unique_short_lines_between_repeats_stay(spark):
+    head, foot = sentence(8, 21), sentence(9, 22)
+    bodies = [[f"Row {i}", f"{i} times {i}", f"Ja. {i}!", f"\u4f60\u597d\u4e16\u754c{i}"] for i in range(3)]
+    rows = [(i, "\n".join([head, *body, foot])) for i, body in enumerate(bodies)]
+    got = cut(spark, rows)
+    assert got[0]["text"] == rows[0][1]
+    assert [r["text"] for r in got[1:]] == ["\n".join(body) + "\n" for body in bodies[1:]]
+
+
+def test_short_units_go_with_the_passage_they_are_copied_with(spark):
+    table = "\n".join([sentence(8, 31), "Yes", "No", "", "Yes", sentence(9, 32)])
+    spoken = f"{sentence(8, 33)} Oh no. Ah! {sentence(8, 34)}"
+    rows = [(1, f"{table}\n{spoken} {sentence(9, 35)}"), (2, f"Own.\n{table}"), (3, f"{sentence(7, 36)} {spoken}"),
+            (4, f"{sentence(8, 31)}\nNo\nYes\n{sentence(9, 32)}"), (5, f"{sentence(8, 33)} Ah! Oh no. {sentence(8, 34)}")]
+    assert [r["text"] for r in cut(spark, rows)] == [rows[0][1], "Own.\n", f"{sentence(7, 36)} ", "No\nYes\n", rows[4][1]]
+
+
 def test_edge_cases_match_brute_force(spark):
     line = sentence(8, 5)
     rows = [(1, None), (2, ""), (3, "\n \n"), (None, line), (4, line), (5, f"{line}\n{line}"), (5, f"{line}\n{line}"), (6, (line + "\n") * 5000),
