@@ -1,17 +1,23 @@
 """Substring deduplication by hashing lines and their sentences.
 
-A unit is a line of at least ``min_line`` words, or a sentence of a line (a
-sentence of over ``LONG`` words is cut further, after words whose own hash says
-so, so that copies of a passage are cut alike whatever stands before them).
-Units are normalised (lower case, single spaces) and hashed to 128 bits. The
-digests are grouped globally: the occurrence in the smallest ``doc_id``, and
-there the first, stays; every other one is a repeat.
+A unit is a line of at least ``min_line`` words, a sentence of a line, or a
+window of ``WINDOW`` words anywhere in the text. Units are normalised (lower
+case, single spaces) and hashed to 128 bits. The digests are grouped globally:
+the occurrence in the smallest ``doc_id``, and there the first, stays; every
+other one is a repeat.
 
 A repeated line goes. A run of repeated sentences goes if it has at least
 ``min_run`` words, so that a common short sentence by itself stays. A shorter
 line, or a sentence of under ``min_unit`` words, goes only between repeats, and
 only if it is one too: its digest includes that of the unit before it, so it
 must follow the same unit there. Anything else ends a run.
+
+Windows do not depend on how a copy is cut into lines and sentences. They start
+where a hash of the next words is the least of ``WINDOW`` successive ones, so
+any ``WINDOW`` successive places hold a start, the same one in every copy: of a
+passage of at least ``2 * WINDOW - 1`` words that occurs again, all goes but up
+to ``WINDOW - 1`` words at each end. A window repeats one of its own text only
+if it does not overlap it.
 ``removed`` keeps the spans, in characters of the original text.
 
 Nulls and edge cases: a null text stays null, an empty one empty, with no
@@ -22,6 +28,8 @@ rank: neither loses what only they share. Extra columns are carried along.
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,64 +41,115 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import fresh, slices
 
-MIN_LINE, MIN_UNIT, MIN_RUN, LONG = 5, 4, 12, 32
+MIN_LINE, MIN_UNIT, MIN_RUN, WINDOW = 5, 4, 12, 16
 LAST = (1 << 63) - 1  # the rank of a null doc_id
 _LINE = re.compile(r"[^\n]+\n?")
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?]+(?=\s)\s*|[^.!?\n]+(?:[.!?]+(?!\s)[^.!?\n]*)*(?:[.!?]+(?=\s)\s*)?\n?|[.!?]+\n?")
-_WORD = re.compile(r"\s*\S+\s*")
+_BLANKS = re.compile(r"[^\S\n]*")
+_IS_SPACE: list[np.ndarray] = []  # made once in each worker
+Unit = tuple[int, int, int, bytes]
 
 
-def _sentences(line: str, start: int) -> Iterator[tuple[int, int, list[str]]]:
-    """Start, end and words of each sentence of a line; they cover it."""
-    for m in _SENTENCE.finditer(line):
-        words = m.group().lower().split()
-        if len(words) <= LONG:
-            yield start + m.start(), start + m.end(), words
-            continue
-        at, part = m.start(), []
-        for w in _WORD.finditer(m.group()):
-            part.append(w.group().strip().lower())
-            if xxhash.xxh3_64_intdigest(part[-1]) % 8 == 0:
-                yield start + at, start + m.start() + w.end(), part
-                at, part = m.start() + w.end(), []
-        if at < m.end():
-            yield start + at, start + m.end(), part
+class _WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 17:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
+
 
+_hashes = _WordHashes()
 
-def _digest(words: list[str], before: bytes = b"") -> bytes:
-    return xxhash.xxh3_128_digest(before + " ".join(words).encode("utf-8", "surrogatepass"))
 
+def _digest(words: list[str], before: bytes = b"", seed: int = 0) -> bytes:
+    return xxhash.xxh3_128_digest(before + " ".join(words).encode("utf-8", "surrogatepass"), seed)
 
-def units(text: str, min_line: int = MIN_LINE, min_unit: int = MIN_UNIT) -> Iterator[
-        tuple[int, int, int, bytes, list[tuple[int, int, int, bytes]]]]:
+
+def _lines(text: str, min_line: int, min_unit: int) -> Iterator[tuple[int, int, int, bytes, list[Unit]]]:
     """Start, end, words and digest of each line, and of each of its sentences
     (a line of one sentence, or of under ``min_line`` words, lists none)."""
     before = b""  # the digest of the unit before
     for m in _LINE.finditer(text):
-        words = m.group().lower().split()
+        line = m.group()
+        words = line.lower().split()
         if not words:
             continue
         if len(words) < min_line:
             before = _digest(words, before)
             yield m.start(), m.end(), len(words), before, []
             continue
-        parts = []
-        for a, b, part in _sentences(m.group(), m.start()):
+        parts, at = [], m.start()
+        for a, b in [x.span() for x in _SENTENCE.finditer(line)]:
+            part = line[a:b].lower().split()
             before = _digest(part, b"" if len(part) >= min_unit else before)
-            parts.append((a, b, len(part), before))
-        yield m.start(), m.end(), len(words), _digest(words), parts if len(parts) > 1 else []
+            parts.append((at + a, at + b, len(part), before))
+        if len(parts) == 1:
+            yield m.start(), m.end(), len(words), before, []
+        else:
+            yield m.start(), m.end(), len(words), _digest(words), parts
+
+
+def _sliding(values: np.ndarray, take: np.ufunc) -> np.ndarray:
+    """``take`` over every ``WINDOW`` (a power of 2) successive values."""
+    step = 1
+    while step < WINDOW:
+        values = take(values[:-step], values[step:])
+        step *= 2
+    return values
+
+
+def _windows(text: str) -> list[tuple[int, bytes]]:
+    """The first word, and the digest, of each window of a text."""
+    words = text.lower().split()
+    if len(words) < 2 * WINDOW - 1:
+        return []
+    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    n = len(words) - WINDOW + 1
+    mixed = h[:n] * np.uint64(0x9E3779B97F4A7C15) + h[1:n + 1] * np.uint64(0xBF58476D1CE4E5B9) + h[2:n + 2] * np.uint64(0x94D049BB133111EB)
+    mixed ^= mixed >> np.uint64(31)
+    least = np.zeros(n + WINDOW - 1, np.uint64)
+    least[WINDOW - 1:n] = _sliding(mixed, np.minimum)
+    return [(i, _digest(words[i:i + WINDOW], seed=1)) for i in np.flatnonzero(_sliding(least, np.maximum) == mixed).tolist()]
+
+
+def _places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text starts and ends."""
+    if not _IS_SPACE:
+        _IS_SPACE.append(np.array([chr(i).isspace() for i in range(sys.maxunicode + 1)]))
+    space = _IS_SPACE[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    return edges[::2], edges[1::2]
+
+
+def _placed(text: str, windows: list[tuple[int, bytes]]) -> Iterator[Unit]:
+    starts, ends = _places(text) if windows else ((), ())
+    for i, digest in windows:
+        yield int(starts[i]), _BLANKS.match(text, int(ends[i + WINDOW - 1])).end(), WINDOW, digest
+
+
+def units(text: str, min_line: int = MIN_LINE, min_unit: int = MIN_UNIT) -> Iterator[tuple[int, int, int, bytes, list[Unit]]]:
+    """Start, end, words and digest of each line, and of each of its sentences;
+    then those of each window."""
+    yield from _lines(text, min_line, min_unit)
+    yield from ((*x, []) for x in _placed(text, _windows(text)))
+
+
+def _digests(text: str) -> set[bytes]:
+    """The digests of the units of a text."""
+    found = {d for _, d in _windows(text)}
+    for *_, line, parts in _lines(text, MIN_LINE, MIN_UNIT):
+        found.add(line)
+        found.update([x[3] for x in parts])
+    return found
 
 
 def removed_spans(text: str, elsewhere: set[bytes], min_run: int = MIN_RUN) -> list[tuple[int, int]]:
-    """The spans to remove: repeated lines and long enough runs of repeated
-    sentences. ``elsewhere``: digests whose first occurrence another text has."""
-    seen: set[bytes] = set()
+    """The spans to remove: repeated lines, long enough runs of repeated sentences,
+    and repeated windows. ``elsewhere``: digests whose first occurrence another text has."""
+    seen: dict[bytes, int] = {}
 
-    def again(digest: bytes) -> bool:
-        if digest in elsewhere or digest in seen:
-            return True
-        seen.add(digest)
-        return False
+    def again(start: int, end: int, digest: bytes) -> bool:
+        return digest in elsewhere or start >= seen.setdefault(digest, end)
 
     spans: list[tuple[int, int]] = []
     run: list[tuple[int, int]] = []  # of repeated units; what lies between are repeats too short to be one
@@ -103,9 +162,9 @@ def removed_spans(text: str, elsewhere: set[bytes], min_run: int = MIN_RUN) -> l
         run.clear()
         count = 0
 
-    for start, end, n, digest, parts in units(text):
-        states = [again(d) for *_, d in parts]
-        if again(digest):
+    for start, end, n, digest, parts in _lines(text, MIN_LINE, MIN_UNIT):
+        states = [again(a, b, d) for a, b, _, d in parts]
+        if again(start, end, digest):
             if n >= MIN_LINE:
                 run.append((start, end))
                 count = max(count + n, min_run)  # a whole line is enough
@@ -119,7 +178,17 @@ def removed_spans(text: str, elsewhere: set[bytes], min_run: int = MIN_RUN) -> l
         if not parts:
             close()
     close()
-    return spans
+    windows = _windows(text)
+    times = Counter(d for _, d in windows)
+    twice = [x for x in windows if times[x[1]] > 1 or x[1] in elsewhere]
+    spans += [(a, b) for a, b, _, d in _placed(text, twice) if again(a, b, d)]
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            a, b = merged[-1][0], max(b, merged.pop()[1])
+        merged.append((a, b))
+    # Of a line that goes whole, its end goes too.
+    return [(a, b + 1 if text[b:b + 1] == "\n" and text[a - 1:a] in ("", "\n") else b) for a, b in merged]
 
 
 def _key() -> tuple[Column, Column]:
@@ -136,7 +205,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             rows, parts = [], []
             for rank, salt, text in zip(*(batch.column(c).to_pylist() for c in ("rank", "salt", "text"))):
-                found = {d for *_, line, inner in units(text or "") for d in (line, *(x[3] for x in inner))}
+                found = _digests(text or "")
                 rows.append((rank, salt, len(found)))
                 parts.extend(found)
             ranks, salts, n = np.array(rows, np.int64).T

@@ -94,6 +94,34 @@ def test_short_units_go_with_the_passage_they_are_copied_with(spark):
     assert [r["text"] for r in cut(spark, rows)] == [rows[0][1], "Own.\n", f"{sentence(7, 36)} ", "No\nYes\n", rows[4][1]]
 
 
+def test_passages_cut_at_any_word_go(spark):
+    import random
+    rng = random.Random(7)
+    source = [w for i in range(60) for w in sentence(rng.choice([3, 7, 10, 20, 40]), 2000 + i).split()]
+    plain = words(900, 78)
+    rows, passages = [(0, " ".join(source)), (1, " ".join(plain))], {}
+    for i in range(2, 102):
+        whole = source if i % 2 else plain
+        at = rng.randrange(len(whole) - 51)
+        passages[i] = whole[at:at + 51]
+        before, after = words(rng.randint(1, 40), 3000 + i, "ijkl"), words(rng.randint(1, 40), 4000 + i, "mnop")
+        rows.append((i, " ".join([*before, *passages[i], *after])))
+    got = {r["doc_id"]: r for r in cut(spark, rows)}
+    for i, text in rows[2:]:
+        spans = [(s["start"], s["end"]) for s in got[i]["removed"]]
+        gone = " ".join(text[a:b].strip() for a, b in spans)
+        assert len(gone.split()) >= 51 - 2 * (line_dedup.WINDOW - 1)
+        assert gone in " ".join(passages[i])
+        left = " ".join(got[i]["text"].split()) + " "
+        assert left.startswith(text.split(passages[i][0])[0]) and set(left.split()) >= set(rows[i][1].split()) - set(passages[i])
+
+
+def test_a_text_of_one_word_is_cut_only_behind_its_first_window(spark):
+    got = cut(spark, [(1, "ha " * 100), (2, "ha " * 100 + "oh")])
+    assert got[0]["text"] == "ha " * line_dedup.WINDOW
+    assert got[1]["text"] == "oh"
+
+
 def test_edge_cases_match_brute_force(spark):
     line = sentence(8, 5)
     rows = [(1, None), (2, ""), (3, "\n \n"), (None, line), (4, line), (5, f"{line}\n{line}"), (5, f"{line}\n{line}"), (6, (line + "\n") * 5000),
