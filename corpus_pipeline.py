@@ -15,9 +15,12 @@ from burnline.llm.common import fresh, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages stay; those without a letter go."""
+    """Documents in one of the learned languages stay; those without a letter go, and only those if none was learned."""
     pred, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "score")
-    named = langid.identify(docs, langid.learn(docs), pred=pred, score=score)
+    prototypes = langid.learn(docs)
+    if not prototypes:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    named = langid.identify(docs, prototypes, pred=pred, score=score)
     return named.where(F.col(pred) != langid.UNKNOWN).select(*docs.columns)
 
 

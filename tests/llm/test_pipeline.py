@@ -121,3 +121,8 @@ def test_simhash_query_matches_brute_force(spark):
         least[roots[prints[i]]] = i
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in E.queries()["op1_simhash"](spark, SMALL).collect()}
     assert got == {i: (f"{p:016x}", least[roots[p]]) for i, p in prints.items()}
+
+
+def test_documents_stay_if_no_language_was_learned(spark):
+    rows = [(1, "Some words", None, "s", 10), (2, "12 34 !", None, "s", 7), (3, None, None, "s", 0), (4, "\u4f60\u597d", None, "s", 2)]
+    assert sorted(r["doc_id"] for r in P.language_id(spark, docs(spark, rows), "").collect()) == [1, 4]
