@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_wrapper, langid, line_dedup, packing, quality, simhash, token_counts, tokens
+from . import chat, exact_dedup, html_wrapper, langid, line_dedup, merkle, packing, quality, simhash, token_counts, tokens
 from .sql import SQL  # noqa: F401
 
 
@@ -74,6 +74,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.verify(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_packing, op3_language_id, op4_quality, op5_exact_dedup, op6_token_counts,
-                            op7_line_dedup, op8_bpe, op9_html, op10_chat)}
+                            op7_line_dedup, op8_bpe, op9_html, op10_chat, op13_merkle)}

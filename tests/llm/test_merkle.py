@@ -1,0 +1,109 @@
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from burnline.llm import merkle
+
+from .helpers import SCHEMA, as_rows, clashing
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode("utf-8")).hexdigest()
+
+
+def leaf(row, text=...):
+    doc_id, own, lang, source, n_chars = row
+    fields = (doc_id, source, lang, n_chars, own if text is ... else text)
+    return h(*("-" if f is None else f"{len(str(f).encode())}:{f}" for f in fields))
+
+
+def levels(nodes):
+    out = [nodes]
+    while len(out[-1]) > 1:
+        out.append([h(*out[-1][i:i + 3]) for i in range(0, len(out[-1]), 3)])
+    return out
+
+
+def steps(tree, i):
+    out = []
+    for row in tree[:-1]:
+        start = i - i % 3
+        out.append(("".join(row[start:i]), "".join(row[i + 1:start + 3])))
+        i //= 3
+    return out
+
+
+def brute(rows):
+    """Each row's result, level by level as the definition says."""
+    sources = sorted({r[3] for r in rows}, key=lambda s: (s is not None, (s or "").encode()))
+    members = [sorted((r for r in rows if r[3] == s), key=lambda r: (r[0] is not None, r[0] or 0, leaf(r))) for s in sources]
+    trees = [levels([leaf(r) for r in m]) for m in members]
+    top = levels([t[-1][0] for t in trees])
+    out = []
+    for k, (m, tree) in enumerate(zip(members, trees)):
+        for i, r in enumerate(m):
+            way = steps(tree, i) + steps(top, k)
+            hit = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 2 == 0 and r[1] is not None
+            folded = leaf(r, r[1].replace("\n", "")) if hit else leaf(r)
+            for a, b in way:
+                folded = h(a, folded, b)
+            out.append((r[0], leaf(r), tree[-1][0], top[-1][0], h(*(a + b for a, b in way)), folded, folded == top[-1][0]))
+    return out
+
+
+def rows(n, seed):
+    rng = random.Random(seed)
+    texts = [None, "", "\n", "one\ntwo\n", "plain", "ümläut 中\n\U0001F600", "x" * 50_000 + "\n"]
+    return [(rng.choice([None, *range(60)]), rng.choice(texts), rng.choice([None, "en", ""]), rng.choice([None, "", "a", "Z", "ä", "￿", "\U00010000"]),
+             rng.choice([None, 0, 7])) for _ in range(n)]
+
+
+RESULT = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+
+
+@pytest.mark.parametrize("storey", [1, 2, 7])
+def test_matches_the_definition(spark, storey):
+    data = rows(150, storey) + [(5, "again\n", "en", "hot", 6)] * 40 + [(1000 + i, f"t{i}\n", "en", "hot", 3) for i in range(88)]
+    got = merkle.verify(spark.createDataFrame(data, SCHEMA).repartition(5), storey).select(*RESULT)
+    want = brute(data)
+    assert Counter(as_rows(got)) == Counter(want)
+    assert {r[-1] for r in want} == {True, False}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 9, 10])
+def test_small_trees(spark, n):
+    data = [(i, f"a\n{i}", "en", "s", 3) for i in range(n)]
+    assert Counter(as_rows(merkle.verify(spark.createDataFrame(data, SCHEMA)).select(*RESULT))) == Counter(brute(data))
+
+
+def test_positions_are_places_in_postorder():
+    for n in range(1, 130):
+        names = [str(i).encode() for i in range(n)]
+        log, top = merkle.postorder(names, merkle.height(n)), merkle.height(n)
+        row = names
+        for level in range(top + 1):
+            at = merkle.position(level, np.arange(len(row)), n)
+            assert [log[p] for p in at] == row
+            row = [merkle.digest(*row[i:i + 3]) for i in range(0, len(row), 3)]
+        assert len(log) == merkle.position(top, 0, n) + 1
+
+
+def test_the_parts_are_stretches_of_one_log(spark):
+    names = [h(str(i)) for i in range(100)]
+    whole = merkle.postorder([x.encode() for x in names], merkle.height(100))
+    log = merkle.build(spark.createDataFrame([("t", i, 100, x) for i, x in enumerate(names)], "tree string, index long, n long, digest string"), 2)
+    for row in log[0].collect():
+        part = merkle._split(bytes(row["nodes"]))
+        start = int(merkle.position(0, row["block"] * 9, 100))
+        assert whole[start:start + len(part)] == part
+    assert [r["digest"].encode() for r in merkle.roots(log, 2).collect()] == [whole[-1]] and len(log) == 3
+
+
+def test_empty_table_and_clashing_columns(spark):
+    assert merkle.verify(spark.createDataFrame([], SCHEMA)).count() == 0
+    frame = clashing(spark, [(1, "a\n"), (2, None)], ["tree", "index", "n", "root", "block"])
+    assert merkle.verify(frame).count() == 2
