@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_wrapper, langid, line_dedup, merkle, packing, quality, simhash, token_counts, tokens
+from . import chat, exact_dedup, html_wrapper, langid, line_dedup, merkle, packing, periodic, quality, simhash, token_counts, tokens
 from .sql import SQL  # noqa: F401
 
 
@@ -74,6 +74,26 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse(planted_runs(_table(spark, sf_dir, "documents"))).withColumn("best", periodic.strongest())
+    line = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+                        F.sha2(F.when(F.size("runs") > 0, F.concat(line, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), the texts of a tenth of the ids periodic from some word on, as the query's contract says."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    rows = rows.withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumns(
+        {"g": F.expr("h div 10"), "n": F.expr("nullif(size(words), 0)")})
+    rows = rows.withColumn("a", F.expr("int(g % n)")).withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))"))
+    again = F.expr("array_join(transform(words, (w, i) -> if(i < a, w, words[a + (i - a) % p])), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.verify(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
@@ -81,4 +101,4 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_packing, op3_language_id, op4_quality, op5_exact_dedup, op6_token_counts,
-                            op7_line_dedup, op8_bpe, op9_html, op10_chat, op13_merkle)}
+                            op7_line_dedup, op8_bpe, op9_html, op10_chat, op11_periodic, op13_merkle)}
