@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_wrapper, langid, line_dedup, merkle, packing, periodic, quality, simhash, token_counts, tokens
+from . import chat, exact_dedup, html_wrapper, langid, line_dedup, merkle, packing, periodic, quality, simhash, token_counts, tokens, vector_graph
 from .sql import SQL  # noqa: F401
 
 
@@ -94,6 +94,10 @@ def planted_runs(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
 
 
+def op12_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.verify(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
@@ -101,4 +105,5 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_packing, op3_language_id, op4_quality, op5_exact_dedup, op6_token_counts,
-                            op7_line_dedup, op8_bpe, op9_html, op10_chat, op11_periodic, op13_merkle)}
+                            op7_line_dedup, op8_bpe, op9_html, op10_chat, op11_periodic,
+                            op12_vector_graph, op13_merkle)}
