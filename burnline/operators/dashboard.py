@@ -15,44 +15,54 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import scalar as H
-from .filters import clean_code_frame, measure
+from ..sources.star import BookingStar
+from .filters import Bookings, clean_code_frame, measure
 from .ledger import with_project_share
 
 KEY = ["project_nr", "activity"]
 
 
+def _counted(bookings: Bookings, measure_col: str) -> DataFrame:
+    """Rows to add up: bookings as groups of one, or the groups of a star."""
+    hours = measure(measure_col)
+    if isinstance(bookings, BookingStar):
+        return bookings.reduced(hours)
+    return bookings.withColumns({"actual_hours": hours, "entry_count": F.lit(1).cast("long"),
+                                 "first_entry": F.col("entry_date"), "last_entry": F.col("entry_date")})
+
+
 # D1 / F2 --------------------------------------------------------------------
-def aggregate_bookings(bookings: DataFrame, measure_col: str = S.DEFAULT_MEASURE,
+def aggregate_bookings(bookings: Bookings, measure_col: str = S.DEFAULT_MEASURE,
                        order: bool = False) -> DataFrame:
     """Per (project, project_nr, customer, employee, activity): hours, number
-    of bookings, first and last entry date. NULL keys are kept (SQL rule)."""
-    out = (bookings.groupBy("project", "project_nr", "customer", "employee", "activity")
-           .agg(F.sum(measure(measure_col)).alias("actual_hours"),
-                F.count(F.lit(1)).alias("entry_count"),
-                F.min("entry_date").alias("first_entry"),
-                F.max("entry_date").alias("last_entry")))
+    of bookings, first and last entry date. NULL keys are kept (SQL rule). A
+    star is aggregated on its keys before the names are looked up."""
+    rows = _counted(bookings, measure_col)
+    out = (rows.groupBy("project", "project_nr", "customer", "employee", "activity")
+           .agg(F.sum("actual_hours").alias("actual_hours"), F.sum("entry_count").alias("entry_count"),
+                F.min("first_entry").alias("first_entry"), F.max("last_entry").alias("last_entry")))
     return out.orderBy("project", F.col("actual_hours").desc()) if order else out
 
 
 # D1b ------------------------------------------------------------------------
-def aggregate_bookings_compact(bookings: DataFrame, measure_col: str = S.DEFAULT_MEASURE) -> DataFrame:
+def aggregate_bookings_compact(bookings: Bookings, measure_col: str = S.DEFAULT_MEASURE) -> DataFrame:
     """Aggregate without employee: counts non-null employees, hours rounded
     to 2 decimals (half-even)."""
-    return (bookings.groupBy("project", "project_nr", "customer", "activity")
-            .agg(F.bround(F.sum(measure(measure_col)), 2).alias("actual_hours"),
-                 F.count("employee").alias("entry_count"),
-                 F.min("entry_date").alias("first_entry"),
-                 F.max("entry_date").alias("last_entry")))
+    named = F.when(F.col("employee").isNotNull(), F.col("entry_count")).otherwise(0)
+    return (_counted(bookings, measure_col).groupBy("project", "project_nr", "customer", "activity")
+            .agg(F.bround(F.sum("actual_hours"), 2).alias("actual_hours"), F.sum(named).alias("entry_count"),
+                 F.min("first_entry").alias("first_entry"), F.max("last_entry").alias("last_entry")))
 
 
 # E6 -------------------------------------------------------------------------
-def _top_customer(has_employee: bool) -> Column:
-    """Customer of the group's largest aggregate row (T13: hours desc, then
-    customer, then employee ascending), as a map-side-combinable min_by."""
-    parts = [-F.coalesce(F.col("actual_hours"), F.lit(0.0)), F.col("customer")]
+def _top(has_employee: bool) -> Column:
+    """The group's largest aggregate row (T13: hours desc, then customer, then
+    employee ascending) as the least of structs in that order, which combines
+    map-side and over further levels; its ``customer`` is the group's."""
+    parts = [(-F.coalesce(F.col("actual_hours"), F.lit(0.0))).alias("less"), F.col("customer")]
     if has_employee:
         parts.append(F.col("employee"))
-    return F.min_by("customer", F.struct(*parts))
+    return F.min(F.struct(*parts))
 
 
 # C1 -------------------------------------------------------------------------
@@ -72,25 +82,25 @@ def join_targets(actual: DataFrame, targets: DataFrame, keys=KEY,
 
 
 # D2 -------------------------------------------------------------------------
-def activity_dashboard(agg: DataFrame, targets: DataFrame) -> DataFrame:
+def activity_dashboard(agg: DataFrame, targets: DataFrame, with_top: bool = False) -> DataFrame:
     """Per (project, activity): target, share of project target, actual,
     fulfilment %, status and customer.
 
     ``agg`` is the D1 aggregate (after filters), ``targets`` the budget
     balances (D9). Budgets without bookings do not appear as rows but count
-    in the share denominator.
+    in the share denominator. ``with_top`` adds ``top``, the largest aggregate
+    row, from which :func:`project_header` takes the customer.
     """
     has_employee = "employee" in agg.columns
     act = (agg.groupBy("project_nr", "project", "activity")
-           .agg(F.coalesce(F.sum("actual_hours"), F.lit(0.0)).alias("actual_hours"),
-                _top_customer(has_employee).alias("customer")))
+           .agg(F.coalesce(F.sum("actual_hours"), F.lit(0.0)).alias("actual_hours"), _top(has_employee).alias("top")))
     shares = with_project_share(targets.select(*KEY, "budget_hours"))
     out = join_targets(act, shares)
     return out.select(
         "project_nr", "project", "activity", "target_hours", "share_pct", "actual_hours",
         H.fulfillment_pct("actual_hours", "target_hours").alias("fulfillment_pct"),
         H.fulfillment_status("actual_hours", "target_hours").alias("status"),
-        "customer")
+        F.col("top.customer").alias("customer"), *(["top"] if with_top else []))
 
 
 # D3 -------------------------------------------------------------------------
@@ -100,32 +110,35 @@ def project_summary(agg: DataFrame, targets: DataFrame) -> DataFrame:
     has_employee = "employee" in agg.columns
     act = (agg.groupBy("project_nr", "project")
            .agg(F.coalesce(F.sum("actual_hours"), F.lit(0.0)).alias("actual_hours"),
-                F.countDistinct("activity").alias("n_activities"),
-                _top_customer(has_employee).alias("customer")))
+                F.countDistinct("activity").alias("n_activities"), _top(has_employee).alias("top")))
     tp = targets.groupBy("project_nr").agg(H.exact_sum("budget_hours").alias("budget_hours"))
     out = join_targets(act, tp, keys=["project_nr"])
     return out.select(
-        "project_nr", "project", "customer", "target_hours", "actual_hours",
+        "project_nr", "project", F.col("top.customer").alias("customer"), "target_hours", "actual_hours",
         H.fulfillment_pct("actual_hours", "target_hours").alias("fulfillment_pct"),
         H.fulfillment_status("actual_hours", "target_hours").alias("status"),
         "n_activities")
 
 
 # D4 -------------------------------------------------------------------------
-def project_header(dashboard: DataFrame, agg: DataFrame) -> DataFrame:
+def project_header(dashboard: DataFrame, agg: Optional[DataFrame] = None) -> DataFrame:
     """Header metrics from the activity rows: number of activities, target
     sum, sum of the *rounded* actual column (T12), fulfilment, status. The
-    customer is that of the project's largest D1 group (T13), so ``agg`` is
-    the aggregate the dashboard was made from."""
-    hdr = (dashboard.groupBy("project_nr", "project")
-           .agg(F.count(F.lit(1)).alias("n_activities"),
-                H.exact_sum("target_hours").alias("target_hours"),
-                F.sum(F.bround("actual_hours", 1)).alias("actual_hours")))
-    top = agg.groupBy(F.col("project_nr").alias("_nr"), F.col("project").alias("_name")) \
-        .agg(_top_customer("employee" in agg.columns).alias("customer"))
-    same = F.col("project_nr").eqNullSafe(F.col("_nr")) & F.col("project").eqNullSafe(F.col("_name"))
-    return hdr.join(top, same, "left").select(
-        "project_nr", "project", "customer", "n_activities", "target_hours", "actual_hours",
+    customer is that of the project's largest D1 group (T13): of the activity
+    rows' ``top`` (a dashboard made ``with_top``), else of ``agg``, the
+    aggregate the dashboard was made from, which costs a join."""
+    metrics = [F.count(F.lit(1)).alias("n_activities"), H.exact_sum("target_hours").alias("target_hours"),
+               H.exact_sum(F.bround("actual_hours", 1)).alias("actual_hours")]
+    if "top" in dashboard.columns:
+        hdr = dashboard.groupBy("project_nr", "project").agg(*metrics, F.min("top").alias("top"))
+    elif agg is None:
+        raise ValueError("give a dashboard made with_top, or the aggregate it was made from")
+    else:
+        top = agg.groupBy(F.col("project_nr").alias("_nr"), F.col("project").alias("_name")).agg(_top("employee" in agg.columns).alias("top"))
+        same = F.col("project_nr").eqNullSafe(F.col("_nr")) & F.col("project").eqNullSafe(F.col("_name"))
+        hdr = dashboard.groupBy("project_nr", "project").agg(*metrics).join(top, same, "left")
+    return hdr.select(
+        "project_nr", "project", F.col("top.customer").alias("customer"), "n_activities", "target_hours", "actual_hours",
         H.fulfillment_pct("actual_hours", "target_hours").alias("fulfillment_pct"),
         H.fulfillment_status("actual_hours", "target_hours").alias("status"))
 

@@ -9,7 +9,7 @@ as a left-semi join instead of a giant IN list.
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Iterable, Optional, Sequence, Union
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import scalar as H
+from ..sources.star import BookingStar
 
 ProjectList = Union[Sequence[Optional[str]], DataFrame, None]
+Bookings = Union[DataFrame, BookingStar]
 
 
 # B1 -------------------------------------------------------------------------
@@ -148,11 +150,26 @@ def booking_predicate(f: BookingFilters) -> Column:
     return H.all_of(preds)
 
 
-def apply_filters(df: DataFrame, f: BookingFilters) -> DataFrame:
+def apply_filters(df: Bookings, f: BookingFilters) -> Bookings:
     """Apply the whole filter set; written before any aggregation so the
     predicates reach the scan (the dashboard applies employee/search after
-    aggregating; the result is the same because both are group keys)."""
-    return filter_projects(df, f.projects).filter(booking_predicate(f))
+    aggregating; the result is the same because both are group keys). In a
+    star, predicates on names wait for the lookup on the aggregated rows."""
+    if not isinstance(df, BookingStar):
+        return filter_projects(df, f.projects).filter(booking_predicate(f))
+    by_name = BookingFilters(activity=f.activity, activities=f.activities, employees=f.employees)
+    by_search = BookingFilters(search_term=f.search_term, search_literal=f.search_literal, search_columns=f.search_columns)
+    own = replace(f, projects=None, activity=None, activities=None, employees=None, search_term=None)
+    star = df.where(booking_predicate(own))
+    if f.activity is not None or f.activities or f.employees:
+        star = star.where(booking_predicate(by_name), ["activity", "employee"])
+    if f.search_term:
+        star = star.where(booking_predicate(by_search), f.search_columns)
+    if isinstance(f.projects, DataFrame):
+        return star.within(clean_code_frame(f.projects))
+    if f.projects is not None:
+        return star.where(F.col("project_nr").isin(clean_codes(f.projects)), ["project_nr"])
+    return star
 
 
 # F1 -------------------------------------------------------------------------
@@ -268,10 +285,10 @@ def has_permission(entitlements: DataFrame, email: str, permission: str) -> Data
                         F.array_contains(perms, F.lit(permission)).alias("granted"))
 
 
-def restrict_to_user(df: DataFrame, entitlements: DataFrame, email: str) -> DataFrame:
+def restrict_to_user(df: Bookings, entitlements: DataFrame, email: str) -> Bookings:
     """C4: row-level entitlement as a left-semi join on the user's projects."""
     allowed = user_projects(entitlements).filter(F.col("email") == F.lit(email)).select("project_nr")
-    return df.join(allowed, "project_nr", "left_semi")
+    return df.within(allowed) if isinstance(df, BookingStar) else df.join(allowed, "project_nr", "left_semi")
 
 
 # G1 -------------------------------------------------------------------------

@@ -60,6 +60,15 @@ def _booked(spark, sf_dir):
     return derived.bookings(spark, sf_dir, until=AS_OF)
 
 
+def _star(spark, sf_dir):
+    """All bookings, as a star."""
+    return derived.booking_star(spark, sf_dir)
+
+
+def _booked_star(spark, sf_dir):
+    return derived.booking_star(spark, sf_dir, until=AS_OF)
+
+
 def _ledger(spark, sf_dir):
     return derived.ledger(spark, sf_dir)
 
@@ -69,7 +78,7 @@ def _targets(spark, sf_dir):
 
 
 def _agg(spark, sf_dir):
-    return D.aggregate_bookings(_booked(spark, sf_dir))
+    return D.aggregate_bookings(_booked_star(spark, sf_dir))
 
 
 def _dashboard(spark, sf_dir):
@@ -144,35 +153,35 @@ def a2_parameterised_sql(spark, sf_dir):
 def b3_b4_year_status_filter(spark, sf_dir):
     """One year, returned lines only, aggregated."""
     f = B.BookingFilters(year=2000, status="R")
-    return D.aggregate_bookings(B.apply_filters(_bookings(spark, sf_dir), f))
+    return D.aggregate_bookings(B.apply_filters(_star(spark, sf_dir), f))
 
 
 @register("b8_activity_filter")
 def b8_activity_filter(spark, sf_dir):
     """Activity selection applied before the aggregate."""
     f = B.BookingFilters(activities=ACTIVITY_SELECTION)
-    return D.aggregate_bookings(B.apply_filters(_bookings(spark, sf_dir), f))
+    return D.aggregate_bookings(B.apply_filters(_star(spark, sf_dir), f))
 
 
 @register("b3_month_filter")
 def b3_month_filter(spark, sf_dir):
     """One month of one year."""
     f = B.BookingFilters(year=1999, month=12)
-    return D.aggregate_bookings(B.apply_filters(_bookings(spark, sf_dir), f))
+    return D.aggregate_bookings(B.apply_filters(_star(spark, sf_dir), f))
 
 
 @register("b7_b10_activity_statuses")
 def b7_b10_activity_statuses(spark, sf_dir):
     """One activity, several statuses."""
     f = B.BookingFilters(activity="PROMO", statuses=["A", "N"])
-    return D.aggregate_bookings(B.apply_filters(_bookings(spark, sf_dir), f))
+    return D.aggregate_bookings(B.apply_filters(_star(spark, sf_dir), f))
 
 
 @register("b8_employee_filter")
 def b8_employee_filter(spark, sf_dir):
     """Employee selection."""
     f = B.BookingFilters(employees=EMPLOYEE_SELECTION)
-    return D.aggregate_bookings(B.apply_filters(_bookings(spark, sf_dir), f))
+    return D.aggregate_bookings(B.apply_filters(_star(spark, sf_dir), f))
 
 
 @register("b1_b2_project_restriction")
@@ -182,7 +191,7 @@ def b1_b2_project_restriction(spark, sf_dir):
     codes = table(spark, sf_dir, "supplier", "s_suppkey").filter(key % 3 == 0).select(
         F.when(key % 2 == 0, F.concat(F.lit(" "), derived.project_nr(key), F.lit(" "))).otherwise(derived.project_nr(key)).alias("project_nr"))
     codes = codes.unionByName(codes.select(F.lit("  ").alias("project_nr")))
-    return D.aggregate_bookings(B.apply_filters(_bookings(spark, sf_dir), B.BookingFilters(projects=codes)))
+    return D.aggregate_bookings(B.apply_filters(_star(spark, sf_dir), B.BookingFilters(projects=codes)))
 
 
 @register("c4_entitled_bookings")
@@ -194,20 +203,20 @@ def c4_entitled_bookings(spark, sf_dir):
                      F.lit(None).cast("array<string>").alias("permissions"))
     entitlements = suppliers.select(F.create_map(F.concat(F.lower("n_name"), F.lit("@example.com")), grant).alias("users"),
                                     F.array(F.lit("view")).alias("default_permissions"))
-    return D.aggregate_bookings_compact(B.restrict_to_user(_bookings(spark, sf_dir), entitlements, "germany@example.com"))
+    return D.aggregate_bookings_compact(B.restrict_to_user(_star(spark, sf_dir), entitlements, "germany@example.com"))
 
 
 @register("b11_search_filter")
 def b11_search_filter(spark, sf_dir):
     """Case-insensitive regex over activity, project, customer."""
     f = B.BookingFilters(search_term=SEARCH_TERM)
-    return D.aggregate_bookings(B.apply_filters(_bookings(spark, sf_dir), f))
+    return D.aggregate_bookings(B.apply_filters(_star(spark, sf_dir), f))
 
 
 @register("b13_logged_hours_aggregate")
 def b13_logged_hours_aggregate(spark, sf_dir):
     """The aggregate on the logged-hours measure."""
-    return D.aggregate_bookings(_bookings(spark, sf_dir), "hours_logged").withColumn("actual_hours", F.round("actual_hours", 6))
+    return D.aggregate_bookings(_star(spark, sf_dir), "hours_logged").withColumn("actual_hours", F.round("actual_hours", 6))
 
 
 @register("b19_filter_summary")
@@ -239,19 +248,19 @@ def g1_project_list(spark, sf_dir):
 
 @register("b9_employee_options")
 def b9_employee_options(spark, sf_dir):
-    return B.option_values(D.aggregate_bookings(_bookings(spark, sf_dir)), "employee")
+    return B.option_values(D.aggregate_bookings(_star(spark, sf_dir)), "employee")
 
 
 # --- dashboard --------------------------------------------------------------
 
 @register("d1_booking_aggregate")
 def d1_booking_aggregate(spark, sf_dir):
-    return D.aggregate_bookings(_bookings(spark, sf_dir))
+    return D.aggregate_bookings(_star(spark, sf_dir))
 
 
 @register("d1b_compact_aggregate")
 def d1b_compact_aggregate(spark, sf_dir):
-    return D.aggregate_bookings_compact(_bookings(spark, sf_dir))
+    return D.aggregate_bookings_compact(_star(spark, sf_dir))
 
 
 @register("d2_activity_dashboard")
@@ -266,8 +275,7 @@ def d3_project_summary(spark, sf_dir):
 
 @register("d4_project_header")
 def d4_project_header(spark, sf_dir):
-    agg = _agg(spark, sf_dir)
-    return D.project_header(D.activity_dashboard(agg, _targets(spark, sf_dir)), agg)
+    return D.project_header(D.activity_dashboard(_agg(spark, sf_dir), _targets(spark, sf_dir), with_top=True))
 
 
 @register("d5_portfolio_kpis")
@@ -288,7 +296,7 @@ def d7_budget_tab_kpis(spark, sf_dir):
 @register("d28_export_counters")
 def d28_export_counters(spark, sf_dir):
     f = B.BookingFilters(start_date=WINDOW_START, end_date=WINDOW_END)
-    return D.export_counters(D.aggregate_bookings(B.apply_filters(_booked(spark, sf_dir), f)), WINDOW_START, WINDOW_END)
+    return D.export_counters(D.aggregate_bookings(B.apply_filters(_booked_star(spark, sf_dir), f)), WINDOW_START, WINDOW_END)
 
 
 @register("e7_top_projects_bars")

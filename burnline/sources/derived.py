@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .star import BookingStar, Lookup
 from .tables import table, ts_ntz
 
 # Fixed derivation rules (stated together; the oracle SQL mirrors them).
@@ -93,6 +94,33 @@ def bookings(spark: SparkSession, sf_dir: str, until=None) -> DataFrame:
     )
 
 
+def booking_star(spark: SparkSession, sf_dir: str, until=None) -> BookingStar:
+    """The bookings of :func:`bookings` as a star: order lines joined with the orders only, and the
+    names of projects (suppliers, with their nation), activities (parts) and employees (customers) beside."""
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linestatus", "l_quantity",
+               "l_discount", "l_returnflag", "l_shipdate")
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    if until is not None:
+        orders = orders.filter(F.col("o_orderdate") <= ts_ntz(until))
+    entry_date = F.col("o_orderdate").cast("date")
+    hours_logged = (F.col("l_quantity").cast("decimal(12,2)")
+                    * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))).cast("double")
+    facts = li.join(orders, li.l_orderkey == orders.o_orderkey).select(
+        F.col("l_suppkey").alias("project_key"), F.col("l_partkey").alias("activity_key"), F.col("o_custkey").alias("employee_key"),
+        hours_logged.alias("hours_logged"), F.col("l_quantity").cast("double").alias("hours_billed"),
+        F.col("l_linestatus").alias("subproject"), F.col("l_returnflag").alias("status"), entry_date.alias("entry_date"),
+        F.col("l_shipdate").alias("booking_ts"), F.month(entry_date).alias("month"), F.year(entry_date).alias("year"),
+        F.col("l_orderkey").cast("string").alias("erp_txn_no"))
+    nation = F.broadcast(table(spark, sf_dir, "nation", "n_nationkey", "n_name"))  # 25 rows
+    supplier = table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
+    supplier = supplier.join(nation, F.col("s_nationkey") == nation.n_nationkey, "left")
+    return BookingStar(facts, [
+        Lookup("project_key", supplier, "s_suppkey", {"project": F.col("s_name"), "customer": F.col("n_name")},
+               {"project_nr": project_nr(F.col("project_key"))}),
+        Lookup("activity_key", table(spark, sf_dir, "part", "p_partkey", "p_type"), "p_partkey", {"activity": F.col("p_type")}),
+        Lookup("employee_key", table(spark, sf_dir, "customer", "c_custkey", "c_name"), "c_custkey", {"employee": F.col("c_name")})])
+
+
 def booking_events(spark: SparkSession, sf_dir: str, until=None) -> DataFrame:
     """The columns the time series needs -- project_nr, activity,
     booking_ts, entry_date and both measures -- without the name lookups."""
