@@ -38,11 +38,19 @@ def detect_target_changes(original: DataFrame, edited: DataFrame, keys: Sequence
                           col: str = "target_hours") -> DataFrame:
     """Pair the original and edited frames by key (not by position; a NULL
     activity is a key like any other) and keep the rows whose target moved by
-    more than the tolerance."""
-    o = original.select(*keys, F.col(col).cast("double").alias("old_target"))
-    e = edited.select(*(F.col(k).alias("_" + k) for k in keys), F.col(col).cast("double").alias("new_target"))
-    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col("_" + k)) for k in keys))
-    return target_deltas(o.join(e, same).drop(*("_" + k for k in keys)))
+    more than the tolerance. A key that only one frame has counts as 0 in the
+    other: a row added or removed in the editor changes the target too, and
+    ``edit`` says which it was (changed, added, removed)."""
+    def side(frame: DataFrame, mark: str, name: str) -> DataFrame:
+        return frame.select(*(F.col(k).alias(mark + k) for k in keys), F.coalesce(F.col(col).cast("double"), F.lit(0.0)).alias(name),
+                            F.lit(True).alias(mark))
+    same = reduce(lambda a, b: a & b, (F.col("_o" + k).eqNullSafe(F.col("_e" + k)) for k in keys))
+    both = side(original, "_o", "old_target").join(side(edited, "_e", "new_target"), same, "full")
+    edit = F.when(F.col("_o").isNull(), "added").when(F.col("_e").isNull(), "removed").otherwise("changed")
+    paired = both.select(*(F.when(F.col("_o").isNull(), F.col("_e" + k)).otherwise(F.col("_o" + k)).alias(k) for k in keys),
+                         F.coalesce("old_target", F.lit(0.0)).alias("old_target"),
+                         F.coalesce("new_target", F.lit(0.0)).alias("new_target"), edit.alias("edit"))
+    return target_deltas(paired)
 
 
 def changes_to_ledger(changes: DataFrame, valid_from: _dt.date, created_by: str,

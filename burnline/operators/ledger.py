@@ -12,6 +12,8 @@ unbounded window partition.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
+from functools import reduce
 from typing import Optional
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import scalar as H
+from ..session import cut_lineage
 from .filters import ProjectList, filter_projects, history_filter, valid_at
 
 KEY = ["project_nr", "activity"]
@@ -104,6 +107,13 @@ def latest_entries(ledger: DataFrame, date=None) -> DataFrame:
     return picked.select(*KEY, *[F.col("_e." + c).alias(c) for c in cols])
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list, how: str = "inner") -> DataFrame:
+    """Join on ``keys``, of which NULL is a value like any other. Still an equi-join."""
+    named = right.withColumnsRenamed({k: "_r_" + k for k in keys})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col("_r_" + k)) for k in keys))
+    return left.join(named, same, how).drop(*("_r_" + k for k in keys))
+
+
 # Running sums with bounded windows ----------------------------------
 def blocked_running_sum(df: DataFrame, keys: list, order_col: str, values: dict, block: int = 1024) -> DataFrame:
     """Running sums of ``values`` ({output name: column}) per ``keys`` in the
@@ -124,8 +134,8 @@ def blocked_running_sum(df: DataFrame, keys: list, order_col: str, values: dict,
         return tot.select(*level_keys, order, *[F.coalesce(F.sum("_t_" + k).over(w), F.lit(0)).alias(tag + k)
                                                 for k in values])
 
-    out = (d.join(prefix(keys, "_sup", "_ps_"), keys + ["_sup"])
-           .join(prefix(keys + ["_sup"], "_blk", "_pb_"), keys + ["_sup", "_blk"]))
+    out = null_safe_join(d, prefix(keys, "_sup", "_ps_"), keys + ["_sup"])
+    out = null_safe_join(out, prefix(keys + ["_sup"], "_blk", "_pb_"), keys + ["_sup", "_blk"])
     w_in = Window.partitionBy(*keys, "_blk").orderBy(order_col).rowsBetween(before, Window.currentRow)
     for k, v in values.items():
         out = out.withColumn(k, F.col("_ps_" + k) + F.col("_pb_" + k) + F.sum(v).over(w_in))
@@ -147,7 +157,7 @@ def running_balance(ledger: DataFrame, block: int = 1024) -> DataFrame:
                      F.coalesce(F.sum("_ds").over(w_day), F.lit(0)).alias("_p1s"))
     within = blocked_running_sum(ledger, KEY + ["valid_from"], "entry_id",
                                  {"_r": F.col("hours"), "_rs": signed}, block)
-    out = (within.join(day, KEY + ["valid_from"])
+    out = (null_safe_join(within, day, KEY + ["valid_from"])
            .withColumn("balance", (F.col("_p1") + F.col("_r")).cast("double"))
            .withColumn("balance_signed", (F.col("_p1s") + F.col("_rs")).cast("double")))
     return out.drop("_p1", "_p1s", "_r", "_rs")
@@ -280,35 +290,62 @@ def validate_entries(proposals: DataFrame, form_rules: bool = True) -> DataFrame
 
 
 # A7 -------------------------------------------------------------------------
-def prepare_append(valid: DataFrame, existing: Optional[DataFrame], created_at) -> DataFrame:
-    """Shape validated proposals as ledger rows: trimmed text, empty
-    reference -> NULL, ``created_at`` from the explicit timestamp, ids above
-    the maximum of ``existing`` (unique and increasing; not necessarily dense)."""
-    # a single scalar (the current max id) comes back to the driver
-    base = (existing.agg(F.max("entry_id")).first()[0] or 0) if existing is not None else 0
+def _shaped(valid: DataFrame, created_at, entry_id: Column) -> DataFrame:
+    """Validated proposals as ledger rows: trimmed text, empty reference -> NULL, ``created_at`` from the explicit timestamp."""
     created = created_at if isinstance(created_at, Column) else F.lit(created_at).cast("timestamp_ntz")
     return valid.select(
-        (F.lit(int(base)).cast("bigint") + 1 + F.monotonically_increasing_id()).cast("bigint").alias("entry_id"),
-        F.trim("project_nr").alias("project_nr"), F.trim("activity").alias("activity"),
+        entry_id.cast("bigint").alias("entry_id"), F.trim("project_nr").alias("project_nr"), F.trim("activity").alias("activity"),
         F.round(F.col("hours").cast("decimal(38,6)"), 2).cast("decimal(10,2)").alias("hours"), "change_type",
         F.col("valid_from").cast("date").alias("valid_from"), F.trim("reason").alias("reason"),
         F.nullif(F.trim(F.col("reference")), F.lit("")).alias("reference"),
         F.trim("created_by").alias("created_by"), created.alias("created_at"))
 
 
+def dense_ids(rows: DataFrame, name: str = "entry_id") -> tuple[DataFrame, int]:
+    """``rows`` numbered from 1 without a gap, and their number. Two passes and no window over all
+    rows: the rows, checkpointed, keep their place in their partition, and each partition
+    begins after the rows of those before it."""
+    place = F.monotonically_increasing_id()
+    kept = cut_lineage(rows.withColumns({"_part": F.shiftright(place, 33), "_place": place.bitwiseAND(F.lit((1 << 33) - 1))}))
+    counts = kept.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))  # one row per partition
+    starts = counts.withColumn("_before", F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows"))
+    total = int(counts.agg(F.sum("_rows")).first()[0] or 0)
+    numbered = kept.join(starts.select("_part", "_before"), "_part").withColumn(name, F.col("_before") + F.col("_place") + 1)
+    return numbered.drop("_part", "_place", "_before"), total
+
+
+def prepare_append(valid: DataFrame, existing: Optional[DataFrame], created_at) -> DataFrame:
+    """Shape validated proposals as ledger rows, with dense ids above the maximum of ``existing``."""
+    # a single scalar (the current max id) comes back to the driver
+    base = (existing.agg(F.max("entry_id")).first()[0] or 0) if existing is not None else 0
+    numbered, _ = dense_ids(valid.drop("entry_id"), "entry_id")
+    return _shaped(numbered, created_at, F.col("entry_id") + F.lit(int(base)))
+
+
 def append_entries(proposals: DataFrame, ledger_path: str, created_at) -> DataFrame:
     """Validate, append the valid rows to the ledger folder, return rejects.
 
-    Ids continue the stored ledger's maximum, which is read from the folder
-    itself. One writer at a time: two appends that run at once would read the
-    same maximum.
+    Ids are dense, also with several writers at once: the rows are written with
+    numbers of their own batch, which readers do not take yet; then the batch
+    is committed, and its commit claims the ids after those of the last one
+    (:mod:`burnline.sources.store`). A writer that dies before leaves no gap.
     """
-    from ..sources.files import path_exists, read_ledger
+    from ..sources import files, store
     spark = proposals.sparkSession
-    existing = read_ledger(spark, ledger_path) if path_exists(spark, ledger_path) else None
     checked = validate_entries(proposals, form_rules=True)
-    good = checked.filter("is_valid").drop("errors", "is_valid")
-    prepare_append(good, existing, created_at).write.mode("append").parquet(ledger_path)
+    good, total = dense_ids(checked.filter("is_valid").drop("errors", "is_valid", "entry_id"))
+    if total:
+        batch = uuid.uuid4().hex
+        store.append_files(_shaped(good, created_at, F.col("entry_id")).withColumn("batch", F.lit(batch)), ledger_path)
+
+        def claim(last: Optional[dict]) -> dict:
+            if last is not None:
+                return {"batch": batch, "first_id": last["first_id"] + last["rows"], "rows": total}
+            # the first commit: after the rows that were stored without one
+            stored = files.read_ledger(spark, ledger_path).agg(F.max("entry_id")).first()[0] or 0
+            return {"batch": batch, "first_id": int(stored) + 1, "rows": total}
+
+        store.commit(spark, ledger_path, store.APPEND, claim)
     return checked.filter(~F.col("is_valid"))
 
 
@@ -319,7 +356,7 @@ def preview_changes(ledger: DataFrame, proposals: DataFrame, date) -> DataFrame:
     current = budgets_at(ledger, date).select(*KEY, F.col("budget_hours").alias("current_budget"))
     p = blocked_running_sum(proposals, KEY, "proposal_id", {"_cum": F.col("hours").cast("decimal(38,2)")}) \
         .withColumn("_cum", F.col("_cum").cast("double"))
-    return (p.join(current, KEY, "left")
+    return (null_safe_join(p, current, KEY, "left")
             .select("proposal_id", *KEY,
                     F.coalesce("current_budget", F.lit(0.0)).alias("current_budget"),
                     F.col("hours").cast("double").alias("change"),

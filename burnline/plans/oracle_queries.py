@@ -432,7 +432,7 @@ SQL["j2_target_changes"] = with_ctes(
   LEFT JOIN t0 ON a.project_nr = t0.project_nr AND a.activity = t0.activity
   LEFT JOIN t1 ON a.project_nr = t1.project_nr AND a.activity = t1.activity"""),
     body="""
-SELECT project_nr, activity, old_target, new_target, delta,
+SELECT project_nr, activity, old_target, new_target, 'changed' AS edit, delta,
        CASE WHEN delta > 0 THEN 'correction' ELSE 'reduction' END AS change_type
 FROM ch WHERE abs(delta) > 0.01""")
 

@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..functions import scalar as H
 from ..operators.latest import latest_by_key
+from . import store
+from .store import path_exists
 
 # Column names of the booking source table and their
 # canonical names (see the schema table of the survey, section 1.2).
@@ -115,12 +118,6 @@ def read_bookings_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 # A5 -------------------------------------------------------------------------
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists, in whatever file system it names."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path))
-
-
 def load_or_build_aggregate(spark: SparkSession, aggregate_path: str, bookings: DataFrame) -> DataFrame:
     """Use a stored aggregate extract if its folder exists, else compute the
     compact aggregate (D1b) from the bookings, write it, and read it back. A
@@ -132,15 +129,51 @@ def load_or_build_aggregate(spark: SparkSession, aggregate_path: str, bookings:
 
 
 # A8 / A9 / A10 --------------------------------------------------------------
+_CORRUPT = "_corrupt"
+
+
+def _file_name(path: Column) -> Column:
+    """The name at the end of a URI, as it is on disk."""
+    return F.url_decode(F.replace(F.regexp_extract(path, "[^/]*$", 0), F.lit("+"), F.lit("%2B")))
+
+
+def _json_files(spark: SparkSession, schema: T.StructType, directory: str, glob: str) -> DataFrame:
+    """The records of JSON files (one object each, pretty-printed allowed, or an array), with
+    ``file_path``, ``file_name`` and the text of a record that does not fit the schema. Of an empty file, the names only."""
+    wide = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType(), True)])
+    rows = (spark.read.schema(wide).option("multiLine", True).option("columnNameOfCorruptRecord", _CORRUPT)
+            .option("pathGlobFilter", glob).json(directory).select("*", F.col("_metadata.file_path").alias("file_path")))
+    if empty := store.empty_files(spark, directory, glob):
+        silent = spark.createDataFrame([(p, "") for p in empty], f"file_path string, {_CORRUPT} string")
+        rows = rows.unionByName(silent, allowMissingColumns=True)
+    return rows.withColumn("file_name", _file_name(F.col("file_path")))
+
+
+def _target_defects() -> list[tuple[str, Column]]:
+    return [("unreadable", F.col(_CORRUPT).isNotNull()),
+            ("project missing", F.coalesce(F.length("project"), F.lit(0)) == 0),
+            ("activity missing", F.coalesce(F.length("activity"), F.lit(0)) == 0),
+            ("hours missing", F.col("target_hours").isNull())]
+
+
+def _first_reason(defects: list[tuple[str, Column]]) -> Column:
+    return F.coalesce(*(F.when(bad, F.lit(name)) for name, bad in defects))
+
+
 def read_target_files(spark: SparkSession, directory: str, glob: str = "targets_*.json") -> DataFrame:
     """Legacy target records, one JSON object per file (pretty-printed
     allowed). Unreadable files and records without project, activity or
-    hours are skipped."""
-    raw = (spark.read.schema(S.LEGACY_TARGET_SCHEMA).option("multiLine", True)
-           .option("mode", "DROPMALFORMED").option("pathGlobFilter", glob).json(directory))
-    return raw.filter((F.coalesce(F.length("project"), F.lit(0)) > 0)
-                      & (F.coalesce(F.length("activity"), F.lit(0)) > 0)
-                      & F.col("target_hours").isNotNull())
+    hours are skipped; :func:`rejected_target_files` lists them."""
+    records = _json_files(spark, S.LEGACY_TARGET_SCHEMA, directory, glob)
+    return records.filter(_first_reason(_target_defects()).isNull()).select(*S.LEGACY_TARGET_SCHEMA.names)
+
+
+def rejected_target_files(spark: SparkSession, directory: str, glob: str = "targets_*.json") -> DataFrame:
+    """(file_name, file_path, reason) of the legacy target files that
+    :func:`read_target_files` skips, empty files included."""
+    records = _json_files(spark, S.LEGACY_TARGET_SCHEMA, directory, glob)
+    return (records.select("file_name", "file_path", _first_reason(_target_defects()).alias("reason"))
+            .filter(F.col("reason").isNotNull()))
 
 
 def latest_targets(records: DataFrame) -> DataFrame:
@@ -150,7 +183,29 @@ def latest_targets(records: DataFrame) -> DataFrame:
 
 def read_saved_targets(spark: SparkSession, directory: str) -> DataFrame:
     """Target records written by :func:`save_targets`."""
-    return spark.read.schema(S.LEGACY_TARGET_SCHEMA).option("pathGlobFilter", "*.parquet").parquet(directory)
+    return _saved(spark, directory, S.LEGACY_TARGET_SCHEMA)
+
+
+def _saved(spark: SparkSession, directory: str, schema: T.StructType) -> DataFrame:
+    files, _ = store.live_files(spark, directory)
+    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+
+
+def _compact_saved(spark: SparkSession, directory: str, schema: T.StructType, keys: list[str], stamp: str) -> bool:
+    names = list(store.list_files(spark, directory, ".parquet"))  # before the records are read: later ones stay live
+    latest = latest_by_key(_saved(spark, directory, schema), keys, stamp).select(*schema.names)
+    return store.compact(spark, directory, latest.coalesce(max(1, len(names) // 1000)), names)
+
+
+def compact_targets(spark: SparkSession, directory: str) -> bool:
+    """Put the latest saved target of each key in a snapshot that readers take instead of the files it was read
+    from. Files appended meanwhile stay beside it; what it stands for goes with :func:`burnline.sources.store.vacuum`."""
+    return _compact_saved(spark, directory, S.LEGACY_TARGET_SCHEMA, ["project", "activity"], "timestamp")
+
+
+def compact_overrides(spark: SparkSession, directory: str) -> bool:
+    """As :func:`compact_targets`, for the override records."""
+    return _compact_saved(spark, directory, S.OVERRIDE_SCHEMA, ["project_nr", "activity"], "updated_at")
 
 
 def load_legacy_targets(spark: SparkSession, directory: str, glob: str = "targets_*.json") -> DataFrame:
@@ -175,8 +230,7 @@ def load_targets(spark: SparkSession, as_of: _dt.date, ledger: Optional[DataFram
 def save_targets(records: DataFrame, directory: str) -> None:
     """Append target records (project, activity, target_hours, timestamp) as
     Parquet; readers take the latest per key, so this is an upsert without rewrite."""
-    (records.select("project", "activity", F.col("target_hours").cast("double"), F.col("timestamp").cast("string"))
-     .write.mode("append").parquet(directory))
+    store.append_files(records.select("project", "activity", F.col("target_hours").cast("double"), F.col("timestamp").cast("string")), directory)
 
 
 def valid_targets(latest: DataFrame, as_of: _dt.datetime, hours: int = 24) -> DataFrame:
@@ -187,19 +241,60 @@ def valid_targets(latest: DataFrame, as_of: _dt.datetime, hours: int = 24) -> Da
 
 
 # A11 ------------------------------------------------------------------------
-def read_overrides(spark: SparkSession, directory: str, glob: str = "*.json") -> DataFrame:
-    """Forecast override records with explicit (project_nr, activity) keys:
-    legacy files of one JSON object each, and the records of :func:`save_overrides`."""
-    legacy = (spark.read.schema(S.OVERRIDE_SCHEMA).option("multiLine", True)
-              .option("mode", "DROPMALFORMED").option("pathGlobFilter", glob).json(directory))
-    saved = spark.read.schema(S.OVERRIDE_SCHEMA).option("pathGlobFilter", "*.parquet").parquet(directory)
-    return legacy.unionByName(saved)
+OVERRIDE_FILES = "forecast_*.json"  # fixed: forecast_<project>.json, forecast_<project>_<activity>.json
+
+
+def resolve_override_files(spark: SparkSession, directory: str, known: Optional[DataFrame] = None,
+                           glob: str = OVERRIDE_FILES) -> DataFrame:
+    """The legacy override files with the key each stands for.
+
+    A record's own ``project_nr`` counts first. Else the key is in the file's
+    name, and as projects and activities may hold underscores themselves, the
+    name is looked up among the names that the ``known`` (project_nr,
+    activity) pairs, and their projects, would give: one equi-join on the name.
+
+    Columns of the override schema, ``file_name``, ``file_path`` and ``status``:
+    ``explicit`` or ``resolved``; ``ambiguous`` (several keys give this name),
+    ``unknown`` (none does), ``unreadable`` or ``incomplete`` (no hours).
+    """
+    found = _json_files(spark, S.OVERRIDE_SCHEMA, directory, glob).withColumn("_stem", F.regexp_extract("file_name", r"^forecast_(.*)\.json$", 1))
+    if known is None:
+        known = spark.createDataFrame([], "project_nr string, activity string")
+    pairs = known.select("project_nr", "activity").filter(F.col("project_nr").isNotNull())
+    keys = pairs.unionByName(pairs.select("project_nr", F.lit(None).cast("string").alias("activity"))).distinct()
+    names = keys.groupBy(F.concat_ws("_", "project_nr", "activity").alias("_stem")).agg(
+        F.count(F.lit(1)).alias("_keys"), F.min(F.struct("project_nr", "activity")).alias("_key"))
+    rows = found.join(names, "_stem", "left")
+    own = ~H.is_blank("project_nr")
+    status = F.coalesce(F.when(F.col(_CORRUPT).isNotNull(), F.lit("unreadable")),
+                        F.when(F.col("hours_per_sprint").isNull(), F.lit("incomplete")), F.when(own, F.lit("explicit")),
+                        F.when(F.col("_keys") == 1, F.lit("resolved")), F.when(F.col("_keys") > 1, F.lit("ambiguous")), F.lit("unknown"))
+    rows = rows.withColumn("status", status)
+    by_name = F.col("status") == "resolved"
+    keyed = {c: F.when(by_name, F.col(f"_key.{c}")).otherwise(F.col(c)) for c in ("project_nr", "activity")}
+    return rows.withColumns(keyed).select(*S.OVERRIDE_SCHEMA.names, "file_name", "file_path", "status")
+
+
+def read_overrides(spark: SparkSession, directory: str, known: Optional[DataFrame] = None, glob: str = "*.json") -> DataFrame:
+    """Forecast override records with their (project_nr, activity) keys: the
+    legacy files (:func:`resolve_override_files`, whose ``known`` pairs
+    resolve keys that only the file's name holds) and the records of
+    :func:`save_overrides`. Files without a key are left out;
+    :func:`unresolved_override_files` lists them."""
+    legacy = resolve_override_files(spark, directory, known, glob).filter(F.col("status").isin("explicit", "resolved"))
+    return legacy.select(*S.OVERRIDE_SCHEMA.names).unionByName(_saved(spark, directory, S.OVERRIDE_SCHEMA))
+
+
+def unresolved_override_files(spark: SparkSession, directory: str, known: Optional[DataFrame] = None,
+                              glob: str = "*.json") -> DataFrame:
+    """(file_name, file_path, status) of the override files that :func:`read_overrides` leaves out."""
+    rows = resolve_override_files(spark, directory, known, glob)
+    return rows.filter(~F.col("status").isin("explicit", "resolved")).select("file_name", "file_path", "status")
 
 
 def save_overrides(records: DataFrame, directory: str) -> None:
     """Append override records as Parquet; readers keep the latest per key."""
-    (records.select(*[F.col(f.name).cast(f.dataType) for f in S.OVERRIDE_SCHEMA.fields])
-     .write.mode("append").parquet(directory))
+    store.append_files(records.select(*[F.col(f.name).cast(f.dataType) for f in S.OVERRIDE_SCHEMA.fields]), directory)
 
 
 # A15 ------------------------------------------------------------------------
@@ -226,6 +321,37 @@ def read_bookings_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 # A6 / A7 --------------------------------------------------------------------
+_STORED = T.StructType([*S.LEDGER_SCHEMA.fields, T.StructField("batch", T.StringType(), True)])
+_COMMIT = "batch string, first_id bigint, rows bigint"
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The budget ledger as written by :func:`burnline.operators.ledger.append_entries`."""
-    return spark.read.schema(S.LEDGER_SCHEMA).parquet(path)
+    """The budget ledger as written by :func:`burnline.operators.ledger.append_entries`.
+
+    Rows of a batch are numbered within it; the batch's commit says where its
+    numbers begin. Rows of a batch without a commit are not part of the
+    ledger. Rows without a batch have their final numbers."""
+    return _numbered(spark, path, *store.live_files(spark, path)).select(*S.LEDGER_SCHEMA.names)
+
+
+def _numbered(spark: SparkSession, path: str, files: list[str], upto: int) -> DataFrame:
+    rows = spark.read.schema(_STORED).parquet(*files) if files else spark.createDataFrame([], _STORED)
+    log = store.commits_after(spark, path, upto)
+    commits = spark.read.schema(_COMMIT).json(log) if log else spark.createDataFrame([], _COMMIT)
+    known = rows.join(commits.select("batch", "first_id"), "batch", "left").filter("batch IS NULL OR first_id IS NOT NULL")
+    return known.withColumn("entry_id", F.col("entry_id") + F.coalesce(F.col("first_id") - 1, F.lit(0)))
+
+
+def compact_ledger(spark: SparkSession, path: str) -> bool:
+    """Put the committed rows, with their final numbers, in a snapshot. Files of batches that are
+    not committed yet are not part of it. False if another compaction came first."""
+    upto, _ = store.last_entry(spark, path, store.APPEND)
+    files, before = store.live_files(spark, path)
+    log = [p for p in store.commits_after(spark, path, before) if p <= store.entry_path(path, store.APPEND, upto)]
+    rows = spark.read.schema(_STORED).parquet(*files).withColumn("file", F.col("_metadata.file_name"))
+    commits = spark.read.schema(_COMMIT).json(log) if log else spark.createDataFrame([], _COMMIT)
+    known = rows.join(commits.select("batch", "first_id"), "batch", "left").filter("batch IS NULL OR first_id IS NOT NULL")
+    covered = [r[0] for r in known.select("file").distinct().collect()]  # one name per append since the last snapshot
+    final = known.withColumn("entry_id", F.col("entry_id") + F.coalesce(F.col("first_id") - 1, F.lit(0)))
+    final = final.withColumn("batch", F.lit(None).cast("string")).select(*_STORED.names)
+    return store.compact(spark, path, final.coalesce(max(1, len(covered) // 1000)), covered, upto)
