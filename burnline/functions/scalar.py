@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from .regex import to_java
 
 
 def _c(x) -> Column:
@@ -33,10 +34,15 @@ def parse_list(col, sep: str = ",") -> Column:
 def regex_contains(col, term: str, literal: bool = False) -> Column:
     """Case-insensitive regex search; NULL counts as no match.
 
-    Java regex dialect (Spark ``rlike``), folding the case of all letters,
-    umlauts included. With ``literal`` the term is quoted.
+    The term is written as for Python's ``re`` and rewritten for Spark's
+    ``rlike``; a term that is no Python regex is taken as one of Java's, as it
+    is. The case of all letters is folded, umlauts included. With ``literal``
+    the term is quoted.
     """
-    pattern = _re.escape(term) if literal else term
+    try:
+        pattern = to_java(_re.escape(term) if literal else term)
+    except _re.error:
+        pattern = term
     return F.coalesce(_c(col).rlike("(?iu)" + pattern), F.lit(False))
 
 

@@ -128,6 +128,70 @@ def load_or_build_aggregate(spark: SparkSession, aggregate_path: str, bookings:
     return spark.read.parquet(aggregate_path)
 
 
+EXTRACT = "extract"
+_STATES = T.StructType([T.StructField(n, T.StringType()) for n in ("project", "project_nr", "customer", "activity")]
+                       + [T.StructField("hours", T.DoubleType()), T.StructField("entries", T.LongType()),
+                          T.StructField("first_entry", T.DateType()), T.StructField("last_entry", T.DateType()),
+                          T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())])
+
+
+def _of_months(rows: DataFrame, months: list[str]) -> DataFrame:
+    """Rows of these partition folders; the predicate is on the partition columns, so only their files are read."""
+    def value(part: str) -> Column:
+        name, text = part.split("=")
+        return F.col(name).isNull() if text == "__HIVE_DEFAULT_PARTITION__" else F.col(name) == int(text)
+    wanted = F.lit(False)
+    for m in months:
+        year, month = m.split("/")
+        wanted = wanted | (value(year) & value(month))
+    return rows.filter(wanted)
+
+
+def refresh_aggregate(spark: SparkSession, bookings_path: str, extract_path: str, measure_col: str = S.DEFAULT_MEASURE) -> list[str]:
+    """Bring the stored extract up to date with the month-partitioned bookings table
+    (:func:`write_bookings_table`); returns the months done again.
+
+    The extract holds mergeable states of D1b per month. Months whose files
+    changed since the last refresh, by the listing of the folder, are read and
+    written again, those only (dynamic partition overwrite); months that went,
+    go. The listing is committed last: after a failure the next refresh does
+    the same months again.
+    """
+    from ..operators.filters import measure
+    now = store.partitions(spark, bookings_path, 2)
+    _, last = store.last_entry(spark, extract_path, EXTRACT)
+    known = (last or {}).get("months", {})
+    changed = sorted(m for m in now if now[m] != known.get(m))
+    gone = sorted(m for m in known if m not in now)
+    if not changed and not gone:
+        return []
+    if changed:
+        rows = _of_months(read_bookings_table(spark, bookings_path), changed)
+        states = (rows.groupBy("project", "project_nr", "customer", "activity", "year", "month")
+                  .agg(F.sum(measure(measure_col)).alias("hours"), F.count("employee").alias("entries"),
+                       F.min("entry_date").alias("first_entry"), F.max("entry_date").alias("last_entry")))
+        (states.select(*_STATES.names).hint("rebalance", "year", "month").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(extract_path))
+        full = {f"year={_text(r.year)}/month={_text(r.month)}" for r in rows.select("year", "month").distinct().collect()}  # as many as the calendar has
+        gone += [m for m in changed if m not in full]  # a month without rows writes nothing; what it had goes
+    for m in gone:
+        store.remove_folder(spark, f"{extract_path.rstrip('/')}/{m}")
+    store.commit(spark, extract_path, EXTRACT, lambda _: {"months": now})
+    return changed + [m for m in gone if m not in changed]
+
+
+def _text(value: Optional[int]) -> str:
+    return "__HIVE_DEFAULT_PARTITION__" if value is None else str(value)
+
+
+def read_aggregate_extract(spark: SparkSession, extract_path: str) -> DataFrame:
+    """D1b from the states that :func:`refresh_aggregate` keeps."""
+    states = spark.read.schema(_STATES).parquet(extract_path)
+    return states.groupBy("project", "project_nr", "customer", "activity").agg(
+        F.bround(F.sum("hours"), 2).alias("actual_hours"), F.sum("entries").alias("entry_count"),
+        F.min("first_entry").alias("first_entry"), F.max("last_entry").alias("last_entry"))
+
+
 # A8 / A9 / A10 --------------------------------------------------------------
 _CORRUPT = "_corrupt"
 
