@@ -39,9 +39,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import fresh, slices
+from .common import fresh, slices, stored
 
 MIN_LINE, MIN_UNIT, MIN_RUN, WINDOW = 5, 4, 12, 16
+SAMPLE, SHARES = 64, 64  # one text in so many is looked at for hot digests, which go to so many tasks
 LAST = (1 << 63) - 1  # the rank of a null doc_id
 _LINE = re.compile(r"[^\n]+\n?")
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?]+(?=\s)\s*|[^.!?\n]+(?:[.!?]+(?!\s)[^.!?\n]*)*(?:[.!?]+(?=\s)\s*)?\n?|[.!?]+\n?")
@@ -134,13 +135,14 @@ def units(text: str, min_line: int = MIN_LINE, min_unit: int = MIN_UNIT) -> Iter
     yield from ((*x, []) for x in _placed(text, _windows(text)))
 
 
-def _digests(text: str) -> set[bytes]:
-    """The digests of the units of a text."""
-    found = {d for _, d in _windows(text)}
+def _digests(text: str) -> tuple[set[bytes], bool]:
+    """The digests of the units of a text, and whether one of them comes twice."""
+    found = [d for _, d in _windows(text)]
     for *_, line, parts in _lines(text, MIN_LINE, MIN_UNIT):
-        found.add(line)
-        found.update([x[3] for x in parts])
-    return found
+        found.append(line)
+        found.extend([x[3] for x in parts])
+    distinct = set(found)
+    return distinct, len(distinct) < len(found)
 
 
 def removed_spans(text: str, elsewhere: set[bytes], min_run: int = MIN_RUN) -> list[tuple[int, int]]:
@@ -198,27 +200,72 @@ def _key() -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.when(unnamed, F.xxhash64("text")).otherwise(0)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(rank, salt, digests) of the units of a row whose first occurrence is in a document of smaller id."""
+def _found(docs: DataFrame, hot: frozenset[bytes] = frozenset()) -> DataFrame:
+    """(rank, salt, h1, h2, share) of the units of each row, digests of a text once. ``share``: which part
+    of the occurrences of a ``hot`` digest this is, else -1; -2 marks a text that repeats a unit of its own."""
 
     def run(batches):
         for batch in slices(batches):
-            rows, parts = [], []
+            rows, parts, shares = [], [], []
             for rank, salt, text in zip(*(batch.column(c).to_pylist() for c in ("rank", "salt", "text"))):
-                found = _digests(text or "")
-                rows.append((rank, salt, len(found)))
+                found, twice = _digests(text or "")
+                rows.append((rank, salt, len(found) + twice))
                 parts.extend(found)
+                shares.extend([(rank + salt) % SHARES if d in hot else -1 for d in found] if hot else [-1] * len(found))
+                if twice:
+                    parts.append(xxhash.xxh3_128_digest(f"{rank} {salt}"))
+                    shares.append(-2)
             ranks, salts, n = np.array(rows, np.int64).T
             halves = np.frombuffer(b"".join(parts), "<i8").reshape(-1, 2)
-            columns = [np.repeat(ranks, n), np.repeat(salts, n), halves[:, 0].copy(), halves[:, 1].copy()]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rank", "salt", "h1", "h2"])
+            columns = [np.repeat(ranks, n), np.repeat(salts, n), halves[:, 0].copy(), halves[:, 1].copy(), np.array(shares, np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rank", "salt", "h1", "h2", "share"])
 
     rank, salt = _key()
-    found = docs.select(rank.alias("rank"), salt.alias("salt"), "text").mapInArrow(run, "rank long, salt long, h1 long, h2 long")
-    first = (found.groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
-             .where("first < last").select("h1", "h2", "first"))
-    later = found.join(first, ["h1", "h2"]).where("rank > first")
-    return later.groupBy("rank", "salt").agg(F.collect_set(F.struct("h1", "h2")).alias("digests"))
+    return docs.select(rank.alias("rank"), salt.alias("salt"), "text").mapInArrow(run, "rank long, salt long, h1 long, h2 long, share int")
+
+
+def _hot(docs: DataFrame) -> frozenset[bytes]:
+    """Digests that make up a thousandth of all or more, by a sample of the texts: a thousand at most.
+    They only decide how the work is dealt."""
+    sample = _found(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0)).where("share = -1")
+    counts = stored(sample.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")), "line-sample")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    often = counts.where((F.col("n") >= 20) & (F.col("n") * 1000 >= total)).collect()
+    return frozenset(np.array([r["h1"], r["h2"]], "<i8").tobytes() for r in often)
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of occurrences sorted by digest, share and rank: those of a larger rank than the first of their
+    digest and share; and, of a hot digest, also those of the first rank (``open``)."""
+    last, least = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rank, h1, h2, share = (batch.column(c).to_numpy() for c in ("rank", "h1", "h2", "share"))
+        new = np.r_[last != (h1[0], h2[0], share[0]), (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (share[1:] != share[:-1])]
+        start = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+        first = np.where(start >= 0, rank[start], least)
+        last, least = (h1[-1], h2[-1], share[-1]), first[-1]
+        later = rank > first
+        keep = np.flatnonzero(later | (share != -1))
+        out = batch.select(["rank", "salt", "h1", "h2"]).take(pa.array(keep))
+        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(~later[keep] & (share[keep] >= 0))], [*out.schema.names, "open"])
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """(rank, salt, digests) of the units of a row whose first occurrence is in a document of smaller id.
+
+    Every digest is sent once, to the task of its kind, which reads its
+    occurrences in the order of their rank. A hot digest goes to ``SHARES``
+    tasks, and the firsts of those are compared afterwards. A text that only
+    repeats units of its own has a row too.
+    """
+    dealt = _found(docs, _hot(docs)).repartition("h1", "h2", "share").sortWithinPartitions("h1", "h2", "share", "rank")
+    later = stored(dealt.mapInArrow(_later, "rank long, salt long, h1 long, h2 long, open boolean"), "line-repeats")
+    firsts = later.where("open").groupBy("h1", "h2").agg(F.min("rank").alias("first"))  # of a thousand digests at most
+    rest = later.where("open").join(F.broadcast(firsts), ["h1", "h2"]).where("rank > first")
+    every = later.where("NOT open").select("rank", "salt", "h1", "h2").union(rest.select("rank", "salt", "h1", "h2"))
+    return every.groupBy("rank", "salt").agg(F.collect_set(F.struct("h1", "h2")).alias("digests"))
 
 
 def remove_repeats(docs: DataFrame, removed: str = "removed") -> DataFrame:
@@ -237,8 +284,10 @@ def remove_repeats(docs: DataFrame, removed: str = "removed") -> DataFrame:
             cut, gone = [], []
             for text, h1, h2 in zip(*(batch.column(c) for c in ("text", first, second))):
                 text = text.as_py()
-                pairs = np.stack([np.asarray(h1.values), np.asarray(h2.values)], 1).astype("<i8") if h1.is_valid else ()
-                spans = removed_spans(text, {p.tobytes() for p in pairs}) if text else []
+                spans = []
+                if text and h1.is_valid:  # else no unit of it is a repeat
+                    pairs = np.stack([np.asarray(h1.values), np.asarray(h2.values)], 1).astype("<i8")
+                    spans = removed_spans(text, {p.tobytes() for p in pairs})
                 gone.append([{"start": a, "end": b} for a, b in spans])
                 kept, at = [], 0
                 for a, b in spans:

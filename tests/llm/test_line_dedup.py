@@ -2,7 +2,7 @@ import re
 
 from burnline.llm import line_dedup
 
-from .helpers import clashing, docs, words
+from .helpers import as_rows, clashing, docs, words
 
 
 def sentence(n, seed):
@@ -136,3 +136,23 @@ def test_extra_columns_and_empty_table(spark):
     assert out.columns == [*frame.columns, "removed"]
     assert [r["H2"] for r in out.collect()] == ["x2", "x2"]
     assert line_dedup.remove_repeats(docs(spark, [])).count() == 0
+
+
+def test_hot_digests_give_the_same(spark, monkeypatch):
+    """However the work is dealt: digests of common lines over many tasks, null and repeated ids among their rows."""
+    common = ["a very common line of words here", "another line that many texts have in them"]
+    rows = [(None if i % 17 == 0 else i // 2, "\n".join([" ".join(words(12, i)), common[i % 2], " ".join(words(9, -i)), common[0]])) for i in range(150)]
+    frame = docs(spark, rows)
+    want = sorted(map(repr, as_rows(line_dedup.remove_repeats(frame))))
+    hot = frozenset(d for line in common for d in line_dedup._digests(line)[0])
+    monkeypatch.setattr(line_dedup, "_hot", lambda _: hot)
+    assert sorted(map(repr, as_rows(line_dedup.remove_repeats(frame)))) == want
+    assert sum("start" in w for w in want) > 100
+
+
+def test_hot_digests_are_found_by_sample(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SAMPLE", 1)
+    rows = [(i, " ".join(words(12, i)) + "\nthis line is in every second text" * (i % 2)) for i in range(60)]
+    digests = line_dedup._digests("this line is in every second text")[0]
+    assert line_dedup._hot(docs(spark, rows)) == digests
+    assert line_dedup._hot(docs(spark, [])) == frozenset()
