@@ -1,8 +1,9 @@
 """Quality rules on repetition, from a suffix array of the words of a text.
 
-The suffix array of a block of texts is made by prefix doubling; a separator of
-its own after each text keeps repeats within it. Neighbours in the array with a
-common prefix of at least a given length bound the intervals whose members
+The suffix array of a block of texts is made by prefix doubling, of which only
+the last ranks are kept; a separator of its own after each text keeps repeats
+within it. The common prefixes of neighbours come from one scan in text order.
+Neighbours in the array with a common prefix of at least a given length bound the intervals whose members
 start with the same repeated words; per word, the longest such prefix is the
 longest repeat that starts there. The union of those spans gives the share of
 words covered, their maximum the longest repeat, and both are limited.
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BLANKS, slices, texts
+from .common import BLANKS, slices, texts, word_blocks
 
 SYMBOLS = "#*$%&|<>"
 
@@ -39,45 +40,61 @@ class Limits:
     max_repeat: int = 40
 
 
-def suffix_ranks(symbols: np.ndarray) -> list[np.ndarray]:
-    """Ranks of all suffixes by their first 1, 2, 4, ... symbols, until all differ.
-    Suffixes of equal rank k share their first 2 ** k symbols. The last symbol must be unique."""
+def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
+    """The rank of each suffix among all suffixes, by prefix doubling: ranks by the first 1, 2, 4, ... symbols,
+    until all differ. The last symbol must be unique."""
     n = len(symbols)
-    _, first, inverse, count = np.unique(symbols, return_index=True, return_inverse=True, return_counts=True)
+    _, inverse, count = np.unique(symbols, return_inverse=True, return_counts=True)
     rank = (np.cumsum(count) - count)[inverse].astype(np.int64)  # a group's rank is its first place in the array
-    levels, active, step = [rank.astype(np.int32)], np.flatnonzero(count[inverse] > 1), 1
+    active, step = np.flatnonzero(count[inverse] > 1), 1
     while active.size:
         key = rank[active] * (n + 1) + rank[np.minimum(active + step, n - 1)]
         order = np.argsort(key, kind="stable")
         active, key = active[order], key[order]
         old = rank[active]
-        place = np.arange(len(active))
+        place = np.arange(len(active), dtype=np.int32)
         fresh = np.r_[True, key[1:] != key[:-1]]
         group = np.r_[True, old[1:] != old[:-1]]
+        del key, order
         head = np.maximum.accumulate(np.where(fresh, place, 0))
         start = np.maximum.accumulate(np.where(group, place, 0))
-        rank = rank.copy()
         rank[active] = old + head - start
-        levels.append(rank.astype(np.int32))
         single = fresh & np.r_[fresh[1:], True]
         active, step = active[~single], 2 * step
-    return levels
+    return rank
+
+
+def common_prefixes(symbols: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """For each suffix the length of the prefix it shares with the suffix ``before`` it in the suffix array (-1: none).
+    A suffix shares at most one symbol less than the suffix one symbol longer does, so one scan in the order of the
+    text needs steps in proportion to its length."""
+    out = np.zeros(len(symbols), np.int32)
+    at, prior, result = memoryview(symbols), memoryview(before), memoryview(out)
+    common = 0
+    for i in range(len(symbols) - 1):  # the last symbol, which is unique, ends every comparison
+        j = prior[i]
+        if j < 0:
+            common = 0
+            continue
+        while at[i + common] == at[j + common]:
+            common += 1
+        if common:
+            result[i] = common
+            common -= 1
+    return out
 
 
 def longest_repeats(symbols: np.ndarray) -> np.ndarray:
     """For each symbol the length of the longest sequence that starts there and
     occurs again. The last symbol must be unique."""
-    levels = suffix_ranks(symbols)
-    array = np.empty(len(symbols), np.int64)
-    array[levels[-1]] = np.arange(len(symbols))
-    a, b = array[:-1], array[1:]
-    common = np.zeros(len(a), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        at_a, at_b = np.minimum(a + common, len(symbols) - 1), np.minimum(b + common, len(symbols) - 1)
-        common += np.where(levels[k][at_a] == levels[k][at_b], 1 << k, 0)
-    out = np.zeros(len(symbols), np.int64)
-    out[a] = common
-    out[b] = np.maximum(out[b], common)
+    rank = suffix_ranks(symbols)
+    array = np.empty(len(symbols), np.int32)
+    array[rank] = np.arange(len(symbols), dtype=np.int32)
+    del rank
+    before = np.full(len(symbols), -1, np.int32)
+    before[array[1:]] = array[:-1]
+    out = common_prefixes(np.ascontiguousarray(symbols, np.int32), before)
+    out[array[:-1]] = np.maximum(out[array[:-1]], out[array[1:]])  # shared with the suffix after it
     return out
 
 
@@ -90,35 +107,35 @@ def covered(longest: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _word_blocks(whole: list[str], most: int = 300_000) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """The words of the texts, in blocks of about ``most`` words."""
-    first, block, held = 0, [], 0
+def _word_blocks(whole: list[str], most: int = 300_000) -> Iterator[tuple[int, list[np.ndarray], int]]:
+    """The words of the texts as numbers, in blocks of about ``most`` words: the block's first text, the words of
+    each of its texts, and how many different ones there are. A long text never becomes a list of its words."""
+    first, block, held, known = 0, [], 0, {}
     for i, text in enumerate(whole):
-        words = text.encode("utf-8", "surrogatepass").split()
-        if block and held + len(words) > most:
-            yield first, block
-            first, block, held = i, [], 0
-        block.append(words)
-        held += len(words)
+        if block and held > most:
+            yield first, block, len(known)
+            first, block, held, known = i, [], 0, {}
+        parts = [np.array([known.setdefault(w, len(known)) for w in words], np.int32)
+                 for words in word_blocks(text.encode("utf-8", "surrogatepass"))]
+        block.append(np.concatenate([np.empty(0, np.int32), *parts]))
+        held += len(block[-1])
     if block:
-        yield first, block
+        yield first, block, len(known)
 
 
 def repetition(whole: list[str], base: int, least: int) -> np.ndarray:
     """For each text: words, words in repeats of ``base`` and of ``least`` words at least, longest repeat."""
     out = np.zeros((len(whole), 4), np.int64)
-    for first, block in _word_blocks(whole):
-        known: dict[bytes, int] = {}
+    for first, block, different in _word_blocks(whole):
         sizes = np.array([len(w) for w in block])
-        ids = [known.setdefault(w, len(known)) for words in block for w in words]
         ends = np.cumsum(sizes + 1) - 1  # places of the separators
         symbols = np.zeros(int(ends[-1]) + 1, np.int64)
         is_word = np.ones(len(symbols), bool)
         is_word[ends] = False
-        symbols[is_word] = ids
-        symbols[ends] = len(known) + np.arange(len(block))
-        owner = np.repeat(np.arange(len(block)), sizes + 1)
-        longest = _within(symbols, owner, len(known))
+        symbols[is_word] = np.concatenate(block)
+        symbols[ends] = different + np.arange(len(block))
+        owner = np.repeat(np.arange(len(block), dtype=np.int32), sizes + 1)
+        longest = _within(symbols, owner, different)
         rows = slice(first, first + len(block))
         out[rows, 0] = sizes
         for column, m in ((1, base), (2, least)):
@@ -130,7 +147,7 @@ def repetition(whole: list[str], base: int, least: int) -> np.ndarray:
 def _within(symbols: np.ndarray, owner: np.ndarray, words: int) -> np.ndarray:
     """Longest repeats within each text: a word counts as another symbol in each
     text, and separators occur once."""
-    apart = np.where(symbols < words, owner * words + symbols, symbols[-1] * words + words + symbols)
+    apart = np.where(symbols < words, owner * np.int64(words) + symbols, symbols[-1] * words + words + symbols)
     _, dense = np.unique(apart, return_inverse=True)
     return longest_repeats(dense)
 

@@ -60,9 +60,25 @@ def test_suffix_ranks_sort_suffixes():
     for _ in range(30):
         s = np.r_[rng.integers(0, 3, 50), 9]
         order = sorted(range(len(s)), key=lambda i: s[i:].tolist())
-        ranks = quality.suffix_ranks(s)[-1]
+        ranks = quality.suffix_ranks(s)
         assert [int(np.flatnonzero(ranks == k)[0]) for k in range(len(s))] == order
 
 
 def test_empty_table(spark):
     assert quality.judge(docs(spark, [])).count() == 0
+
+
+def test_common_prefixes_match_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        s = np.r_[rng.integers(0, 3, 60), 9]
+        got = quality.longest_repeats(s)
+        text = s.tolist()
+        for i in range(len(s)):
+            best = 0
+            for j in range(len(s)):
+                k = 0
+                while i != j and max(i, j) + k < len(s) and text[i + k] == text[j + k]:
+                    k += 1
+                best = max(best, k)
+            assert got[i] == best
