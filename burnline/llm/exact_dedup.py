@@ -28,6 +28,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from .common import BLANKS, slices, stored, texts
 
 _DELETE = BLANKS.encode()
+TIED_ROWS = 4096  # rows of a block of tied rows
 _RECORD = "digest binary, content binary, n long, best_chars long, best_id long, n_best long, done boolean, clash boolean"
 
 
@@ -196,9 +197,14 @@ def exact_duplicates(docs: DataFrame, memory_bytes: int = 48 << 20, buckets: int
     key = ["doc_id", "digest", "keep_id", "group_size"]
     if not tied:
         return found.select(*key, "kept")
-    # Repeated rows that tie: as many rows, the first of them kept.
-    again = (found.where("ties > 1").groupBy(*key).agg(F.count("*").alias("n"))
-             .select(*key, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).select(*key, (F.col("i") == 1).alias("kept")))
+    # Repeated rows that tie: as many rows, the first of them kept. They are dealt in blocks, so that
+    # a group of any size is no single task, nor an array of its rows.
+    blocks = (found.where("ties > 1").groupBy(*key).agg(F.count("*").alias("n"))
+              .select(*key, "n", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {TIED_ROWS}"))).alias("block"))
+              .repartition("digest", "block"))
+    first = F.col("block") * TIED_ROWS
+    again = (blocks.select(*key, F.explode(F.sequence(first, F.least(F.col("n"), first + TIED_ROWS) - 1)).alias("i"))
+             .select(*key, (F.col("i") == 0).alias("kept")))
     return found.where("ties <= 1").select(*key, "kept").union(again)
 
 

@@ -70,3 +70,11 @@ def test_one_row_of_each_group_stays_with_its_columns(spark):
 def test_empty_table(spark):
     assert exact_dedup.exact_duplicates(docs(spark, [])).count() == 0
     assert exact_dedup.first_of_equals(docs(spark, [])).count() == 0
+
+
+def test_many_tied_rows_without_an_id(spark):
+    n = 20_000
+    frame = spark.range(n).selectExpr("cast(null as long) as doc_id", "'' as text")
+    got = exact_dedup.exact_duplicates(frame).groupBy("keep_id", "group_size", "kept").count().collect()
+    assert sorted((r["kept"], r["count"]) for r in got) == [(False, n - 1), (True, 1)]
+    assert {(r["keep_id"], r["group_size"]) for r in got} == {(None, n)}
