@@ -9,7 +9,10 @@ it, so they are computed once, from the nodes above it, and a terminal's count
 is its node's.
 
 A worker process keeps its trie, and the counts of the pre-tokens it met, between
-texts, and starts anew when the trie has ``MAX_NODES`` nodes. Nulls and edge cases: a null or empty text has no tokens.
+texts, and starts anew before a pre-token when the trie has ``MAX_NODES`` nodes.
+A pre-token of over ``SHARED_BYTES`` bytes (unbroken letters, as in scripts
+without spaces) is counted by the same recurrence beside the trie, which keeps
+only as many scores as the longest token has bytes. Nulls and edge cases: a null or empty text has no tokens.
 Any text can be segmented, as all single bytes are tokens. Repeated rows are
 counted each. Extra columns are ignored.
 """
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame
 from .common import held, slices, texts
 
 MAX_NODES = 800_000
+SHARED_BYTES = 512
 
 
 class PrefixTrie:
@@ -41,7 +45,7 @@ class PrefixTrie:
             for byte in reversed(token):
                 node = node.setdefault(byte, {})
             node[-1] = -math.log(rank + 1) - total
-        self._max = max_nodes
+        self._max, self._longest = max_nodes, max(map(len, ranks), default=0)
         self.clear()
 
     def clear(self) -> None:
@@ -56,10 +60,35 @@ class PrefixTrie:
         """Score and number of tokens of at least these pre-tokens."""
         if len(self) > self._max:
             self.clear()
-        known = self._words
-        for w in words.difference(known):
-            known[w] = self.best(w.encode("utf-8", "surrogatepass"))
-        return known
+        found, apart = self._words, {}
+        for w in words.difference(found):
+            word = w.encode("utf-8", "surrogatepass")
+            if len(word) > SHARED_BYTES:
+                apart[w] = self.best_apart(word)
+                continue
+            if len(self) > self._max:
+                found = dict(found) if found is self._words else found
+                self.clear()
+            found[w] = self._words[w] = self.best(word)
+        return {**found, **apart} if apart else found
+
+    def _ending(self, word: bytes, end: int, scores: list[tuple[float, int]]) -> tuple[float, int]:
+        """The best segmentation of ``word[:end]``; that of ``word[:i]`` is ``scores[i % len(scores)]``."""
+        top, tokens, at, ring = (-math.inf, 0), self._tokens, end, len(scores)
+        while at and (tokens := tokens.get(word[at - 1])) is not None:
+            at -= 1
+            if (score := tokens.get(-1)) is not None:
+                before = scores[at % ring]
+                top = max(top, (before[0] + score, before[1] - 1))
+        return top
+
+    def best_apart(self, word: bytes) -> tuple[float, int]:
+        """As :meth:`best`, without the trie, in memory that does not grow with the pre-token."""
+        scores = [(0.0, 0)] * (self._longest + 1)
+        for end in range(1, len(word) + 1):
+            scores[end % len(scores)] = self._ending(word, end, scores)
+        score, count = scores[len(word) % len(scores)]
+        return score, -count
 
     def best(self, word: bytes) -> tuple[float, int]:
         """Score and number of tokens of the best segmentation of a pre-token."""
@@ -67,15 +96,9 @@ class PrefixTrie:
         path = [best[0]]  # of each prefix
         for end, byte in enumerate(word, 1):
             if (down := child[node].get(byte)) is None:
-                top, tokens, at = (-math.inf, 0), self._tokens, end
-                while at and (tokens := tokens.get(word[at - 1])) is not None:
-                    at -= 1
-                    if (score := tokens.get(-1)) is not None:
-                        before = path[at]
-                        top = max(top, (before[0] + score, before[1] - 1))
                 down = child[node][byte] = len(best)
                 child.append({})
-                best.append(top)
+                best.append(self._ending(word, end, path))
             node = down
             path.append(best[node])
         score, count = best[node]

@@ -50,6 +50,29 @@ def test_prefixes_are_shared(ranks):
     assert len(trie) == nodes + 3
 
 
+def test_long_pretokens_are_counted_beside_the_trie(ranks):
+    trie = token_counts.PrefixTrie(ranks, max_nodes=300)
+    whole = ["".join(words(400, 3)), "x" * 700, "\u65e5\u672c" * 200, "short"]
+    got = trie.terminals(set(whole))
+    for w in whole:
+        score, n = viterbi(w.encode(), ranks)
+        assert got[w][1] == n and got[w][0] == pytest.approx(score)
+    assert len(trie) < 20
+    many = words(200, 4)
+    assert set(many) <= set(trie.terminals(set(many))) and len(trie) < 320  # cleared between words
+
+
+def test_a_long_pretoken_takes_no_memory_of_its_size(ranks):
+    import tracemalloc
+    trie = token_counts.PrefixTrie(ranks)
+    word = b"acgt" * 100_000
+    tracemalloc.start()
+    trie.best_apart(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 20
+
+
 def test_documents(spark, ranks):
     import public_tokenizers
     rows = [(1, "the theory of the thing"), (2, None), (3, ""), (None, "the"), (1, "the theory of the thing"),
