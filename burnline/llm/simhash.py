@@ -21,6 +21,7 @@ Repeated rows come back as often as they came. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -56,15 +57,17 @@ def fingerprint(text: bytes, shingle_words: int = 4) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row; ``fp`` is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle_words: int = 4, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *carried, fp) of every row; ``fp`` is the fingerprint as a signed long."""
+    columns = ["doc_id", *carried]
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t, shingle_words) for t in raw_texts(batch)], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([*map(batch.column, columns), pa.array(fps.view(np.int64))], [*columns, "fp"])
 
-    cols = docs.select("doc_id", "text")
-    return cols.mapInArrow(per_batch(make), f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, fp long")
+    source = docs.select(*columns, "text")
+    types = [f"`{c}` {source.schema[c].dataType.simpleString()}" for c in columns]
+    return source.mapInArrow(per_batch(make), ", ".join([*types, "fp long"]))
 
 
 def ball(bits: int, radius: int) -> np.ndarray:
@@ -101,9 +104,9 @@ def _meet(owner: np.ndarray, low: np.ndarray, left: np.ndarray, bits: int,
     yield owners[head[~fresh]], owners[~fresh]
 
 
-def _forest(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
-    """The smallest index reachable from each index over the links (a, b)."""
-    root = np.arange(size)
+def _forest(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index reachable from each index over the links (a, b), where ``root`` is
+    that over earlier links."""
     while True:
         low = np.minimum(root[a], root[b])
         new = root.copy()
@@ -115,9 +118,18 @@ def _forest(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
         root = new
 
 
+def slice_bits_for(fingerprints: int, least: int = 12) -> int:
+    """Bits of the slices of an exchange of so many distinct fingerprints: a group of it holds about five million
+    of them at most, if they are spread evenly."""
+    return max(least, least + math.ceil(math.log2(max(fingerprints, 1) / (1 << 28))))
+
+
 def links(distinct: DataFrame, radius: int = 4, slice_bits: int = 12, max_values: int = 1 << 21) -> DataFrame:
     """Links (a, b), a != b, that connect all fingerprints of column ``fp``
-    (distinct rows) as the pairs within ``radius`` bits do."""
+    (distinct rows) as the pairs within ``radius`` bits do. The radius is even: fingerprints that meet in
+    a value are linked with the first of them, from which an odd radius would leave some a bit too far."""
+    if radius % 2:
+        raise ValueError("the radius must be even")
     half, low_bits = (radius + 1) // 2, BITS - slice_bits
     reach = [int(m) for m in ball(slice_bits, half)]
 
@@ -125,14 +137,18 @@ def links(distinct: DataFrame, radius: int = 4, slice_bits: int = 12, max_values
         here = np.uint64(table.column("slice")[0].as_py())
         fps = np.sort(table.column("fp").to_numpy().view(np.uint64))
         left = half - np.bitwise_count((fps >> np.uint64(low_bits)) ^ here).astype(np.int64)
-        found = [np.empty((0, 2), np.int64)]
+        root, near_a, near_b, waiting = np.arange(len(fps)), [], [], 0
         for a, b in _meet(np.arange(len(fps)), fps & np.uint64((1 << low_bits) - 1), left, low_bits, max_values):
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            near = np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= radius
-            found.append(pairs[near])
-        pairs = np.unique(np.concatenate(found), axis=0)
+            near = (np.bitwise_count(fps[a] ^ fps[b]) <= radius) & (root[a] != root[b])
+            near_a.append(a[near])
+            near_b.append(b[near])
+            waiting += int(near.sum())
+            if waiting > len(fps) + max_values // 16:  # pairs are held in proportion to the fingerprints only
+                root = _forest(root, np.concatenate(near_a), np.concatenate(near_b))
+                near_a, near_b, waiting = [], [], 0
         # A link less for every link that others imply: what leaves the task is a forest.
-        root = _forest(pairs[:, 0], pairs[:, 1], len(fps))
+        if waiting:
+            root = _forest(root, np.concatenate(near_a), np.concatenate(near_b))
         other = np.flatnonzero(root != np.arange(len(fps)))
         return pa.table({"a": fps[root[other]].view(np.int64), "b": fps[other].view(np.int64)})
 
@@ -141,19 +157,21 @@ def links(distinct: DataFrame, radius: int = 4, slice_bits: int = 12, max_values
     return sent.groupBy("slice").applyInArrow(meet, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4, slice_bits: int = 12) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs``.
+def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4, slice_bits: int | None = None,
+                    carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *carried, fp, component_id) of every row of ``docs``; ``carried`` are further columns of it.
 
     ``component_id`` is the smallest ``doc_id`` that links of up to ``radius``
-    differing bits reach. ``slice_bits`` sets the number of groups of the
-    exchange: 2 ** slice_bits; raise it by one for each doubling beyond 10 ** 9
-    distinct fingerprints.
+    differing bits reach. The exchange has 2 ** ``slice_bits`` groups, by default
+    as many as :func:`slice_bits_for` the number of distinct fingerprints says.
     """
-    prints = stored(fingerprints(docs, shingle_words), "simhash")
+    prints = stored(fingerprints(docs, shingle_words, carried), "simhash")
     vertex = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    if slice_bits is None:
+        slice_bits = slice_bits_for(prints.select(F.approx_count_distinct("fp")).first()[0])
     roots = connected(stored(links(vertex.select("fp"), radius, slice_bits), "simhash-links"))
     labelled = (vertex.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
                 .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
     smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = labelled.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", *carried, "fp", "component_id")
