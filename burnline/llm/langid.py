@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from .common import slices, texts
 
@@ -144,8 +144,9 @@ def learn(docs: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], columns: list[str] | None = None,
-             pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """The ``columns`` of ``docs`` (all) with the predicted language and its score, under the names ``pred`` and ``score``."""
+             pred: str = "lang_pred", score: str = "score", n_letters: str | None = None) -> DataFrame:
+    """The ``columns`` of ``docs`` (all) with the predicted language and its score, under the names ``pred`` and ``score``,
+    and the number of letters, if it is given a name."""
     columns = docs.columns if columns is None else columns
     names, dim = [*prototypes], len(next(iter(prototypes.values()), np.zeros(DIM)))
     unit = np.array([p / np.linalg.norm(p) for p in prototypes.values()]).reshape(len(names), dim)
@@ -159,9 +160,48 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], columns: list[s
             best = cosine.argmax(1)
             langs = [names[b] if ok else UNKNOWN for b, ok in zip(best, known)]
             scores = np.where(known, np.clip(cosine.max(1), 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(langs, pa.string()),
-                                              pa.array(scores, pa.float64())], [*columns, pred, score])
+            new = {pred: pa.array(langs, pa.string()), score: pa.array(scores, pa.float64())}
+            if n_letters:
+                new[n_letters] = pa.array(letters, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *new.values()], [*columns, *new])
 
     source = docs.select(*dict.fromkeys([*columns, "text"]))
-    schema = StructType([*(source.schema[c] for c in columns), StructField(pred, StringType()), StructField(score, DoubleType())])
+    schema = StructType([*(source.schema[c] for c in columns), StructField(pred, StringType()), StructField(score, DoubleType()),
+                         *([StructField(n_letters, LongType())] if n_letters else [])])
     return source.mapInArrow(run, schema)
+
+
+def _length_class(n_letters: str) -> Column:
+    """Texts of 1, 2 to 3, 4 to 7, ... letters."""
+    return F.floor(F.log2(F.col(n_letters)) + 1e-9).cast("int")
+
+
+def learned_bounds(named: DataFrame, pred: str, score: str, n_letters: str, lowest: float = 0.001, least: int = 100) -> dict[int, float]:
+    """Per class of text lengths, the score from which a text counts as one of the learned languages: half of the score
+    that all but the ``lowest`` share of the texts learned from reach, that is half way between them and chance
+    (cosine 0). All rows learned from that got their own language count; a class of fewer than ``least`` takes the
+    bound of the class below, and texts shorter than any such class have none."""
+    learned = (F.col(pred) == F.col("lang")) & F.col("doc_id").isNotNull() & ~held_out()
+    counted = (named.where(learned & (F.col(n_letters) > 0))
+               .groupBy(_length_class(n_letters).alias("length"), F.floor(F.col(score) * 1000).cast("int").alias("milli"))
+               .agg(F.count("*").alias("n")).collect())  # at most 1 001 rows a class
+    bounds: dict[int, float] = {}
+    bound = 0.0
+    for length in range(64):
+        bars = sorted((milli, n) for k, milli, n in counted if k == length)
+        total = sum(n for _, n in bars)
+        if total >= least:
+            passed = 0
+            for milli, n in bars:
+                passed += n
+                if passed > lowest * total:
+                    bound = milli / 2000
+                    break
+        bounds[length] = bound
+    return bounds
+
+
+def known(bounds: dict[int, float], pred: str, score: str, n_letters: str) -> Column:
+    """Whether a text is in one of the learned languages, by the ``bounds``."""
+    bound = F.element_at(F.create_map(*(F.lit(x) for item in bounds.items() for x in item)), _length_class(n_letters))
+    return (F.col(pred) != UNKNOWN) & (F.col(score) >= F.coalesce(bound, F.lit(0.0)))
