@@ -96,6 +96,23 @@ def test_run_is_the_chain_of_its_stages(spark):
     assert sum(r["length"] for r in got) == sum(n for _, n in whole)
 
 
+def test_noise_and_unlearned_languages_go_and_short_texts_stay(spark):
+    en, es = "the {} sat on the mat and was there with all of them for the day", "el {} estaba en la casa y no quiso salir de ella por la tarde"
+    rows = [(i, (en if i % 2 else es).format(" ".join(words(6, i))), "en" if i % 2 else "es", "s", 1) for i in range(400)]
+    letters = words(60, 7, "bcdfghjklmnpqrstvwxz")
+    rows += [(1000, " ".join(letters), "en", "s", 1), (1001, "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u3067\u3059\u304c\u5b66\u7fd2" * 8, None, "s", 1),
+             (1002, "on the mat", "en", "s", 1), (1003, "en la casa", None, "s", 1), (1004, en.format("cat"), None, "s", 1), (1005, "12 34", "en", "s", 1)]
+    kept = {r["doc_id"] for r in P.language_id(spark, clashing(spark, rows, ["lang_pred", "n_letters"]), "").collect()}
+    assert {i for i, *_ in rows} - kept == {1000, 1001, 1005}
+
+
+def test_another_text_of_the_same_id_stays(spark):
+    base, other = " ".join(words(300, 1)), " ".join(words(300, 2, "klmnopqr"))
+    rows = [(1, base), (2, base + " end"), (2, other), (None, base), (3, other + " x"), (2, None)]
+    got = P.near_duplicates(spark, clashing(spark, rows, ["text_key", "fp"]), "")
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(1, base), (2, other), (None, base), (2, None)])
+
+
 def test_every_operator_has_a_query():
     for n in range(1, 11):
         assert sum(q.startswith(f"op{n}_") for q in E.queries()) == 1
