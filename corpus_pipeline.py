@@ -15,13 +15,16 @@ from burnline.llm.common import fresh, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages stay; those without a letter go, and only those if none was learned."""
-    pred, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "score")
+    """Documents in one of the learned languages stay. Those without a letter go, and those whose score lies below the
+    bound that ``langid.learned_bounds`` learned for texts of their length (none for lengths of which few were learned,
+    so very short texts stay). If no language was learned, only those without a letter go."""
+    pred, score, letters = (fresh(docs.columns, c) for c in ("lang_pred", "score", "n_letters"))
     prototypes = langid.learn(docs)
     if not prototypes:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    named = langid.identify(docs, prototypes, pred=pred, score=score)
-    return named.where(F.col(pred) != langid.UNKNOWN).select(*docs.columns)
+    named = stored(langid.identify(docs, prototypes, pred=pred, score=score, n_letters=letters), "named")
+    bounds = langid.learned_bounds(named, pred, score, letters)
+    return named.where(langid.known(bounds, pred, score, letters)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +33,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document of smallest id stays, and any row without an id."""
-    goes = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of near-duplicates the document of smallest id stays, and any row without an id. A row goes by
+    its id and text, so another text of the same id is judged for itself."""
+    key = fresh(docs.columns, "text_key")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    goes = simhash.near_duplicates(keyed, carried=(key,)).where("doc_id <> component_id").select("doc_id", key).distinct()
+    return keyed.join(goes, ["doc_id", key], "left_anti").select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
