@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 # HTML elements by their role, and words that name parts of a page.
@@ -23,7 +24,6 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"},
              "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"},
          "option": {"select"}}
-MAX_DEPTH = 150  # deeper elements become children of the element at this depth
 
 TEXT = "#text"
 
@@ -36,7 +36,7 @@ class Dom(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.text, self.role = ["#page"], [-1], [""], [""]
         self.names, self.words = [frozenset()], [frozenset()]
-        self._open = [0]
+        self._open, self._n_open = [0], Counter()  # and how many are open of each tag
         self.feed(html)
         self.close()
         self.children: list[list[int]] = [[] for _ in self.tag]
@@ -53,8 +53,11 @@ class Dom(HTMLParser):
         return len(self.tag) - 1
 
     def _end(self, tags: set[str], scope: set[str] | frozenset[str]) -> None:
+        if not any(self._n_open[t] for t in tags):
+            return
         for at in range(len(self._open) - 1, 0, -1):
             if (tag := self.tag[self._open[at]]) in tags:
+                self._n_open.subtract(self.tag[i] for i in self._open[at:])
                 del self._open[at:]
                 return
             if tag in scope:
@@ -72,8 +75,9 @@ class Dom(HTMLParser):
             if STATES.isdisjoint(parts):
                 words.update(parts)
         node = self._add(tag, "", named.get("role", "").strip().lower(), names, frozenset(words))
-        if tag not in VOID and len(self._open) < MAX_DEPTH:
+        if tag not in VOID:
             self._open.append(node)
+            self._n_open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)

@@ -5,8 +5,8 @@ structure) by simple tree matching: two nodes match if their elements are
 equal, and children are matched in order so that as many nodes as possible
 match. A node whose text is the same on nearly all pages that have it is part
 of the host's template; a node whose text varies is a slot. The article is read
-from the slots: those in ``article`` or ``main`` elements where a page has
-them, else all. Menus,
+from the slots: those in ``article`` elements, and the ``h1`` titles of the
+``main`` around them, where a page has such, else those in ``main``, else all. Menus,
 footers, adverts and the like vary from page to page too, so slots in elements
 of such kinds (by element, role or class) are no content.
 
@@ -18,7 +18,8 @@ Nulls and edge cases: a null or empty html gives an empty text. A null url is a
 host of its own. A host with fewer than ``MIN_PAGES`` distinct pages has no
 template, and its pages are read by element, role and class alone. Repeated
 pages come back as often. Extra columns are ignored. Broken markup is closed as
-browsers do for paragraphs, list items and cells; a tree match of over
+browsers do for paragraphs, list items and cells. Elements may nest to any
+depth; below ``MAX_DEPTH`` they are matched as if side by side. A tree match of over
 ``MAX_CELLS`` pairs of children is done in order of appearance.
 """
 
@@ -37,6 +38,7 @@ from .common import slices, stored, texts
 from .dom import TEXT, Dom
 
 MIN_PAGES, MIN_SHARE, MAX_CELLS = 5, 0.9, 1_000_000
+MAX_DEPTH = 150  # for matching, deeper nodes are children of their ancestor above this depth
 
 
 class Tree:
@@ -54,7 +56,11 @@ class Tree:
         keep = [i for i, t in enumerate(dom.tag) if t != TEXT or dom.text[i].strip()]
         new = {i: k for k, i in enumerate(keep)}
         prints = [_print(dom.text[i]) if dom.tag[i] == TEXT else 0 for i in keep]
-        return Tree([dom.tag[i] for i in keep], [new.get(dom.parent[i], -1) for i in keep], prints), keep
+        above, depth = [-1] * len(dom.tag), [0] * len(dom.tag)
+        for i, p in enumerate(dom.parent[1:], 1):
+            depth[i] = depth[p] + 1
+            above[i] = p if depth[p] < MAX_DEPTH else above[p]
+        return Tree([dom.tag[i] for i in keep], [new.get(above[i], -1) for i in keep], prints), keep
 
     def dumps(self) -> str:
         return json.dumps([self.tag, self.parent, self.print])
@@ -163,6 +169,11 @@ def article(dom: Dom, template: set[int], named: bool = True) -> list[str]:
     for i in template:
         skip[i] = True
     regions = [i for i, t in enumerate(dom.tag) if t == "article" and not skip[i]]
+    if regions:  # and the title that stands above them
+        in_main = [False] * len(dom.tag)
+        for i in range(1, len(dom.tag)):
+            in_main[i] = in_main[dom.parent[i]] or dom.tag[i] == "main"
+        regions += [i for i, t in enumerate(dom.tag) if t == "h1" and in_main[i] and not skip[i]]
     regions = regions or [i for i, t in enumerate(dom.tag) if t == "main" and not skip[i]]
     found = dom.blocks(regions, skip) or dom.blocks([0], skip)
     return found if found or not named else article(dom, template, False)

@@ -122,3 +122,25 @@ def test_query_against_the_article_element(spark):
         parts = [re.sub(r"</?b>", "", p.replace("<br>", " ")) for p in re.split(r"</?(?:h1|p)>", inner)]
         expected = "\n".join(x for x in (" ".join(html.unescape(p).split()) for p in parts) if x)
         assert (r["text"], r["n_chars"]) == (expected, len(expected))
+
+
+def test_deep_pages_lose_no_text():
+    for depth in (100, 200, 5_000):
+        html = f"<body><article><p>Start</p>{'<div>' * depth}deep{'</div>' * depth}<p>After it</p></article><footer>f</footer></body>"
+        dom = Dom(html)
+        assert html_wrapper.article(dom, set()) == ["Start", "deep", "After it"]
+        tree, nodes = html_wrapper.Tree.of(dom)
+        assert len(html_wrapper.Matching(tree, tree).pairs) == len(nodes)
+    menu = f"<body><article>{'<div>' * 300}<nav>menu</nav>text{'</div>' * 300}</article></body>"
+    assert html_wrapper.article(Dom(menu), set()) == ["text"]
+
+
+def test_deep_pages_match_without_deep_recursion():
+    pages = [f"<body>{'<div><b>x</b>' * 400}{'<p>more</p>' * n}{'</div>' * 400}</body>" for n in (1, 3)]
+    (a, _), (b, _) = (html_wrapper.Tree.of(Dom(p)) for p in pages)
+    assert len(html_wrapper.Matching(a, b).pairs) > 800
+
+
+def test_title_of_main_stands_above_its_article():
+    page = "<body><header><h1>Site</h1></header><main><h1>Title</h1><article><p>Text</p></article><h2>More</h2></main><h1>Outside</h1></body>"
+    assert html_wrapper.article(Dom(page), set()) == ["Title", "Text"]
