@@ -9,6 +9,7 @@ driver compares results order-insensitively; the operators offer them.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from ..operators import forecast as FC
 from ..operators import ledger as L
 from ..operators import profile as P
 from ..operators import trends as TR
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import derived
 from ..sources import files as FS
 from ..sources.tables import DEFAULT_AS_OF, table, ts_ntz
@@ -194,16 +195,28 @@ def b1_b2_project_restriction(spark, sf_dir):
     return D.aggregate_bookings(B.apply_filters(_star(spark, sf_dir), B.BookingFilters(projects=codes)))
 
 
-@register("c4_entitled_bookings")
-def c4_entitled_bookings(spark, sf_dir):
-    """A user of each nation may see the projects of its suppliers."""
+def _entitlements(spark, sf_dir):
+    """A user of each nation may see the projects of its suppliers."""
     suppliers = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").join(
         F.broadcast(table(spark, sf_dir, "nation", "n_nationkey", "n_name")), F.col("s_nationkey") == F.col("n_nationkey"))
     grant = F.struct(F.array(derived.project_nr(F.col("s_suppkey"))).alias("projects"),
                      F.lit(None).cast("array<string>").alias("permissions"))
-    entitlements = suppliers.select(F.create_map(F.concat(F.lower("n_name"), F.lit("@example.com")), grant).alias("users"),
-                                    F.array(F.lit("view")).alias("default_permissions"))
-    return D.aggregate_bookings_compact(B.restrict_to_user(_star(spark, sf_dir), entitlements, "germany@example.com"))
+    return suppliers.select(F.create_map(F.concat(F.lower("n_name"), F.lit("@example.com")), grant).alias("users"),
+                            F.array(F.lit("view")).alias("default_permissions"))
+
+
+@register("c4_entitled_bookings")
+def c4_entitled_bookings(spark, sf_dir):
+    """The bookings a user is entitled to, aggregated."""
+    return D.aggregate_bookings_compact(B.restrict_to_user(_star(spark, sf_dir), _entitlements(spark, sf_dir), "nation_9@example.com"))
+
+
+@register("c4_entitled_from_parts")
+def c4_entitled_from_parts(spark, sf_dir):
+    """C4/A15 on the stored table by project: all bookings are written, the folders of the user's projects read."""
+    path = f"{ensure_checkpoint_dir(spark)}/burnline-{spark.sparkContext.applicationId}/bookings-{uuid.uuid4().hex[:12]}"
+    FS.write_bookings_by_project(_bookings(spark, sf_dir), path)
+    return D.aggregate_bookings_compact(FS.read_entitled_bookings(spark, path, _entitlements(spark, sf_dir), "nation_9@example.com"))
 
 
 @register("b11_search_filter")

@@ -284,7 +284,8 @@ FROM bookings {where} GROUP BY project, project_nr, customer, activity"""
 SQL["d1b_compact_aggregate"] = with_ctes(ALL_BOOKINGS_CTE, body=_COMPACT_BODY.format(where=""))
 SQL["c4_entitled_bookings"] = with_ctes(ALL_BOOKINGS_CTE, body=_COMPACT_BODY.format(
     where="WHERE project_nr IN (SELECT printf('P%05d', s_suppkey) FROM supplier JOIN nation ON s_nationkey = n_nationkey "
-          "WHERE n_name = 'GERMANY')"))
+          "WHERE n_name = 'NATION_9')"))
+SQL["c4_entitled_from_parts"] = SQL["c4_entitled_bookings"]
 SQL["d2_activity_dashboard"] = with_ctes(*DASH, body="SELECT * FROM dash")
 SQL["d3_project_summary"] = with_ctes(*DASH, *SUMMARY_CTES, body="SELECT * FROM summary")
 SQL["d4_project_header"] = with_ctes(*DASH, *SUMMARY_CTES, cte("hdr", f"""

@@ -384,6 +384,45 @@ def read_bookings_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.BOOKINGS_SCHEMA).parquet(path).select(*[f.name for f in S.BOOKINGS_SCHEMA.fields])
 
 
+# B2 / C4 --------------------------------------------------------------------
+_PART = "project_part_of_"  # and the number of parts: a table says itself how it was cut
+
+
+def _project_part(parts: int) -> Column:
+    return F.pmod(F.xxhash64("project_nr"), F.lit(parts)).cast("int")
+
+
+def write_bookings_by_project(bookings: DataFrame, path: str, parts: int = 256, max_records_per_file: int = 5_000_000) -> None:
+    """Store bookings in ``parts`` folders by a hash of ``project_nr``, ordered by project within each file, for readers
+    that want few of many projects. The rebalance splits a part with a busy project over several tasks."""
+    part = f"{_PART}{parts}"
+    (bookings.select(*S.BOOKINGS_SCHEMA.names, _project_part(parts).alias(part)).hint("rebalance", part)
+     .sortWithinPartitions(part, "project_nr", "entry_date").write.mode("overwrite").partitionBy(part)
+     .option("maxRecordsPerFile", max_records_per_file).parquet(path))
+
+
+def read_bookings_of(spark: SparkSession, path: str, codes: DataFrame) -> DataFrame:
+    """The bookings of the projects among ``codes`` (a ``project_nr`` column), from :func:`write_bookings_by_project`.
+
+    The semi join is on the part as well as on the code, so where ``codes`` is a filtered frame that Spark finds small
+    enough to broadcast, only the folders of its codes are listed and read (dynamic partition pruning); a larger one is
+    joined as any. NULL codes match nothing; an empty table gives no rows."""
+    folders = store.partitions(spark, path, 1)
+    if not folders:
+        return spark.createDataFrame([], S.BOOKINGS_SCHEMA)
+    part = min(folders).split("=", 1)[0]
+    schema = T.StructType([*S.BOOKINGS_SCHEMA.fields, T.StructField(part, T.IntegerType(), True)])
+    wanted = codes.select("project_nr", _project_part(int(part.removeprefix(_PART))).alias(part))
+    rows = spark.read.schema(schema).parquet(path).join(wanted, [part, "project_nr"], "left_semi")
+    return rows.select(*S.BOOKINGS_SCHEMA.names)
+
+
+def read_entitled_bookings(spark: SparkSession, path: str, entitlements: DataFrame, email: str) -> DataFrame:
+    """C4: a user's bookings, read from the folders of the user's projects only."""
+    from ..operators.filters import user_projects
+    return read_bookings_of(spark, path, user_projects(entitlements).filter(F.col("email") == F.lit(email)).select("project_nr"))
+
+
 # A6 / A7 --------------------------------------------------------------------
 _STORED = T.StructType([*S.LEDGER_SCHEMA.fields, T.StructField("batch", T.StringType(), True)])
 _COMMIT = "batch string, first_id bigint, rows bigint"

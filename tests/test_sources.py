@@ -263,3 +263,32 @@ def test_checkpoint_folder_must_be_named_on_a_cluster(spark):
 
     with pytest.raises(ValueError):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_only_the_folders_of_wanted_projects_are_read(spark, tmp_dir):
+    rows = [{"project_nr": f"P{i % 40}", "entry_date": dt.date(2024, 1, 1 + i % 28), "erp_txn_no": str(i)} for i in range(800)]
+    path, grants = f"{tmp_dir}/by_project", f"{tmp_dir}/grants"
+    FS.write_bookings_by_project(make_bookings(spark, rows), path, parts=16)
+    assert len(glob.glob(path + "/project_part_of_16=*")) > 10
+    spark.createDataFrame([({"a@x": (["P3", " P7 ", None, "P3"], None), "b@x": (["P5"], None)}, ["view"])],
+                          "users map<string, struct<projects: array<string>, permissions: array<string>>>, default_permissions array<string>"
+                          ).write.parquet(grants)
+    entitlements = spark.read.parquet(grants)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = FS.read_entitled_bookings(spark, path, entitlements, "a@x")
+        found = got.collect()
+        plan = got._jdf.queryExecution().executedPlan()
+        assert "dynamicpruning" in plan.toString()
+        leaves = plan.collectLeaves()
+        scans = [leaves.apply(i) for i in range(leaves.size()) if "by_project" in leaves.apply(i).toString()]
+        read = scans[0].metrics().apply("numFiles").value()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert 0 < read <= 2 < len(glob.glob(path + "/*/*.parquet"))
+    S.assert_schema(got, S.BOOKINGS_SCHEMA)
+    want = [r["erp_txn_no"] for r in rows if r["project_nr"] in ("P3", "P7")]
+    assert sorted(r["erp_txn_no"] for r in found) == sorted(want)
+    assert FS.read_entitled_bookings(spark, path, entitlements, "nobody@x").count() == 0
+    FS.write_bookings_by_project(make_bookings(spark, []), f"{tmp_dir}/none")
+    assert FS.read_entitled_bookings(spark, f"{tmp_dir}/none", entitlements, "a@x").count() == 0
