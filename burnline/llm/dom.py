@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from html.parser import HTMLParser
 
 # HTML elements by their role, and words that name parts of a page.
@@ -36,7 +36,7 @@ class Dom(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.text, self.role = ["#page"], [-1], [""], [""]
         self.names, self.words = [frozenset()], [frozenset()]
-        self._open, self._n_open = [0], Counter()  # and how many are open of each tag
+        self._open, self._n_open = [0], defaultdict(int)  # and how many are open of each tag
         self.feed(html)
         self.close()
         self.children: list[list[int]] = [[] for _ in self.tag]
@@ -53,11 +53,16 @@ class Dom(HTMLParser):
         return len(self.tag) - 1
 
     def _end(self, tags: set[str], scope: set[str] | frozenset[str]) -> None:
-        if not any(self._n_open[t] for t in tags):
+        n_open = self._n_open
+        for tag in tags:
+            if n_open[tag]:
+                break
+        else:
             return
         for at in range(len(self._open) - 1, 0, -1):
             if (tag := self.tag[self._open[at]]) in tags:
-                self._n_open.subtract(self.tag[i] for i in self._open[at:])
+                for i in self._open[at:]:
+                    self._n_open[self.tag[i]] -= 1
                 del self._open[at:]
                 return
             if tag in scope:
