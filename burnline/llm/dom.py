@@ -20,6 +20,12 @@ WORDS = frozenset("""ad ads advert advertisement adverts sponsor sponsored promo
 OUTER_WORDS = frozenset("header masthead banner topbar".split())  # outside the article only
 STATES = frozenset("no not has have with without is open closed enabled disabled".split())  # "no-sidebar" is no sidebar
 WHOLE = frozenset("html body main article".split())  # whose names say nothing about their text
+# Within an article, a name of several words decides only if all are of WORDS or of these,
+PLACES = frozenset("""box bar list link links button buttons post posts block section widget wrapper container wrap area form
+    signup item items banner top bottom left right inner outer slot unit panel icon icons thread count text""".split())
+# and on the elements an article's text is made of, only those of ADVERTS.
+PROSE = frozenset("a b blockquote caption cite code dd dt em figcaption h1 h2 h3 h4 h5 h6 i li mark p pre q small strong td th u".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promotion".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"},
              "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"},
@@ -102,7 +108,9 @@ class Dom(HTMLParser):
         """Which nodes lie in parts that are not the article: by element, role, or (if ``named``) class or id.
 
         A name of one word decides; a word of a longer name only if the element neither holds an ``article`` or
-        ``main`` nor over half of the page's text. Names of ``WHOLE`` elements decide nothing."""
+        ``main`` nor over half of the page's text, nor lies within one of those and has a name of which a word is
+        neither of ``WORDS`` nor of ``PLACES`` ("share-prices"). Within an ``article`` or ``main``, names of ``PROSE``
+        elements decide only if of ``ADVERTS``, and names of ``WHOLE`` elements decide nothing anywhere."""
         out, inner = [False] * len(self.tag), [False] * len(self.tag)
         for i in range(1, len(self.tag)):
             p, tag = self.parent[i], self.tag[i]
@@ -120,12 +128,23 @@ class Dom(HTMLParser):
         by_name = set()
         for i in some:
             words = self.names[i] if i in holds else self.words[i]
+            if inner[i]:
+                words = self._inner_words(i, words)
             if words & WORDS or not inner[i] and words & OUTER_WORDS:
                 by_name.add(i)
         for i in range(1, len(self.tag)):
             out[i] = out[i] or i in by_name or out[self.parent[i]]
         return out
 
+    def _inner_words(self, i: int, words: frozenset) -> set[str]:
+        """Those of the words of element ``i``, which lies within an article, that may decide."""
+        clear = set(self.names[i] & words)
+        for name in self.names[i]:
+            parts = set(re.findall(r"[^\W\d_]+", name))
+            if parts <= words and parts <= WORDS | PLACES:
+                clear |= parts
+        return clear & ADVERTS if self.tag[i] in PROSE else clear
+
     def _holders(self, out: list[bool]) -> set[int]:
         """Elements that hold an ``article`` or ``main``, or over half of the text that is not ``out``."""
         mass = [len(self.text[i].strip()) if t == TEXT and not out[i] else 0 for i, t in enumerate(self.tag)]

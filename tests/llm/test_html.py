@@ -144,3 +144,51 @@ def test_deep_pages_match_without_deep_recursion():
 def test_title_of_main_stands_above_its_article():
     page = "<body><header><h1>Site</h1></header><main><h1>Title</h1><article><p>Text</p></article><h2>More</h2></main><h1>Outside</h1></body>"
     assert html_wrapper.article(Dom(page), set()) == ["Title", "Text"]
+
+
+def test_every_layout_of_a_host_has_its_template(spark):
+    def first(i):
+        return page(f"<main><p>Read on paper too</p><p>{' '.join(words(30, i))}</p></main>", i)
+
+    def second(i):
+        return page(f"<div><section><p>Members write here</p><p>{' '.join(words(25, 500 + i))}</p></section></div>", i)
+
+    rows = [(i, f"http://two.x/{i}", first(i) if i < 40 else second(i)) for i in range(70)]
+    rows += [(100 + i, f"http://two.x/{100 + i}", page(f"<table><tr><td><p>{' '.join(words(9, 900 + i))}</p></td></tr></table>", i)) for i in range(3)]
+    want = {i: " ".join(words(30, i)) for i in range(40)} | {i: " ".join(words(25, 500 + i)) for i in range(40, 70)}
+    assert texts(spark, rows) == want | {100 + i: " ".join(words(9, 900 + i)) for i in range(3)}
+
+
+@pytest.mark.parametrize("part, stays", [("<div id='share-prices'>Yes</div>", True), ("<p class='comment'>Yes</p>", True),
+                                         ("<h2 id='related'>Yes</h2>", True), ("<li class='notice'>Yes</li>", True),
+                                         ("<div class='share-buttons'>no</div>", False), ("<p class='ad'>no</p>", False),
+                                         ("<div class='related-posts'><p>no</p></div>", False), ("<div class='comments'>no</div>", False),
+                                         ("<div class='ad-slot-3'>no</div>", False), ("<p class='sponsored'>no</p>", False)])
+def test_names_within_an_article(part, stays):
+    dom = Dom(f"<body><article><p>Start</p>{part}<p>End</p></article></body>")
+    assert html_wrapper.article(dom, set()) == ["Start", *(["Yes"] if stays else []), "End"]
+    again = html_wrapper.Nodes(html_wrapper.Nodes.dumps(dom, dom.outside()))
+    assert html_wrapper.article(again, set()) == html_wrapper.article(dom, set())
+
+
+def test_long_lists_are_matched_in_halves_as_well_as_in_one_table(monkeypatch):
+    import random
+    rng = random.Random(8)
+    for _ in range(40):
+        a, b = (html_wrapper.Tree.of(Dom("".join(rng.choice(["<div><b>x</b></div>", "<ul><li>x<li>y</ul>", "<p>z</p>", "<hr>", "<div></div>"])
+                                                 for _ in range(rng.randint(1, 40)))))[0] for _ in range(2))
+        monkeypatch.setattr(html_wrapper, "MAX_CELLS", 1_000_000)
+        whole = html_wrapper.Matching(a, b).pairs
+        monkeypatch.setattr(html_wrapper, "MAX_CELLS", rng.choice([0, 3, 20]))
+        halved = html_wrapper.Matching(a, b).pairs
+        assert len(halved) == len(whole) == len(set(halved)) == len({y for _, y in halved})
+        assert all((x, y) == (0, 0) or (a.parent[x], b.parent[y]) in set(halved) for x, y in halved)
+
+
+def test_an_inserted_block_does_not_shift_the_matches_of_a_long_page():
+    kinds = ["<div><b>x</b></div>", "<ul><li>x</ul>", "<p>z</p>"]
+    blocks = [kinds[i * i % 7 % 3] for i in range(3_000)]
+    a, b = (html_wrapper.Tree.of(Dom("<h1>t</h1>" + "".join(p) + "<h2>t</h2>"))[0]
+            for p in (["<h3>new</h3>", *blocks, "<pre>p</pre>"], ["<pre>p</pre>", *blocks, "<h3>old</h3>"]))
+    pairs = html_wrapper.Matching(a, b).pairs
+    assert len(pairs) == len(a.tag) - 4
