@@ -8,9 +8,9 @@ portfolio levels are further aggregations of that result.
 
 from __future__ import annotations
 
-from typing import Optional
+from typing import Optional, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -160,6 +160,55 @@ def portfolio_kpis(dashboard: DataFrame) -> DataFrame:
                     "active_projects", "nearing_completion", "overbooked")
 
 
+# D5-D7, D28, B19 beside a write ----------------------------------------------
+def _written(rows: DataFrame, path: str, mode: str, leave_out: Sequence[str], **metrics: Column) -> dict:
+    """Write ``rows`` without the columns ``leave_out`` as Parquet; the ``metrics`` are observed by the tasks that write."""
+    seen = Observation()
+    named = [m.alias(name) for name, m in metrics.items()]
+    rows.observe(seen, *named).drop(*leave_out).write.mode(mode).parquet(path)
+    return seen.get
+
+
+def write_dashboard(dashboard: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+    """Store the activity rows as Parquet and return their KPIs (those of D5, D6 and D7) in one row. The plan runs
+    once, for the write, and the KPIs are observed on the rows that are written. Distinct projects are counted as
+    first rows of a project, which has no more rows than activities."""
+    first = F.row_number().over(Window.partitionBy("project_nr").orderBy("project", "activity")) == 1
+    rows = dashboard.withColumn("_first", first & F.col("project_nr").isNotNull())
+    hours = F.bround("actual_hours", 1)
+    got = _written(
+        rows, path, mode, ["_first"], n_rows=F.count(F.lit(1)), total_hours=F.sum(hours), total_target=H.exact_sum("target_hours"),
+        active_projects=F.sum(F.col("_first").cast("bigint")),
+        nearing_completion=F.sum((F.bround("fulfillment_pct", 1) >= S.NEARING_COMPLETION_PCT).cast("bigint")),
+        overbooked=F.sum((F.col("status") == S.STATUS_OVER).cast("bigint")))
+    counts = ("active_projects", "nearing_completion", "overbooked")
+    k = dashboard.sparkSession.createDataFrame(
+        [(got["n_rows"], got["total_hours"], got["total_target"], *(got[c] or 0 for c in counts))],
+        "n_rows long, total_hours double, total_target double, active_projects long, nearing_completion long, overbooked long")
+    remaining = F.col("total_target") - F.col("total_hours")
+    return k.select("n_rows", "total_hours", "total_target",
+                    H.fulfillment_pct("total_hours", "total_target").alias("budget_consumption_pct"), *counts,
+                    remaining.alias("remaining_hours"),
+                    F.when(F.col("total_target") > 0, remaining / F.col("total_target") * 100).alias("remaining_pct"))
+
+
+def write_aggregate(agg: DataFrame, path: str, start_date=None, end_date=None, mode: str = "overwrite") -> DataFrame:
+    """Store the filtered aggregate as Parquet and return its counters (D28) and the number of bookings in it
+    (B19's ``record_count``): the plan runs once. Rows are counted as they are written; projects afterwards, from that
+    column of the stored rows."""
+    got = _written(agg, path, mode, [], rows_ready=F.count(F.lit(1)), record_count=F.sum("entry_count"))
+    stored = agg.sparkSession.read.schema(agg.schema).parquet(path)
+    return stored.agg(F.countDistinct("project_nr").alias("n_projects")).select(
+        F.lit(int(got["rows_ready"])).cast("bigint").alias("rows_ready"), "n_projects", F.lit(_range_text(start_date, end_date)).alias("date_range_text"),
+        F.lit(int(got["record_count"] or 0)).cast("bigint").alias("record_count"))
+
+
+def _range_text(start_date, end_date) -> str:
+    if start_date is not None and end_date is not None:
+        return f"{start_date.strftime('%d.%m.%y')} - {end_date.strftime('%d.%m.%y')}"
+    return S.ALL_TIME_LABEL
+
+
 # D6 -------------------------------------------------------------------------
 def forecast_kpis(dashboard: DataFrame) -> DataFrame:
     """Total budget, spent (rounded) hours, consumption %, remaining, remaining %."""
@@ -183,10 +232,7 @@ def budget_tab_kpis(dashboard: DataFrame) -> DataFrame:
 def export_counters(agg: DataFrame, start_date=None, end_date=None, selected: Optional[DataFrame] = None) -> DataFrame:
     """Rows of the filtered aggregate ready for export, number of projects
     (of the selection, if one was made, else of the rows), date-range text."""
-    if start_date is not None and end_date is not None:
-        text = f"{start_date.strftime('%d.%m.%y')} - {end_date.strftime('%d.%m.%y')}"
-    else:
-        text = S.ALL_TIME_LABEL
+    text = _range_text(start_date, end_date)
     counted = agg.agg(F.count(F.lit(1)).alias("rows_ready"), F.countDistinct("project_nr").alias("n_projects"))
     if selected is not None:  # one row beside one row
         chosen = clean_code_frame(selected).agg(F.count(F.lit(1)).alias("n_projects"))

@@ -172,20 +172,37 @@ def balances_at_dates(ledger: DataFrame, probes: DataFrame, date_col: str = "as_
     the same day, since ``valid_from <= date`` counts). Probes of keys without
     ledger entries get 0.
     """
-    deltas = (ledger.groupBy(*KEY, F.col("valid_from").alias("_day"))
-              .agg(F.sum("hours").alias("_d"), F.sum(signed_hours()).alias("_ds"))
-              .withColumn("_probe", F.lit(0)))
-    asks = (probes.select(*KEY, F.col(date_col).cast("date").alias("_day")).distinct()
-            .withColumn("_d", F.lit(0).cast(deltas.schema["_d"].dataType))
-            .withColumn("_ds", F.lit(0).cast(deltas.schema["_ds"].dataType))
-            .withColumn("_probe", F.lit(1)))
-    w = Window.partitionBy(*KEY).orderBy("_day", "_probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = deltas.unionByName(asks).select(
-        *KEY, "_day", "_probe",
-        F.sum("_d").over(w).cast("double").alias("budget_hours"),
-        F.sum("_ds").over(w).cast("double").alias("budget_hours_signed"))
-    return both.filter(F.col("_probe") == 1).select(*KEY, F.col("_day").alias(date_col),
-                                                     "budget_hours", "budget_hours_signed")
+    return balances_of_days(ledger_days(ledger), probes, date_col)
+
+
+def ledger_days(ledger: DataFrame) -> DataFrame:
+    """The day totals of a ledger, one row per key and ``valid_from``: literal and signed sums, exact as DECIMAL and
+    never NULL. A key has no more of them than days, however many entries."""
+    def total(hours: Column) -> Column:
+        return F.coalesce(F.sum(hours), F.lit(0))
+    return ledger.groupBy(*KEY, "valid_from").agg(total(F.col("hours")).alias("hours"), total(signed_hours()).alias("hours_signed"))
+
+
+def budgets_of_days(days: DataFrame, date) -> DataFrame:
+    """:func:`budgets_at` from :func:`ledger_days`."""
+    return (days.filter(valid_at(_date(date))).groupBy(*KEY)
+            .agg(F.sum("hours").cast("double").alias("budget_hours"), F.sum("hours_signed").cast("double").alias("budget_hours_signed")))
+
+
+def balances_of_days(days: DataFrame, probes: DataFrame, date_col: str = "as_of_date") -> DataFrame:
+    """:func:`balances_at_dates` from :func:`ledger_days`. Where both are stored clustered by key
+    (``sources.clustered``), nothing is shuffled: the union keeps the buckets, as the day totals go in as
+    they are stored, and the probes are told by their NULL hours."""
+    hours = ("hours", "hours_signed")
+    totals = days.select(*KEY, "valid_from", *hours)
+    asks = probes.select(*KEY, F.col(date_col).cast("date").alias("valid_from")).distinct()
+    asks = asks.select(*KEY, "valid_from", *(F.lit(None).cast(days.schema[c].dataType).alias(c) for c in hours))
+    # ordered by plain columns: a computed one would be a projection below the union, which loses the buckets
+    w = (Window.partitionBy(*KEY).orderBy(F.col("valid_from"), F.col("hours").asc_nulls_last())
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = totals.union(asks).select("*", *(F.sum(c).over(w).alias("_" + c) for c in hours)).filter(F.col("hours").isNull())
+    return both.select(*KEY, F.col("valid_from").alias(date_col),
+                       *(F.coalesce("_" + c, F.lit(0)).cast("double").alias("budget_" + c) for c in hours))
 
 
 # D11 / E1 -------------------------------------------------------------------

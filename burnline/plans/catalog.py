@@ -24,6 +24,7 @@ from ..operators import ledger as L
 from ..operators import profile as P
 from ..operators import trends as TR
 from ..session import cut_lineage, ensure_checkpoint_dir
+from ..sources import clustered as CL
 from ..sources import derived
 from ..sources import files as FS
 from ..sources.tables import DEFAULT_AS_OF, table, ts_ntz
@@ -95,6 +96,16 @@ def _series(spark, sf_dir):
     return TR.booking_series(derived.booking_events(spark, sf_dir, until=AS_OF))
 
 
+def _whole_series(spark, sf_dir):
+    """The daily grain of all bookings, for operators that know no as-of date."""
+    return TR.booking_series(derived.booking_events(spark, sf_dir))
+
+
+def _scratch(spark, name):
+    """A new folder beside the checkpoints."""
+    return f"{ensure_checkpoint_dir(spark)}/burnline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def _units(spark, sf_dir, overrides=None):
     return FC.forecast_units(_series(spark, sf_dir), _targets(spark, sf_dir), _as_of(), overrides)
 
@@ -214,7 +225,7 @@ def c4_entitled_bookings(spark, sf_dir):
 @register("c4_entitled_from_parts")
 def c4_entitled_from_parts(spark, sf_dir):
     """C4/A15 on the stored table by project: all bookings are written, the folders of the user's projects read."""
-    path = f"{ensure_checkpoint_dir(spark)}/burnline-{spark.sparkContext.applicationId}/bookings-{uuid.uuid4().hex[:12]}"
+    path = _scratch(spark, "bookings")
     FS.write_bookings_by_project(_bookings(spark, sf_dir), path)
     return D.aggregate_bookings_compact(FS.read_entitled_bookings(spark, path, _entitlements(spark, sf_dir), "nation_9@example.com"))
 
@@ -312,6 +323,20 @@ def d28_export_counters(spark, sf_dir):
     return D.export_counters(D.aggregate_bookings(B.apply_filters(_booked_star(spark, sf_dir), f)), WINDOW_START, WINDOW_END)
 
 
+@register("d5_kpis_beside_write")
+def d5_kpis_beside_write(spark, sf_dir):
+    """The dashboard is stored, its KPIs are observed by the tasks that write."""
+    return D.write_dashboard(_dashboard(spark, sf_dir), _scratch(spark, "dashboard"))
+
+
+@register("d28_counters_beside_write")
+def d28_counters_beside_write(spark, sf_dir):
+    """The filtered aggregate is stored, its rows and bookings are counted by the tasks that write."""
+    f = B.BookingFilters(start_date=WINDOW_START, end_date=WINDOW_END)
+    agg = D.aggregate_bookings(B.apply_filters(_booked_star(spark, sf_dir), f))
+    return D.write_aggregate(agg, _scratch(spark, "aggregate"), WINDOW_START, WINDOW_END)
+
+
 @register("e7_top_projects_bars")
 def e7_top_projects_bars(spark, sf_dir):
     return D.top_projects_bars(_summary(spark, sf_dir))
@@ -362,6 +387,25 @@ def c6_monthly_balances(spark, sf_dir):
     return L.balances_at_dates(_ledger(spark, sf_dir), probes)
 
 
+def _ledger_days(spark, sf_dir):
+    """The ledger's day totals, stored clustered by key."""
+    return CL.write_clustered(L.ledger_days(_ledger(spark, sf_dir)), _scratch(spark, "days"), L.KEY, ["valid_from"])
+
+
+@register("c6_clustered_balances")
+def c6_clustered_balances(spark, sf_dir):
+    """C6 on clustered tables: day totals and probe dates are stored by key, the lookup shuffles nothing."""
+    probes = _bookings(spark, sf_dir).select("project_nr", "activity", F.last_day("entry_date").alias("as_of_date")).distinct()
+    asks = CL.write_clustered(probes, _scratch(spark, "probes"), L.KEY, ["as_of_date"])
+    return L.balances_of_days(_ledger_days(spark, sf_dir), asks)
+
+
+@register("d9_clustered_budgets")
+def d9_clustered_budgets(spark, sf_dir):
+    """D9 on the clustered day totals."""
+    return L.budgets_of_days(_ledger_days(spark, sf_dir), AS_OF_DATE)
+
+
 @register("d11_budget_overview")
 def d11_budget_overview(spark, sf_dir):
     return L.budget_overview(_ledger(spark, sf_dir), AS_OF_DATE)
@@ -433,32 +477,32 @@ def j2_target_changes(spark, sf_dir):
 
 @register("d13_daily_totals")
 def d13_daily_totals(spark, sf_dir):
-    return TR.daily_totals(_series(spark, sf_dir), ["project_nr"])
+    return TR.daily_totals(_whole_series(spark, sf_dir), ["project_nr"])
 
 
 @register("e2_burndown")
 def e2_burndown(spark, sf_dir):
-    return TR.burndown(_series(spark, sf_dir), ["project_nr"])
+    return TR.burndown(_whole_series(spark, sf_dir), ["project_nr"])
 
 
 @register("e3_activity_cumulative")
 def e3_activity_cumulative(spark, sf_dir):
-    return TR.burndown(_series(spark, sf_dir), ["project_nr", "activity"])
+    return TR.burndown(_whole_series(spark, sf_dir), ["project_nr", "activity"])
 
 
 @register("d14_weekly_totals")
 def d14_weekly_totals(spark, sf_dir):
-    return TR.weekly_totals(_series(spark, sf_dir), ["project_nr"])
+    return TR.weekly_totals(_whole_series(spark, sf_dir), ["project_nr"])
 
 
 @register("d15_activity_weekly")
 def d15_activity_weekly(spark, sf_dir):
-    return TR.weekly_totals(_series(spark, sf_dir), ["project_nr", "activity"])
+    return TR.weekly_totals(_whole_series(spark, sf_dir), ["project_nr", "activity"])
 
 
 @register("e5_weekly_trend")
 def e5_weekly_trend(spark, sf_dir):
-    t = TR.weekly_trend(_series(spark, sf_dir), ["project_nr"])
+    t = TR.weekly_trend(_whole_series(spark, sf_dir), ["project_nr"])
     return t.withColumn("avg_weekly_hours", F.round("avg_weekly_hours", 6)) \
         .withColumn("avg_last4_hours", F.round("avg_last4_hours", 6))
 
@@ -492,7 +536,7 @@ def i15_burndown_metrics(spark, sf_dir):
 
 @register("i13_cumulative_with_targets")
 def i13_cumulative_with_targets(spark, sf_dir):
-    return TR.cumulative_with_targets(_series(spark, sf_dir), _targets(spark, sf_dir))
+    return TR.cumulative_with_targets(_whole_series(spark, sf_dir), _targets(spark, sf_dir))
 
 
 # --- forecast ---------------------------------------------------------------

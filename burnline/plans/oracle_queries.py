@@ -220,6 +220,7 @@ RATE_CTES = (
 )
 
 SER = (BOOKINGS_CTE, SERIES_CTE)
+WHOLE = (ALL_BOOKINGS_CTE, SERIES_CTE)
 RATES = (BOOKINGS_CTE, SERIES_CTE, LEDGER_CTE, TARGETS_CTE) + RATE_CTES
 SPRINTS = (BOOKINGS_CTE, SERIES_CTE) + SPRINT_CTES
 FCST = (BOOKINGS_CTE, SERIES_CTE, LEDGER_CTE, TARGETS_CTE) + SPRINT_CTES + UNIT_CTES
@@ -316,6 +317,19 @@ SQL["d28_export_counters"] = with_ctes(BOOKINGS_CTE, cte("agg", _AGG_BODY.format
     where="entry_date >= DATE '1999-06-30' AND entry_date <= DATE '2001-06-30'")), body="""
 SELECT COUNT(*) AS rows_ready, COUNT(DISTINCT project_nr) AS n_projects, '30.06.99 - 30.06.01' AS date_range_text
 FROM agg""")
+SQL["d5_kpis_beside_write"] = with_ctes(*DASH, cte("k", f"""
+  SELECT COUNT(*) AS n_rows, SUM({bround('actual_hours', 1)}) AS total_hours, {exact_sum('target_hours')} AS total_target,
+         COUNT(DISTINCT project_nr) AS active_projects,
+         COUNT(*) FILTER (WHERE {bround('fulfillment_pct', 1)} >= 90) AS nearing_completion,
+         COUNT(*) FILTER (WHERE status = '🔴 Überbucht') AS overbooked
+  FROM dash"""), body=f"""
+SELECT *, {fulfil('total_hours', 'total_target')} AS budget_consumption_pct, total_target - total_hours AS remaining_hours,
+       CASE WHEN total_target > 0 THEN (total_target - total_hours) / total_target * 100 END AS remaining_pct FROM k""")
+SQL["d28_counters_beside_write"] = with_ctes(BOOKINGS_CTE, cte("agg", _AGG_BODY.format(
+    where="entry_date >= DATE '1999-06-30' AND entry_date <= DATE '2001-06-30'")), body="""
+SELECT COUNT(*) AS rows_ready, COUNT(DISTINCT project_nr) AS n_projects, '30.06.99 - 30.06.01' AS date_range_text,
+       CAST(SUM(entry_count) AS BIGINT) AS record_count
+FROM agg""")
 SQL["e7_top_projects_bars"] = with_ctes(*DASH, *SUMMARY_CTES, cte("top", f"""
   SELECT project_nr, project, {bround('target_hours', 1)} AS planned, {bround('actual_hours', 1)} AS actual
   FROM summary ORDER BY project, project_nr LIMIT 5"""), cte("mx", "SELECT MAX(planned) AS m FROM top"), body="""
@@ -377,6 +391,8 @@ SELECT p.project_nr, p.activity, p.as_of_date,
 FROM probes p LEFT JOIN ledger l
   ON l.project_nr = p.project_nr AND l.activity = p.activity AND l.valid_from <= p.as_of_date
 GROUP BY p.project_nr, p.activity, p.as_of_date""")
+SQL["c6_clustered_balances"] = SQL["c6_monthly_balances"]
+SQL["d9_clustered_budgets"] = SQL["d9_budgets_at_date"]
 _PTOTAL = "CAST(SUM(CAST(budget_hours AS DECIMAL(38,2))) OVER (PARTITION BY project_nr) AS DOUBLE)"
 SQL["d11_budget_overview"] = with_ctes(LEDGER_CTE, TARGETS_CTE, body=f"""
 SELECT project_nr, activity, budget_hours,
@@ -439,30 +455,30 @@ FROM ch WHERE abs(delta) > 0.01""")
 
 # --- trends -----------------------------------------------------------------
 _CUM = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-SQL["d13_daily_totals"] = with_ctes(*SER, body="""
+SQL["d13_daily_totals"] = with_ctes(*WHOLE, body="""
 SELECT project_nr, booking_ts, SUM(hours) AS hours FROM series WHERE booking_ts IS NOT NULL
 GROUP BY project_nr, booking_ts""")
-SQL["e2_burndown"] = with_ctes(*SER, cte("d", """
+SQL["e2_burndown"] = with_ctes(*WHOLE, cte("d", """
   SELECT project_nr, booking_ts, SUM(hours) AS hours FROM series WHERE booking_ts IS NOT NULL
   GROUP BY project_nr, booking_ts"""), body=f"""
 SELECT project_nr, booking_ts, hours,
        SUM(hours) OVER (PARTITION BY project_nr ORDER BY booking_ts {_CUM}) AS cumulative_hours
 FROM d""")
-SQL["e3_activity_cumulative"] = with_ctes(*SER, cte("d", """
+SQL["e3_activity_cumulative"] = with_ctes(*WHOLE, cte("d", """
   SELECT project_nr, activity, booking_ts, SUM(hours) AS hours FROM series WHERE booking_ts IS NOT NULL
   GROUP BY project_nr, activity, booking_ts"""), body=f"""
 SELECT project_nr, activity, booking_ts, hours,
        SUM(hours) OVER (PARTITION BY project_nr, activity ORDER BY booking_ts {_CUM}) AS cumulative_hours
 FROM d""")
 _WEEK = "CAST(date_trunc('week', booking_ts) AS DATE)"
-SQL["d14_weekly_totals"] = with_ctes(*SER, body=f"""
+SQL["d14_weekly_totals"] = with_ctes(*WHOLE, body=f"""
 SELECT project_nr, {_WEEK} AS week_start, SUM(hours) AS hours
 FROM series WHERE booking_ts IS NOT NULL GROUP BY project_nr, {_WEEK}""")
-SQL["d15_activity_weekly"] = with_ctes(*SER, body=f"""
+SQL["d15_activity_weekly"] = with_ctes(*WHOLE, body=f"""
 SELECT project_nr, activity, {_WEEK} AS week_start, SUM(hours) AS hours
 FROM series WHERE booking_ts IS NOT NULL GROUP BY project_nr, activity, {_WEEK}""")
 SQL["e5_weekly_trend"] = with_ctes(
-    *SER,
+    *WHOLE,
     cte("wk", f"""
   SELECT project_nr, {_WEEK} AS week_start, SUM(hours) AS hours
   FROM series WHERE booking_ts IS NOT NULL GROUP BY project_nr, {_WEEK}"""),
@@ -504,7 +520,7 @@ SELECT project_nr, target_hours, current_hours, current_hours - target_hours AS
             WHEN target_hours <= current_hours THEN '⚠️ Erschöpft' ELSE 'Keine Prognose' END AS end_text
 FROM m""")
 SQL["i13_cumulative_with_targets"] = with_ctes(
-    BOOKINGS_CTE, SERIES_CTE, LEDGER_CTE, TARGETS_CTE,
+    *WHOLE, LEDGER_CTE, TARGETS_CTE,
     cte("d", """
   SELECT project_nr, activity, booking_ts, SUM(hours) AS hours FROM series WHERE booking_ts IS NOT NULL
   GROUP BY project_nr, activity, booking_ts"""),
