@@ -16,6 +16,7 @@ escaped text never holds, so formatting is reversible for any text.
 Nulls and edge cases: a null text or role is empty. Rows with a null
 ``conv_id`` are one conversation. Repeated turns stay, in order of role and
 text. A conversation is one output string, so one conversation must fit a row.
+Extra columns are ignored, and an empty table gives no rows.
 """
 
 from __future__ import annotations

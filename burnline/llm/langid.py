@@ -9,6 +9,8 @@ whose prototype it has the largest cosine with (ties: the first by name).
 Nulls and edge cases: a null text, or one without a letter, is ``und`` with
 score 0, as is any text if nothing was learned. Rows without ``lang`` or
 ``doc_id`` are not learned from; a row without ``doc_id`` is not held out.
+Repeated rows are learned from and named each. An empty table gives no rows.
+Extra columns are ignored, or carried along if asked for by name.
 The prototypes are a vector per language label, the only thing collected.
 """
 

@@ -12,6 +12,8 @@ are remembered in a cache of bounded size.
 Nulls and edge cases: a null text is empty and has no ids. Strings that look
 like special tokens are ordinary text. An id outside the vocabulary is an
 error in decoding. Texts of any length are read in bounded lists of pre-tokens.
+Repeated rows are encoded each, extra columns are carried along only if asked
+for by name, and an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -18,8 +18,10 @@ def ranks():
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def viterbi(word, ranks):
-    total = math.log(sum(1 / (r + 1) for r in ranks.values()))
+def viterbi(word, ranks, totals={}):
+    if id(ranks) not in totals:
+        totals[id(ranks)] = math.log(sum(1 / (r + 1) for r in ranks.values()))
+    total = totals[id(ranks)]
     best = [(0.0, 0)] + [(-math.inf, 0)] * len(word)
     for end in range(1, len(word) + 1):
         for start in range(end):
