@@ -1,10 +1,10 @@
 """Sprint-based budget forecasts.
 
 All units are forecast in one job, at both levels (project, and activity
-within project). The booking series (daily grain) is reduced once to one
-row per (unit, sprint number) for both levels in a single grouping-sets
-aggregation -- NULL dates and future bookings keep their own groups so
-totals stay complete. Velocity, dispersion, trend and totals are then one
+within project). The booking series (daily grain) is dealt out by unit and
+reduced once to one row per (activity, sprint number), these few rows to both
+levels in a single grouping-sets aggregation -- NULL dates keep their own
+group, and all sprints outside the analysis one, so totals stay complete. Velocity, dispersion, trend and totals are then one
 more ``groupBy`` with conditional sums over at most a handful of rows per
 unit; targets and overrides are joined per unit; the three scenarios are an
 ``explode`` of each unit row.
@@ -75,16 +75,31 @@ def two_levels(df: DataFrame, keys: list, aggs: list) -> DataFrame:
         .drop("_g")
 
 
-def unit_sprints(series: DataFrame, as_of: Column) -> DataFrame:
+def by_unit(series: DataFrame) -> DataFrame:
+    """The series dealt out by project and activity: what is summed up per
+    unit and sprint has few groups in a task then, however many bookings it
+    reads, and a curve needs no further shuffle."""
+    return series.repartition("project_nr", "activity")
+
+
+def unit_sprints(series: DataFrame, as_of: Column, analysis_only: bool = False) -> DataFrame:
     """Per unit and sprint number (NULL for NULL dates, negative for future
     bookings), both levels: hours, bookings, first/last booking, hours
-    after ``as_of``."""
-    s = with_sprint_number(series, as_of)
+    after ``as_of``. With ``analysis_only`` the sprints outside the analysis
+    are one, number -1, so that a unit has six rows at most. The activities'
+    sprints are summed up first, and the projects' from them."""
+    s, n = with_sprint_number(by_unit(series), as_of), F.col("sprint_number")
+    if analysis_only:
+        s = s.withColumn("sprint_number", F.when(n.isNull() | _in_analysis(n), n).otherwise(F.lit(-1)))
     future = F.col("booking_ts") > as_of
-    return two_levels(s, ["sprint_number"], [
+    sprints = s.groupBy("project_nr", "activity", "sprint_number").agg(
         F.sum("hours").alias("hours"), F.sum("n").alias("n"),
         F.min("booking_ts").alias("sprint_start"), F.max("booking_ts").alias("sprint_end"),
-        F.sum(F.when(future, F.col("hours")).otherwise(F.lit(0.0))).alias("future_hours")])
+        F.sum(F.when(future, F.col("hours")).otherwise(F.lit(0.0))).alias("future_hours"))
+    return two_levels(sprints, ["sprint_number"], [
+        F.sum("hours").alias("hours"), F.sum("n").alias("n"),
+        F.min("sprint_start").alias("sprint_start"), F.max("sprint_end").alias("sprint_end"),
+        F.sum("future_hours").alias("future_hours")])
 
 
 def sprint_table(series: DataFrame, as_of: Column) -> DataFrame:
@@ -182,7 +197,7 @@ def forecast_units(series: DataFrame, targets: DataFrame, as_of: Column,
     NULL dates and future bookings), hours after ``as_of``, automatic and
     base velocity (I2), confidence factor (D18), remaining hours (I3),
     trend (D19), and the span and current total of the dated bookings."""
-    us = unit_sprints(series, as_of)
+    us = unit_sprints(series, as_of, analysis_only=True)
     n = F.col("sprint_number")
     dated = n.isNotNull()
     agg = us.groupBy(*UNIT).agg(

@@ -228,3 +228,17 @@ def test_sprints_and_series_in_order(spark):
     assert [r.sprint_number for r in FC.order_sprints(FC.sprint_table(s, ts_ntz(AS_OF)).filter("level = 'project'")).collect()] == [0, 1, 2]
     stamps = [r.booking_ts for r in TR.order_series(s).collect()]
     assert stamps == sorted(stamps)
+
+
+def test_units_are_made_from_few_rows(spark, monkeypatch):
+    """What goes to both levels does not grow with the bookings: a row per analysis sprint, one for all other dates, one without."""
+    s = _series(spark, [(d, 1.0) for d in range(-30, 700)] + [(None, 7.0), (3, 2.0, "B")])
+    summed, two_levels = [], FC.two_levels
+    monkeypatch.setattr(FC, "two_levels", lambda df, keys, aggs: summed.append((keys, df)) or two_levels(df, keys, aggs))
+    u = FC.forecast_units(s, _targets(spark, [("P", "A", 900.0)]), ts_ntz(AS_OF))
+    assert [df.count() for keys, df in summed if keys] == [6 + 1]
+    got = {(r.level, r.activity): r for r in u.collect()}
+    assert len(got) == 3 and got["project", None].total_booked == 739.0 and got["project", None].dated_hours == 732.0
+    a = got["activity", "A"]
+    assert (a.total_booked, a.future_hours, a.n_bookings, a.n_sprints, a.automatic_hours_per_sprint) == (737.0, 30.0, 731, 4, 14.0)
+    assert a.first_booking == AS_OF - dt.timedelta(days=699) and a.last_booking == AS_OF + dt.timedelta(days=30)
