@@ -306,11 +306,23 @@ def velocity_series(sprints: DataFrame) -> DataFrame:
 def _actual_curve(series: DataFrame) -> DataFrame:
     """Cumulative hours per unit (both levels) and point of time. It reads the
     same columns of the series as :func:`forecast_units`, so that a plan with
-    both makes the series once; undated bookings are in no point."""
+    both makes and deals out the series once; undated bookings are in no
+    point. An activity's curve is a running total over its own rows, where
+    rows of one time count together; only a project's are summed up first."""
     dated = F.col("booking_ts").isNotNull()
-    points = two_levels(series, ["booking_ts"], [F.sum("hours").alias("hours"), F.sum("n").alias("n")])
-    curve = cumulative(points.withColumn("_h", F.when(dated, F.col("hours")).otherwise(F.lit(0.0))), UNIT, "booking_ts", "_h", "y")
-    return curve.filter(dated & (F.col("n") > 0)).select(*UNIT, F.lit("actual").alias("series"), F.col("booking_ts").alias("x"), "y")
+    units = by_unit(series).withColumn("_h", F.when(dated, F.col("hours")).otherwise(F.lit(0.0)))
+    w = Window.partitionBy("project_nr", "activity").orderBy("booking_ts")
+    activities = (units.withColumn("y", F.sum("_h").over(w))  # up to and with all rows of the time
+                  .withColumn("n", F.sum("n").over(w.rangeBetween(Window.currentRow, Window.currentRow)))
+                  .withColumn("_next", F.lead("booking_ts").over(w))
+                  .filter(~F.col("booking_ts").eqNullSafe(F.col("_next"))))
+    days = units.groupBy("project_nr", "booking_ts").agg(F.sum("_h").alias("_h"), F.sum("n").alias("n"))
+    projects = cumulative(days, ["project_nr"], "booking_ts", "_h", "y").withColumn("activity", F.lit(None).cast("string"))
+
+    def points(curve: DataFrame, level: str) -> DataFrame:
+        return curve.filter(dated & (F.col("n") > 0)).select(
+            F.lit(level).alias("level"), "project_nr", "activity", F.lit("actual").alias("series"), F.col("booking_ts").alias("x"), "y")
+    return points(activities, "activity").unionByName(points(projects, "project"))
 
 
 def _point(series_name: Column, x: Column, y: Column) -> Column:

@@ -242,3 +242,22 @@ def test_units_are_made_from_few_rows(spark, monkeypatch):
     a = got["activity", "A"]
     assert (a.total_booked, a.future_hours, a.n_bookings, a.n_sprints, a.automatic_hours_per_sprint) == (737.0, 30.0, 731, 4, 14.0)
     assert a.first_booking == AS_OF - dt.timedelta(days=699) and a.last_booking == AS_OF + dt.timedelta(days=30)
+
+
+def test_curve_of_activities_is_not_shuffled_again(spark):
+    rows = [{"project_nr": p, "activity": a, "hours_billed": h, "booking_ts": t} for p in "PQ" for a, h, t in (
+        ("A", 1.0, dt.datetime(2025, 1, 1)), ("A", 2.0, dt.datetime(2025, 1, 3)), ("B", 4.0, dt.datetime(2025, 1, 3)),
+        (None, 8.0, dt.datetime(2025, 1, 2)), ("A", 16.0, None), ("C", 32.0, None))]
+    series = TR.booking_series(make_bookings(spark, rows))
+    curve = FC._actual_curve(series)
+    one, two, three = (dt.datetime(2025, 1, d) for d in (1, 2, 3))
+    want = {("activity", "A", one, 1.0), ("activity", "A", three, 3.0), ("activity", "B", three, 4.0), ("activity", None, two, 8.0),
+            ("project", None, one, 1.0), ("project", None, two, 9.0), ("project", None, three, 15.0)}
+    got = [(r.project_nr, (r.level, r.activity, r.x, r.y)) for r in curve.collect()]
+    assert len(got) == 14 and set(got) == {(p, w) for p in "PQ" for w in want}
+    # rows that share a time, as series that were put together have them
+    twice = FC._actual_curve(series.unionByName(series)).collect()
+    assert {(r.project_nr, (r.level, r.activity, r.x, r.y / 2)) for r in twice} == set(got) and len(twice) == 14
+    plan = curve._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan  # no row of the series is doubled for the two levels
+    assert "hashpartitioning(level" not in plan  # and none dealt out a second time
