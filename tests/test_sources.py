@@ -16,6 +16,7 @@ from burnline.operators import dashboard as D
 from burnline.operators import export as X
 from burnline.operators import filters as B
 from burnline.operators import forecast as FC
+from burnline.sources import derived
 from burnline.sources import files as FS
 
 MOCK_ROWS = [  # minimal source rows: 3 projects x 4 activities, 25.5 h each
@@ -292,3 +293,25 @@ def test_only_the_folders_of_wanted_projects_are_read(spark, tmp_dir):
     assert FS.read_entitled_bookings(spark, path, entitlements, "nobody@x").count() == 0
     FS.write_bookings_by_project(make_bookings(spark, []), f"{tmp_dir}/none")
     assert FS.read_entitled_bookings(spark, f"{tmp_dir}/none", entitlements, "a@x").count() == 0
+
+
+def test_order_lines_of_the_series_are_not_sorted(spark, tmp_dir):
+    """The lines meet hashed orders; keys may be null or repeat."""
+    when, late = dt.datetime(2024, 1, 2), dt.datetime(2024, 5, 1)
+    rows = {"lineitem": ([(1, 7, 3, 10.0, 0.1, when), (1, 8, 3, 4.0, 0.0, None), (2, 7, 3, 1.0, 0.0, when), (None, 7, 3, 1.0, 0.0, when),
+                          (3, None, None, 2.0, 0.0, when), (4, 7, 3, 5.0, 0.0, when)],
+                         "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_shipdate timestamp_ntz"),
+            "orders": ([(1, when), (3, when), (3, when), (4, late), (None, when)], "o_orderkey long, o_orderdate timestamp_ntz"),
+            "part": ([(7, "PROMO"), (9, "SMALL")], "p_partkey long, p_type string")}
+    for name, (values, schema) in rows.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{tmp_dir}/{name}.parquet")
+    key, kept = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        events = derived.booking_events(spark, tmp_dir, until=dt.datetime(2024, 3, 1))
+        plan = events._jdf.queryExecution().executedPlan().toString()
+        got = sorted((tuple(r) for r in events.select("project_nr", "activity", "booking_ts", "hours_billed", "hours_logged").collect()), key=str)
+    finally:
+        spark.conf.set(key, kept)
+    assert "ShuffledHashJoin [l_orderkey" in plan and "SortMergeJoin [l_orderkey" not in plan
+    assert got == sorted([("P00003", "PROMO", when, 10.0, 9.0), ("P00003", None, None, 4.0, 4.0)] + 2 * [(None, None, when, 2.0, 2.0)], key=str)
