@@ -4,8 +4,9 @@ The driver data has no time-booking table, so both inputs are derived by
 joins (one row per line item for bookings, one ledger entry per first order
 line). The derivations are plain joins and projections: every join is an
 equi-join left to Catalyst/AQE; only ``nation`` (fixed 25 rows) is hinted
-as a broadcast, and the orders of the series' derivation as the hashed side. Only the orders join filters (``until``, if given); the other
-lookups are left joins on primary keys. The booking *series* has its own
+as a broadcast, and the orders of the series' derivation as the hashed side.
+Only the orders join filters (``until``, if given); the other lookups are
+left joins on primary keys. The booking *series* has its own
 derivation with only the joins it needs (orders for the cut, part for the
 activity). ``supplier``, ``part`` and ``customer`` all grow with the
 scale factor, so they are joined without a hint and AQE switches a join to
